@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import langid, mixing, topk, warc
 
-QUERIES = {"op3_mixing": mixing.op3_mixing}
-ORACLES = {"op3_mixing": mixing.ORACLE}
+QUERIES = {
+    "op3_mixing": mixing.op3_mixing,
+    "op4_warc": warc.op4_warc,
+    "op5_langid": langid.op5_langid,
+    "op9_topk": topk.op9_topk,
+}
+ORACLES = {"op3_mixing": mixing.ORACLE, "op4_warc": warc.ORACLE, "op9_topk": topk.ORACLE}
