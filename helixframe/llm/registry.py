@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, topk, warc
+from . import langid, licenses, mixing, tokenids, topk, warc
 
 QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op4_warc": warc.op4_warc,
     "op5_langid": langid.op5_langid,
+    "op6_tokens": tokenids.op6_tokens,
+    "op8_licenses": licenses.op8_licenses,
     "op9_topk": topk.op9_topk,
 }
-ORACLES = {"op3_mixing": mixing.ORACLE, "op4_warc": warc.ORACLE, "op9_topk": topk.ORACLE}
+ORACLES = {"op3_mixing": mixing.ORACLE, "op4_warc": warc.ORACLE, "op8_licenses": licenses.ORACLE, "op9_topk": topk.ORACLE}
