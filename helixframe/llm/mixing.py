@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-SLICE_ROWS = 32768
+SLICE_ROWS = 4096
 CAP = 3
 OFFSET = 0.6180339887498949
 WORD = r"[^\x20\x09-\x0D]+"
