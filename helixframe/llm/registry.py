@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import langid, licenses, mixing, tokenids, topk, warc
+from . import langid, licenses, mixing, tokenids, topk, toxicity, warc
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_mixing": mixing.op3_mixing,
     "op4_warc": warc.op4_warc,
     "op5_langid": langid.op5_langid,
