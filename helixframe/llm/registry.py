@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, licenses, mixing, tokenids, topk, toxicity, warc
+from . import decontaminate, langid, licenses, mixing, tokenids, topk, toxicity, warc
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_warc": warc.op4_warc,
     "op5_langid": langid.op5_langid,
     "op6_tokens": tokenids.op6_tokens,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_licenses": licenses.op8_licenses,
     "op9_topk": topk.op9_topk,
 }
