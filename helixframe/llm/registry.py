@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, licenses, mixing, tokenids, topk, toxicity, warc
+from . import decontaminate, langid, licenses, mixing, ngram_join, tokenids, topk, toxicity, warc
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
@@ -13,5 +13,6 @@ QUERIES = {
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_licenses": licenses.op8_licenses,
     "op9_topk": topk.op9_topk,
+    "op10_ngram_join": ngram_join.op10_ngram_join,
 }
 ORACLES = {"op3_mixing": mixing.ORACLE, "op4_warc": warc.ORACLE, "op8_licenses": licenses.ORACLE, "op9_topk": topk.ORACLE}
