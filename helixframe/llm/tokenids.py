@@ -11,9 +11,9 @@ Files: `codebook` (one row: lengths) and `blocks` (part, start within the part,
 bits), both written by Spark's committer, so any store works. Where a part starts follows from the totals
 of the parts before it.
 
-Encoding is the tokenizers library's own. Texts are cut before every space that is followed by other than white
-space, where this byte-level tokenizer always starts a new piece; what the library gives for a piece is kept in
-a bounded look-up table. Texts where a space precedes white space go to the library whole.
+Encoding is the tokenizers library's own. Texts are cut into the pieces that its pre-tokenizer makes, and what the
+library gives for a piece is kept in a bounded look-up table. Texts with characters from U+0250 on, whose
+classes depend on the version of Unicode, and texts that may hold a special token go to the library whole.
 
 Defined cases: null and empty texts are just the end id; rows with equal or null ids are kept, null first, equal ones
 in the order of a hash of their text; an empty table gives empty files. A document is never split over blocks.
@@ -23,12 +23,12 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,11 +38,22 @@ MAX_BITS = 16
 BLOCK_TOKENS = 65_536
 STRIDE = 128
 END = 0
-KEPT = 600_000
+KEPT = 1_200_000
 BLOCKS = "part int, start bigint, tokens bigint, doc_ids binary, nulls binary, counts binary, offsets binary, bits binary"
-#: The pre-tokenizer's pattern. Fixed value.
-PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-AMBIGUOUS = re.compile(r" \s")
+
+#: Characters below this have the same class in every version of Unicode.
+LIMIT = 0x250
+OUTSIDE = re.compile(f"[^\\x00-\\u{LIMIT - 1:04x}]")
+
+
+def _class(*kinds: str) -> str:
+    """Characters below LIMIT of Unicode categories, or white space, for a pattern's brackets."""
+    return "".join(f"\\u{i:04x}" for i in range(LIMIT) if unicodedata.category(chr(i))[0] in kinds or ("space" in kinds and chr(i).isspace() and not 0x1C <= i <= 0x1F))
+
+
+_L, _N, _S = _class("L"), _class("N"), _class("space")
+#: The pre-tokenizer's pattern: contractions, letters, digits, other signs, white space. Fixed value.
+PIECE = re.compile(f" ?[{_L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
 
 class _Table(dict):
@@ -67,24 +78,16 @@ class Encoder:
 
         self.tool = Tokenizer.from_file(path)
         self.pieces = _Table(self.whole)
-        self.first, self.rest = _Table(self.unit), _Table(lambda t: self.unit(" " + t))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tool.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def unit(self, text: str) -> bytes:
-        # Below U+0250 letters and digits are the same for every version of Unicode.
-        if not text or max(text) >= "ɐ" or "<|" in text:
-            return self.whole(text)
-        return b"".join(map(self.pieces.__getitem__, PIECE.findall(text)))
-
     def text(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if AMBIGUOUS.search(text):
+        if "<|" in text or OUTSIDE.search(text):
             return self.whole(text)
-        units = text.split(" ")
-        return self.first[units[0]] + b"".join(map(self.rest.__getitem__, units[1:]))
+        return b"".join(map(self.pieces.__getitem__, PIECE.findall(text)))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -245,7 +248,10 @@ def write(docs: DataFrame, target: str, path: str, ident: str = "doc_id", text:
 
 
 def read(spark: SparkSession, target: str) -> DataFrame:
-    """Decode files: a row for each document with id, start (over all files), n_tokens and ids (32-bit little-endian)."""
+    """Decode files: a row for each document with id, start (over all files), n_tokens and ids (32-bit little-endian).
+
+    Broadcast are the code book and a number for each file, so ids don't move.
+    """
     stored = spark.read.schema("lengths binary").parquet(f"{target}/codebook").first()
     held = spark.sparkContext.broadcast(bytes(stored["lengths"]))
     files = spark.read.schema(BLOCKS).parquet(f"{target}/blocks")
@@ -265,7 +271,7 @@ def read(spark: SparkSession, target: str) -> DataFrame:
                 yield pd.DataFrame({"id": known, "part": r["part"], "start": r["start"] + ends - counts, "n_tokens": counts, "ids": [ids[a:b].tobytes() for a, b in zip(ends - counts, ends, strict=True)]})
 
     rows = files.mapInPandas(documents, "id bigint, part int, start bigint, n_tokens bigint, ids binary")
-    return rows.join(parts, "part").select("id", (F.col("start") + F.col("ahead")).alias("start"), "n_tokens", "ids")
+    return rows.join(F.broadcast(parts), "part").select("id", (F.col("start") + F.col("ahead")).alias("start"), "n_tokens", "ids")
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
