@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
+from .graph import components
 
 N = 5
 PERCENT = 75
@@ -250,26 +251,6 @@ def tile_links(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
 
 
-def components(edges: DataFrame, name: str) -> DataFrame:
-    """(id, root): the smallest id that every id of edges (a, b) reaches. Each round is written and cuts lineage."""
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
-    both = shared.cut(both, f"{name}-edges")
-    state = shared.cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "id"), f"{name}-0")
-    for turn in range(1, 64):
-        roots = state.select(F.col("id").alias("b"), F.col("root").alias("r"))
-        near = both.join(roots, "b").groupBy("a").agg(F.min("r").alias("r"))
-        hooked = state.join(near, state["id"] == near["a"], "left").select("id", F.least("root", F.coalesce("r", "root")).alias("next"), "root")
-        # The root's own root: paths halve with every round.
-        jump = hooked.select(F.col("id").alias("j"), F.col("next").alias("jr"))
-        new = hooked.join(jump, hooked["next"] == jump["j"], "left").select("id", F.least("next", F.coalesce("jr", "next")).alias("new"), "root")
-        new = shared.cut(new, f"{name}-{turn}")
-        changed = new.filter("new <> root").limit(1).count()
-        state = new.select("id", F.col("new").alias("root"))
-        if not changed:
-            break
-    return state
-
-
 def _tiles(rows: DataFrame, groups: DataFrame, tile: int) -> DataFrame:
     """rows with grp and the number of tiles of their group."""
     sized = rows.join(groups, "id")

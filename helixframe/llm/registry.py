@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, licenses, mixing, ngram_join, tokenids, topk, toxicity, warc
+from . import decontaminate, langid, licenses, linededup, mixing, ngram_join, tokenids, topk, toxicity, warc
 
 QUERIES = {
+    "op1_linededup": linededup.op1_linededup,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_mixing": mixing.op3_mixing,
     "op4_warc": warc.op4_warc,
