@@ -1,4 +1,8 @@
 """Registered queries and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from . import evaluation, reads
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "evaluation", "reads"]

@@ -18,9 +18,9 @@ def bases_of(text: Column) -> Column:
     return F.translate(F.lower(F.regexp_replace(text, "[^A-Za-z]", "")), ALPHABET, BASES)
 
 
-def reads_of(documents: DataFrame, longest: int = 300) -> DataFrame:
+def reads_of(documents: DataFrame) -> DataFrame:
     """Reads from documents: cluster_id is the language, r_id the rank by doc_id, seq its bases, qual by position."""
-    rows = documents.select("doc_id", F.col("lang").alias("cluster_id"), F.substring(bases_of(F.col("text")), 1, longest).alias("seq"))
+    rows = documents.select("doc_id", F.col("lang").alias("cluster_id"), bases_of(F.col("text")).alias("seq"))
     ranked = rows.withColumn("r_id", F.row_number().over(Window.partitionBy("cluster_id").orderBy("doc_id")))
     return ranked.withColumn("acc", F.concat(F.lit("doc_"), F.col("doc_id"))).withColumn("qual", cyclic_quality(F.length("seq"))).select("cluster_id", "r_id", "acc", "seq", "qual")
 

@@ -1 +1,35 @@
+"""Structured Streaming over cluster files and result events."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from ..operators.correction import correct
+from ..plans.params import Params
+from ..sources.sequence_files import parse
+
+
+def correct_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, params: Params = Params()) -> StreamingQuery:  # noqa: B008
+    """Correct cluster files as they arrive; a file is corrected once, as a cluster of its own."""
+    import pandas as pd
+
+    files = spark.readStream.schema("value string").option("wholetext", True).text(f"{folder.rstrip('/')}/*.fastq").select(F.col("_metadata.file_name").alias("cluster_id"), "value")
+
+    def explode(frames):
+        for frame in frames:
+            rows = [(c, i, *r) for c, v in zip(frame["cluster_id"], frame["value"], strict=True) for i, r in enumerate(parse(v.split("\n")), 1)]
+            yield pd.DataFrame(rows, columns=["cluster_id", "r_id", "acc", "seq", "qual"])
+
+    reads = files.mapInPandas(explode, "cluster_id string, r_id int, acc string, seq string, qual string")
+
+    def batch(df: DataFrame, n: int) -> None:
+        correct(df, params).write.mode("overwrite").parquet(f"{out}/batch={n}")
+
+    return reads.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def windowed_counts(events: DataFrame, time: str, window: str, late: str, *keys: str) -> DataFrame:
+    """Counts by tumbling window and keys with a watermark; the same code for a table and for a stream."""
+    return events.withWatermark(time, late).groupBy(F.window(time, window).alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *keys, "n")
