@@ -1,11 +1,10 @@
 """Token ids in a binary format: canonical, length-limited Huffman codes in independent blocks.
 
-Two passes over the texts. The first encodes them and counts ids over all documents; from those counts come
-code lengths of at most MAX_BITS bits, and canonical codes from the lengths, so that the code book is one byte
-for each id. The second puts documents in order of their id, encodes them again (words that a worker has seen
-are looked up) and packs whole documents into blocks of about BLOCK_TOKENS ids. A block stands on its own: ids
-and lengths of its documents, its bits, and the bit offset of every STRIDE-th id, from which decoding goes on in
-parallel by table look-up.
+Documents are put in order of their id and encoded once, whole documents into blocks of about BLOCK_TOKENS ids,
+which are kept in the shared folder. Ids are counted over all of them; from the counts come code lengths of at most
+MAX_BITS bits, and canonical codes from the lengths, so that the code book is one byte for each id. Then each
+block is packed. It stands on its own: ids and lengths of its documents, its bits, and the bit offset of every
+STRIDE-th id, from which decoding goes on in parallel by table look-up.
 
 Files: `codebook` (one row: lengths) and `blocks` (part, start within the part, tokens, doc_ids, counts, offsets,
 bits), both written by Spark's committer, so any store works. Where a part starts follows from the totals
@@ -185,50 +184,32 @@ def _batches(batch: pa.RecordBatch, most: int = 4_000_000):
         yield idents[a:b], texts[a:b]
 
 
-def count_ids(docs: DataFrame, path: str, end: int = END) -> np.ndarray:
-    """How often every id occurs over all (id, text), end ids included. What reaches the driver is bounded by the ids there are."""
+ENCODED = "part int, start bigint, tokens bigint, doc_ids binary, nulls binary, counts binary, width int, ids binary"
+_ENCODED = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
+_BLOCKS = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
 
-    def count(batches):
-        tool, total = encoder(path), np.zeros(end + 1, np.int64)
-        for batch in batches:
-            for _, texts in _batches(batch):
-                ids = np.frombuffer(b"".join(map(tool.text, texts)), "<u4")
-                more = np.bincount(ids, minlength=len(total))
-                more[end] += len(texts)
-                more[: len(total)] += total
-                total = more
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(total[used])], ["token", "n"])
 
-    rows = docs.mapInArrow(count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(max([end, *rows["token"]]) + 1, np.int64)
-    counts[rows["token"]] = rows["n"]
-    return counts
+def _row(values: list, types: list, ddl: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], [x.split()[0] for x in ddl.split(", ")])
 
 
-def write(docs: DataFrame, target: str, path: str, ident: str = "doc_id", text: str = "text", end: int = END) -> None:
-    """Write the texts' ids below target, in ascending order of ident; path: the tokenizer's file."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text"))
-    lengths = code_lengths(count_ids(rows, path, end))
-    spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{target}/codebook")
-    held = spark.sparkContext.broadcast(lengths.tobytes())  # a byte for each id of the vocabulary
+def encode(rows: DataFrame, path: str, end: int = END) -> DataFrame:
+    """Blocks of the ids of (id, text) in ascending order of id, in 16 or 32 bits each."""
 
     def blocks(batches):
         from pyspark import TaskContext
 
-        tool, code = encoder(path), Code(np.frombuffer(held.value, np.uint8))
-        stop, part, start = np.array([end], "<u4").tobytes(), TaskContext.get().partitionId(), 0
+        tool, stop = encoder(path), np.array([end], "<u4").tobytes()
+        part, start = TaskContext.get().partitionId(), 0
         idents, encoded, size = [], [], 0
 
         def block():
             ids = np.frombuffer(b"".join(encoded), "<u4")
-            bits, offsets = code.pack(ids)
+            width = 2 if ids.max() < 1 << 16 else 4
             known = np.array([0 if x is None else x for x in idents], "<i8")
             none = np.packbits(np.array([x is None for x in idents], bool))
             counts = np.array([len(x) // 4 for x in encoded], "<u4")
-            values = [part, start, len(ids), known.tobytes(), none.tobytes(), counts.tobytes(), offsets.tobytes(), bits]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5], strict=True)], [x.split()[0] for x in BLOCKS.split(", ")])
+            return _row([part, start, len(ids), known.tobytes(), none.tobytes(), counts.tobytes(), width, ids.astype(f"<u{width}").tobytes()], _ENCODED, ENCODED)
 
         for batch in batches:
             for some, texts in _batches(batch):
@@ -243,8 +224,44 @@ def write(docs: DataFrame, target: str, path: str, ident: str = "doc_id", text:
         if idents:
             yield block()
 
-    ordered = rows.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text"))
-    ordered.mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(f"{target}/blocks")
+    return rows.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text")).mapInArrow(blocks, ENCODED)
+
+
+def count_ids(encoded: DataFrame) -> np.ndarray:
+    """How often every id occurs over all blocks. What reaches the driver is bounded by the ids there are."""
+
+    def count(batches):
+        total = np.zeros(1, np.int64)
+        for batch in batches:
+            for width, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                more = np.bincount(np.frombuffer(ids.as_buffer(), f"<u{width}"), minlength=len(total))
+                more[: len(total)] += total
+                total = more
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(total[used])], ["token", "n"])
+
+    rows = encoded.select("width", "ids").mapInArrow(count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(max([0, *rows["token"]]) + 1, np.int64)
+    counts[rows["token"]] = rows["n"]
+    return counts
+
+
+def write(docs: DataFrame, target: str, path: str, ident: str = "doc_id", text: str = "text", end: int = END) -> None:
+    """Write the texts' ids below target, in ascending order of ident; path: the tokenizer's file."""
+    spark = docs.sparkSession
+    encoded = shared.cut(encode(docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text")), path, end), "ids")
+    lengths = code_lengths(count_ids(encoded))
+    spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{target}/codebook")
+    held = spark.sparkContext.broadcast(lengths.tobytes())  # a byte for each id of the vocabulary
+
+    def pack(batches):
+        code = Code(np.frombuffer(held.value, np.uint8))
+        for batch in batches:
+            for r in batch.to_pylist():
+                bits, offsets = code.pack(np.frombuffer(r["ids"], f"<u{r['width']}"))
+                yield _row([r["part"], r["start"], r["tokens"], r["doc_ids"], r["nulls"], r["counts"], offsets.tobytes(), bits], _BLOCKS, BLOCKS)
+
+    encoded.mapInArrow(pack, BLOCKS).write.option("compression", "none").parquet(f"{target}/blocks")
 
 
 def read(spark: SparkSession, target: str) -> DataFrame:
