@@ -70,8 +70,9 @@ def window_minimizers(reads: DataFrame, k: int, w: int, keys: tuple[str, ...] =
 
 def anchor_pairs(mins: Column, low: int, high: int, k: int) -> Column:
     """Ordered pairs with low < p2 - p1 <= high, the farthest partner first, no poly-A pairs: array of (m1, p1, m2, p2)."""
+    # Positions grow, so partners are among the next `high` minimizers.
     of_first = lambda a, i: F.transform(
-        F.reverse(F.filter(F.slice(mins, i + 2, F.greatest(F.size(mins) - i - 1, F.lit(0))), lambda b: (b["pos"] - a["pos"] > low) & (b["pos"] - a["pos"] <= high))),
+        F.reverse(F.filter(F.slice(mins, i + 2, F.lit(high)), lambda b: (b["pos"] - a["pos"] > low) & (b["pos"] - a["pos"] <= high))),
         lambda b: F.struct(a["kmer"].alias("m1"), a["pos"].alias("p1"), b["kmer"].alias("m2"), b["pos"].alias("p2")),
     )
     return F.filter(F.flatten(F.transform(mins, of_first)), lambda x: ~(poly_a(x["m1"], k) & (x["m1"] == x["m2"])))

@@ -5,32 +5,38 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .alignment import cigar_of, consensus, infix_distance, path, semi_global
 from .correction import guarded, schedule
 from .seeds import iterate_pairs, minimizers
 
 
-@F.pandas_udf("ed int, cigar string, query_aln string, target_aln string")
+def _struct(**fields: T.DataType) -> T.StructType:
+    """Types as objects, since parsing their names needs a session that isn't there yet on import."""
+    return T.StructType([T.StructField(k, v) for k, v in fields.items()])
+
+
+@F.pandas_udf(_struct(ed=T.IntegerType(), cigar=T.StringType(), query_aln=T.StringType(), target_aln=T.StringType()))
 def path_udf(query: pd.Series, target: pd.Series) -> pd.DataFrame:
     """Global alignment path of two columns."""
     rows = [path(q, t) for q, t in zip(query, target, strict=True)]
     return pd.DataFrame([(d, cigar_of(q, t), q, t) for d, q, t in rows], columns=["ed", "cigar", "query_aln", "target_aln"])
 
 
-@F.pandas_udf("score int, query_aln string, target_aln string")
+@F.pandas_udf(_struct(score=T.IntegerType(), query_aln=T.StringType(), target_aln=T.StringType()))
 def affine_udf(query: pd.Series, target: pd.Series) -> pd.DataFrame:
     """Semi-global affine alignment of two columns."""
     return pd.DataFrame([semi_global(q, t) for q, t in zip(query, target, strict=True)], columns=["score", "query_aln", "target_aln"])
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def infix_udf(pattern: pd.Series, text: pd.Series) -> pd.Series:
     """Fewest edits of the pattern against an infix of the text."""
     return pd.Series([infix_distance(p, t) for p, t in zip(pattern, text, strict=True)], dtype="int32")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def guard_udf(orig: pd.Series, corrected: pd.Series) -> pd.Series:
     """The corrected read after the structural guard against the original."""
     return pd.Series([guarded(*semi_global(o, c)[1:]) for o, c in zip(orig, corrected, strict=True)])
@@ -58,7 +64,7 @@ def schedule_by(intervals: DataFrame, key: str) -> DataFrame:
     return intervals.groupBy(key).applyInPandas(run, f"`{key}` {kind}, start int, stop int, support int")
 
 
-@F.udtf(returnType="m1 string, p1 int, m2 string, p2 int")
+@F.udtf(returnType=_struct(m1=T.StringType(), p1=T.IntegerType(), m2=T.StringType(), p2=T.IntegerType()))
 class Anchors:
     """Table function: the anchor pairs of a sequence."""
 
