@@ -57,11 +57,11 @@ def targets(sizes: DataFrame, cap: int = CAP) -> DataFrame:
     )
 
 
-def copies(
+def _counted(
     docs: DataFrame, size: str, source: str = "source", order: str = "doc_id", cap: int = CAP, offset: float = OFFSET,
     slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
-    """docs with source_size, target (its source's) and copies (how often the mix takes the row)."""
+    """docs with __source_size, __target and __copies."""
     if not 0 <= offset < 1:
         raise ValueError("offset must lie in [0, 1)")
     base = (
@@ -73,14 +73,16 @@ def copies(
     )
     cells = base.groupBy("__key", "__none", "__bits").agg(F.count("*").alias("__n"), F.sum("__size").alias("__sum"))
     slices = cells.select("__key", "__none", "__bits", F.ceil(F.col("__n") / slice_rows).cast("long").alias("__slices"))
-    goal = targets(cells.groupBy("__key", "__none").agg(F.sum("__sum").alias("source_size")), cap)
+    goal = targets(cells.groupBy("__key", "__none").agg(F.sum("__sum").alias("source_size")), cap).select(
+        "__key", "__none", F.col("source_size").alias("__source_size"), F.col("target").alias("__target")
+    )
     keys = ["__key", "__none", "__bits"]
     placed = base.join(slices, keys).withColumn("__slice", F.pmod("__id", "__slices"))
     counts = placed.groupBy(*keys, "__slice").agg(F.count("*").alias("__n"))
     ahead = Window.partitionBy("__key", "__none").orderBy("__bits", "__slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("__ahead", F.coalesce(F.sum("__n").over(ahead), F.lit(0))).join(goal, ["__key", "__none"]).drop("__n")
     inside = Window.partitionBy(*keys, "__slice").orderBy("__size", "__id")
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    ratio = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
     ranked = (
         placed.withColumn("__rank", F.row_number().over(inside))
         .join(starts, [*keys, "__slice"])
@@ -88,14 +90,20 @@ def copies(
         .withColumn("__ratio", ratio)
     )
     crossed = F.floor(F.col("__ratio") * F.col("__rank") + offset) - F.floor(F.col("__ratio") * (F.col("__rank") - 1) + offset)
-    return ranked.select(*[F.col(f"`{c}`") for c in docs.columns], "source_size", "target", crossed.cast("long").alias("copies"))
+    return ranked.select(*[F.col(f"`{c}`") for c in docs.columns], "__source_size", "__target", crossed.cast("long").alias("__copies"))
+
+
+def copies(docs: DataFrame, size: str, **settings) -> DataFrame:
+    """docs with source_size, target (its source's) and copies (how often the mix takes the row); these replace columns so named."""
+    new = ["source_size", "target", "copies"]
+    return _counted(docs, size, **settings).select(*[F.col(f"`{c}`") for c in docs.columns if c not in new], *[F.col(f"__{c}").alias(c) for c in new])
 
 
 def emit(docs: DataFrame, text: str = "text", **settings) -> DataFrame:
     """The mix itself: the rows of docs, each as often as it is taken, with the columns of docs only."""
     sized = docs.withColumn("__words", n_words(text))
-    taken = copies(sized, "__words", **settings).filter("copies > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    taken = _counted(sized, "__words", **settings).filter("__copies > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

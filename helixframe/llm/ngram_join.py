@@ -318,8 +318,8 @@ def _across(big: DataFrame, links: DataFrame, tile: int) -> DataFrame:
     where = lambda t, u: F.struct(F.col("grp").alias("g"), t.alias("t"), u.alias("u"))
     own = F.pmod(F.xxhash64("id"), F.col("tiles").cast("long"))
     side = F.pmod(F.xxhash64("id"), F.col("cuts").cast("long"))
-    every = placed.join(cuts, "grp").withColumn("u", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).cast("long")).withColumn("block", where(own, F.col("u"))).withColumn("active", F.lit(False))
-    some = rest.join(cuts, "grp").withColumn("t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).cast("long")).withColumn("block", where(F.col("t"), side)).withColumn("active", F.lit(True))
+    every = placed.join(cuts, "grp").withColumn("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts").cast("long") - 1))).withColumn("block", where(own, F.col("u"))).withColumn("active", F.lit(False))
+    some = rest.join(cuts, "grp").withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles").cast("long") - 1))).withColumn("block", where(F.col("t"), side)).withColumn("active", F.lit(True))
     both = some.select(*cols).unionByName(every.select(*cols))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
