@@ -39,9 +39,9 @@ def _mins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Anchor pairs inside each read's row: minimizers collected for the read, no self-join."""
-    mins = _mins(spark, sf_dir).groupBy("cluster_id", "r_id").agg(F.array_sort(F.collect_list(F.struct("pos", "kmer"))).alias("minimizers"))
-    return seeds.exploded_pairs(mins, P.low, P.xmax, P.k)
+    """Anchor pairs inside each read's row: no explode, self-join or shuffle before them."""
+    mins = F.transform(seeds.window_minimizer_array(F.col("seq"), P.k, P.w), lambda m: F.struct(m["kmer"].alias("kmer"), (-m["neg"]).alias("pos")))
+    return seeds.exploded_pairs(read_table(spark, sf_dir).select("cluster_id", "r_id", mins.alias("minimizers")), P.low, P.xmax, P.k)
 
 
 def _counts(pairs: DataFrame) -> DataFrame:
@@ -181,7 +181,7 @@ def dedupe_by_sequence(spark, sf_dir):
 )
 def kmer_mappability(spark, sf_dir):
     """Mean number of times that a sequence's k-mers occur in all."""
-    k = bench_reads(spark, sf_dir).select("item_id", F.explode(S.kmers(F.col("seq"), 15)).alias("s")).select("item_id", "s.kmer")
+    k = bench_reads(spark, sf_dir).select("item_id", F.explode_outer(S.kmers(F.col("seq"), 15)).alias("s")).filter("s is not null").select("item_id", "s.kmer")
     return k.join(k.groupBy("kmer").agg(F.count("*").alias("n")), "kmer", "left").groupBy("item_id").agg(F.round(F.avg(F.coalesce("n", F.lit(1))), 6).alias("multiplicity"))
 
 
@@ -193,8 +193,8 @@ def kmer_mappability(spark, sf_dir):
 )
 def kmer_count_target(spark, sf_dir):
     """k-mers of reads, only those of the target set."""
-    target = bench_reads(spark, sf_dir).select(F.explode(S.kmers(F.col("seq"), 15)).alias("s")).select("s.kmer").distinct()
-    k = read_table(spark, sf_dir).select("cluster_id", F.explode(S.kmers(F.col("seq"), 15)).alias("s")).select("cluster_id", "s.kmer")
+    target = bench_reads(spark, sf_dir).select(F.explode_outer(S.kmers(F.col("seq"), 15)).alias("s")).filter("s is not null").select("s.kmer").distinct()
+    k = read_table(spark, sf_dir).select("cluster_id", F.explode_outer(S.kmers(F.col("seq"), 15)).alias("s")).filter("s is not null").select("cluster_id", "s.kmer")
     return k.join(target, "kmer", "left_semi").groupBy("cluster_id", "kmer").agg(F.count("*").alias("n"))
 
 
@@ -313,3 +313,35 @@ def interval_schedule(spark, sf_dir):
         F.col("l_orderkey").alias("qname"), (F.col("l_partkey") % 97).cast("int").alias("start"), (F.col("l_partkey") % 97 + F.col("l_quantity")).cast("int").alias("stop"), (F.col("l_suppkey") % 9 + 1).cast("int").alias("support")
     )
     return schedule_by(rows, "qname")
+
+
+@query("simulated_reads")
+def simulated_reads(spark, sf_dir):
+    """Noisy reads of every benchmark sequence."""
+    from ..operators.simulate import abundances, simulate_reads
+
+    return simulate_reads(abundances(bench_reads(spark, sf_dir).select(F.col("item_id").cast("string").alias("tx"), "seq"), "exponential"))
+
+
+@query("structural_guard")
+def structural_guard(spark, sf_dir):
+    """The guard applied to each benchmark read, taken as the original, against the one before it."""
+    from ..operators.udfs import guard_udf
+
+    return _neighbours(spark, sf_dir).select("item_id", guard_udf("seq", "before").alias("guarded"))
+
+
+@query(
+    "transcriptome_from_exons",
+    """, e as (select (l_orderkey)::varchar as tx, (l_linenumber * 10)::int as s, ((l_linenumber * 10) + l_quantity)::int as t from lineitem),
+    c as (select seq from bench where item_id = (select min(item_id) from bench))
+    select tx, string_agg(substring(seq, s + 1, t - s), '' order by s, substring(seq, s + 1, t - s)) as seq from e, c group by tx""", (BENCH,),
+)
+def transcriptome_from_exons(spark, sf_dir):
+    """Exons of every order cut from one chromosome, the first benchmark sequence."""
+    from ..operators.simulate import transcriptome
+
+    n = F.col("l_linenumber") * 10
+    exons = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("tx"), F.lit(1).alias("chrom"), n.cast("int").alias("exon_start"), (n + F.col("l_quantity")).cast("int").alias("exon_end"))
+    first = bench_reads(spark, sf_dir).agg(F.min_by("seq", "item_id").alias("seq")).withColumn("chrom", F.lit(1))
+    return transcriptome(exons, first)

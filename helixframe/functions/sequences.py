@@ -31,10 +31,19 @@ def cyclic_quality(length: Column) -> Column:
     return F.substring(F.repeat(F.lit(pattern), F.ceil(length / 30).cast("int")), F.lit(1), length)
 
 
-def kmers(seq: Column, k: int) -> Column:
-    """All k-mers with their position: array of (pos, kmer)."""
+def kmers(seq: Column, k: int, block: int = 256) -> Column:
+    """All k-mers with their position: array of (pos, kmer).
+
+    Taken from blocks of the sequence, since a substring is found by walking from the start of its string.
+    """
     last = F.length(seq) - k
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.cast("int").alias("pos"), F.substring(seq, i + 1, F.lit(k)).alias("kmer")))).otherwise(F.array().cast("array<struct<pos:int,kmer:string>>"))
+
+    def of_block(start: Column) -> Column:
+        piece = F.array(F.substring(seq, start + 1, F.lit(block + k - 1)))
+        inside = lambda p: F.transform(F.sequence(F.lit(0), F.least(F.lit(block - 1), last - start)), lambda j: F.struct((start + j).cast("int").alias("pos"), F.substring(p, j + 1, F.lit(k)).alias("kmer")))
+        return F.get(F.transform(piece, inside), F.lit(0))
+
+    return F.when(last >= 0, F.flatten(F.transform(F.sequence(F.lit(0), last, F.lit(block)), of_block))).otherwise(F.array().cast("array<struct<pos:int,kmer:string>>"))
 
 
 def poly_a(kmer: Column, k: int) -> Column:

@@ -1,7 +1,7 @@
 """Minimizers and anchors.
 
-`minimizers` is the exact state machine, a Python function for Arrow batches; `window_minimizers` is the form with
-window expressions only, the rightmost smallest k-mer of each window. Anchor pairs are made inside a read's row, so they
+`minimizers` is the exact state machine, a Python function for Arrow batches; `window_minimizers` is the form in array
+expressions only, the rightmost smallest k-mer of each window. Both stay within a read's row. Anchor pairs are made inside a read's row, so they
 need no shuffle; the anchor index is one aggregation by (cluster, batch, m1, m2).
 """
 
@@ -11,7 +11,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequences import kmers, poly_a
@@ -60,12 +60,24 @@ def with_minimizers(reads: DataFrame, k: int, w: int, column: str = "minimizers"
     return reads.withColumn(column, run("seq"))
 
 
+def window_minimizer_array(seq: Column, k: int, w: int) -> Column:
+    """Rightmost smallest k-mer of every full window, each position once: array of (kmer, neg), neg = -pos. No shuffle."""
+    n = w - k + 1
+    mers = F.transform(kmers(seq, k), lambda m: F.struct(m["kmer"].alias("kmer"), (-m["pos"]).alias("neg")))
+
+    def best(ms: Column) -> Column:
+        wins = F.transform(F.sequence(F.lit(1), F.size(ms) - (n - 1)), lambda i: F.array_min(F.slice(ms, i, F.lit(n))))
+        # Positions never fall from window to window, so repeats stand together.
+        return F.get(F.transform(F.array(wins), lambda ws: F.filter(ws, lambda x, i: (i == 0) | (x["neg"] != F.get(ws, i - 1)["neg"]))), F.lit(0))
+
+    return F.when(F.length(seq) >= w, F.get(F.transform(F.array(mers), best), F.lit(0)))
+
+
 def window_minimizers(reads: DataFrame, k: int, w: int, keys: tuple[str, ...] = ("cluster_id", "r_id")) -> DataFrame:
-    """Rightmost smallest k-mer of every full window, each position once: keys, pos, kmer."""
-    rows = reads.select(*keys, F.explode(kmers(F.col("seq"), k)).alias("s")).select(*keys, "s.pos", "s.kmer")
-    frame = Window.partitionBy(*keys).orderBy("pos").rowsBetween(-(w - k), 0)
-    chosen = rows.withColumn("best", F.min(F.struct("kmer", (-F.col("pos")).alias("neg"))).over(frame)).filter(F.col("pos") >= w - k)
-    return chosen.select(*keys, (-F.col("best.neg")).alias("pos"), F.col("best.kmer").alias("kmer")).distinct()
+    """keys, pos, kmer of window_minimizer_array."""
+    # The outer forms of explode here: for the plain ones the optimizer infers a filter that evaluates the array twice.
+    rows = reads.select(*keys, F.explode_outer(window_minimizer_array(F.col("seq"), k, w)).alias("m")).filter("m is not null")
+    return rows.select(*keys, (-F.col("m.neg")).alias("pos"), "m.kmer")
 
 
 def anchor_pairs(mins: Column, low: int, high: int, k: int) -> Column:
@@ -80,7 +92,7 @@ def anchor_pairs(mins: Column, low: int, high: int, k: int) -> Column:
 
 def exploded_pairs(reads: DataFrame, low: int, high: int, k: int, keys: tuple[str, ...] = ("cluster_id", "r_id")) -> DataFrame:
     """keys, ord (order of generation), m1, p1, m2, p2."""
-    return reads.select(*keys, F.posexplode(anchor_pairs(F.col("minimizers"), low, high, k)).alias("ord", "a")).select(*keys, "ord", "a.*")
+    return reads.select(*keys, F.posexplode_outer(anchor_pairs(F.col("minimizers"), low, high, k)).alias("ord", "a")).filter("a is not null").select(*keys, "ord", "a.*")
 
 
 def anchor_index(pairs: DataFrame, group: tuple[str, ...] = ("cluster_id",)) -> DataFrame:

@@ -53,15 +53,19 @@ def poa_by(reads: DataFrame, key: str) -> DataFrame:
     return reads.groupBy(key).applyInPandas(run, f"`{key}` {kind}, reads int, consensus string")
 
 
-def schedule_by(intervals: DataFrame, key: str) -> DataFrame:
-    """Weighted interval scheduling of (key, start, stop, support): the chosen rows of every key."""
-    kind = intervals.schema[key].dataType.simpleString()
+_SPANS = T.ArrayType(_struct(stop=T.IntegerType(), start=T.IntegerType(), support=T.IntegerType()))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["stop", "start", "support"], kind="stable")
-        return group.iloc[schedule(list(zip(group["start"], group["stop"], group["support"], strict=True)))]
 
-    return intervals.groupBy(key).applyInPandas(run, f"`{key}` {kind}, start int, stop int, support int")
+@F.pandas_udf(_SPANS)
+def schedule_udf(spans: pd.Series) -> pd.Series:
+    """The chosen ones of arrays of (stop, start, support), sorted."""
+    return spans.map(lambda xs: [xs[i] for i in schedule([(x["start"], x["stop"], x["support"]) for x in xs])])
+
+
+def schedule_by(intervals: DataFrame, key: str) -> DataFrame:
+    """Weighted interval scheduling of (key, start, stop, support): the chosen rows of every key, many keys a batch."""
+    spans = intervals.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("stop", "start", "support"))).alias("s"))
+    return spans.select(key, F.explode(schedule_udf("s")).alias("x")).select(key, "x.start", "x.stop", "x.support")
 
 
 @F.udtf(returnType=_struct(m1=T.StringType(), p1=T.IntegerType(), m2=T.StringType(), p2=T.IntegerType()))
