@@ -345,3 +345,11 @@ def transcriptome_from_exons(spark, sf_dir):
     exons = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("tx"), F.lit(1).alias("chrom"), n.cast("int").alias("exon_start"), (n + F.col("l_quantity")).cast("int").alias("exon_end"))
     first = bench_reads(spark, sf_dir).agg(F.min_by("seq", "item_id").alias("seq")).withColumn("chrom", F.lit(1))
     return transcriptome(exons, first)
+
+
+@query("multialignment")
+def multialignment(spark, sf_dir):
+    """The turns of every conversation aligned with their consensus, and what the column rules make of them."""
+    from ..operators.udfs import multialign_by
+
+    return multialign_by(_turns(spark, sf_dir).withColumnRenamed("cluster_id", "conv_id"), "conv_id")

@@ -83,3 +83,22 @@ def register(spark) -> None:
     for name, f in (("edit_path", path_udf), ("affine_align", affine_udf), ("infix_distance", infix_udf), ("structural_guard", guard_udf)):
         spark.udf.register(name, f)
     spark.udtf.register("anchors", Anchors)
+
+
+def multialign_by(reads: DataFrame, key: str, k: int = 9, ratio: float = 0.1) -> DataFrame:
+    """The reads of every group in one alignment with their consensus: key, r_id (0: the consensus), row, corrected."""
+    from .matrix import corrected_rows, multialignment, positioned
+
+    kind = reads.schema[key].dataType.simpleString()
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("r_id")
+        texts = dict(zip(group["r_id"].tolist(), group["seq"].fillna("").tolist(), strict=True))
+        center = consensus(list(texts.values()))
+        rows: dict[object, list[str]] = {0: positioned(center, center)}
+        rows |= {r: positioned(*path(t, center)[1:]) for r, t in texts.items()}
+        matrix = multialignment(rows)
+        done = corrected_rows({r: x for r, x in matrix.items() if r != 0}, matrix[0], k, ratio)
+        return pd.DataFrame({key: group[key].iloc[0], "r_id": list(matrix), "row": list(matrix.values()), "corrected": [center if r == 0 else done[r] for r in matrix]})
+
+    return reads.groupBy(key).applyInPandas(run, f"`{key}` {kind}, r_id int, row string, corrected string")
