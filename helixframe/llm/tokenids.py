@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 from . import shared
 
 MAX_BITS = 16
-BLOCK_TOKENS = 65_536
-STRIDE = 128
+BLOCK_TOKENS = 262_144
+STRIDE = 64
 END = 0
-KEPT = 1_200_000
+KEPT = 600_000
 BLOCKS = "part int, start bigint, tokens bigint, doc_ids binary, nulls binary, counts binary, offsets binary, bits binary"
 
 #: Characters below this have the same class in every version of Unicode.
@@ -56,15 +56,17 @@ PIECE = re.compile(f" ?[{_L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_N}]+| ?[^{_S}{_L}{_N}]
 
 
 class _Table(dict):
-    """Encoded pieces by text; misses are encoded, and the table starts anew when it is full."""
+    """Encoded pieces by text, at most KEPT in two generations: what is used moves to the young one, what isn't goes."""
 
     def __init__(self, make):
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, key):
-        if len(self) >= KEPT:
+        if len(self) >= KEPT // 2:
+            self.old = dict(self)
             self.clear()
-        self[key] = value = self.make(key)
+        value = self.old.pop(key, None)
+        self[key] = value = self.make(key) if value is None else value
         return value
 
 
@@ -76,7 +78,17 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
-        self.pieces = _Table(self.whole)
+        self.model = self.tool.model
+        # The byte-level alphabet: printable Latin-1 signs stand for themselves, the others for U+0100 and on, in order.
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        others = [b for b in range(0x100) if b not in plain]
+        self.signs = {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(others)}
+        self.pieces = _Table(self.piece)
+
+    def piece(self, text: str) -> bytes:
+        """One piece of the pre-tokenizer, by the library's model alone."""
+        found = self.model.tokenize(text.encode().decode("latin-1").translate(self.signs))
+        return np.array([t.id for t in found], "<u4").tobytes()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tool.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -264,8 +276,8 @@ def write(docs: DataFrame, target: str, path: str, ident: str = "doc_id", text:
     encoded.mapInArrow(pack, BLOCKS).write.option("compression", "none").parquet(f"{target}/blocks")
 
 
-def read(spark: SparkSession, target: str) -> DataFrame:
-    """Decode files: a row for each document with id, start (over all files), n_tokens and ids (32-bit little-endian).
+def _documents(spark: SparkSession, target: str, column: str, kind: str, finish) -> DataFrame:
+    """Decoded files: a row for each document with id, start (over all files), n_tokens and finish(its ids' bytes).
 
     Broadcast are the code book and a number for each file, so ids don't move.
     """
@@ -275,20 +287,25 @@ def read(spark: SparkSession, target: str) -> DataFrame:
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = files.groupBy("part").agg(F.sum("tokens").alias("tokens")).select("part", F.coalesce(F.sum("tokens").over(ahead), F.lit(0)).alias("ahead"))
 
-    def documents(frames):
+    def decode(frames):
         code = Code(np.frombuffer(held.value, np.uint8))
         for frame in frames:
             for r in frame.to_dict("records"):
                 counts = np.frombuffer(r["counts"], "<u4").astype(np.int64)
-                ids = code.unpack(r["bits"], np.frombuffer(r["offsets"], "<u4"), r["tokens"]).astype("<u4")
+                ids = memoryview(code.unpack(r["bits"], np.frombuffer(r["offsets"], "<u4"), r["tokens"]).astype("<u4").tobytes())
                 ends = np.cumsum(counts)
                 none = np.unpackbits(np.frombuffer(r["nulls"], np.uint8), count=len(counts)).astype(bool)
                 known = pd.array(np.frombuffer(r["doc_ids"], "<i8").copy(), "Int64")
                 known[none] = pd.NA
-                yield pd.DataFrame({"id": known, "part": r["part"], "start": r["start"] + ends - counts, "n_tokens": counts, "ids": [ids[a:b].tobytes() for a, b in zip(ends - counts, ends, strict=True)]})
+                yield pd.DataFrame({"id": known, "part": r["part"], "start": r["start"] + ends - counts, "n_tokens": counts, column: [finish(ids[4 * a : 4 * b]) for a, b in zip(ends - counts, ends, strict=True)]})
+
+    rows = files.mapInPandas(decode, f"id bigint, part int, start bigint, n_tokens bigint, {column} {kind}")
+    return rows.join(F.broadcast(parts), "part").select("id", (F.col("start") + F.col("ahead")).alias("start"), "n_tokens", column)
 
-    rows = files.mapInPandas(documents, "id bigint, part int, start bigint, n_tokens bigint, ids binary")
-    return rows.join(F.broadcast(parts), "part").select("id", (F.col("start") + F.col("ahead")).alias("start"), "n_tokens", "ids")
+
+def read(spark: SparkSession, target: str) -> DataFrame:
+    """Decode files: id, start, n_tokens and ids (32-bit little-endian) of every document."""
+    return _documents(spark, target, "ids", "binary", bytes)
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -298,8 +315,8 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def digest(spark: SparkSession, target: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 from files."""
-    return read(spark, target).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    """doc_id, start, n_tokens, ids_crc32 from files; sums are taken where ids are decoded."""
+    return _documents(spark, target, "ids_crc32", "bigint", zlib.crc32).withColumnRenamed("id", "doc_id")
 
 
 def encode_and_digest(docs: DataFrame, path: str | None = None) -> DataFrame:
