@@ -26,7 +26,7 @@ from . import shared
 from .langid import fold
 
 TRAIN_ROWS = 4000
-TRAIN_CHARS = 20_000
+TRAIN_CHARS = 8_000
 WINDOW, STEP = 32, 16
 WORDS, GRAMS = 1 << 14, 1 << 13
 SIZE, HIDDEN = 6, 8
@@ -41,7 +41,11 @@ def tokens(texts: list[bytes]):
     """Distinct words and where they stand: (word bucket, gram buckets, gram starts, index of each word, words of each text)."""
     data, offsets = shared.joined(texts)
     data = _CLASS[data]
-    hashes, starts, ends = shared.word_hashes(data)
+    found = []
+    for a, b in shared.pieces(texts):  # bounds what hashing takes meanwhile
+        h, s, e = shared.word_hashes(data[offsets[a] : offsets[b]])
+        found.append((h, s + offsets[a], e + offsets[a]))
+    hashes, starts, ends = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
     of = np.searchsorted(starts, offsets)
     _, first, index = np.unique(hashes, return_index=True, return_inverse=True)
     lengths = ends[first] - starts[first]
