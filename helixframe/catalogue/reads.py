@@ -12,7 +12,7 @@ from ..operators.alignment import cigar_of, consensus, path, semi_global
 from ..operators.udfs import affine_udf, path_udf, poa_by
 from ..plans.params import Params
 from ..session import table
-from .registry import BENCH, READS, bench_reads, query, read_table
+from .registry import BENCH, READS, bench_reads, query, read_table, spread_reads
 
 __all__ = ["cigar_of", "consensus", "path", "semi_global"]
 P = Params()
@@ -35,13 +35,13 @@ kept as (
 
 
 def _mins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seeds.window_minimizers(read_table(spark, sf_dir), P.k, P.w)
+    return seeds.window_minimizers(spread_reads(spark, sf_dir), P.k, P.w)
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchor pairs inside each read's row: no explode, self-join or shuffle before them."""
     mins = F.transform(seeds.window_minimizer_array(F.col("seq"), P.k, P.w), lambda m: F.struct(m["kmer"].alias("kmer"), (-m["neg"]).alias("pos")))
-    return seeds.exploded_pairs(read_table(spark, sf_dir).select("cluster_id", "r_id", mins.alias("minimizers")), P.low, P.xmax, P.k)
+    return seeds.exploded_pairs(spread_reads(spark, sf_dir).select("cluster_id", "r_id", mins.alias("minimizers")), P.low, P.xmax, P.k)
 
 
 def _counts(pairs: DataFrame) -> DataFrame:
@@ -108,7 +108,7 @@ def support_best_segment(spark, sf_dir):
 
 @query("minimizers_exact")
 def minimizers_exact(spark, sf_dir):
-    mins = seeds.with_minimizers(read_table(spark, sf_dir), P.k, P.w)
+    mins = seeds.with_minimizers(spread_reads(spark, sf_dir), P.k, P.w)
     return mins.select("cluster_id", "r_id", F.posexplode("minimizers").alias("idx", "m")).select("cluster_id", "r_id", "idx", "m.kmer", "m.pos")
 
 

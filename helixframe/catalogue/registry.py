@@ -47,6 +47,15 @@ def read_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads_of(table(spark, sf_dir, "documents"))
 
 
+def spread_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads dealt evenly by their key: ranking leaves a cluster in one task, and array work on its reads comes next.
+
+    The number is given, so that few bytes of long reads aren't drawn together again.
+    """
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return read_table(spark, sf_dir).repartition(n, "cluster_id", "r_id")
+
+
 def bench_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark texts as the reads of one cluster."""
     seq = bases_of(F.col("text"))
