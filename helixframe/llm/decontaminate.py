@@ -1,6 +1,6 @@
 """Benchmark decontamination with the q-gram lemma.
 
-Texts are folded (A-Z to lower case, other ASCII that is no letter or digit to a space, spaces in a row to one). Every
+Texts are folded (case over all of Unicode, ASCII that is no letter or digit to a space, spaces in a row to one). Every
 benchmark item is cut into overlapping segments of SEGMENT bytes (shorter items are one segment); a document is
 contaminated by an item if some region of it is within a segment's edit budget, RATE of its length.
 
@@ -39,9 +39,14 @@ _FOLD[65:91] += 32
 _FOLD[[c for c in range(128) if not chr(c).isalnum()]] = 32
 
 
+def fold_case(text: bytes) -> bytes:
+    """UTF-8 without case; ASCII is left to _FOLD, bytes that are no UTF-8 stay. Upper case first: casefold alone keeps a dotless i apart from its capital."""
+    return text if text.isascii() else text.decode("utf-8", "surrogateescape").upper().casefold().encode("utf-8", "surrogateescape")
+
+
 def fold(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Folded texts in one array with a zero byte before and after each, and where each starts (and one past the last)."""
-    data, offsets = shared.joined(texts)
+    data, offsets = shared.joined([fold_case(t) for t in texts])
     data = _FOLD[data]
     ends = offsets[1:] - 1
     data[ends] = 0

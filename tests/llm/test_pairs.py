@@ -1,6 +1,7 @@
 """Line dedup, n-gram join, decontamination, top-k search."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -105,6 +106,62 @@ def test_decontamination_equals_brute_force(spark, put):
     assert {40, 10} <= {d for d, _ in got} and not {d for d, _ in got} & set(range(8))
 
 
+CASED = [
+    "L'été dernier, à la même époque, l'élève préféré du collège était déjà très fâché, car sa mère âgée avait égaré où là-bas la clé dorée.",
+    "Съешь же ещё этих мягких французских булок, да выпей чаю, пока на улице идёт холодный осенний дождь и шумит старый лес.",
+    "Ο άνθρωπος πήγε στο δάσος και βρήκε τους παλιούς φίλους του, όμως κανένας δεν ήξερε πώς να γυρίσει στις πόλεις τους.",
+    "Die große Straße außerhalb der Stadt heißt draußen Süßholzgasse, und die Füße der müden Gäste grüßen fröhlich die weißen Mäuse.",
+    "Irmağın kıyısındaki ışıklı kasabanın kızları yazın sıcağında balıkçının kırmızı kayığına bakıp şarkı mırıldanırdı, çocuklar ağlardı.",
+]
+
+
+def passages_by_alignment(docs, items):
+    """(doc_id, item_id) by aligning segments with whole texts, sharing nothing with the operator."""
+    plain = lambda t: re.sub(r"[^a-z0-9\x80-\U0010ffff]+", " ", t.upper().casefold()).encode()
+    found = set()
+    for item, passage in items:
+        body = plain(passage).strip(b" ")
+        last = max(0, len(body) - 100)
+        for part in {body[s : s + 100] for s in [*range(0, last, 50), last]}:
+            for ident, t in docs:
+                row = list(range(len(part) + 1))
+                for byte in plain(t):
+                    new = [0]
+                    for i, p in enumerate(part):
+                        new.append(min(row[i] + (p != byte), row[i + 1] + 1, new[i] + 1))
+                    row = new
+                    if row[-1] <= len(part) * 8 // 100:
+                        found.add((ident, item))
+                        break
+    return found
+
+
+def test_decontamination_of_capitals_in_all_scripts(spark):
+    r = random.Random(9)
+    items = list(enumerate(CASED))
+    other = " Other words that no item has at all. "
+    given = [(i, other + t.upper() + other) for i, t in items] + [(10 + i, t.lower() + other) for i, t in items]
+    for i, t in items:  # capitals with a few letters changed, and with too many
+        for base, n in ((20, 3), (30, 60)):
+            s = list(t.upper())
+            for at in r.sample(range(len(s)), n):
+                s[at] = "x"
+            given.append((base + i, "".join(s)))
+    given.append((40, other * 4))
+    df, bench = spark.createDataFrame(given, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(d.doc_id, d.item_id) for d in decontaminate.matches(df, bench).collect()}
+    assert got == passages_by_alignment(given, items)
+    assert {(i, i) for i in range(5)} | {(10 + i, i) for i in range(5)} <= got
+    assert not {d.doc_id for d in decontaminate.clean(df, bench).collect()} & {d for d, _ in got}
+
+
+def test_decontamination_folds_case_of_every_letter():
+    fold = lambda c: decontaminate.fold_case(c.encode())
+    letters = [c for c in map(chr, range(128, 0x110000)) if not 0xD800 <= ord(c) < 0xE000]
+    assert not [c for c in letters if not (c.upper().isascii() or c.lower().isascii()) and len({fold(c), fold(c.upper()), fold(c.lower())}) > 1]
+    assert decontaminate.fold_case(b"\xff\xc3\x89") == b"\xff\xc3\xa9"
+
+
 def test_decontamination_keeps_clean_rows_and_columns(spark):
     items = spark.createDataFrame(bench_items(), "item_id long, text string")
     given = leak_docs()
