@@ -52,6 +52,16 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(21)}, 40: 40, 45: 40, 50: 40}
 
 
+@pytest.mark.parametrize("reach", [1, 3])
+def test_components_of_long_chains(spark, reach):
+    """Chains of shuffled ids, each node linked to the next ones, are one component each."""
+    ids = random.Random(reach).sample(range(10_000), 4000)
+    chains = [ids[:3000], ids[3000:]]
+    edges = [(c[i], c[i + d]) for c in chains for d in range(1, reach + 1) for i in range(len(c) - d)]
+    got = dict(tuples(graph.components(spark.createDataFrame(edges, "a long, b long"), "t")))
+    assert got == {i: min(c) for c in chains for i in c}
+
+
 def test_ngram_join_equals_brute_force(put, docs, rows):
     got = tuples(ngram_join.op10_ngram_join(docs.sparkSession, put(documents=docs)))
     assert got == sorted(ngram_join.brute([(i, t) for i, t, *_ in rows]), key=repr)
