@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cigar import operations, reference_places, total
+from ..functions.sequences import reverse_complement
 
 QUANTILES = (0.0, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 1.0)
 
@@ -158,15 +159,16 @@ def column_consensus(rows: DataFrame, group: list[str], seq: str) -> DataFrame:
     return best.groupBy(*group).agg(F.array_join(ordered, "").alias("consensus"))
 
 
-def redundant(seqs: DataFrame, key: str, seq: str, k: int = 16) -> DataFrame:
-    """Keys of sequences contained in a longer one (or an equal one with a smaller key).
+def redundant(seqs: DataFrame, key: str, seq: str, k: int = 16, both_strands: bool = True) -> DataFrame:
+    """Keys of sequences contained, as they are or (both_strands) as reverse complement, in a longer one or in an equally long one with a smaller key.
 
     A sequence can only be inside those that hold its first k-mer, so the join is on k-mers, not on all pairs;
     sequences shorter than k are looked for by the k-mers that begin with them through their own length.
     """
     lengths = [r[0] for r in seqs.filter(F.length(seq) < k).select(F.length(seq)).distinct().collect()]  # at most k - 1 numbers
     sizes = sorted({n for n in lengths if n > 0} | {k})
-    probe = seqs.filter(F.length(seq) > 0).select(F.col(key).alias("a"), F.col(seq).alias("sa"), F.least(F.length(seq), F.lit(k)).alias("size")).withColumn("mer", F.expr("substring(sa, 1, size)"))
+    strands = F.array_distinct(F.array(F.col(seq), reverse_complement(F.col(seq)))) if both_strands else F.array(F.col(seq))
+    probe = seqs.filter(F.length(seq) > 0).select(F.col(key).alias("a"), F.explode(strands).alias("sa"), F.least(F.length(seq), F.lit(k)).alias("size")).withColumn("mer", F.expr("substring(sa, 1, size)"))
     grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(seq) - n + 1, F.lit(1))), lambda i: F.struct(F.lit(n).alias("size"), F.substring(F.col(seq), i, F.lit(n)).alias("mer")))
     held = seqs.select(F.col(key).alias("b"), F.col(seq).alias("sb"), F.explode(F.array_distinct(F.flatten(F.array(*[grams(n) for n in sizes])))).alias("g")).select("b", "sb", "g.size", "g.mer")
     inside = F.contains("sb", "sa") & ((F.length("sb") > F.length("sa")) | ((F.length("sb") == F.length("sa")) & (F.col("b") < F.col("a"))))

@@ -96,3 +96,12 @@ def test_redundancy_and_nearest(spark):
     assert [tuple(r) for r in E.nearest(one, refs, "k", "ref", "s", "rs").collect()] == [(1, 7, 1)]
     blocked = E.nearest(one, refs, "k", "ref", "s", "rs", ties=True, broadcast_rows=2)
     assert sorted(tuple(r) for r in blocked.collect()) == [(1, 7, 1), (1, 9, 1)]
+
+
+def test_redundancy_of_reverse_complements(spark):
+    long = "AACCTGACTTGACCATAGGACCATTGACC"
+    rc = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    rows = [(1, long), (2, rc(long[3:25])), (3, rc(long[5:11])), (4, rc(long)), (5, long[2:20]), (6, "GGGGGGGGGGGGGGGGGGGG")]
+    df = spark.createDataFrame(rows, "k int, s string")
+    assert sorted(r.k for r in E.redundant(df, "k", "s").collect()) == [2, 3, 4, 5]
+    assert sorted(r.k for r in E.redundant(df, "k", "s", both_strands=False).collect()) == [2, 3, 5]  # 2 and 3 are in 4 as they are
