@@ -2,26 +2,49 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
+import shutil
 import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+#: Bits of a sieve: 8 MB in all, whatever the size of the table.
+SIEVE_BITS = 26
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a temporary folder only where that is unset, as in local tests."""
+    """The cluster's spark.checkpoint.dir; a temporary folder only where a single local process runs, as in tests."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if there:
         return there.rstrip("/")
-    return _OWN.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="helixframe-"))
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if "dir" not in _OWN:
+        _OWN["dir"] = tempfile.mkdtemp(prefix="helixframe-")
+        atexit.register(shutil.rmtree, _OWN["dir"], ignore_errors=True)
+    return "file://" + _OWN["dir"]
+
+
+def run_dir(spark: SparkSession) -> str:
+    """The folder of everything that this application writes; discard() removes it when its results have been used."""
+    return f"{shared_dir(spark)}/helixframe-{spark.conf.get('spark.app.id', 'local')}"
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application. DataFrames that read them can't be used any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path for one table of one run."""
-    return f"{shared_dir(spark)}/helixframe/{name}-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -39,6 +62,71 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sieve(df: DataFrame, column: str) -> DataFrame:
+    """A bitmap of hashes of a column, of bounded size, as (bucket, bitmap): for sifted()."""
+    at = F.pmod(F.xxhash64(column), F.lit(1 << SIEVE_BITS))
+    return df.select(F.shiftright(at, 15).alias("bucket"), at.bitwiseAND(32767).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+
+
+def sifted(df: DataFrame, column: str, marks: DataFrame) -> DataFrame:
+    """Rows of df whose value may be in the sieve. All that are stay; what else stays costs only time."""
+    at = F.pmod(F.xxhash64(column), F.lit(1 << SIEVE_BITS))
+    names = fresh(df.columns, "bucket", "bitmap")
+    marks = marks.toDF(*names)
+    byte = F.conv(F.hex(F.substring(F.col(names[1]), F.shiftright(at.bitwiseAND(32767), 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    there = F.call_function("shiftright", byte, at.bitwiseAND(7).cast("int")).bitwiseAND(1) == 1
+    return df.join(F.broadcast(marks), F.shiftright(at, 15) == F.col(names[0])).filter(there).select(*columns(df))
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """Names like these that no column has, whatever the case of its letters."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """The columns of df by name, whatever signs the names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def tidy(run):
+    """A function over batches that gives freed memory back at its end, as workers are kept for later stages."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def lean(run):
+    """A function of one group that gives freed memory back when it is done."""
+
+    def wrapped(group):
+        out = run(group)
+        release()
+        return out
+
+    return wrapped
+
+
+def release() -> None:
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -104,17 +192,30 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def pieces(texts, most: int = 2_000_000):
-    """Ranges (from, to) of a list of byte strings of at most `most` bytes each, or of one longer text."""
+def ranges(sizes, most: int):
+    """Ranges (from, to) of rows that hold at most `most` bytes each, or one longer row."""
     start = size = 0
-    for i, t in enumerate(texts):
-        n = len(t) if t is not None else 0
+    for i, n in enumerate(sizes):
         if size and size + n > most:
             yield start, i
             start, size = i, 0
         size += n
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def pieces(texts, most: int = 2_000_000):
+    """Ranges (from, to) of a list of byte strings of at most `most` bytes each, or of one longer text."""
+    return ranges([len(t) if t is not None else 0 for t in texts], most)
+
+
+def slices(batch, column: int, most: int = 4_000_000):
+    """An Arrow batch in parts that hold at most `most` bytes of a text or binary column, or one longer row; nothing is copied."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    for a, b in ranges(sizes, most):
+        yield batch.slice(a, b - a)
 
 
 def utf8(column) -> list[bytes]:
@@ -122,3 +223,8 @@ def utf8(column) -> list[bytes]:
     import pyarrow as pa
 
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
+
+
+def arrays(column, kind) -> list[np.ndarray]:
+    """The values of an Arrow binary column as arrays that share its memory; null as empty."""
+    return [np.frombuffer(x.as_buffer(), kind) if x.is_valid else np.empty(0, kind) for x in column]
