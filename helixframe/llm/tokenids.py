@@ -2,20 +2,23 @@
 
 Documents are put in order of their id and encoded once, whole documents into blocks of about BLOCK_TOKENS ids,
 which are kept in the shared folder. Ids are counted over all of them; from the counts come code lengths of at most
-MAX_BITS bits, and canonical codes from the lengths, so that the code book is one byte for each id. Then each
-block is packed. It stands on its own: ids and lengths of its documents, its bits, and the bit offset of every
+MAX_BITS bits (more where there are more ids than that can tell apart), and canonical codes from the lengths, so that the
+code book is one byte for each id. Then each block is packed. It stands on its own: ids and lengths of its documents, its bits, and the bit offset of every
 STRIDE-th id, from which decoding goes on in parallel by table look-up.
 
 Files: `codebook` (one row: lengths) and `blocks` (part, start within the part, tokens, doc_ids, counts, offsets,
 bits), both written by Spark's committer, so any store works. Where a part starts follows from the totals
 of the parts before it.
 
-Encoding is the tokenizers library's own. Texts are cut into the pieces that its pre-tokenizer makes, and what the
-library gives for a piece is kept in a bounded look-up table. Texts with characters from U+0250 on, whose
-classes depend on the version of Unicode, and texts that may hold a special token go to the library whole.
+Encoding is the tokenizers library's own. Where the tokenizer's file asks for byte-level pieces and nothing else, texts
+are cut into the pieces that its pre-tokenizer makes, and what the library gives for a piece is kept in a look-up table
+of bounded size. Texts with characters from U+0250 on, whose classes depend on the version of Unicode, texts that may
+hold an added token, and all texts of other tokenizers go to the library whole. A worker holds one slice of a batch
+(SLICE_BYTES of text, or one longer text), one block and the table at a time.
 
 Defined cases: null and empty texts are just the end id; rows with equal or null ids are kept, null first, equal ones
-in the order of a hash of their text; an empty table gives empty files. A document is never split over blocks.
+in the order of a hash of their text, which also spreads an id that many rows share; an empty table gives empty files. A
+document is never split over blocks. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +29,6 @@ import unicodedata
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,12 +39,12 @@ MAX_BITS = 16
 BLOCK_TOKENS = 262_144
 STRIDE = 64
 END = 0
-KEPT = 600_000
+TABLE_BYTES = 24_000_000
+SLICE_BYTES = 4_000_000
 BLOCKS = "part int, start bigint, tokens bigint, doc_ids binary, nulls binary, counts binary, offsets binary, bits binary"
 
 #: Characters below this have the same class in every version of Unicode.
 LIMIT = 0x250
-OUTSIDE = re.compile(f"[^\\x00-\\u{LIMIT - 1:04x}]")
 
 
 def _class(*kinds: str) -> str:
@@ -56,17 +58,21 @@ PIECE = re.compile(f" ?[{_L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_N}]+| ?[^{_S}{_L}{_N}]
 
 
 class _Table(dict):
-    """Encoded pieces by text, at most KEPT in two generations: what is used moves to the young one, what isn't goes."""
+    """Encoded pieces by text, in two generations of at most TABLE_BYTES each: what is used moves to the young one, what isn't goes."""
 
     def __init__(self, make):
-        self.make, self.old = make, {}
+        self.make, self.old, self.room = make, {}, TABLE_BYTES
 
     def __missing__(self, key):
-        if len(self) >= KEPT // 2:
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.make(key)
+        self.room -= 180 + len(key) + len(value)  # both objects and their place in the table, about
+        if self.room < 0:
             self.old = dict(self)
             self.clear()
-        value = self.old.pop(key, None)
-        self[key] = value = self.make(key) if value is None else value
+            self.room = TABLE_BYTES
+        self[key] = value
         return value
 
 
@@ -75,10 +81,14 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tool = Tokenizer.from_file(path)
         self.model = self.tool.model
+        cut = self.tool.pre_tokenizer
+        self.simple = isinstance(cut, pre_tokenizers.ByteLevel) and cut.use_regex and not cut.add_prefix_space and self.tool.normalizer is None and isinstance(self.model, models.BPE)
+        added = [re.escape(t.content) for t in self.tool.get_added_tokens_decoder().values()]
+        self.apart = re.compile("|".join([f"[^\\x00-\\u{LIMIT - 1:04x}]", *added]))
         # The byte-level alphabet: printable Latin-1 signs stand for themselves, the others for U+0100 and on, in order.
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         others = [b for b in range(0x100) if b not in plain]
@@ -96,7 +106,7 @@ class Encoder:
     def text(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if "<|" in text or OUTSIDE.search(text):
+        if not self.simple or self.apart.search(text):
             return self.whole(text)
         return b"".join(map(self.pieces.__getitem__, PIECE.findall(text)))
 
@@ -112,7 +122,10 @@ def encoder(path: str) -> Encoder:
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
-    """Optimal code lengths of at most `limit` bits for every id (package-merge); 0 for ids that don't occur."""
+    """Optimal code lengths of at most `limit` bits for every id (package-merge); 0 for ids that don't occur.
+
+    A limit that can't tell the ids apart is raised to one bit more than they need.
+    """
     used = np.flatnonzero(counts)
     lengths = np.zeros(len(counts), np.uint8)
     if len(used) == 1:
@@ -120,7 +133,7 @@ def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
     if len(used) < 2:
         return lengths
     if len(used) > 1 << limit:
-        raise ValueError(f"{len(used)} ids don't fit codes of {limit} bits")
+        limit = (len(used) - 1).bit_length() + 1
     order = used[np.argsort(counts[used], kind="stable")]
     weights = counts[order].astype(np.float64)
     levels, merged = [], weights
@@ -188,14 +201,6 @@ class Code:
         return out.T.reshape(-1)[:total]
 
 
-def _batches(batch: pa.RecordBatch, most: int = 4_000_000):
-    """(ids, texts) of a batch in parts of bounded size."""
-    texts = batch.column(1).to_pylist()
-    idents = batch.column(0).to_pylist()
-    for a, b in shared.pieces(texts, most):
-        yield idents[a:b], texts[a:b]
-
-
 ENCODED = "part int, start bigint, tokens bigint, doc_ids binary, nulls binary, counts binary, width int, ids binary"
 _ENCODED = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
 _BLOCKS = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
@@ -205,6 +210,13 @@ def _row(values: list, types: list, ddl: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], [x.split()[0] for x in ddl.split(", ")])
 
 
+def _rows(batches):
+    """Rows of batches as dicts, one block at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 def encode(rows: DataFrame, path: str, end: int = END) -> DataFrame:
     """Blocks of the ids of (id, text) in ascending order of id, in 16 or 32 bits each."""
 
@@ -224,8 +236,8 @@ def encode(rows: DataFrame, path: str, end: int = END) -> DataFrame:
             return _row([part, start, len(ids), known.tobytes(), none.tobytes(), counts.tobytes(), width, ids.astype(f"<u{width}").tobytes()], _ENCODED, ENCODED)
 
         for batch in batches:
-            for some, texts in _batches(batch):
-                for ident_, t in zip(some, texts, strict=True):
+            for part_ in shared.slices(batch, 1, SLICE_BYTES):
+                for ident_, t in zip(part_.column(0).to_pylist(), part_.column(1).to_pylist(), strict=True):
                     idents.append(ident_)
                     encoded.append(tool.text(t) + stop)
                     size += len(encoded[-1]) // 4
@@ -236,7 +248,8 @@ def encode(rows: DataFrame, path: str, end: int = END) -> DataFrame:
         if idents:
             yield block()
 
-    return rows.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text")).mapInArrow(blocks, ENCODED)
+    ordered = rows.select("id", "text", F.xxhash64("text").alias("h")).repartitionByRange("id", "h").sortWithinPartitions("id", "h")
+    return ordered.select("id", "text").mapInArrow(shared.tidy(blocks), ENCODED)
 
 
 def count_ids(encoded: DataFrame) -> np.ndarray:
@@ -245,14 +258,14 @@ def count_ids(encoded: DataFrame) -> np.ndarray:
     def count(batches):
         total = np.zeros(1, np.int64)
         for batch in batches:
-            for width, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for width, ids in zip(batch.column(0), batch.column(1), strict=True):
                 more = np.bincount(np.frombuffer(ids.as_buffer(), f"<u{width}"), minlength=len(total))
                 more[: len(total)] += total
                 total = more
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(total[used])], ["token", "n"])
 
-    rows = encoded.select("width", "ids").mapInArrow(count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
+    rows = encoded.select("width", "ids").mapInArrow(shared.tidy(count), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(max([0, *rows["token"]]) + 1, np.int64)
     counts[rows["token"]] = rows["n"]
     return counts
@@ -268,12 +281,11 @@ def write(docs: DataFrame, target: str, path: str, ident: str = "doc_id", text:
 
     def pack(batches):
         code = Code(np.frombuffer(held.value, np.uint8))
-        for batch in batches:
-            for r in batch.to_pylist():
-                bits, offsets = code.pack(np.frombuffer(r["ids"], f"<u{r['width']}"))
-                yield _row([r["part"], r["start"], r["tokens"], r["doc_ids"], r["nulls"], r["counts"], offsets.tobytes(), bits], _BLOCKS, BLOCKS)
+        for r in _rows(batches):
+            bits, offsets = code.pack(np.frombuffer(r["ids"], f"<u{r['width']}"))
+            yield _row([r["part"], r["start"], r["tokens"], r["doc_ids"], r["nulls"], r["counts"], offsets.tobytes(), bits], _BLOCKS, BLOCKS)
 
-    encoded.mapInArrow(pack, BLOCKS).write.option("compression", "none").parquet(f"{target}/blocks")
+    encoded.mapInArrow(shared.tidy(pack), BLOCKS).write.option("compression", "none").parquet(f"{target}/blocks")
 
 
 def _documents(spark: SparkSession, target: str, column: str, kind: str, finish) -> DataFrame:
@@ -287,19 +299,18 @@ def _documents(spark: SparkSession, target: str, column: str, kind: str, finish)
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = files.groupBy("part").agg(F.sum("tokens").alias("tokens")).select("part", F.coalesce(F.sum("tokens").over(ahead), F.lit(0)).alias("ahead"))
 
-    def decode(frames):
+    def decode(batches):
         code = Code(np.frombuffer(held.value, np.uint8))
-        for frame in frames:
-            for r in frame.to_dict("records"):
-                counts = np.frombuffer(r["counts"], "<u4").astype(np.int64)
-                ids = memoryview(code.unpack(r["bits"], np.frombuffer(r["offsets"], "<u4"), r["tokens"]).astype("<u4").tobytes())
-                ends = np.cumsum(counts)
-                none = np.unpackbits(np.frombuffer(r["nulls"], np.uint8), count=len(counts)).astype(bool)
-                known = pd.array(np.frombuffer(r["doc_ids"], "<i8").copy(), "Int64")
-                known[none] = pd.NA
-                yield pd.DataFrame({"id": known, "part": r["part"], "start": r["start"] + ends - counts, "n_tokens": counts, column: [finish(ids[4 * a : 4 * b]) for a, b in zip(ends - counts, ends, strict=True)]})
-
-    rows = files.mapInPandas(decode, f"id bigint, part int, start bigint, n_tokens bigint, {column} {kind}")
+        for r in _rows(batches):
+            counts = np.frombuffer(r["counts"], "<u4").astype(np.int64)
+            ids = memoryview(code.unpack(r["bits"], np.frombuffer(r["offsets"], "<u4"), r["tokens"]).astype("<u4").tobytes())
+            ends = np.cumsum(counts)
+            none = np.unpackbits(np.frombuffer(r["nulls"], np.uint8), count=len(counts)).astype(bool)
+            known = pa.array(np.frombuffer(r["doc_ids"], "<i8"), mask=none)
+            done = pa.array([finish(ids[4 * a : 4 * b]) for a, b in zip(ends - counts, ends, strict=True)], {"bigint": pa.int64(), "binary": pa.binary()}[kind])
+            yield pa.RecordBatch.from_arrays([known, pa.array(np.full(len(counts), r["part"], np.int32)), pa.array(r["start"] + ends - counts), pa.array(counts), done], ["id", "part", "start", "n_tokens", column])
+
+    rows = files.mapInArrow(shared.tidy(decode), f"id bigint, part int, start bigint, n_tokens bigint, {column} {kind}")
     return rows.join(F.broadcast(parts), "part").select("id", (F.col("start") + F.col("ahead")).alias("start"), "n_tokens", column)
 
 
