@@ -6,6 +6,7 @@ Every stage takes all rows that the one before it kept and, but for the last, re
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from helixframe.llm import decontaminate, mixing, ngram_join, shared, tokenids, toxicity
 
@@ -13,7 +14,8 @@ from helixframe.llm import decontaminate, mixing, ngram_join, shared, tokenids,
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network, trained on labels of these documents, doesn't call toxic."""
     net = toxicity.learn(docs, shared.read(spark, sf_dir, "labels"))
-    return toxicity.score(docs, net).filter("predicted = 0").select(*docs.columns)
+    names = tuple(shared.fresh(docs.columns, "score", "predicted"))
+    return toxicity.score(docs, net, names=names).filter(F.col(names[1]) == 0).select(*shared.columns(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

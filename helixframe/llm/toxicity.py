@@ -7,26 +7,32 @@ gives the window's logit. All windows of the whole text are scored, each overlap
 logistic unit over their maximum, mean and upper mean gives the document's score.
 
 Training: labels are of documents, so all windows of the sample are scored and each epoch learns from the
-window that scores highest in each document. Bounds (parameters): TRAIN_ROWS labelled rows, in the order of a hash of
-their id, of texts up to TRAIN_CHARS characters; windows are scored anew every second epoch. Runs with the same rows give the same model.
-
-Defined cases: null, empty and wordless texts are one empty window; with labels of one class only (or none) every
-score is 0; rows with equal ids are scored each on their own, labels of equal ids count as toxic if one does;
-rows without an id are never learned from; tables without rows give none.
+window that scores highest in each document; windows are scored anew every second epoch. The sample is bounded by two
+parameters: about TRAIN_ROWS labelled rows, chosen and ordered by a hash of their id, whole texts of any length, until
+TRAIN_BYTES of text are read. One executor task trains; only the network comes to the driver. Runs with the same rows
+give the same model.
+
+Defined cases: null, empty and wordless texts are one empty window; with labels of one class only every score is that
+label, without labels 0; rows with equal ids are scored each on their own, labels of equal ids count as toxic if one
+does; rows without an id are never learned from; tables without rows give none; ids and other columns are carried as they
+are, columns named like those that score() adds are replaced by them.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import shared
 from .langid import fold
 
 TRAIN_ROWS = 4000
-TRAIN_CHARS = 8_000
+TRAIN_BYTES = 16_000_000
 WINDOW, STEP = 32, 16
 WORDS, GRAMS = 1 << 14, 1 << 13
 SIZE, HIDDEN = 6, 8
@@ -68,7 +74,7 @@ def windows(of: np.ndarray, index: np.ndarray, pad: int):
     nth = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
     at = of[text][:, None] + (nth * STEP)[:, None] + np.arange(WINDOW)
     inside = at < of[text + 1][:, None]
-    padded = np.append(index, pad)
+    padded = np.append(index, pad).astype(index.dtype)
     return padded[np.where(inside, at, len(index))], text
 
 
@@ -180,27 +186,32 @@ def pooled(logit: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     return np.stack([ordered[first], np.bincount(text, _sigmoid(logit), n) / np.bincount(text, minlength=n), upper], 1)
 
 
-def _odds(buckets: np.ndarray, docs: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
-    """Log-odds of a bucket's documents over their standard error, towards 0 by 1.5."""
-    pairs = np.unique(buckets * len(y) + docs)
-    seen, label = pairs // len(y), y[pairs % len(y)]
-    pos, neg = np.bincount(seen, label, size) + 0.5, np.bincount(seen, 1 - label, size) + 0.5
+def _odds(buckets_of, y: np.ndarray, size: int) -> np.ndarray:
+    """Log-odds of the documents that hold a bucket over their standard error, towards 0 by 1.5; a document at a time."""
+    count = np.zeros((2, size))
+    for i, label in enumerate(y):
+        count[int(label), np.unique(buckets_of(i))] += 1
+    neg, pos = count + 0.5
     z = (np.log(pos / (y.sum() + 1)) - np.log(neg / ((1 - y).sum() + 1))) / np.sqrt(1 / pos + 1 / neg)
     return (np.sign(z) * np.maximum(np.abs(z) - 1.5, 0)).astype(np.float32)
 
 
-def train(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> Net | None:
-    """A fitted network, or None where labels are of one class."""
+def train(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> Net | float:
+    """A fitted network; where labels are of one class, that label, which is then every score (0 without labels)."""
     if len(texts) == 0 or y.min() == y.max():
-        return None
+        return float(y.max(initial=0))
     net, y = Net(seed), y.astype(np.float64)
     word, grams, begin, index, of = tokens(texts)
-    docs = np.repeat(np.arange(len(texts)), np.diff(of))
-    net.word_odds = _odds(word[index], docs, y, WORDS)
     length = np.diff(np.append(begin, len(grams)))
-    spread = np.repeat(begin[index] - (np.cumsum(length[index]) - length[index]), length[index]) + np.arange(int(length[index].sum()))
-    net.gram_odds = _odds(grams[spread], np.repeat(docs, length[index]), y, GRAMS)
-    at, text = windows(of, index, len(word))
+
+    def grams_of(i: int) -> np.ndarray:
+        used = np.unique(index[of[i] : of[i + 1]])
+        n = length[used]
+        return grams[np.repeat(begin[used] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
+    net.word_odds = _odds(lambda i: word[index[of[i] : of[i + 1]]], y, WORDS)
+    net.gram_odds = _odds(grams_of, y, GRAMS)
+    at, text = windows(of, index.astype(np.int32), len(word))
     heads = np.searchsorted(text, np.arange(len(texts)))
     odds = np.append(np.maximum(net.word_odds[word], 0), 0)[at].sum(1)  # which window to begin with
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
@@ -239,29 +250,46 @@ def train(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, rate: float =
     return net
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Net | None:
+def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most: int = TRAIN_BYTES) -> Net | float:
     """A network from documents (doc_id, text) and labels (doc_id, toxic) outside the held-out fold."""
     kept = labels.filter((fold("doc_id", 5) != 0) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    share = min(1.0, rows / max(1, kept.count()))
-    some = kept.filter(unit < int(share * (1 << 30)))  # about `rows` rows, whatever the size of the table
-    texts = docs.select("doc_id", "text").filter((F.length("text") <= chars) & (unit < int(share * (1 << 30))))
-    got = texts.join(F.broadcast(some), "doc_id").toPandas().sort_values(["doc_id", "text"])
-    return train([t.encode("utf-8", "surrogatepass") for t in got["text"]], got["toxic"].to_numpy(np.int64)) if len(got) else None
-
-
-def score(df: DataFrame, net: Net | None, text: str = "text") -> DataFrame:
-    """df with score and predicted after its columns."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", score double, predicted int"
+    share = int(min(1.0, rows / max(1, kept.count())) * (1 << 30))
+    some = kept.filter(unit < share)  # about `rows` rows, whatever the size of the table
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).filter(F.col("text").isNotNull() & (unit < share))
+    sample = texts.join(F.broadcast(some), "doc_id").select(unit.alias("unit"), "doc_id", F.col("toxic").cast("long").alias("toxic"), "text")
+    one = sample.repartitionByRange(1, "unit").sortWithinPartitions("unit", "doc_id", "text").select("text", "toxic")
+
+    def fit(batches):
+        given, y, size = [], [], 0
+        for batch in batches:
+            for part in shared.slices(batch, 0, 1_000_000):
+                if size < most:
+                    given += shared.utf8(part.column(0))
+                    y += part.column(1).to_pylist()
+                    size += part.column(0).nbytes
+        made = train(given, np.array(y, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made)], pa.binary())], ["net"])
+
+    found = one.mapInArrow(shared.tidy(fit), "net binary").collect()
+    return pickle.loads(found[0]["net"]) if found else 0.0  # noqa: S301  written by this function's own task
+
+
+def score(df: DataFrame, net: Net | float, text: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """df with score and predicted after its columns; these replace columns so named."""
+    kept = df.drop(*names)
+    schema = T.StructType([*kept.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
     held = df.sparkSession.sparkContext.broadcast(net)  # of fixed size
+    at = kept.columns.index(text)
 
-    def run(parts):
-        for part in parts:
-            texts = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in part[text]]
-            found = np.zeros(len(part)) if held.value is None else held.value.scores(texts)
-            yield part.assign(score=found, predicted=(found >= 0.5).astype(np.int32))
+    def run(batches):
+        net = held.value
+        for batch in batches:
+            for part in shared.slices(batch, at):
+                found = net.scores(shared.utf8(part.column(at))) if isinstance(net, Net) else np.full(part.num_rows, net)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found), pa.array((found >= 0.5).astype(np.int32))], schema.names)
 
-    return df.mapInPandas(run, schema)
+    return kept.mapInArrow(shared.tidy(run), schema)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
