@@ -20,16 +20,19 @@ rule out is discarded before it is multiplied:
    group, each side cut into tiles.
 
 Only links that connect something new are written, so a group of m copies costs about m links, not m * m. The
-component of a document is the smallest id that it reaches. All of this is exact for hashes without
-collisions; entries travel with the low 40 bits of their hash and the number of their range.
+component of a document is the smallest id that it reaches. An n-gram is known by all 64 bits of its hash.
 
 Defined cases: null, empty and wordless texts have an empty set and link with nothing; texts of fewer than n words
 have the one n-gram of all their words; words are runs of other than ASCII white space with A-Z lower-cased;
-rows with equal ids are one document, with the class of each; null ids are left out; empty tables give no rows.
+rows with equal ids are one document with several texts, each of which is looked up: the document has the links of
+all; null ids are left out; empty tables give no rows; other columns are ignored, and carried by keep_first(). A text
+of any length is hashed in parts of PART_BYTES that overlap by n - 1 words.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -44,43 +47,56 @@ PERCENT = 75
 CHUNK_BYTES = 8_000_000
 RANGE_BYTES = 8_000_000
 TILE_COLUMNS = 2_000_000
-LOW = 40
+PART_BYTES = 2_000_000
+_SPACES = re.compile(rb"[\x20\x09-\x0D]+")
+
+
+def _parts(texts: list[bytes], n: int):
+    """(texts, text of each, whether each ends its text): short texts together, long ones cut at white space so that parts share n - 1 words."""
+    for a, b in shared.pieces(texts, PART_BYTES):
+        if b - a > 1 or len(texts[a]) <= 2 * PART_BYTES:
+            yield texts[a:b], np.arange(a, b), np.ones(b - a, bool)
+            continue
+        text, start = texts[a], 0
+        while start < len(text):
+            # The part takes in n more words, so that n - 1 are whole; the next one begins at the first of them.
+            stop = _SPACES.search(text, start + PART_BYTES)
+            end = stop
+            for _ in range(n - 1):
+                end = _SPACES.search(text, end.end()) if end else None
+            if end is None:
+                yield [text[start:]], np.array([a]), np.array([True])
+                break
+            yield [text[start : end.start()]], np.array([a]), np.array([False])
+            start = stop.end()
 
 
 def shingles(texts: list[bytes], n: int = N) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, text of each): the distinct n-grams of texts, sorted by text."""
-    hashes, docs = [], []
-    for a, b in shared.pieces(texts):
-        data, offsets = shared.joined(texts[a:b])
+    hashes, docs, cut = [], [], False
+    for some, which, ends in _parts(texts, n):
+        data, offsets = shared.joined(some)
         words, starts, _ = shared.word_hashes(shared.lower_ascii(data))
         of = np.searchsorted(starts, offsets)
         count = np.diff(of)
-        doc = np.repeat(np.arange(b - a), count)
+        doc = np.repeat(np.arange(len(some)), count)
         rest = of[1:][doc] - np.arange(len(words))  # words from here to the end of the text
-        short = count[doc] < n
+        short = (count < n) & ends & (not cut)
         value = np.zeros(len(words), np.uint64)
         padded = np.append(words, np.zeros(n, np.uint64))
         for i in range(n):
             value = shared.mix64(value * np.uint64(0x9E3779B97F4A7C15) + np.where(i < rest, padded[i : i + len(words)], np.uint64(0)) + np.uint64(i + 1))
-        keep = (rest >= n) | (short & (rest == count[doc]))
-        value, doc = value[keep], doc[keep]
-        order = np.lexsort((value, doc))
-        value, doc = value[order], doc[order]
-        new = np.append(True, (value[1:] != value[:-1]) | (doc[1:] != doc[:-1]))[: len(value)]
-        hashes.append(value[new])
-        docs.append(doc[new] + a)
-    return (np.concatenate(hashes), np.concatenate(docs)) if hashes else (np.empty(0, np.uint64), np.empty(0, np.int64))
-
-
-def _five(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-
-
-def _unfive(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :5] = raw
-    return out.reshape(-1).view("<u8")
+        keep = (rest >= n) | (short[doc] & (rest == count[doc]))
+        hashes.append(value[keep])
+        docs.append(which[doc[keep]])
+        cut = not ends[-1]
+    if not hashes:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    value, doc = np.concatenate(hashes), np.concatenate(docs)
+    order = np.lexsort((value, doc))
+    value, doc = value[order], doc[order]
+    new = np.append(True, (value[1:] != value[:-1]) | (doc[1:] != doc[:-1]))[: len(value)]
+    return value[new], doc[new]
 
 
 ENTRIES = "slot bigint, chunk bigint, ids binary, sizes binary, who binary, keys binary"
@@ -99,14 +115,13 @@ def entries(docs: DataFrame, ranges: int, n: int = N) -> DataFrame:
 
         part, seq = TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts, ids = shared.utf8(batch.column(1)), batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for a, b in shared.pieces(texts, CHUNK_BYTES):
+            for some in shared.slices(batch, 1, CHUNK_BYTES):
+                texts, ids = shared.utf8(some.column(1)), some.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 chunk = (part << 32) + seq
                 seq += 1
-                value, doc = shingles(texts[a:b], n)
-                sizes = np.bincount(doc, minlength=b - a)
-                slot = (value >> np.uint64(LOW)) % np.uint64(ranges)
-                key = value & np.uint64((1 << LOW) - 1)
+                key, doc = shingles(texts, n)
+                sizes = np.bincount(doc, minlength=len(texts))
+                slot = (key >> np.uint64(20)) % np.uint64(ranges)
                 order = np.lexsort((key, slot))
                 slot, key, who = slot[order], key[order], doc[order].astype("<u4")
                 first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (slot[1:] != slot[:-1]))[: len(key)])
@@ -119,25 +134,22 @@ def entries(docs: DataFrame, ranges: int, n: int = N) -> DataFrame:
                 edge = np.searchsorted(s, np.arange(ranges + 1).astype(np.uint64))
                 for r in np.flatnonzero(np.diff(edge)):
                     x = slice(edge[r], edge[r + 1])
-                    yield _row(int(r), chunk, None, None, sent[x].tobytes(), _five(k[x]))
+                    yield _row(int(r), chunk, None, None, sent[x].tobytes(), k[x].astype("<u8").tobytes())
                 local = np.repeat(count > 1, count)
-                full = (key[local] | (slot[local] << np.uint64(LOW))).astype("<u8")
-                yield _row(-1 - chunk % ranges, chunk, ids[a:b].tobytes(), sizes.astype("<u4").tobytes(), who[local].tobytes(), full.tobytes())
+                yield _row(-1 - chunk % ranges, chunk, ids.tobytes(), sizes.astype("<u4").tobytes(), who[local].tobytes(), key[local].astype("<u8").tobytes())
 
-    return docs.mapInArrow(run, ENTRIES)
+    return docs.mapInArrow(shared.tidy(run), ENTRIES)
 
 
 def columns(table: pa.Table) -> pa.Table:
     """One slot: for a column range the entries of columns of more than one row, back to their chunks with the frequency's bit length."""
-    out = []
-    slot = table.column("slot")[0].as_py()
-    rows = table.to_pylist()
+    slot, n = table.column("slot")[0].as_py(), table.num_rows
     if slot < 0:
-        return table.append_column("bits", pa.array([None] * len(rows), pa.binary()))
-    who = [np.frombuffer(r["who"], "<u4") for r in rows]
-    keys = np.concatenate([_unfive(r["keys"]) for r in rows])
-    of = np.repeat(np.arange(len(rows)), [len(w) for w in who])
-    who = np.concatenate(who)
+        return table.append_column("bits", pa.array([None] * n, pa.binary()))
+    chunks = table.column("chunk").to_pylist()
+    who = shared.arrays(table.column("who"), "<u4")
+    of = np.repeat(np.arange(n, dtype=np.int32), [len(w) for w in who])
+    who, keys = np.concatenate(who), np.concatenate(shared.arrays(table.column("keys"), "<u8"))
     order = np.argsort(keys, kind="stable")
     keys, who, of = keys[order], who[order], of[order]
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
@@ -146,15 +158,20 @@ def columns(table: pa.Table) -> pa.Table:
     bits = np.floor(np.log2(total)).astype(np.uint8) + 1
     span = np.diff(np.append(first, len(keys)))
     keep = np.repeat(total > 1, span)
-    keys, who, of, bits = keys[keep] | np.uint64(slot << LOW), who[keep], of[keep], np.repeat(bits, span)[keep]
+    keys, who, of, bits = keys[keep], who[keep], of[keep], np.repeat(bits, span)[keep]
     order = np.lexsort((who, of))
-    keys, who, of, bits = keys[order].astype("<u8"), who[order], of[order], bits[order]
-    edge = np.searchsorted(of, np.arange(len(rows) + 1))
-    for i, r in enumerate(rows):
+    keys, who, of, bits = keys[order], who[order], of[order], bits[order]
+    edge = np.searchsorted(of, np.arange(n + 1))
+    out = {k: [] for k in ("chunk", "who", "keys", "bits")}
+    for i in np.flatnonzero(np.diff(edge)):
         x = slice(edge[i], edge[i + 1])
-        if edge[i + 1] > edge[i]:
-            out.append({"slot": slot, "chunk": r["chunk"], "ids": None, "sizes": None, "who": who[x].tobytes(), "keys": keys[x].tobytes(), "bits": bits[x].tobytes()})
-    return pa.Table.from_pylist(out, table.schema.append(pa.field("bits", pa.binary())))
+        for name, v in zip(out, (chunks[i], who[x].tobytes(), keys[x].tobytes(), bits[x].tobytes()), strict=True):
+            out[name].append(v)
+    made = len(out["chunk"])
+    return pa.table(
+        [pa.array([slot] * made, pa.int64()), pa.array(out["chunk"], pa.int64()), pa.nulls(made, pa.binary()), pa.nulls(made, pa.binary()), *[pa.array(out[k], pa.binary()) for k in ("who", "keys", "bits")]],
+        names=[*table.column_names, "bits"],
+    )
 
 
 ROWS = "id bigint, n bigint, columns binary, bits binary, shared bigint, set1 bigint, set2 bigint"
@@ -164,13 +181,13 @@ def rows_of(table: pa.Table) -> pa.Table:
     """One chunk: a row for each document, with its columns (rare first) where enough are left, else none."""
     ids = sizes = None
     who, keys, bits, marked, marked_bits = [], [], [], [], []
-    for r in table.to_pylist():
-        w, k = np.frombuffer(r["who"], "<u4"), np.frombuffer(r["keys"], "<u8")
-        if r["ids"] is not None:
-            ids, sizes = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["sizes"], "<u4").astype(np.int64)
+    views = zip(shared.arrays(table.column("who"), "<u4"), shared.arrays(table.column("keys"), "<u8"), shared.arrays(table.column("bits"), np.uint8), table.column("ids"), table.column("sizes"), strict=True)
+    for w, k, b, own, n in views:
+        if own.is_valid:
+            ids, sizes = np.frombuffer(own.as_buffer(), np.int64), np.frombuffer(n.as_buffer(), "<u4").astype(np.int64)
             local = (w, k)
             continue
-        b, mark = np.frombuffer(r["bits"], np.uint8), w >= 0x80000000
+        mark = w >= 0x80000000
         who.append(w[~mark])
         keys.append(k[~mark])
         bits.append(b[~mark])
@@ -263,17 +280,18 @@ def join(docs: DataFrame, ident: str = "doc_id", text: str = "text", n: int = N,
     given = docs.filter(F.col(ident).isNotNull()).select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text"))
     size = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(8, int(size // RANGE_BYTES) + 1)
-    back = entries(given, ranges, n).groupBy("slot").applyInArrow(columns, ENTRIES + ", bits binary")
-    rows = shared.cut(back.groupBy("chunk").applyInArrow(rows_of, ROWS), "rows")
+    back = entries(given, ranges, n).groupBy("slot").applyInArrow(shared.lean(columns), ENTRIES + ", bits binary")
+    rows = shared.cut(back.groupBy("chunk").applyInArrow(shared.lean(rows_of), ROWS), "rows")
     kept = rows.filter("columns is not null")
     # Equal sets: all their columns are shared, so their sums are known. The smallest id stands for them.
     equal = kept.filter("set1 is not null").groupBy("n", "set1", "set2").agg(F.min("id").alias("first"), F.count("*").alias("m")).filter("m > 1").drop("m")
-    copies = shared.cut(
-        kept.select("id", "n", "set1", "set2").join(equal, ["n", "set1", "set2"]).filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")), "copies"
-    )
-    alone = kept.join(copies.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
+    same = ["n", "set1", "set2"]
+    copies = shared.cut(kept.select("id", *same).join(equal, same).filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), *same), "copies")
+    # A text goes if it is a copy, not its id: rows with equal ids may have other texts.
+    gone = copies.select(F.col("b").alias("id"), *same).distinct()
+    alone = kept.join(gone, ["id", *same], "left_anti")
     # The first columns of each row that must hold one in common with every row it links to.
-    firsts = shared.cut(alone.select("id", "n", "columns").mapInPandas(_firsts, "id bigint, column bigint"), "firsts")
+    firsts = shared.cut(alone.select("id", "n", "columns").mapInPandas(shared.tidy(_firsts), "id bigint, column bigint"), "firsts")
     least = firsts.groupBy("column").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a <> z").drop("z")
     hang = firsts.join(least, "column").filter("a <> id").select("a", F.col("id").alias("b")).distinct()
     groups = components(hang, "groups").select("id", F.col("root").alias("grp"))
@@ -283,11 +301,11 @@ def join(docs: DataFrame, ident: str = "doc_id", text: str = "text", n: int = N,
         F.struct(F.col("grp").alias("g"), F.pmod(F.xxhash64("id"), F.col("tiles").cast("long")).alias("t"))
     )
     one = rows_in.withColumn("block", block).withColumn("label", F.col("id")).withColumn("active", F.lit(True))
-    links = shared.cut(one.select("block", "grp", "id", "n", "columns", "label", "active").groupBy("block").applyInPandas(tile_links, "a bigint, b bigint"), "links")
+    links = shared.cut(one.select("block", "grp", "id", "n", "columns", "label", "active").groupBy("block").applyInPandas(shared.lean(tile_links), "a bigint, b bigint"), "links")
     big = rows_in.filter("tiles > 1")
     if big.limit(1).count():
         links = links.unionByName(shared.cut(_across(big, links, tile), "links-across"))
-    roots = components(links.unionByName(copies), "roots")
+    roots = components(links.unionByName(copies.select("a", "b")), "roots")
     # Rows with equal ids are one document: the smallest class that any of them reaches is that of the id.
     per_id = rows.groupBy("id").agg(F.max("n").alias("n_shingles"))
     return per_id.join(roots, "id", "left").select("id", "n_shingles", F.coalesce("root", "id").alias("component_id"))
@@ -326,7 +344,7 @@ def _across(big: DataFrame, links: DataFrame, tile: int) -> DataFrame:
         # A row may be here twice, from either side; the active one stays.
         return tile_links(frame.sort_values("active", ascending=False).drop_duplicates(["id", "n", "columns"]))
 
-    return both.groupBy("block").applyInPandas(run, "a bigint, b bigint")
+    return both.groupBy("block").applyInPandas(shared.lean(run), "a bigint, b bigint")
 
 
 def keep_first(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
