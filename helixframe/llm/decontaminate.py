@@ -1,19 +1,24 @@
 """Benchmark decontamination with the q-gram lemma.
 
 Texts are folded (case over all of Unicode, ASCII that is no letter or digit to a space, spaces in a row to one). Every
-benchmark item is cut into overlapping segments of SEGMENT bytes (shorter items are one segment); a document is
-contaminated by an item if some region of it is within a segment's edit budget, RATE of its length.
+benchmark item is cut into overlapping segments of SEGMENT bytes that begin every STRIDE bytes; a document is
+contaminated by an item if some region of it is within a segment's edit budget, RATE of its length. So every passage
+of SEGMENT + STRIDE - 1 folded bytes of an item is certain to be found. An item of fewer than SEGMENT bytes is one segment; below
+SHORT bytes it must stand in the text as whole words, without edits.
 
 With at most e edits, a region shares at least m - Q + 1 - Q * e of a segment's q-grams, and they lie on
 diagonals (document position minus segment position) at most e apart. So shared q-grams are counted in diagonal
 bands, each overlapping the next by half, of width 2 * (e + 1); bands that reach the bound are kept and verified by
 banded alignment. Counts can only be too high, so nothing within the budget is lost.
 
-The benchmark is the stated query set: it is taken in blocks of at most BLOCK_BYTES, and each block meets all
-documents in one scan without a shuffle. Whole texts are searched.
+The benchmark is the stated query set: it is taken in blocks of at most BLOCK_BYTES of folded text (longer items are cut
+where segments begin), and each block meets all documents in one scan without a shuffle. Whole texts are searched, in
+windows of WINDOW bytes that overlap by more than a region's length; q-grams that many segments hold are expanded
+HITS at a time, so memory is bounded for texts and passages of any length and frequency.
 
-Defined cases: null and empty texts match nothing; null items and items of fewer than MIN_BYTES folded bytes are no
-evidence and are left out; equal items are each reported; rows with equal ids are pooled; empty tables give no rows.
+Defined cases: null and empty texts match nothing; null items and items without a letter, digit or non-ASCII sign are
+no evidence; an item with a null id is reported with it; equal items are each reported; rows with equal or null ids are
+pooled by id; empty tables give no rows; matches() ignores other columns, clean() keeps all, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,11 +33,13 @@ from pyspark.sql import functions as F
 from . import shared
 
 Q = 10
-SEGMENT, STRIDE = 100, 50
+SEGMENT, STRIDE = 100, 25
 RATE = 0.08
-MIN_BYTES = 32
-BLOCK_BYTES = 2_000_000
+SHORT = 32
+BLOCK_BYTES = 500_000
 BITS = 22
+WINDOW, MARGIN = 2_000_000, 3 * SEGMENT
+HITS = 2_000_000
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -45,14 +52,19 @@ def fold_case(text: bytes) -> bytes:
 
 
 def fold(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Folded texts in one array with a zero byte before and after each, and where each starts (and one past the last)."""
-    data, offsets = shared.joined([fold_case(t) for t in texts])
+    """Folded texts in one array, each with a space at both ends and a zero byte before and after, and where each starts (and one past the last)."""
+    data, offsets = shared.joined([b" " + fold_case(t) + b" " for t in texts])
     data = _FOLD[data]
-    ends = offsets[1:] - 1
-    data[ends] = 0
-    keep = (data != 32) | (np.append(0, data[:-1]) != 32)
-    at = np.append(0, np.cumsum(keep))
-    return np.append(np.uint8(0), data[keep]), at[offsets] + 1
+    data[offsets[1:] - 1] = 0
+    keep = (data != 32) | (np.append(np.uint8(0), data[:-1]) != 32)
+    kept = np.add.reduceat(keep, offsets[:-1], dtype=np.int64) if len(texts) else np.empty(0, np.int64)
+    return np.append(np.uint8(0), data[keep]), np.append(0, np.cumsum(kept)) + 1
+
+
+def body(text: str | None) -> bytes:
+    """An item's folded bytes without spaces at the ends; nothing if they say nothing."""
+    data, offsets = fold([(text or "").encode("utf-8", "surrogatepass")])
+    return data[offsets[0] : offsets[1] - 1].tobytes().strip(b" ")
 
 
 def grams(data: np.ndarray) -> np.ndarray:
@@ -65,32 +77,42 @@ def grams(data: np.ndarray) -> np.ndarray:
     return eight[:n] * np.uint64(0x9E3779B97F4A7C15) ^ two[Q - 2 : Q - 2 + n] * np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
 class Matcher:
-    """Segments of a block of items, and a table of their q-grams."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        ids, parts = [], []
-        for ident, text in items:
-            data, offsets = fold([text.encode("utf-8", "surrogatepass")])
-            body = data[offsets[0] : offsets[1] - 1]
-            body = body[1:] if len(body) and body[0] == 32 else body
-            body = body[:-1] if len(body) and body[-1] == 32 else body
-            if len(body) < MIN_BYTES:
+    """Segments of a block of items (index, folded bytes), and a table of their q-grams."""
+
+    def __init__(self, items: list[tuple[int, bytes]]):
+        owners, parts, self.tiny = [], [], {}
+        for owner, text in items:
+            if len(text) + 2 < Q:
+                self.tiny.setdefault(b" " + text + b" ", []).append(owner)
+                continue
+            if len(text) < SHORT:
+                owners.append(owner)
+                parts.append(b" " + text + b" ")
                 continue
-            last = max(0, len(body) - SEGMENT)
+            last = max(0, len(text) - SEGMENT)
             for start in [*range(0, last, STRIDE), last]:
-                ids.append(ident)
-                parts.append(body[start : start + SEGMENT])
-        self.ids = np.array(ids, np.int64)
+                owners.append(owner)
+                parts.append(text[start : start + SEGMENT])
+        self.owner = np.array(owners, np.int64)
         self.length = np.array([len(p) for p in parts], np.int64)
-        self.budget = np.minimum((self.length * RATE).astype(np.int64), (self.length - Q) // Q)
+        exact = np.array([p[:1] == b" " and p[-1:] == b" " and len(p) < SHORT + 2 for p in parts], bool)
+        self.budget = np.where(exact, 0, np.minimum((self.length * RATE).astype(np.int64), (self.length - Q) // Q))
         self.need = self.length - Q + 1 - Q * self.budget
         self.text = np.zeros((len(parts), SEGMENT), np.uint8)
         for i, p in enumerate(parts):
-            self.text[i, : len(p)] = p
-        segment = np.repeat(np.arange(len(parts)), self.length - Q + 1)
-        place = np.arange(len(segment)) - np.repeat(np.cumsum(self.length - Q + 1) - (self.length - Q + 1), self.length - Q + 1)
-        codes = np.concatenate([grams(p)[: len(p) - Q + 1] for p in parts]) if parts else np.empty(0, np.uint64)
+            self.text[i, : len(p)] = np.frombuffer(p, np.uint8)
+        many = self.length - Q + 1
+        segment = np.repeat(np.arange(len(parts), dtype=np.int32), many)
+        place = (np.arange(len(segment)) - np.repeat(np.cumsum(many) - many, many)).astype(np.int16)
+        codes = np.concatenate([grams(np.frombuffer(p, np.uint8))[: len(p) - Q + 1] for p in parts]) if parts else np.empty(0, np.uint64)
         order = np.argsort(codes, kind="stable")
         self.segment, self.place = segment[order], place[order]
         self.codes, self.first = np.unique(codes[order], return_index=True)
@@ -99,21 +121,35 @@ class Matcher:
         self.mark[self.codes >> np.uint64(64 - BITS)] = True
 
     def find(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(index of the text, item id, edits, offset in the folded text) of every region that passes."""
+        """(index of the text, item, edits, offset in the folded text) of every region that passes."""
         data, starts = fold(texts)
+        found = [(np.empty(0, np.int64),) * 4]
+        for a in range(0, max(1, len(data) - MARGIN), WINDOW):
+            owner, edits, ends, length = self._window(data[a : a + WINDOW + MARGIN])
+            found.append((owner, edits, ends + a, length))
+        owner, edits, ends, length = (np.concatenate(x) for x in zip(*found, strict=True))
+        text = np.searchsorted(starts, ends - 1, "right") - 1
+        return text, owner, edits, np.maximum(0, ends - length - starts[text])
+
+    def _window(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(item, edits, end, length of the segment) of the regions of one window."""
         codes = grams(data)
         hit = np.flatnonzero(self.mark[codes >> np.uint64(64 - BITS)])
         index = np.searchsorted(self.codes, codes[hit])
         same = index < len(self.codes)
         same[same] = self.codes[index[same]] == codes[hit][same]
         hit, index = hit[same], index[same]
-        n = self.count[index]
-        entry = np.repeat(self.first[index] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        segment = self.segment[entry]
-        diagonal = np.repeat(hit, n) - self.place[entry] + SEGMENT  # never negative
-        band = diagonal // (self.budget[segment] + 1)
         wide = np.int64(2 * SEGMENT + len(data))
-        keys, counts = np.unique(segment * wide + band, return_counts=True)
+        sums = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        total = np.cumsum(self.count[index])
+        edge = [0, *np.searchsorted(total, np.arange(HITS, int(total[-1]), HITS)), len(hit)] if len(hit) else [0]
+        for a, b in zip(edge, edge[1:], strict=False):
+            n = self.count[index[a:b]]
+            entry = np.repeat(self.first[index[a:b]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            segment = self.segment[entry].astype(np.int64)
+            diagonal = np.repeat(hit[a:b], n) - self.place[entry] + SEGMENT  # never negative
+            sums.append(np.unique(segment * wide + diagonal // (self.budget[segment] + 1), return_counts=True))
+        keys, counts = _summed(*(np.concatenate(x) for x in zip(*sums, strict=True)))
         # A band is a cell and its right neighbour: every cell begins one, and every cell ends one.
         both = np.unique(np.concatenate([keys, keys - 1]))
         total = np.zeros(len(both), np.int64)
@@ -122,15 +158,24 @@ class Matcher:
             there = at < len(keys)
             there[there] = keys[at[there]] == both[there] + shift
             total[there] += counts[at[there]]
-        ok = total >= self.need[np.minimum(both // wide, max(0, len(self.need) - 1))] if len(both) else np.empty(0, bool)
+        ok = total >= self.need[np.clip(both // wide, 0, max(0, len(self.need) - 1))] if len(both) else np.empty(0, bool)
         segment, band = both[ok] // wide, both[ok] % wide
         low = band * (self.budget[segment] + 1) - SEGMENT
         found = [self.align(data, segment[i : i + 4096], low[i : i + 4096]) for i in range(0, len(segment), 4096)]
         edits, ends = (np.concatenate([f[j] for f in found]) if found else np.empty(0, np.int64) for j in (0, 1))
         good = edits <= self.budget[segment]
         segment, edits, ends = segment[good], edits[good], ends[good]
-        text = np.searchsorted(starts, ends - 1, "right") - 1
-        return text, self.ids[segment], edits, np.maximum(0, ends - self.length[segment] - starts[text])
+        out = [(self.owner[segment], edits, ends, self.length[segment])]
+        if self.tiny:
+            whole = data.tobytes()
+            for word, owners in self.tiny.items():
+                at, places = whole.find(word), []
+                while at >= 0:
+                    places.append(at + len(word))
+                    at = whole.find(word, at + 1)
+                n = len(places)
+                out.append((np.repeat(owners, n), np.zeros(n * len(owners), np.int64), np.tile(np.array(places, np.int64), len(owners)), np.full(n * len(owners), len(word))))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     def align(self, data: np.ndarray, segment: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Fewest edits of each segment against a region of its band's diagonals, budget wider on both sides, and where it ends."""
@@ -154,38 +199,48 @@ class Matcher:
         return best, ends
 
 
-def blocks(benchmark: DataFrame, ident: str = "item_id", text: str = "text", most: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of bounded size, read a partition at a time."""
-    block, size = [], 0
+Items = list[tuple[int | None, bytes]]
+
+
+def blocks(benchmark: DataFrame, ident: str = "item_id", text: str = "text", most: int = BLOCK_BYTES) -> Iterator[Items]:
+    """The items' folded texts in blocks of bounded size, read a partition at a time; a longer one in parts that share what a segment needs."""
+    block, size, step = [], 0, most // STRIDE * STRIDE
     for row in benchmark.filter(F.col(text).isNotNull()).select(ident, text).toLocalIterator():
-        block.append((row[0], row[1]))
-        size += len(row[1])
-        if size >= most:
-            yield block
-            block, size = [], 0
+        whole = body(row[1])
+        for start in range(0, max(1, len(whole) - SEGMENT + 1), step) if whole else ():
+            block.append((row[0], whole[start : start + step + SEGMENT]))
+            size += len(block[-1][1])
+            if size >= most:
+                yield block
+                block, size = [], 0
     if block:
         yield block
 
 
+def _matcher(block: Items) -> Matcher:
+    return Matcher([(i, text) for i, (_, text) in enumerate(block)])
+
+
+FOUND = "doc_id bigint, item_id bigint, edits bigint, at bigint"
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, item_id, regions, edits (fewest), first_at (in the folded text, in bytes)."""
     parts = []
     spark = docs.sparkSession
     for block in blocks(benchmark):
-        held = spark.sparkContext.broadcast(Matcher(block))  # at most BLOCK_BYTES of items
+        held = spark.sparkContext.broadcast(_matcher(block))  # at most BLOCK_BYTES of items
+        items = pa.array([x for x, _ in block], pa.int64())
 
-        def run(batches, held=held):
+        def run(batches, held=held, items=items):
             for batch in batches:
-                texts, idents = shared.utf8(batch.column(1)), batch.column(0)
-                for a, b in shared.pieces(texts):
-                    at, item, edits, place = held.value.find(texts[a:b])
+                for part in shared.slices(batch, 1, WINDOW):
+                    at, item, edits, place = held.value.find(shared.utf8(part.column(1)))
                     if len(at):
-                        yield pa.RecordBatch.from_arrays([idents.take(pa.array(at + a)).cast(pa.int64()), pa.array(item), pa.array(edits), pa.array(place)], ["doc_id", "item_id", "edits", "at"])
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)).cast(pa.int64()), items.take(pa.array(item)), pa.array(edits), pa.array(place)], ["doc_id", "item_id", "edits", "at"])
 
-        parts.append(docs.select(ident, text).mapInArrow(run, "doc_id bigint, item_id bigint, edits bigint, at bigint"))
-    if not parts:
-        return spark.createDataFrame([], "doc_id bigint, item_id bigint, regions bigint, edits bigint, first_at bigint")
-    found = parts[0]
+        parts.append(docs.select(ident, text).mapInArrow(shared.tidy(run), FOUND))
+    found = parts[0] if parts else spark.createDataFrame([], FOUND)
     for part in parts[1:]:
         found = found.unionByName(part)
     return found.groupBy("doc_id", "item_id").agg(F.count_distinct("at").alias("regions"), F.min("edits").alias("edits"), F.min("at").alias("first_at"))
@@ -195,17 +250,16 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
     """docs without the contaminated rows; all columns stay. A scan for each block of the benchmark, no shuffle."""
     index = docs.columns.index(text)
     for block in blocks(benchmark):
-        held = docs.sparkSession.sparkContext.broadcast(Matcher(block))
+        held = docs.sparkSession.sparkContext.broadcast(_matcher(block))
 
         def run(batches, held=held):
             for batch in batches:
-                texts = shared.utf8(batch.column(index))
-                keep = np.ones(len(texts), bool)
-                for a, b in shared.pieces(texts):
-                    keep[a + held.value.find(texts[a:b])[0]] = False
-                yield batch.filter(pa.array(keep))
+                for part in shared.slices(batch, index, WINDOW):
+                    keep = np.ones(part.num_rows, bool)
+                    keep[held.value.find(shared.utf8(part.column(index)))[0]] = False
+                    yield part.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(shared.tidy(run), docs.schema)
     return docs
 
 
@@ -218,15 +272,19 @@ def brute(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]
     """(doc_id, item_id) by aligning every segment with every whole text; for tests."""
     out = set()
     for item, text in items:
-        m = Matcher([(item, text)] if text else [])
+        whole = body(text)
+        if not whole:
+            continue
+        m = Matcher([(0, whole)])
+        segments = [(m.text[s, : m.length[s]], m.budget[s]) for s in range(len(m.owner))] + [(np.frombuffer(w, np.uint8), 0) for w in m.tiny]
         for ident, t in docs:
             data = fold([(t or "").encode()])[0]
-            for s in range(len(m.ids)):
-                row = np.arange(int(m.length[s]) + 1)
+            for segment, budget in segments:
+                row = np.arange(len(segment) + 1)
                 for byte in data:
-                    new = np.minimum(np.append(0, row[:-1] + (m.text[s, : m.length[s]] != byte) + (byte == 0) * 1024), row + 1)
+                    new = np.minimum(np.append(0, row[:-1] + (segment != byte) + (byte == 0) * 1024), row + 1)
                     row = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
-                    if row[-1] <= m.budget[s]:
+                    if row[-1] <= budget:
                         out.add((ident, item))
                         break
     return out
