@@ -10,9 +10,9 @@ the others revisit it; records with smaller payloads are all responses.
 
 Defined cases: null html is an empty payload; a null url is an empty target; line ends in a url become spaces;
 rows with equal ids and payloads are all responses if their id is the largest; rows without an id are
-responses if no other row shares the payload, else they revisit; an empty table gives an empty archive.
-Payloads are moved once by (digest, id), never by digest alone, so a payload that a third of the pages share
-stays spread.
+responses if no row with an id shares the payload, else they revisit; an empty table gives an empty archive; other
+columns are ignored. Equal payloads are merged before they are shuffled. A record's header says in which of its payload's
+parts it is put together, PART_RECORDS to a part, so a payload that a third of the pages share is joined in many tasks.
 """
 
 from __future__ import annotations
@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 
 from . import shared
 
+PART_RECORDS = 4096
 DATE = "2024-01-01T00:00:00Z"
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Digits that number conversion to base 32 uses.
 DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
@@ -44,9 +46,9 @@ def build(pages: DataFrame, ident: str = "page_id", url: str = "url", html: str
     payload = F.coalesce(F.col(html).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(ident).alias("id"), F.col(url).alias("url"), payload.alias("payload")).withColumn("address", F.sha2("payload", 256))
     thin = rows.select("id", "url", "address", F.length("payload").cast("long").alias("size"), base32_sha1(F.col("payload")).alias("sha1"))
-    heads = thin.groupBy("address").agg(F.max("id").alias("response"), F.count("*").alias("records"))
+    heads = thin.groupBy("address").agg(F.max("id").alias("response"), F.ceil(F.count("*") / PART_RECORDS).alias("parts"))
     placed = thin.join(heads, "address").withColumn(
-        "revisit", (F.col("size") >= min_bytes) & (F.col("records") > 1) & ~F.coalesce(F.col("id") == F.col("response"), F.lit(False))
+        "revisit", (F.col("size") >= min_bytes) & F.col("response").isNotNull() & ~F.coalesce(F.col("id") == F.col("response"), F.lit(False))
     )
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     header = F.concat(
@@ -56,14 +58,13 @@ def build(pages: DataFrame, ident: str = "page_id", url: str = "url", html: str
         line("WARC-Date", F.lit(DATE)),
         line("WARC-Target-URI", F.coalesce(F.regexp_replace("url", r"[\r\n]", " "), F.lit(""))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
-        F.when(F.col("revisit"), F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", record_id(F.col("response"))))).otherwise(""),
+        F.when(F.col("revisit"), F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", record_id(F.col("response"))))).otherwise(""),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
         line("Content-Length", F.when(F.col("revisit"), F.lit("0")).otherwise(F.col("size").cast("string"))),
         F.lit("\r\n"),
     )
-    headers = placed.select("id", "address", header.cast("binary").alias("header"))
-    first = heads.select("address", F.col("response").alias("id"))
-    payloads = rows.select("id", "address", "payload").join(first, (rows["address"] == first["address"]) & rows["id"].eqNullSafe(first["id"]), "left_semi").select("address", "payload")
+    headers = placed.select("address", F.pmod(F.xxhash64("id"), "parts").alias("part"), header.cast("binary").alias("header"))
+    payloads = rows.groupBy("address").agg(F.first("payload").alias("payload"), F.ceil(F.count("*") / PART_RECORDS).alias("parts"))
     return headers, payloads
 
 
@@ -75,18 +76,18 @@ def write(pages: DataFrame, path: str, **settings) -> None:
 
 
 def verified(spark: SparkSession, path: str) -> DataFrame:
-    """(address, payload) of an archive; a payload that isn't what its address says raises."""
-    rows = spark.read.schema("address string, payload binary").parquet(f"{path}/payloads")
+    """(address, payload, parts) of an archive; a payload that isn't what its address says raises."""
+    rows = spark.read.schema("address string, payload binary, parts bigint").parquet(f"{path}/payloads")
     return rows.withColumn("address", F.when(F.sha2("payload", 256) == F.col("address"), F.col("address")).otherwise(F.raise_error(F.lit("payload doesn't match its address"))))
 
 
 def headers(spark: SparkSession, path: str) -> DataFrame:
-    """The records of an archive without payloads: header, address and what the header says."""
-    rows = spark.read.schema("id bigint, address string, header binary").parquet(f"{path}/headers")
+    """The records of an archive without payloads: header, address, part and what the header says."""
+    rows = spark.read.schema("address string, part bigint, header binary").parquet(f"{path}/headers")
     text = F.decode("header", "utf-8")
     of = lambda pattern: F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
     return rows.select(
-        "address", "header",
+        "address", "part", "header",
         F.try_to_number(of(r"\r\nWARC-Record-ID: <urn:page:(-?\d+)>"), F.lit("S9999999999999999999")).cast("long").alias("page_id"),
         of(r"\r\nWARC-Type: (\w+)").alias("record_type"),
         of(r"\r\nWARC-Refers-To: <urn:page:(-?\d+)>").cast("long").alias("refers_to"),
@@ -95,26 +96,31 @@ def headers(spark: SparkSession, path: str) -> DataFrame:
 
 def records(spark: SparkSession, path: str) -> DataFrame:
     """Every record with its exact WARC bytes and its full payload (a revisit's is that of its response)."""
-    joined = headers(spark, path).join(verified(spark, path).dropDuplicates(["address"]), "address")
+    stored = verified(spark, path).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    joined = headers(spark, path).join(stored, ["address", "part"])
     body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
     return joined.withColumn("record", F.concat("header", body, F.lit(b"\r\n\r\n")))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per page, from the archive read back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Per page, from the records of the archive read back: page_id, payload_bytes, payload_digest, record_type, refers_to, record_bytes."""
     path = shared.shared_path(spark, "warc")
     write(shared.read(spark, sf_dir, "pages"), path)
-    # The same join as in records(), with digests taken before it so that no payload is moved again.
-    thin = verified(spark, path).select("address", F.length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
-    found = headers(spark, path).join(thin.dropDuplicates(["address"]), "address")
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return records(spark, path).select(
+        "page_id", F.length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"), "record_type", "refers_to",
+        F.length("record").cast("long").alias("record_bytes"),
+    )
 
 
 _GROUPS = " || ".join(f"to_base(('0x' || substr(h, {1 + 5 * i}, 5))::bigint, 32, 4)" for i in range(8))
 ORACLE = f"""
-with p as (select page_id, coalesce(html, '') as html from pages),
-h as (select page_id, html, sha1(html) as h, strlen(html)::bigint as payload_bytes, max(page_id) over (partition by html) as last, count(*) over (partition by html) as n from p)
+with p as (select page_id, url, coalesce(html, '') as html from pages),
+h as (select page_id, url, html, sha1(html) as h, strlen(html)::bigint as payload_bytes, max(page_id) over (partition by html) as last from p),
+r as (select *, last is not null and page_id is distinct from last as revisit from h)
 select page_id, payload_bytes, translate({_GROUPS}, '{DIGITS}', '{BASE32}') as payload_digest,
-  case when page_id = last or n = 1 then 'response' else 'revisit' end as record_type,
-  case when page_id = last or n = 1 then null else last end as refers_to from h
+  case when revisit then 'revisit' else 'response' end as record_type, case when revisit then last end as refers_to,
+  strlen('WARC/1.1..WARC-Type: revisit..WARC-Record-ID: <urn:page:' || coalesce(page_id::varchar, 'none') || '>..WARC-Date: {DATE}..WARC-Target-URI: ' || coalesce(url, '')
+    || '..WARC-Payload-Digest: sha1:' || repeat('.', 32) || case when revisit then '..WARC-Profile: {PROFILE}..WARC-Refers-To: <urn:page:' || last || '>' else '.' end
+    || '..Content-Type: text/html; charset=utf-8..Content-Length: ' || case when revisit then 0 else payload_bytes end || '..' || '..' || '....')::bigint
+    + case when revisit then 0 else payload_bytes end as record_bytes from r
 """
