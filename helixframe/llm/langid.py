@@ -7,19 +7,22 @@ winner the prediction counts as rejected (column accepted is false); it is retur
 best guess, because a prediction is asked for wherever there are letters.
 
 Bounds (parameters): DICT_BYTES of sample for a language, at most ALL_BYTES for all, which is what is sent to
-the executors. Defined cases: null texts and texts without a letter give `und` and score 0; with no labelled
-text every prediction is `und`; equal sums go to the language first in code-point order; rows without an
-id are in no fold: never learned from, held_out false.
+the executors; slices of SLICE_BYTES are cut before anything comes to the driver. A language with less sample than that
+has a shorter dictionary, down to a few letters.
+
+Defined cases: null texts and texts without a letter (a character that Unicode calls one) give `und` and score 0; with no
+labelled text every prediction is `und`; equal sums go to the language first in code-point order; rows without an
+id are in no fold: never learned from, held_out false; rows with equal ids are predicted each on their own; ids and
+other columns are carried as they are, columns named like those that predict() adds are replaced by them.
 """
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import shared
 
@@ -29,7 +32,6 @@ SLICE_BYTES = 1024
 PIECE_BYTES = 2048
 LEVEL = 3
 MARGIN = 0.02
-LETTER = re.compile(r"[^\W\d_]")
 
 
 def fold(column: str, n: int):
@@ -47,20 +49,25 @@ def sample(labelled: DataFrame, dict_bytes: int = DICT_BYTES, all_bytes: int = A
     langs = counts.count()
     size = min(dict_bytes, all_bytes // max(1, langs))
     want = 2 * (size // SLICE_BYTES) + 16
-    unit = (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)).alias("unit")
-    rows = labelled.join(F.broadcast(counts) if langs < 10_000 else counts, "lang").select("lang", "text", "rows", unit)
-    got = rows.filter(F.col("unit") * F.col("rows") < want).select("lang", "text", "unit").toPandas()
+    unit = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
+    rows = labelled.join(F.broadcast(counts) if langs < 10_000 else counts, "lang").filter(unit * F.col("rows") < want)
+    low, n = F.lower("text"), F.length("text")
+    piece = F.substring(low, F.when(n > 3 * SLICE_BYTES, F.floor(n / 3)).otherwise(0).cast("int") + 1, F.lit(SLICE_BYTES))
+    got = rows.select("lang", piece.alias("slice"), unit.alias("unit")).toPandas()
     out = {}
-    for lang, part in got.sort_values(["unit", "text"]).groupby("lang", sort=True):
+    for lang, part in got.sort_values(["unit", "slice"]).groupby("lang", sort=True):
         slices, size_now = [], 0
-        for text in part["text"]:
-            data = text.lower().encode()
-            slices.append(data[(len(data) // 3 if len(data) > 3 * SLICE_BYTES else 0) :][:SLICE_BYTES])
+        for text in part["slice"]:
+            slices.append(text.encode("utf-8", "surrogatepass")[:SLICE_BYTES])
             size_now += len(slices[-1])
             if size_now >= size:
                 break
         out[lang] = b"".join(slices)[:size]
-    return {k: v for k, v in out.items() if len(v) >= 8}
+    return {k: v for k, v in out.items() if v}
+
+
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
 
 
 class Classifier:
@@ -68,12 +75,14 @@ class Classifier:
         self.langs, self.margin = sorted(contents), margin
         self.tools = []
         for lang in self.langs:
-            given = zstandard.ZstdCompressionDict(contents[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            # The library takes no dictionary below 8 bytes; repeating a shorter one adds nothing to what it holds.
+            content = contents[lang] * -(-8 // len(contents[lang]))
+            given = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             given.precompute_compress(level=LEVEL)
             self.tools.append(zstandard.ZstdCompressor(dict_data=given, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False))
 
     def one(self, text: str | None) -> tuple[str, float, bool]:
-        if text is None or not self.langs or not LETTER.search(text):
+        if text is None or not self.langs or not has_letter(text):
             return "und", 0.0, False
         data = text.lower().encode("utf-8", "surrogatepass")
         parts = [data[i : i + PIECE_BYTES] for i in range(0, len(data), PIECE_BYTES)]
@@ -84,21 +93,25 @@ class Classifier:
         return self.langs[sums[0][1]], min(1.0, gap / (gap + self.margin)), gap >= self.margin
 
 
+ADDED = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())]
+
+
 def predict(df: DataFrame, text: str, contents: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
-    """df without its text, with lang_pred, score and accepted."""
-    kept = [f for f in df.schema.fields if f.name != text]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", lang_pred string, score double, accepted boolean"
-
-    def score(parts):
-        tool = Classifier(contents, margin)
-        for part in parts:
-            found = [tool.one(t) for t in part[text]]
-            out = part.drop(columns=[text])
-            for i, name in enumerate(("lang_pred", "score", "accepted")):
-                out[name] = pd.Series([f[i] for f in found], index=out.index, dtype=(object, float, bool)[i])
-            yield out
-
-    return df.mapInPandas(score, schema)
+    """df without its text, with lang_pred, score and accepted, which replace columns so named."""
+    kept = df.select(*[c for c in shared.columns(df.drop(text, *[f.name for f in ADDED]))], F.col(text))
+    schema = T.StructType([*kept.schema.fields[:-1], *ADDED])
+    held = df.sparkSession.sparkContext.broadcast(contents)  # at most ALL_BYTES
+    last = len(kept.columns) - 1
+
+    def score(batches):
+        tool = Classifier(held.value, margin)
+        for batch in batches:
+            for part in shared.slices(batch, last):
+                found = [tool.one(t) for t in part.column(last).to_pylist()]
+                made = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], schema.names)
+
+    return kept.mapInArrow(shared.tidy(score), schema)
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
