@@ -9,15 +9,21 @@ rows whose upper bound is below the k-th lower bound are proven out. When few po
 they are scored again exactly from the stored values; else the next level follows, down to b = 0,
 where the sums are exact. Nothing is stopped without that proof.
 
+Queries are packed too and sent in bounded blocks, one after the other; each block meets the index where it
+lies, so the index isn't shuffled, and only the k best of each index block and query are. Sums are exact: where a
+block's bounds could leave the numbers that floating point counts exactly, it is scored with whole numbers of any size.
+
 Defined cases: vectors that are null or hold null, NaN or infinite components take no part; shorter vectors
 count as ending in zeros; rows with the query's own id are its own and never its results; equal scores go to
-the smaller id; fewer than k candidates give fewer rows; null ids take no part; empty tables give no rows.
+the smaller id; fewer than k candidates give fewer rows; null ids take no part; repeated rows are candidates each; other
+columns are ignored; empty tables give no rows; a component or score that doesn't fit a long raises.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +31,9 @@ from . import shared
 
 BLOCK_ROWS = 4096
 QUERY_ROWS = 1024
+QUERY_BYTES = 16_000_000
 RESCORE_SHARE = 0.02
+FOUND = "query_id bigint, vec_id bigint, score bigint"
 BLOCK = "ids binary, dims int, base bigint, levels int, planes binary, stored binary"
 
 
@@ -33,10 +41,14 @@ def quantised(df: DataFrame, ident: str, vector: str, scale: float = 256.0) -> D
     """(id, v): components as floor(scale * x), only rows that take part."""
     ok = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     return df.filter(F.col(ident).isNotNull() & F.col(vector).isNotNull() & ok).select(
-        F.col(ident).cast("long").alias("id"), F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double"))).alias("v")
+        F.col(ident).cast("long").alias("id"), F.transform(vector, lambda x: _whole(F.lit(scale) * x.cast("double"))).alias("v")
     )
 
 
+def _whole(x):
+    return F.when(F.abs(x) < float(1 << 62), F.floor(x)).otherwise(F.raise_error(F.lit("component too large for a long")).cast("long"))
+
+
 def _matrix(vectors: list) -> np.ndarray:
     dims = max((len(v) for v in vectors), default=0)
     if all(len(v) == dims for v in vectors):
@@ -70,7 +82,7 @@ def build_index(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
         if ids:
             yield pd.DataFrame([_pack(np.array(ids, np.int64), _matrix(rows))])
 
-    return vectors.mapInPandas(blocks, BLOCK)
+    return vectors.mapInPandas(shared.tidy(blocks), BLOCK)
 
 
 def search_block(q_ids: np.ndarray, q: np.ndarray, block: dict, k: int, share: float = RESCORE_SHARE):
@@ -80,7 +92,10 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, block: dict, k: int, share: f
     stored = np.frombuffer(block["stored"], np.int64).reshape(n, dims)
     common = min(dims, q.shape[1])
     stored, weights = stored[:, :common], q[:, :common]
+    k = min(k, n)
     most = max(1, common) * float(np.abs(weights).max(initial=1)) * 2.0 * float(max(1, np.abs(stored).max(initial=1)))
+    if most >= 2**53:
+        return _plain(q_ids, weights, ids, stored, k)
     kind = np.float32 if most < 2**23 else np.float64
     w = weights.astype(kind)
     up, down = np.maximum(w, 0).sum(1, keepdims=True), np.maximum(-w, 0).sum(1, keepdims=True)
@@ -112,36 +127,69 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, block: dict, k: int, share: f
     return q_ids[row[best]], ids[col[best]], score[best]
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 5, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """query_id, rank, vec_id, score: the stated query set against every block, both in blocks."""
-    blocks = max(1, -(-queries.count() // query_rows))
+def _plain(q_ids: np.ndarray, weights: np.ndarray, ids: np.ndarray, stored: np.ndarray, k: int):
+    """The same for values beyond exact floating point: whole numbers of any size, one query at a time."""
+    wide, out = stored.astype(object), ([], [], [])
+    for q, w in zip(q_ids.tolist(), weights.astype(object), strict=True):
+        best = sorted((-s, i) for s, i in zip((wide * w).sum(1).tolist() if wide.shape[1] else [0] * len(ids), ids.tolist(), strict=True) if i != q)[:k]
+        for s, i in best:
+            if not -(1 << 63) < s < 1 << 63:
+                raise ValueError(f"the score of {q} and {i} doesn't fit a long")
+            for column, v in zip(out, (q, i, -s), strict=True):
+                column.append(v)
+    return tuple(np.array(x, np.int64) for x in out)
 
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        v = _matrix(list(group["v"]))
-        return pd.DataFrame({"qb": [int(group["qb"].iloc[0])], "qids": [group["id"].to_numpy(np.int64).tobytes()], "qdims": [v.shape[1]], "q": [v.tobytes()]})
 
-    packed = (
-        queries.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-        .groupBy("qb").applyInPandas(pack, "qb int, qids binary, qdims int, q binary")
-    )
-    pairs = index.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "qb")
+def query_blocks(queries: DataFrame, query_rows: int = QUERY_ROWS, most: int = QUERY_BYTES):
+    """(ids, matrix) pairs in lists of bounded size, read a partition at a time."""
 
-    def best(parts):
+    def pack(parts):
         for part in parts:
-            for r in part.to_dict("records"):
-                q_ids = np.frombuffer(r["qids"], np.int64)
-                found = search_block(q_ids, np.frombuffer(r["q"], np.int64).reshape(len(q_ids), r["qdims"]), r, k)
-                yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
-
-    near = pairs.mapInPandas(best, "query_id bigint, vec_id bigint, score bigint")
+            for at in range(0, len(part), query_rows):
+                some = part.iloc[at : at + query_rows]
+                v = _matrix(list(some["v"]))
+                yield pd.DataFrame({"ids": [some["id"].to_numpy(np.int64).tobytes()], "dims": [v.shape[1]], "q": [v.tobytes()]})
+
+    block, size = [], 0
+    for r in queries.mapInPandas(shared.tidy(pack), "ids binary, dims int, q binary").toLocalIterator():
+        ids = np.frombuffer(r["ids"], np.int64)
+        block.append((ids, np.frombuffer(r["q"], np.int64).reshape(len(ids), r["dims"])))
+        size += len(r["q"])
+        if size >= most:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
+
+
+def search(index: DataFrame, queries: DataFrame, k: int = 5, query_rows: int = QUERY_ROWS, most: int = QUERY_BYTES) -> DataFrame:
+    """query_id, rank, vec_id, score: the stated query set against every block, both in blocks."""
+    spark, near = index.sparkSession, []
+    for block in query_blocks(queries, query_rows, most):
+        held = spark.sparkContext.broadcast(block)  # little more than `most` bytes
+
+        def best(parts, held=held):
+            for part in parts:
+                for r in part.to_dict("records"):
+                    for q_ids, q in held.value:
+                        found = search_block(q_ids, q, r, k)
+                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["query_id", "vec_id", "score"])
+
+        def run(batches, best=best):
+            return best(b.to_pandas() for whole in batches for b in shared.slices(whole, 5))
+
+        near.append(index.mapInArrow(shared.tidy(run), FOUND))
+    found = near[0] if near else spark.createDataFrame([], FOUND)
+    for more in near[1:]:
+        found = found.unionByName(more)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 best of every row for each row whose vec_id is divisible by 50."""
     vectors = quantised(shared.read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding")
-    return search(build_index(vectors), vectors.filter("id % 50 = 0"), 5)
+    return search(shared.cut(build_index(vectors), "index"), vectors.filter("id % 50 = 0"), 5)
 
 
 ORACLE = """
