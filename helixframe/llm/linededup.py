@@ -1,33 +1,41 @@
 """Line dedup by a segment-partition edit join; DataFrame functions only.
 
 Lines are the pieces of a text between line feeds, trimmed; blank ones don't count. Equal lines are one. Two
-lines of at least MIN_CHARS characters are near duplicates when at most EDITS edits apart.
+lines are near duplicates when they are few edits apart: one for every PER characters of the shorter one, at most EDITS. So
+lines below PER characters are duplicates only when equal.
 
 A line of length l is split into EDITS + 1 segments; with at most EDITS edits one of them stands unchanged in the
 other line, at a place that its index and the difference of the lengths bound. So each line has an index
 key (length, number, segment) for each segment, and probes the keys of lines as long as itself or up to
-EDITS shorter with the substrings at just those places. Lines that meet at a key are verified: the bounded distance
-built into the engine discards within the join, and what passes is decided by a banded bit-parallel
-computation of the distance (a band of 2 * EDITS + 1 diagonals as bits of one number, a step for each character).
+EDITS shorter with the substrings at just those places. Keys are counted first; only lines of keys that several lines
+have are looked at again, found by a bitmap of bounded size.
 
-Only links are rows of the result, never all lines that meet; keys that only one line has are dropped before any text
-is attached. Classes are connected components of links; the first line of a class by (doc_id, line number) stays.
+Lines that meet at a key are discarded when the parities of their characters differ in more places than edits can
+explain, and else verified by a banded bit-parallel computation of the distance (a band of 2 * EDITS + 1 diagonals as
+bits of one number, a step for each character).
+
+A key's lines are first held against two representatives, the owners with the smallest and the largest hash, so a group
+of m near lines takes about m comparisons and links. What these links leave apart is compared pair by pair: at each
+key the lines outside its largest class so far against all others of other classes, in slots of at most PAIRS pairs, so
+a hot key is spread. Nothing is left out. Classes are connected components; the first line of a class by (doc_id, line
+number) stays.
 
 Defined cases: null and empty texts have no lines; rows with equal ids pool their lines; rows without an id are not
-compared (dedup() leaves them as they are); lines are told apart by a 64-bit hash; shorter lines than MIN_CHARS
-are duplicates only when equal; an empty table gives no rows; other columns are carried by dedup().
+compared (dedup() leaves them as they are); lines are told apart by a 64-bit hash; an empty table gives no rows; other
+columns are carried by dedup(), whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
 from .graph import components
 
 EDITS = 2
-MIN_CHARS = 16
+PER = 8
+PAIRS = 1_000_000
 
 
 def lines(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -44,19 +52,24 @@ def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
     return (base * i + longer + 1).cast("int"), (base + (F.lit(i) >= parts - extra).cast("int")).cast("int")
 
 
-def keys(line: str, length: str, edits: int) -> Column:
-    """Keys of a line: struct(k, own). own keys are those of its own segments, which are probes as well."""
+def keys(line: str, length: str, edits: int, per: int) -> Column:
+    """Keys of a line: struct(k, own), null where the other line would be too short. own keys are those of its own segments, which are probes as well."""
     out = []
     for delta in range(edits + 1):
         short = F.col(length) - delta
         for i in range(edits + 1):
             start, size = _segment(short, i, edits)
             for shift in range(max(-i, delta - (edits - i)), min(i, delta + (edits - i)) + 1):
-                key = F.xxhash64(short.cast("int"), F.lit(i), F.substring(F.col(line), start + shift, size))
+                key = F.when(short >= per * max(1, delta), F.xxhash64(short.cast("int"), F.lit(i), F.substring(F.col(line), start + shift, size)))
                 out.append(F.struct(key.alias("k"), F.lit(delta == 0 and shift == 0).alias("own")))
     return F.array(*out)
 
 
+def parities(line: str) -> Column:
+    """One bit for each of 64 groups of characters: whether the line holds an odd number of them. An edit changes two at most."""
+    return F.aggregate(F.split(line, ""), F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c) % 64)))
+
+
 def bit_distance(a: Column, b: Column, edits: int) -> Column:
     """Edit distance of two strings if it is at most edits, else a larger number.
 
@@ -96,27 +109,49 @@ def bit_distance(a: Column, b: Column, edits: int) -> Column:
     return F.get(F.transform(F.array(F.struct(F.split(a, "").alias("x"), F.split(b, "").alias("y"))), of), F.lit(0))
 
 
-def links(docs: DataFrame, ident: str = "doc_id", text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(a, b): hashes of distinct lines at most `edits` edits apart."""
-    if min_chars <= 2 * edits:
-        raise ValueError("lines must be longer than twice the edits")
-    sized = lines(docs, ident, text).withColumn("len", F.length("line")).filter(F.col("len") >= min_chars)
-    keyed = sized.select("h", keys("line", "len", edits).alias("ks")).dropDuplicates(["h"])
-    rows = keyed.select("h", F.explode("ks").alias("key")).select("h", "key.k", "key.own").filter(F.col("k").isNotNull())
-    meet = Window.partitionBy("k")
-    met = (
-        rows.withColumn("lo", F.min("h").over(meet)).withColumn("hi", F.max("h").over(meet)).withColumn("any", F.max("own").over(meet))
-        .filter("lo <> hi and any").select("h", "k", "own")
-    )
-    met = shared.cut(met, "met")
-    wanted = met.select("h").distinct()
-    texts = shared.cut(sized.select("h", "line").join(wanted, "h", "left_semi").dropDuplicates(["h"]), "met-lines")
-    full = met.join(texts, "h")
-    one = full.filter("own").select("k", F.col("h").alias("a"), F.col("line").alias("la"))
-    two = full.select("k", F.col("h").alias("b"), F.col("line").alias("lb"))
-    near = one.join(two, (one["k"] == two["k"]) & (F.col("a") != F.col("b")) & ((F.length("la") != F.length("lb")) | (F.col("a") < F.col("b"))) & (F.levenshtein("la", "lb", edits) >= 0)).select("a", "b", "la", "lb")
-    pairs = near.dropDuplicates(["a", "b"])
-    return pairs.filter(bit_distance(F.col("la"), F.col("lb"), edits) <= edits).select("a", "b")
+def _budget(short: Column, edits: int, per: int) -> Column:
+    return F.least(F.lit(edits), F.floor(short / per).cast("int"))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, edits: int, per: int) -> DataFrame:
+    """The pairs (a, b) of lines that are within their budget."""
+    thin = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    full = thin.join(texts.select(F.col("h").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("lb")), "b")
+    near = bit_distance(F.col("la"), F.col("lb"), edits) <= _budget(F.least(F.length("la"), F.length("lb")), edits, per)
+    return full.filter(near).select("a", "b")
+
+
+def links(docs: DataFrame, ident: str = "doc_id", text: str = "text", edits: int = EDITS, per: int = PER, pairs: int = PAIRS) -> DataFrame:
+    """(a, b): hashes of distinct lines that are near; enough of them to connect all that are."""
+    if per <= edits:
+        raise ValueError("every segment needs a character")
+    sized = lines(docs, ident, text).withColumn("len", F.length("line")).filter(F.col("len") >= per)
+    rows = sized.select("h", F.explode(keys("line", "len", edits, per)).alias("key")).select("h", "key.k", "key.own").filter(F.col("k").isNotNull())
+    shares = rows.groupBy("k").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("own").alias("any")).filter("lo <> hi and any").select("k")
+    shares = shared.cut(shares, "met-keys")
+    found = shared.sifted(rows, "k", shared.sieve(shares, "k")).groupBy("k", "h").agg(F.max("own").alias("own"))
+    found = shared.cut(found.join(shares, "k", "left_semi"), "met-rows")
+    texts = shared.sifted(sized.select("h", "line"), "h", shared.sieve(found, "h")).dropDuplicates(["h"])
+    texts = shared.cut(texts.select("h", "line", F.length("line").alias("len"), parities("line").alias("sig")), "met-lines")
+    met = shared.cut(found.join(texts.select("h", "len", "sig"), "h"), "met")
+
+    def may(a: str, b: str) -> Column:
+        return (F.bit_count(F.col(f"{a}.sig").bitwiseXOR(F.col(f"{b}.sig"))) <= 2 * edits) & (F.abs(F.col(f"{a}.len") - F.col(f"{b}.len")) <= edits)
+
+    owner = F.struct("h", "len", "sig")
+    heads = met.filter("own").groupBy("k").agg(F.array_distinct(F.array(F.min(owner), F.max(owner))).alias("r")).select("k", F.explode("r").alias("r"))
+    with_heads = met.select("k", F.struct("h", "len", "sig").alias("m")).join(heads, "k").filter((F.col("m.h") != F.col("r.h")) & may("m", "r"))
+    first = shared.cut(_verified(with_heads.select(F.col("m.h").alias("a"), F.col("r.h").alias("b")), texts, edits, per), "line-links-1")
+    labels = components(first, "lines-1").select(F.col("id").alias("h"), F.col("root").alias("label"))
+    placed = met.join(labels, "h", "left").withColumn("label", F.coalesce("label", "h"))
+    counted = placed.groupBy("k", "label").agg(F.count("*").alias("m"))
+    main = counted.groupBy("k").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.sum("m").alias("n"), F.max("m").alias("most")).filter("n > most")
+    slots = F.least(F.col("n") - F.col("most"), F.ceil((F.col("n") - F.col("most")) * F.col("n") / pairs))
+    open_ = shared.cut(placed.join(main.select("k", "main", slots.alias("slots")), "k"), "line-rest")
+    rest = open_.filter("label <> main").select("k", F.pmod(F.xxhash64("h"), "slots").alias("slot"), F.struct("h", "len", "sig", "label", "own").alias("a"))
+    every = open_.select("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("slot"), F.struct("h", "len", "sig", "label", "own").alias("b"))
+    left = rest.join(every, ["k", "slot"]).filter((F.col("a.label") != F.col("b.label")) & (F.col("a.own") | F.col("b.own")) & may("a", "b"))
+    return first.unionByName(_verified(left.select(F.col("a.h").alias("a"), F.col("b.h").alias("b")), texts, edits, per))
 
 
 def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text", **settings) -> tuple[DataFrame, DataFrame]:
@@ -130,26 +165,31 @@ def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text", **settin
 def dedup(docs: DataFrame, ident: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """docs with only the first line of each class left in the texts; blank lines stay, all columns too."""
     seen, _ = classes(docs, ident, text, **settings)
-    stay = seen.groupBy("class").agg(F.min("first").alias("f")).groupBy(F.col("f.id").alias("__id")).agg(F.collect_set("f.line_no").alias("__stay"))
-    joined = docs.join(stay, docs[ident] == stay["__id"], "left")
-    left = F.filter(F.split(docs[text], "\n"), lambda x, i: (F.trim(x) == "") | F.coalesce(F.array_contains(stay["__stay"], i), F.lit(False)))
-    rebuilt = F.when(docs[ident].isNull(), docs[text]).otherwise(F.array_join(left, "\n")).alias(text)
-    return joined.select(*[rebuilt if c == text else docs[f"`{c}`"] for c in docs.columns])
+    stay = seen.groupBy("class").agg(F.min("first").alias("f")).groupBy(F.col("f.id").alias("id")).agg(F.collect_set("f.line_no").alias("stay"))
+    rows = docs.select(F.struct(*shared.columns(docs)).alias("row"))
+    joined = rows.join(stay, F.col(f"row.`{ident}`") == stay["id"], "left")
+    left = F.filter(F.split(F.col(f"row.`{text}`"), "\n"), lambda x, i: (F.trim(x) == "") | F.coalesce(F.array_contains(stay["stay"], i), F.lit(False)))
+    rebuilt = F.when(F.col(f"row.`{ident}`").isNull(), F.col(f"row.`{text}`")).otherwise(F.array_join(left, "\n")).alias(text)
+    return joined.select(*[rebuilt if c == text else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op1_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, n_lines, n_new (not equal to an earlier line), n_kept (nor near one's class)."""
+    """Per document: doc_id, n_lines, n_new (not equal to an earlier line), n_kept (nor near one's class), copies_of (documents that keep its dropped lines)."""
     docs = shared.read(spark, sf_dir, "documents").select("doc_id", "text")
     seen, _ = classes(docs)
     total = lines(docs).groupBy("id").agg(F.count("*").alias("n_lines"))
     new = seen.groupBy(F.col("first.id").alias("id")).agg(F.count("*").alias("n_new"))
-    kept = seen.groupBy("class").agg(F.min("first").alias("f")).groupBy(F.col("f.id").alias("id")).agg(F.count("*").alias("n_kept"))
+    whole = shared.cut(seen.groupBy("class").agg(F.min("first").alias("f"), F.sum("places").alias("places")), "line-classes")
+    kept = whole.groupBy(F.col("f.id").alias("id")).agg(F.count("*").alias("n_kept"))
+    several = shared.cut(seen.select("h", "class").join(whole.filter("places > 1").select("class", F.col("f.id").alias("of")), "class").select("h", "of"), "line-copies")
+    held = shared.sifted(lines(docs).select("id", "h"), "h", shared.sieve(several, "h")).distinct()
+    copies = held.join(several, "h").filter("id <> of").groupBy("id").agg(F.array_sort(F.collect_set("of")).alias("copies_of"))
     ids = docs.filter("doc_id is not null").select(F.col("doc_id").alias("id")).distinct()
-    out = ids.join(total, "id", "left").join(new, "id", "left").join(kept, "id", "left").fillna(0)
-    return out.select(F.col("id").alias("doc_id"), "n_lines", "n_new", "n_kept")
+    out = ids.join(total, "id", "left").join(new, "id", "left").join(kept, "id", "left").join(copies, "id", "left").fillna(0)
+    return out.select(F.col("id").alias("doc_id"), "n_lines", "n_new", "n_kept", F.coalesce("copies_of", F.array().cast("array<bigint>")).alias("copies_of"))
 
 
-def brute(rows: list[tuple[int, str | None]], edits: int = EDITS, min_chars: int = MIN_CHARS) -> list[tuple[int, int, int, int]]:
+def brute(rows: list[tuple[int, str | None]], edits: int = EDITS, per: int = PER) -> list[tuple[int, int, int, int, list[int]]]:
     """What op1 must give for rows of distinct ids, from all pairs of lines; for tests."""
     found = [(ident, n, line.strip(" ")) for ident, text in rows for n, line in enumerate((text or "").split("\n")) if line.strip(" ")]
     distinct = list(dict.fromkeys(x[2] for x in sorted(found)))
@@ -167,17 +207,18 @@ def brute(rows: list[tuple[int, str | None]], edits: int = EDITS, min_chars: int
             for j, y in enumerate(b, 1):
                 new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
             row = new
-        return row[-1] <= edits
+        return row[-1] <= min(edits, min(len(a), len(b)) // per)
 
     for i, a in enumerate(distinct):
         for b in distinct[i + 1 :]:
-            if min(len(a), len(b)) >= min_chars and abs(len(a) - len(b)) <= edits and near(a, b):
+            if abs(len(a) - len(b)) <= edits and find(a) != find(b) and near(a, b):
                 root[find(b)] = find(a)
-    equal, classes_seen, out = set(), set(), {ident: [0, 0, 0] for ident, _ in rows}
+    equal, keepers, out = set(), {}, {ident: [0, 0, 0, set()] for ident, _ in rows}
     for ident, _, line in sorted(found):
         out[ident][0] += 1
         out[ident][1] += line not in equal
-        out[ident][2] += find(line) not in classes_seen
+        out[ident][2] += find(line) not in keepers
         equal.add(line)
-        classes_seen.add(find(line))
-    return [(i, *v) for i, v in sorted(out.items())]
+        of = keepers.setdefault(find(line), ident)
+        out[ident][3] |= {of} - {ident}
+    return [(i, *v[:3], sorted(v[3])) for i, v in sorted(out.items())]
