@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.llm import langid, licenses, mixing, registry, shared, tokenids, toxicity, warc
+from helixframe.llm import langid, license_texts, licenses, mixing, registry, shared, tokenids, toxicity, warc
 
 
 def sql(query, path, *tables):
@@ -135,14 +135,16 @@ def test_huffman():
 
 
 def test_licenses(spark, put, docs, empty):
+    mit = next(text for text, label in license_texts.TEMPLATES if label == "mit-text")
     more = docs.sparkSession.createDataFrame(
         [(200, "MIT License mit  license. (MIT)-License", "", ""), (201, "Licensed under the Apache License, Version 2.0.", "", ""), (202, "This work is licensed under the GNU General Public License, version 3. Permission is hereby very much granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "", ""),
-         (203, "mit\x00license Kelvin", "", ""), (204, "general public licence", "", "")], docs.schema)
+         (203, "mit\x00license Kelvin", "", ""), (204, "general public licence", "", ""), (205, "x Released under the MIT License" + " mit license" * 10, "", ""), (206, "É " + mit.replace("sublicense", "resell freely"), "", ""), (207, " ".join(mit.split()[::-1]), "", ""), (208, mit + " " + mit, "", ""), (None, mit, "", ""), (208, "mit license", "", "")], docs.schema)
     path = put(documents=docs.unionByName(more))
     same(licenses.op8_licenses(spark, path), licenses.ORACLE, path, "documents")
     out = {r.doc_id: r for r in licenses.op8_licenses(spark, path).collect()}
     assert (out[200].n_base, out[200].first_word, out[200].last_word, out[200].base_labels) == (3, 0, 4, "mit")
     assert out[201].labels == "apache,apache-2.0" and out[202].base_labels == "gpl" and out[202].labels == "gpl,gpl-3.0,mit-grant"
+    assert out[205].labels == "mit,mit-notice" and out[206].labels == "mit-grant,mit-text" and out[207].labels == ""
     assert out[203].n_base == 1 and out[204].labels == "" and out[60].n_words == 0
     assert licenses.op8_licenses(spark, put(documents=empty)).count() == 0
 
@@ -169,8 +171,9 @@ def test_toxicity(spark, put, empty):
     held = [(out[i].predicted, y) for i, _, y in rows if out[i].held_out]
     assert all(out[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, _, _ in rows)
     assert sum(a == b for a, b in held) >= 0.9 * len(held) > 0
-    one = toxicity.op2_toxicity(spark, put(documents=docs, labels=labels.filter("toxic = 1")))
-    assert {r.score for r in one.collect()} == {0.0}
+    for only in (0, 1):
+        one = toxicity.op2_toxicity(spark, put(documents=docs, labels=labels.filter(f"toxic = {only}")))
+        assert {r.score for r in one.collect()} == {float(only)}
     assert toxicity.op2_toxicity(spark, put(documents=empty.select("doc_id", "text"), labels=labels.limit(0))).count() == 0
 
 

@@ -25,7 +25,7 @@ def test_linededup_equals_brute_force(put, docs, rows):
             s[i : i + r.randint(0, 1)] = r.choice(["", "z", "y"])
         return "".join(s)
 
-    given = [(i, "\n".join(changed(r.choice(base)) for _ in range(r.randint(0, 5)))) for i in range(40)] + [(i + 100, t) for i, t, *_ in rows if t is None or len(t) < 400]
+    given = [(i, "\n".join(changed(r.choice(base)) for _ in range(r.randint(0, 5)))) for i in range(40)] + [(i + 100, t) for i, t, *_ in rows] + [(300 + i, "".join(r.choice("ab") for _ in range(r.randint(5, 10)))) for i in range(25)]
     df = docs.sparkSession.createDataFrame(given, "doc_id long, text string")
     assert tuples(linededup.op1_linededup(docs.sparkSession, put(documents=df))) == sorted(linededup.brute(given), key=repr)
 
