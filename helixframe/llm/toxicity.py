@@ -258,7 +258,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most: int
     some = kept.filter(unit < share)  # about `rows` rows, whatever the size of the table
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).filter(F.col("text").isNotNull() & (unit < share))
     sample = texts.join(F.broadcast(some), "doc_id").select(unit.alias("unit"), "doc_id", F.col("toxic").cast("long").alias("toxic"), "text")
-    one = sample.repartitionByRange(1, "unit").sortWithinPartitions("unit", "doc_id", "text").select("text", "toxic")
+    one = sample.repartition(1).sortWithinPartitions("unit", "doc_id", "text").select("text", "toxic")
 
     def fit(batches):
         given, y, size = [], [], 0
