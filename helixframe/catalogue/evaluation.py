@@ -67,8 +67,8 @@ def annotated_introns(spark, sf_dir):
 
 @query(
     "splice_classification",
-    """, seen as (
-      select j.*, p.start is not null as pair, exists(select 1 from ann a where a.chrom = j.rname and a.start = j.start) and exists(select 1 from ann a where a.chrom = j.rname and a.stop = j.stop) as sites
+    """, st as (select distinct chrom, unnest([start, stop]) as at from ann), seen as (
+      select j.*, p.start is not null as pair, exists(select 1 from st where st.chrom = j.rname and st.at = j.start) and exists(select 1 from st where st.chrom = j.rname and st.at = j.stop) as sites
       from junctions j left join (select distinct chrom, start, stop from ann) p on p.chrom = j.rname and p.start = j.start and p.stop = j.stop),
     r as (select qname, rname, count(*) as n, bool_and(pair or sites) as known, bool_or(not pair) as combination, string_agg(start || '-' || stop, ',' order by start, stop) as chain from seen group by 1, 2),
     c as (select distinct chrom as rname, chain from (select chrom, tx, string_agg(start || '-' || stop, ',' order by start, stop) as chain from ann group by 1, 2))

@@ -12,7 +12,7 @@ from ..operators.alignment import cigar_of, consensus, path, semi_global
 from ..operators.udfs import affine_udf, path_udf, poa_by
 from ..plans.params import Params
 from ..session import table
-from .registry import BENCH, READS, bench_reads, query, read_table, spread_reads
+from .registry import BENCH, FRAGMENTS, MATRIX, READS, TWINS, bench_reads, fragments, matrix_rows, query, read_table, spread_reads, twins
 
 __all__ = ["cigar_of", "consensus", "path", "semi_global"]
 P = Params()
@@ -44,13 +44,10 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeds.exploded_pairs(spread_reads(spark, sf_dir).select("cluster_id", "r_id", mins.alias("minimizers")), P.low, P.xmax, P.k)
 
 
-def _counts(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("cluster_id", "m1", "m2").agg(F.count("*").alias("occurrences"), F.count_distinct("r_id").alias("reads"))
-
-
 def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = read_table(spark, sf_dir).groupBy("cluster_id").agg(F.count("*").alias("n_reads"))
-    return seeds.kept_anchors(_counts(_pairs(spark, sf_dir)), sizes, P.k).drop("n_reads")
+    reads = spread_reads(spark, sf_dir)
+    sizes = reads.groupBy("cluster_id").agg(F.count("*").alias("n_reads"))
+    return seeds.kept_anchors(seeds.anchor_counts(reads, P.k, P.w, P.low, P.xmax), sizes, P.k).drop("n_reads")
 
 
 @query("window_minimizers", "select * from mins", (READS, MINS))
@@ -79,10 +76,14 @@ def abundant_anchors_topk(spark, sf_dir):
     where occurrences >= 3 group by 1, 2""", (READS, MINS, PAIRS, INDEX),
 )
 def anchor_support_join(spark, sf_dir):
-    pairs = _pairs(spark, sf_dir)
-    sizes = read_table(spark, sf_dir).groupBy("cluster_id").agg(F.count("*").alias("n_reads"))
-    found = seeds.support(pairs, seeds.kept_anchors(_counts(pairs), sizes, P.k))
-    return found.groupBy("cluster_id", "r_id").agg(F.count("*").alias("anchors"), F.max("supporting").alias("most"), F.sum("supporting").alias("supporting"))
+    """Anchors of a read with the reads that share them. A read's own anchors are counted once, and these counts joined with their sums."""
+    reads = spread_reads(spark, sf_dir)
+    sizes = reads.groupBy("cluster_id").agg(F.count("*").alias("n_reads"))
+    own = seeds.anchor_keys(reads, P.k, P.w, P.low, P.xmax)
+    sums = own.groupBy("cluster_id", "key").agg(F.sum("occurrences").alias("occurrences"), F.count("*").alias("reads"))
+    kept = seeds.kept_anchors(sums.withColumn("m2", seeds.anchor_text(F.col("key").bitwiseAND((1 << 30) - 1), P.k)), sizes, P.k)
+    found = own.select("cluster_id", "r_id", "key", F.col("occurrences").alias("n")).join(kept.filter("occurrences >= 3").select("cluster_id", "key", F.col("reads").alias("supporting")), ["cluster_id", "key"])
+    return found.groupBy("cluster_id", "r_id").agg(F.sum("n").alias("anchors"), F.max("supporting").alias("most"), F.sum(F.col("n") * F.col("supporting")).alias("supporting"))
 
 
 @query(
@@ -91,12 +92,12 @@ def anchor_support_join(spark, sf_dir):
       select a.item_id, b.item_id as other, a.p1, a.p2, b.p1 as q1, b.p2 as q2,
         levenshtein(substring(ra.seq, a.p1 + 1, a.p2 - a.p1 + 9), substring(rb.seq, b.p1 + 1, b.p2 - b.p1 + 9)) as ed,
         row_number() over (partition by a.item_id, a.p1, a.p2, b.item_id order by levenshtein(substring(ra.seq, a.p1 + 1, a.p2 - a.p1 + 9), substring(rb.seq, b.p1 + 1, b.p2 - b.p1 + 9)), b.p1, b.p2) as rn
-      from bp a join bp b on a.m1 = b.m1 and a.m2 = b.m2 and a.item_id <> b.item_id join bench ra on ra.item_id = a.item_id join bench rb on rb.item_id = b.item_id) where rn = 1""",
-    (BENCH, MINS.replace("cluster_id, ", "").replace("r_id", "item_id").replace("from reads", "from bench"), PAIRS.replace("pairs as", "bp as").replace("a.cluster_id, ", "").replace("a.cluster_id = b.cluster_id and ", "").replace("r_id", "item_id")),
+      from bp a join bp b on a.m1 = b.m1 and a.m2 = b.m2 and a.item_id <> b.item_id join twins ra on ra.item_id = a.item_id join twins rb on rb.item_id = b.item_id) where rn = 1""",
+    (BENCH, TWINS, MINS.replace("cluster_id, ", "").replace("r_id", "item_id").replace("from reads", "from twins"), PAIRS.replace("pairs as", "bp as").replace("a.cluster_id, ", "").replace("a.cluster_id = b.cluster_id and ", "").replace("r_id", "item_id")),
 )
 def support_best_segment(spark, sf_dir):
     """For each anchor of a read the closest segment of every other read that shares it."""
-    base = bench_reads(spark, sf_dir)
+    base = twins(spark, sf_dir)
     mins = seeds.window_minimizers(base, P.k, P.w, ("item_id",)).groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("pos", "kmer"))).alias("minimizers"))
     pairs = seeds.exploded_pairs(mins, P.low, P.xmax, P.k, ("item_id",)).join(base.select("item_id", "seq"), "item_id")
     segs = pairs.select("item_id", "m1", "m2", "p1", "p2", F.expr(f"substring(seq, p1 + 1, p2 - p1 + {P.k})").alias("text"))
@@ -200,19 +201,19 @@ def kmer_count_target(spark, sf_dir):
 
 @query(
     "containment_redundancy",
-    """select distinct a.item_id from bench a join bench b on contains(b.seq, a.seq) and (length(b.seq) > length(a.seq) or (length(b.seq) = length(a.seq) and b.item_id < a.item_id)) where a.seq <> ''""", (BENCH,),
+    """select distinct a.item_id from frags a join frags b on contains(b.seq, a.seq) and (length(b.seq) > length(a.seq) or (length(b.seq) = length(a.seq) and b.item_id < a.item_id)) where a.seq <> ''""", (BENCH, FRAGMENTS),
 )
 def containment_redundancy(spark, sf_dir):
     """As given only, as its SQL has it."""
-    return evaluation.redundant(bench_reads(spark, sf_dir), "item_id", "seq", both_strands=False)
+    return evaluation.redundant(fragments(spark, sf_dir), "item_id", "seq", both_strands=False)
 
 
 @query(
     "containment_redundancy_both_strands",
-    f"""select distinct a.item_id from bench a join bench b on (contains(b.seq, a.seq) or contains(b.seq, translate(reverse(a.seq), '{S.IUPAC[0]}', '{S.IUPAC[1]}'))) and (length(b.seq) > length(a.seq) or (length(b.seq) = length(a.seq) and b.item_id < a.item_id)) where a.seq <> ''""", (BENCH,),
+    f"""select distinct a.item_id from frags a join frags b on (contains(b.seq, a.seq) or contains(b.seq, translate(reverse(a.seq), '{S.IUPAC[0]}', '{S.IUPAC[1]}'))) and (length(b.seq) > length(a.seq) or (length(b.seq) = length(a.seq) and b.item_id < a.item_id)) where a.seq <> ''""", (BENCH, FRAGMENTS),
 )
 def containment_redundancy_both_strands(spark, sf_dir):
-    return evaluation.redundant(bench_reads(spark, sf_dir), "item_id", "seq")
+    return evaluation.redundant(fragments(spark, sf_dir), "item_id", "seq")
 
 
 @query("edit_distance_bounded", "select a.item_id as a, b.item_id as b, levenshtein(a.seq, b.seq)::int as ed from bench a join bench b on a.item_id < b.item_id where levenshtein(a.seq, b.seq) < 120", (BENCH,))
@@ -220,8 +221,8 @@ def edit_distance_bounded(spark, sf_dir):
     """Pairs at a distance below 120. Only lengths that near can pair up, so bands of lengths are joined."""
     rows = bench_reads(spark, sf_dir).select("item_id", "seq", F.floor(F.length("seq") / 120).alias("band"))
     other = rows.select(F.col("item_id").alias("b"), F.col("seq").alias("sb"), F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])).alias("band"))
-    near = rows.join(other, "band").filter((F.col("item_id") < F.col("b")) & (F.levenshtein("seq", "sb", 119) >= 0))
-    return near.select(F.col("item_id").alias("a"), "b", F.levenshtein("seq", "sb").alias("ed"))
+    pairs = rows.join(other, "band").filter((F.col("item_id") < F.col("b")) & (F.abs(F.length("seq") - F.length("sb")) < 120))
+    return pairs.select(F.col("item_id").alias("a"), "b", F.levenshtein("seq", "sb", 119).alias("ed")).filter("ed >= 0")
 
 
 @query(
@@ -240,9 +241,11 @@ def nearest_reference_ties(spark, sf_dir):
     return evaluation.nearest(table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation"), "s_suppkey", "n_nationkey", "s_name", "n_name", ties=True)
 
 
-@query("exact_match_semi_join", "select r.acc from reads r where exists (select 1 from bench b where b.seq = r.seq)", (READS, BENCH))
+@query("exact_match_semi_join", "select r.acc from reads r where exists (select 1 from reads b where b.seq = r.seq and b.r_id % 5 = 0)", (READS,))
 def exact_match_semi_join(spark, sf_dir):
-    return read_table(spark, sf_dir).join(bench_reads(spark, sf_dir).select("seq"), "seq", "left_semi").select("acc")
+    """Reads whose sequence is that of a reference; every fifth read of a cluster stands for the references."""
+    reads = read_table(spark, sf_dir)
+    return reads.join(reads.filter("r_id % 5 = 0").select("seq"), "seq", "left_semi").select("acc")
 
 
 @query("pfm", "select pos as col, count(*) filter (c = 'A') as \"A\", count(*) filter (c = 'C') as \"C\", count(*) filter (c = 'G') as \"G\", count(*) filter (c = 'T') as \"T\", count(*) filter (c = 'U') as \"U\", count(*) filter (c = 'N') as \"N\", count(*) filter (c = '-') as gap from (select pos::int as pos, substring(seq, pos + 1, 1) as c from (select seq, unnest(range(length(seq))) as pos from bench)) group by pos", (BENCH,))
@@ -270,13 +273,12 @@ def degap(spark, sf_dir):
 
 
 def _neighbours(spark, sf_dir):
-    """Each benchmark read with the one before it, for pairwise operators."""
-    from pyspark.sql import Window
+    """Each benchmark read with the one of the number before it, for pairwise operators."""
+    rows = bench_reads(spark, sf_dir).select("item_id", "seq")
+    return rows.join(rows.select((F.col("item_id") + 1).alias("item_id"), F.col("seq").alias("before")), "item_id")
 
-    return bench_reads(spark, sf_dir).withColumn("before", F.lag("seq").over(Window.orderBy("item_id"))).filter("before is not null")
 
-
-@query("global_align_path", "select item_id, levenshtein(seq, before)::int as ed from (select item_id, seq, lag(seq) over (order by item_id) as before from bench) where before is not null", (BENCH,))
+@query("global_align_path", "select a.item_id, levenshtein(a.seq, b.seq)::int as ed from bench a join bench b on b.item_id = a.item_id - 1", (BENCH,))
 def global_align_path(spark, sf_dir):
     """Alignment path of neighbours; its distance is what SQL can hold it against."""
     a = _neighbours(spark, sf_dir).withColumn("a", path_udf("seq", "before"))
@@ -314,7 +316,24 @@ def correct_cluster_feedback(spark, sf_dir):
     return correction.correct(_turns(spark, sf_dir), Params())
 
 
-@query("interval_schedule")
+SPANS = """iv0 as (
+  select l_orderkey as qname, (l_partkey % 97)::int as start, (l_partkey % 97 + l_quantity)::int as stop, (l_suppkey % 9 + 1)::int as support from lineitem),
+iv1 as (select *, (row_number() over (partition by qname order by stop, start, support))::int as j, (support - 1) * (stop - start + 0.0001::double) as w from iv0),
+iv as (select a.*, coalesce((select max(b.j) from iv1 b where b.qname = a.qname and b.start < b.stop and b.stop <= a.start), 0)::int as pre from iv1 a)"""
+
+
+@query(
+    "interval_schedule",
+    """, last as (select qname, max(j) as n from iv group by 1),
+    opt as (
+      select qname, 0 as j, [0.0::double] as best from last
+      union all select o.qname, i.j, list_append(o.best, greatest(i.w + o.best[i.pre + 1], o.best[i.j])) from opt o join iv i on i.qname = o.qname and i.j = o.j + 1),
+    walk as (
+      select o.qname, o.j, o.best from opt o join last l on l.qname = o.qname and l.n = o.j
+      union all select x.qname, case when i.w + x.best[i.pre + 1] > x.best[i.j] then i.pre else i.j - 1 end, x.best from walk x join iv i on i.qname = x.qname and i.j = x.j)
+    select i.qname, i.start, i.stop, i.support from walk x join iv i on i.qname = x.qname and i.j = x.j where i.w + x.best[i.pre + 1] > x.best[i.j]""",
+    ("recursive " + SPANS,),
+)
 def interval_schedule(spark, sf_dir):
     from ..operators.udfs import schedule_by
 
@@ -362,3 +381,110 @@ def multialignment(spark, sf_dir):
     from ..operators.udfs import multialign_by
 
     return multialign_by(_turns(spark, sf_dir).withColumnRenamed("cluster_id", "conv_id"), "conv_id")
+
+
+@query("anchor_index", "select m1, m2, count(*) as occurrences, count(distinct item_id) as reads, string_agg(item_id || ':' || p1 || '-' || p2, ',' order by item_id, p1, p2 desc) as places from bp group by 1, 2",
+       (BENCH, TWINS, MINS.replace("cluster_id, ", "").replace("r_id", "item_id").replace("from reads", "from twins"), PAIRS.replace("pairs as", "bp as").replace("a.cluster_id, ", "").replace("a.cluster_id = b.cluster_id and ", "").replace("r_id", "item_id")))
+def anchor_index(spark, sf_dir):
+    """Where every anchor stands, in the order in which pairs are made: by read, by first place, the farthest partner first."""
+    mins = F.transform(seeds.window_minimizer_array(F.col("seq"), P.k, P.w), lambda m: F.struct(m["kmer"].alias("kmer"), (-m["neg"]).alias("pos")))
+    pairs = seeds.exploded_pairs(twins(spark, sf_dir).select(F.lit(0).alias("cluster_id"), F.col("item_id").alias("r_id"), mins.alias("minimizers")), P.low, P.xmax, P.k)
+    places = F.array_join(F.transform("places", lambda x: F.concat(x["r_id"], F.lit(":"), x["p1"], F.lit("-"), x["p2"])), ",")
+    return seeds.anchor_index(pairs).select("m1", "m2", "occurrences", "reads", places.alias("places"))
+
+
+#: Context windows of the columns of a gapped row `g` of tables (item_id, g): four bases and their gaps to either side.
+WINDOWS = """cols as (select item_id, g, unnest(range(length(g)))::int as i from gapped),
+marks as (select *, substring(g, i + 1, 1) <> '-' as solid, (sum((substring(g, i + 1, 1) <> '-')::int) over (partition by item_id order by i))::int as upto from cols),
+solid as (select item_id, upto as t, i as pos from marks where solid),
+wins as (
+  select m.item_id, m.i as col, coalesce(l.pos + 1, least(m.i, 1)) as start, coalesce(r.pos, greatest(m.i + 1, length(m.g) - 1))::int as stop from marks m
+  left join solid l on l.item_id = m.item_id and l.t = m.upto - m.solid::int - 4 left join solid r on r.item_id = m.item_id and r.t = m.upto + 5)"""
+
+
+@query("context_windows", "select * from wins", (BENCH, "gapped as (select item_id, replace(seq, 'AC', 'A-C') as g from bench)", WINDOWS))
+def context_windows(spark, sf_dir):
+    """The context of every column of a row: half a k-mer of bases to either side."""
+    rows = bench_reads(spark, sf_dir).select("item_id", F.replace("seq", F.lit("AC"), F.lit("A-C")).alias("g"))
+    return _windows(rows, "g").select("item_id", "col", "w.start", "w.stop")
+
+
+def _windows(rows, column):
+    from ..operators.udfs import windows_udf
+
+    return rows.select("*", F.posexplode(windows_udf(column, F.lit(P.k // 2))).alias("col", "w"))
+
+
+CENTERS = "gapped as (select distinct item_id, consensus as g from matrix)"
+
+
+@query(
+    "frequency_contexts",
+    """, every as (select item_id, row from matrix union all select item_id, g from gapped),
+    c as (select item_id, col, substring(row, start + 1, stop - start) as context, substring(row, col + 1, 1) as variant, count(*) as depth from every join wins using (item_id) group by 1, 2, 3, 4)
+    select *, row_number() over (partition by item_id, col order by depth desc, context) as rank from c where depth > 5""",
+    (BENCH, MATRIX, CENTERS, WINDOWS),
+)
+def frequency_contexts(spark, sf_dir):
+    """Contexts of every column that more than five rows hold, the consensus row among them: deepest first, then by text."""
+    from pyspark.sql import Window
+
+    rows = matrix_rows(spark, sf_dir)
+    centers = rows.groupBy("item_id").agg(F.first("consensus").alias("consensus"))
+    every = rows.select("item_id", "row").unionByName(centers.select("item_id", F.col("consensus").alias("row")))
+    wins = _windows(centers, "consensus").select("item_id", "col", "w.start", "w.stop")
+    context = F.substring("row", F.col("start") + 1, F.col("stop") - F.col("start")).alias("context")
+    counts = every.join(wins, "item_id").groupBy("item_id", "col", context, F.substring("row", F.col("col") + 1, F.lit(1)).alias("variant")).agg(F.count("*").alias("depth"))
+    order = Window.partitionBy("item_id", "col").orderBy(F.desc("depth"), "context")
+    return counts.filter("depth > 5").withColumn("rank", F.row_number().over(order).cast("long"))
+
+
+@query(
+    "correct_columns",
+    """, own as (
+      select m.item_id, m.r_id, w.col, substring(row, col + 1, 1) as own, substring(consensus, col + 1, 1) as ref,
+        substring(row, start + 1, col - start) = substring(consensus, start + 1, col - start) and substring(row, col + 2, stop - col - 1) = substring(consensus, col + 2, stop - col - 1) as same
+      from matrix m join wins w using (item_id)),
+    d as (select *, count(*) over (partition by item_id, col, own) as depth from own)
+    select item_id, r_id, string_agg(case when own <> ref and own <> '-' and depth >= 3 and same then own else ref end, '' order by col) filter (ref <> '-') as corrected from d group by 1, 2""",
+    (BENCH, MATRIX, CENTERS, WINDOWS),
+)
+def correct_columns(spark, sf_dir):
+    """The column rule where no variant has a context of its own: a variant deep enough stays if both its sides are the consensus's."""
+    from ..operators.udfs import columns_by
+
+    return columns_by(matrix_rows(spark, sf_dir), "item_id", k=P.k)
+
+
+@query("stitch_intervals", "select item_id, substring(seq, 1, 10) || repeat('A', (item_id % 7)::int) || 'CC' || substring(seq, 31, 10) || substring(seq, 46) as stitched from bench", (BENCH,))
+def stitch_intervals(spark, sf_dir):
+    """Three corrected spans put into every read: one of another length, one that touches it, one without bases left."""
+    from ..operators.udfs import stitch_udf
+
+    part = lambda a, b, text: F.struct(F.lit(a).alias("start"), F.lit(b).alias("stop"), text.alias("text"))
+    parts = F.array(part(10, 20, F.expr("repeat('A', cast(item_id % 7 as int))")), part(20, 30, F.lit("CC")), part(40, 45, F.lit("")))
+    return bench_reads(spark, sf_dir).select("item_id", stitch_udf("seq", parts).alias("stitched"))
+
+
+GUARD = """rows as (
+  select item_id, substring(seq, 1, 30) || repeat('-', (item_id % 15)::int + 3) || substring(seq, 31) as o,
+    substring(seq, 1, 30) || repeat('G', (item_id % 15)::int + 3) || substring(seq, 31, 10) || repeat('-', (item_id % 13)::int) || substring(seq, 41 + (item_id % 13)::int) as c from bench)"""
+
+
+@query(
+    "structural_guard_rows",
+    """, ch as (select item_id, i, substring(o, i + 1, 1) as o, substring(c, i + 1, 1) as c from (select *, unnest(range(length(o))) as i from rows)),
+    runs as (select *, o = '-' or c = '-' as indel, sum((not (o = '-' or c = '-'))::int) over (partition by item_id order by i) as run from ch),
+    sized as (select *, count(*) filter (indel) over (partition by item_id, run) as n from runs)
+    select item_id, string_agg(case when indel and n > 10 then o else c end, '' order by i) filter ((case when indel and n > 10 then o else c end) <> '-') as guarded from sized group by 1""",
+    (BENCH, GUARD),
+)
+def structural_guard_rows(spark, sf_dir):
+    """The guard on gapped rows: more than ten indel columns in a row give the original back."""
+    from ..operators.udfs import guard_rows_udf
+
+    gap = lambda ch, n: F.expr(f"repeat('{ch}', cast({n} as int))")
+    seq = lambda at, n=None: F.expr(f"substring(seq, {at}{'' if n is None else f', {n}'})")
+    orig = F.concat(seq(1, 30), gap("-", "item_id % 15 + 3"), seq(31))
+    corr = F.concat(seq(1, 30), gap("G", "item_id % 15 + 3"), seq(31, 10), gap("-", "item_id % 13"), seq("cast(41 + item_id % 13 as int)"))
+    return bench_reads(spark, sf_dir).select("item_id", guard_rows_udf(orig, corr).alias("guarded"))

@@ -75,6 +75,45 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("qname", "ord").agg(*[F.min(c).alias(c) for c in ("rname", "start", "cigar")])
 
 
+TWINS = """twins as (
+  select item_id * 4 as item_id, seq from bench union all select item_id * 4 + 1, substring(seq, 1, 39) || substring(seq, 41) from bench
+  union all select item_id * 4 + 2, substring(seq, 1, 59) || 'A' || substring(seq, 61) from bench)"""
+FRAGMENTS = """frags as (
+  select item_id, seq from bench union all select item_id + 1000000, substring(seq, 11, 40) from bench where item_id % 2 = 1
+  union all select item_id + 2000000, translate(reverse(substring(seq, 21, 50)), 'ACGT', 'TGCA') from bench where item_id % 3 = 0 union all select item_id + 3000000, substring(seq, 1, 5) from bench where item_id % 5 = 0)"""
+#: Twelve rows of one alignment for each benchmark sequence, and their consensus row, which holds a gap.
+MATRIX = """matrix as (
+  select item_id, r_id, substring(seq, 1, 20) || substring('ACGT', r_id % 4 + 1, 1) || substring(seq, 22, 19) || case when r_id <= 2 then substring('ACGT', (r_id + item_id)::int % 4 + 1, 1) else substring(seq, 41, 1) end
+    || substring(seq, 42, 9) || case when r_id <= 5 then 'G' else '-' end || substring(seq, 51, 4) || case when r_id = 3 then '-' else substring(seq, 55, 1) end || substring(seq, 56) as row,
+    substring(seq, 1, 50) || '-' || substring(seq, 51) as consensus from (select item_id, seq, unnest(range(1, 13))::int as r_id from bench))"""
+
+
+def twins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark sequence, once as it is, once without a base and once with another one."""
+    seq = F.col("seq")
+    forms = [seq, F.concat(F.substring(seq, 1, 39), F.expr("substring(seq, 41)")), F.concat(F.substring(seq, 1, 59), F.lit("A"), F.expr("substring(seq, 61)"))]
+    rows = bench_reads(spark, sf_dir).select("item_id", F.explode(F.array(*[F.struct(F.lit(i).alias("n"), f.alias("seq")) for i, f in enumerate(forms)])).alias("f"))
+    return rows.select((F.col("item_id") * 4 + F.col("f.n")).alias("item_id"), "f.seq")
+
+
+def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark sequences with parts of some, as they are and as reverse complements."""
+    rows = bench_reads(spark, sf_dir).select("item_id", "seq")
+    part = lambda n, every, rest, text: rows.filter(F.col("item_id") % every == rest).select((F.col("item_id") + n).alias("item_id"), text.alias("seq"))
+    back = F.translate(F.reverse(F.substring("seq", 21, 50)), "ACGT", "TGCA")
+    return rows.unionByName(part(1000000, 2, 1, F.substring("seq", 11, 40))).unionByName(part(2000000, 3, 0, back)).unionByName(part(3000000, 5, 0, F.substring("seq", 1, 5)))
+
+
+def matrix_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id, r_id, row, consensus: twelve rows of an alignment for each benchmark sequence."""
+    rows = bench_reads(spark, sf_dir).select("item_id", "seq", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("r_id"))
+    base = lambda n: F.expr(f"substring('ACGT', cast(({n}) % 4 as int) + 1, 1)")
+    pick = lambda cond, a, b: F.when(F.expr(cond), a).otherwise(b)
+    part = lambda at, n: F.substring("seq", at, n)
+    row = F.concat(part(1, 20), base("r_id"), part(22, 19), pick("r_id <= 2", base("r_id + item_id"), part(41, 1)), part(42, 9), pick("r_id <= 5", F.lit("G"), F.lit("-")), part(51, 4), pick("r_id = 3", F.lit("-"), part(55, 1)), F.expr("substring(seq, 56)"))
+    return rows.select("item_id", "r_id", row.alias("row"), F.concat(part(1, 50), F.lit("-"), F.expr("substring(seq, 51)")).alias("consensus"))
+
+
 def exons(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 7).cast("int").alias("chrom"), F.floor(F.col("l_orderkey") / 3).alias("tx"), "l_linenumber")
     return rows.agg(F.min(F.col("l_partkey") * 10).cast("int").alias("exon_start")).select("chrom", "tx", "exon_start", (F.col("exon_start") + 9).alias("exon_end"))

@@ -19,10 +19,13 @@ def bases_of(text: Column) -> Column:
 
 
 def reads_of(documents: DataFrame) -> DataFrame:
-    """Reads from documents: cluster_id is the language, r_id the rank by doc_id, seq its bases, qual by position."""
+    """Reads from documents: cluster_id is the language, r_id the rank by doc_id, seq its bases, qual by position.
+
+    Ids are ranked without their texts, which are joined on afterwards; doc_id says which document a row is.
+    """
     rows = documents.select("doc_id", F.col("lang").alias("cluster_id"), bases_of(F.col("text")).alias("seq"))
-    ranked = rows.withColumn("r_id", F.row_number().over(Window.partitionBy("cluster_id").orderBy("doc_id")))
-    return ranked.withColumn("acc", F.concat(F.lit("doc_"), F.col("doc_id"))).withColumn("qual", cyclic_quality(F.length("seq"))).select("cluster_id", "r_id", "acc", "seq", "qual")
+    ranks = documents.select(F.col("doc_id").alias("id"), F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")).alias("r_id"))
+    return rows.join(ranks, rows["doc_id"] == ranks["id"]).withColumn("acc", F.concat(F.lit("doc_"), F.col("doc_id"))).withColumn("qual", cyclic_quality(F.length("seq"))).select("cluster_id", "r_id", "acc", "seq", "qual")
 
 
 def cyclic_quality(length: Column) -> Column:
@@ -106,9 +109,19 @@ def header_parts(acc: Column) -> list[Column]:
     ]
 
 
-def splice_label(fsm: Column, known: Column, combination: Column, junctions: Column) -> Column:
-    """FSM, NIC, ISM, NNC or NO_SPLICE of a read."""
-    return F.when(junctions == 0, "NO_SPLICE").when(fsm, "FSM").when(known & combination, "NIC").when(known, "ISM").otherwise("NNC")
+def header_origin(acc: Column) -> Column:
+    """The transcript of headers ..._from_TX."""
+    return F.nullif(F.regexp_extract(acc, r"_from_(.+)$", 1), F.lit(""))
+
+
+def header_gene(acc: Column, pattern: str = r"^([A-Za-z]+\d)") -> Column:
+    """The gene of a transcript's name, by a pattern with one group."""
+    return F.nullif(F.regexp_extract(acc, pattern, 1), F.lit(""))
+
+
+def clean_header(acc: Column) -> Column:
+    """A header up to its first space, without ( ) and commas."""
+    return F.translate(F.split_part(acc, F.lit(" "), F.lit(1)), "(),", "")
 
 
 def right_closed_bin(value: Column, edges: list[float]) -> Column:

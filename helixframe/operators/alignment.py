@@ -53,40 +53,51 @@ def infix_distance(pattern: str, text: str) -> int:
     return best
 
 
-def _distance_table(a: str, b: str) -> np.ndarray:
-    y = np.frombuffer(b.encode(), np.uint8)
-    steps = np.arange(len(b) + 1)
-    table = np.empty((len(a) + 1, len(b) + 1), np.int32)
-    table[0] = steps
-    for i, ch in enumerate(a.encode(), 1):
-        above = table[i - 1]
-        new = np.append(i, np.minimum(above[:-1] + (y != ch), above[1:] + 1))
-        table[i] = np.minimum.accumulate(new - steps) + steps
-    return table
-
-
 def path(query: str, target: str) -> tuple[int, str, str]:
     """(distance, gapped query, gapped target) of a global alignment.
 
-    Going back from the end, a base of the query alone is preferred, then one of the target alone, then both.
+    Going back from the end, a base of the query alone is preferred, then one of the target alone, then both. The
+    recurrence of edit_distance() is run with its states kept: bit i of a state says whether row i + 1 of the table is one above
+    the row before it (up), or the column before it (right).
     """
-    table = _distance_table(query, target)
-    i, j, q, t = len(query), len(target), [], []
-    while i or j:
-        here = table[i, j]
-        if i and table[i - 1, j] + 1 == here:
+    if query == target:
+        return 0, query, target
+    where: dict[str, int] = {}
+    for i, ch in enumerate(query):
+        where[ch] = where.get(ch, 0) | 1 << i
+    full = (1 << len(query)) - 1
+    up, down = full, 0
+    ups, rights = [full], [0]
+    for ch in target:
+        eq = where.get(ch, 0)
+        cross = (((eq & up) + up) ^ up) | eq
+        right = down | (full & ~(cross | up))
+        rights.append(right)
+        left = (up & cross) << 1 & full
+        right = (right << 1 | 1) & full
+        x = eq | down
+        up, down = left | (full & ~(x | right)), right & x
+        ups.append(up)
+    i, j, d, q, t = len(query), len(target), 0, [], []
+    while i and j:
+        bit = 1 << (i - 1)
+        if ups[j] & bit:
             i -= 1
             q.append(query[i])
             t.append("-")
-        elif j and table[i, j - 1] + 1 == here:
+            d += 1
+        elif rights[j] & bit:
             j -= 1
             q.append("-")
             t.append(target[j])
+            d += 1
         else:
             i, j = i - 1, j - 1
             q.append(query[i])
             t.append(target[j])
-    return int(table[-1, -1]), "".join(reversed(q)), "".join(reversed(t))
+            d += query[i] != target[j]
+    head, lead = "".join(reversed(q)), "".join(reversed(t))
+    return d + i + j, query[:i] + "-" * j + head, "-" * i + target[:j] + lead
 
 
 def cigar_of(query_aln: str, target_aln: str) -> str:
@@ -101,19 +112,25 @@ def cigar_of(query_aln: str, target_aln: str) -> str:
     return "".join(f"{n}{op}" for n, op in out)
 
 
-def semi_global(a: str, b: str, match: int = 4, mismatch: int = -8, opening: int = 12, extension: int = 1) -> tuple[int, str, str]:
-    """(score, gapped a, gapped b) with affine gaps and free ends in both.
+def affine(a: str, b: str, match: int = 4, mismatch: int = -8, opening: int = 12, extension: int = 1) -> tuple[int, str, str]:
+    """(score, gapped a, gapped b) with affine gaps, from end to end. Ties as in semi_global()."""
+    return semi_global(a, b, match, mismatch, opening, extension, free=False)
+
+
+def semi_global(a: str, b: str, match: int = 4, mismatch: int = -8, opening: int = 12, extension: int = 1, free: bool = True) -> tuple[int, str, str]:
+    """(score, gapped a, gapped b) with affine gaps and, if free, free ends in both.
 
     A gap of n costs opening + (n - 1) * extension. Ties: diagonal, then a base of a alone, then of b alone; a gap is
     extended rather than opened; of equal ends, the first in the last row, else the first in the last column.
     """
     n, m = len(a), len(b)
+    edge = lambda k: 0 if free or not k else -opening - (k - 1) * extension
     if not n or not m:
-        return 0, a + "-" * m, "-" * n + b
+        return edge(n + m), a + "-" * m, "-" * n + b
     y = np.frombuffer(b.encode(), np.uint8)
     low = np.int64(-(10**9))
     cols = np.arange(m + 1, dtype=np.int64)
-    score = np.zeros(m + 1, np.int64)
+    score = np.array([edge(k) for k in range(m + 1)], np.int64)
     gap_b = np.full(m + 1, low)  # best with a base of a alone at the end
     source = np.zeros((n + 1, m + 1), np.uint8)
     longer = np.zeros((n + 1, m + 1), np.uint8)  # bit 0: a's gap goes on, bit 1: b's
@@ -123,9 +140,9 @@ def semi_global(a: str, b: str, match: int = 4, mismatch: int = -8, opening: int
         gap_b = np.maximum(opened, extended)
         gap_b[0] = low
         longer[i] |= (extended >= opened).astype(np.uint8)
-        diagonal = np.append(np.int64(0), score[:-1] + np.where(y == ch, match, mismatch))
+        diagonal = np.append(np.int64(edge(i)), score[:-1] + np.where(y == ch, match, mismatch))
         base = np.maximum(diagonal, gap_b)
-        base[0] = 0
+        base[0] = edge(i)
         # Best gap in b's direction for every column: the best earlier cell, less what the gap costs from there.
         reach = np.maximum.accumulate(base + cols * extension)
         gap_a = np.append(low, reach[:-1] - opening - (cols[1:] - 1) * extension)
@@ -133,11 +150,11 @@ def semi_global(a: str, b: str, match: int = 4, mismatch: int = -8, opening: int
         before = np.append(low, now[:-1] - opening)
         longer[i] |= ((np.append(low, gap_a[:-1] - extension) >= before).astype(np.uint8)) << 1
         source[i] = np.where(diagonal == now, 0, np.where(gap_b == now, 1, 2))
-        now[0] = 0
+        now[0] = edge(i)
         score = now
         last_column[i] = score[-1]
     ends = [(int(score.max()), n, int(score.argmax())), (int(last_column.max()), int(last_column.argmax()), m)]
-    best, i, j = ends[0] if ends[0][0] >= ends[1][0] else ends[1]
+    best, i, j = (ends[0] if ends[0][0] >= ends[1][0] else ends[1]) if free else (int(score[-1]), n, m)
     q, t = [*reversed(a[i:])] if i < n else [], []
     t = ["-"] * len(q)
     if j < m:
@@ -168,48 +185,73 @@ def semi_global(a: str, b: str, match: int = 4, mismatch: int = -8, opening: int
 
 
 class Graph:
-    """Partial-order graph: local alignment with linear gaps, nodes fused on equal bases, heaviest bundle."""
+    """Partial-order graph: local alignment with linear gaps, nodes fused on equal bases, heaviest bundle.
+
+    Nodes that are aligned with each other make a column. Columns are kept in an order in which every edge goes forward: a new
+    column is put before the next one on its sequence's way, so nothing is ever sorted anew.
+    """
 
     def __init__(self, match: int = 5, mismatch: int = -4, gap: int = -2):
         self.match, self.mismatch, self.gap = match, mismatch, gap
         self.base: list[str] = []
         self.into: list[dict[int, int]] = []
-        self.ring: list[list[int]] = []  # nodes aligned with each node
-        self.order: list[int] = []
+        self.columns: list[list[int]] = []
+        self.ways: dict[str, list[int]] = {}
+
+    @property
+    def order(self) -> list[int]:
+        return [v for column in self.columns for v in column]
 
     def _node(self, base: str) -> int:
         self.base.append(base)
         self.into.append({})
-        self.ring.append([])
         return len(self.base) - 1
 
     def _align(self, seq: str) -> list[tuple[int | None, int | None]]:
-        """Pairs (node, position in seq) of the best local alignment."""
+        """Pairs (node, position in seq) of the best local alignment.
+
+        Scores are kept with the cost of a gap along seq added back for each position, so that such a gap is a running maximum.
+        """
+        m, step, order = len(seq), -self.gap, self.order
         s = np.frombuffer(seq.encode(), np.uint8)
-        m, gap, steps = len(seq), self.gap, np.arange(len(seq) + 1) * -self.gap
-        rank = {v: i + 1 for i, v in enumerate(self.order)}
-        table = np.zeros((len(self.order) + 1, m + 1), np.int32)
-        for i, v in enumerate(self.order, 1):
-            gain = np.where(s == ord(self.base[v]), self.match, self.mismatch)
-            row = np.zeros(m + 1, np.int32)
-            for before in [rank[u] for u in self.into[v]] or [0]:
+        floor = np.arange(m + 1, dtype=np.int32) * step
+        gain = {ch: np.where(s == ord(ch), self.match, self.mismatch).astype(np.int32) + step for ch in set(self.base)}
+        rank = dict(zip(order, range(1, len(order) + 1), strict=True))
+        table = np.empty((len(order) + 1, m + 1), np.int32)
+        table[0] = floor
+        over = np.empty(m + 1, np.int32)
+        for i, v in enumerate(order, 1):
+            row, fit = table[i], gain[self.base[v]]
+            first, *more = [rank[u] for u in self.into[v]] or [0]
+            above = table[first]
+            row[0] = 0
+            np.add(above[:-1], fit, out=row[1:])
+            np.subtract(above, step, out=over)
+            np.maximum(row, over, out=row)
+            for before in more:
                 above = table[before]
-                row[1:] = np.maximum(row[1:], np.maximum(above[:-1] + gain, above[1:] + gap))
-            table[i] = np.maximum(np.maximum.accumulate(row + steps) - steps, 0)
-        i, j = np.unravel_index(int(table.argmax()), table.shape)
+                np.add(above[:-1], fit, out=over[1:])
+                np.maximum(row[1:], over[1:], out=row[1:])
+                np.subtract(above, step, out=over)
+                np.maximum(row, over, out=row)
+            np.maximum(row, floor, out=row)
+            np.maximum.accumulate(row, out=row)
+        table -= floor
+        i, j = divmod(int(table.argmax()), m + 1)
+        rows = table.tolist()
         out: list[tuple[int | None, int | None]] = []
-        while i and j and table[i, j] > 0:
-            v, here = self.order[i - 1], table[i, j]
+        while i and j and rows[i][j] > 0:
+            v, here = order[i - 1], rows[i][j]
             befores = [rank[u] for u in self.into[v]] or [0]
-            gain = self.match if self.base[v] == seq[j - 1] else self.mismatch
+            need = here - (self.match if self.base[v] == seq[j - 1] else self.mismatch)
             for before in befores:
-                if table[before, j - 1] + gain == here:
+                if rows[before][j - 1] == need:
                     out.append((v, j - 1))
                     i, j = before, j - 1
                     break
             else:
                 for before in befores:
-                    if table[before, j] + gap == here:
+                    if rows[before][j] + self.gap == here:
                         out.append((v, None))
                         i = before
                         break
@@ -219,78 +261,68 @@ class Graph:
         return out[::-1]
 
     def add(self, seq: str) -> None:
+        """Add a sequence; one that was added before goes the same way again."""
         if not seq:
             return
-        placed: list[int | None] = [None] * len(seq)
-        if self.order:
-            for v, j in self._align(seq):
-                if j is None or v is None:
-                    continue
-                same = [u for u in (v, *self.ring[v]) if self.base[u] == seq[j]]
-                if same:
-                    placed[j] = same[0]
-                else:
-                    new = self._node(seq[j])
-                    self.ring[new] = [v, *self.ring[v]]
-                    for u in self.ring[new]:
-                        self.ring[u].append(new)
-                    placed[j] = new
-        before = None
-        for j, ch in enumerate(seq):
-            v = placed[j] if placed[j] is not None else self._node(ch)
-            if before is not None:
-                self.into[v][before] = self.into[v].get(before, 0) + 2
-            before = v
-        self._sort()
+        if seq not in self.ways:
+            self.ways[seq] = self._way(seq)
+        way = self.ways[seq]
+        for before, v in zip(way, way[1:], strict=False):
+            self.into[v][before] = self.into[v].get(before, 0) + 2
 
-    def _sort(self) -> None:
-        """A topological order in which aligned nodes stand together."""
-        done, order = [False] * len(self.base), []
-        for root in range(len(self.base)):
-            stack = [root]
-            while stack:
-                v = stack[-1]
-                if done[v]:
-                    stack.pop()
-                    continue
-                group = [v, *self.ring[v]]
-                open_ = [u for x in group for u in self.into[x] if not done[u]]
-                if open_:
-                    stack.extend(open_)
-                    continue
-                for x in group:
-                    done[x] = True
-                    order.append(x)
-                stack.pop()
-        self.order = order
+    def _way(self, seq: str) -> list[int]:
+        """The nodes of a sequence; those that it lacks are made."""
+        at = {v: i for i, column in enumerate(self.columns) for v in column}
+        where: list[int | None] = [None] * len(seq)
+        if self.columns:
+            for v, j in self._align(seq):
+                if v is not None and j is not None:
+                    where[j] = at[v]
+        way, fresh, ahead = [], {}, len(self.columns)
+        for j in range(len(seq) - 1, -1, -1):
+            column = where[j]
+            if column is None:
+                fresh.setdefault(ahead, []).append(new := self._node(seq[j]))
+                way.append(new)
+                continue
+            ahead = column
+            same = [u for u in self.columns[column] if self.base[u] == seq[j]]
+            if not same:
+                same = [self._node(seq[j])]
+                self.columns[column].append(same[0])
+            way.append(same[0])
+        if fresh:
+            self.columns = [c for i in range(len(self.columns) + 1) for c in [*([v] for v in reversed(fresh.get(i, []))), *self.columns[i : i + 1]]]
+        return way[::-1]
 
     def consensus(self) -> str:
         """The path of the heaviest edges, carried on from its best node to an end of the graph."""
+        order = self.order
         score, back = [-1] * len(self.base), [-1] * len(self.base)
         out_of: list[list[int]] = [[] for _ in self.base]
-        for v in self.order:
+        for v in order:
             for u, w in self.into[v].items():
                 out_of[u].append(v)
                 if back[v] < 0 or (w, score[u]) >= (self.into[v][back[v]], score[back[v]]):
                     score[v], back[v] = w, u
             if back[v] >= 0:
                 score[v] += score[back[v]]
-        if not self.order:
+        if not order:
             return ""
-        best = max(self.order, key=lambda v: score[v])
+        best = max(order, key=lambda v: score[v])
         while out_of[best]:
             # Carry on: only paths through the best node count from here.
-            rank = {v: i for i, v in enumerate(self.order)}
-            for v in self.order[: rank[best]]:
+            rank = {v: i for i, v in enumerate(order)}
+            for v in order[: rank[best]]:
                 score[v] = -1
-            for v in self.order[rank[best] + 1 :]:
+            for v in order[rank[best] + 1 :]:
                 score[v], back[v] = -1, -1
                 for u, w in self.into[v].items():
                     if score[u] != -1 and (back[v] < 0 or (w, score[u]) >= (self.into[v][back[v]], score[back[v]])):
                         back[v] = u
                 if back[v] >= 0:
                     score[v] = self.into[v][back[v]] + score[back[v]]
-            best = max(self.order[rank[best] + 1 :], key=lambda v: score[v])
+            best = max(order[rank[best] + 1 :], key=lambda v: score[v])
         out = []
         while best >= 0:
             out.append(self.base[best])

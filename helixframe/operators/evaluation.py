@@ -57,13 +57,13 @@ def classify_splices(reads: DataFrame, junctions: DataFrame, annotated: DataFram
     """FSM, NIC, ISM, NNC or NO_SPLICE of every read.
 
     reads: qname; junctions: qname, rname, start, stop of reads; annotated: chrom, tx, start, stop. A read is FSM
-    if its chain of introns is that of a transcript; else, if all junctions are known (as a pair, or both sites), NIC
+    if its chain of introns is that of a transcript; else, if all junctions are known (as a pair, or both ends as ends of any intron), NIC
     if some pair is new and ISM if none is; else NNC.
     """
     pairs = annotated.select(F.col("chrom").alias("rname"), "start", "stop", F.lit(True).alias("pair")).distinct()
-    starts = annotated.select(F.col("chrom").alias("rname"), "start", F.lit(True).alias("left")).distinct()
-    stops = annotated.select(F.col("chrom").alias("rname"), "stop", F.lit(True).alias("right")).distinct()
-    seen = junctions.join(pairs, ["rname", "start", "stop"], "left").join(starts, ["rname", "start"], "left").join(stops, ["rname", "stop"], "left")
+    site = annotated.select(F.col("chrom").alias("rname"), F.explode(F.array("start", "stop")).alias("at")).distinct()
+    left, right = (site.select("rname", F.col("at").alias(c), F.lit(True).alias(n)) for c, n in (("start", "left"), ("stop", "right")))
+    seen = junctions.join(pairs, ["rname", "start", "stop"], "left").join(left, ["rname", "start"], "left").join(right, ["rname", "stop"], "left")
     known = F.coalesce(F.col("pair"), F.lit(False)) | (F.coalesce(F.col("left"), F.lit(False)) & F.coalesce(F.col("right"), F.lit(False)))
     by_read = seen.groupBy("qname", "rname").agg(
         F.count("*").alias("n"), F.bool_and(known).alias("known"), F.bool_or(F.col("pair").isNull()).alias("combination"),
@@ -163,34 +163,34 @@ def redundant(seqs: DataFrame, key: str, seq: str, k: int = 16, both_strands: bo
     """Keys of sequences contained, as they are or (both_strands) as reverse complement, in a longer one or in an equally long one with a smaller key.
 
     A sequence can only be inside those that hold its first k-mer, so the join is on k-mers, not on all pairs;
-    sequences shorter than k are looked for by the k-mers that begin with them through their own length.
+    sequences shorter than k are looked for by as many bases as the shortest one has.
     """
-    lengths = [r[0] for r in seqs.filter(F.length(seq) < k).select(F.length(seq)).distinct().collect()]  # at most k - 1 numbers
-    sizes = sorted({n for n in lengths if n > 0} | {k})
+    short = seqs.filter((F.length(seq) > 0) & (F.length(seq) < k)).agg(F.min(F.length(seq))).first()[0] or k
+    sizes = sorted({short, k})
     strands = F.array_distinct(F.array(F.col(seq), reverse_complement(F.col(seq)))) if both_strands else F.array(F.col(seq))
-    probe = seqs.filter(F.length(seq) > 0).select(F.col(key).alias("a"), F.explode(strands).alias("sa"), F.least(F.length(seq), F.lit(k)).alias("size")).withColumn("mer", F.expr("substring(sa, 1, size)"))
+    probe = seqs.filter(F.length(seq) > 0).select(F.col(key).alias("a"), F.explode(strands).alias("sa"), F.when(F.length(seq) < k, F.lit(short)).otherwise(F.lit(k)).alias("size")).withColumn("mer", F.expr("substring(sa, 1, size)"))
     grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(seq) - n + 1, F.lit(1))), lambda i: F.struct(F.lit(n).alias("size"), F.substring(F.col(seq), i, F.lit(n)).alias("mer")))
     held = seqs.select(F.col(key).alias("b"), F.col(seq).alias("sb"), F.explode(F.array_distinct(F.flatten(F.array(*[grams(n) for n in sizes])))).alias("g")).select("b", "sb", "g.size", "g.mer")
     inside = F.contains("sb", "sa") & ((F.length("sb") > F.length("sa")) | ((F.length("sb") == F.length("sa")) & (F.col("b") < F.col("a"))))
     return probe.join(held, ["size", "mer"]).filter(inside).select(F.col("a").alias(key)).distinct()
 
 
-def nearest(reads: DataFrame, refs: DataFrame, read_key: str, ref_key: str, text: str, ref_text: str, most: int = 1000, ties: bool = False, broadcast_rows: int = 20_000) -> DataFrame:
-    """The reference at the smallest edit distance of every read: first by key, or all ties.
+def nearest(reads: DataFrame, refs: DataFrame, read_key: str, ref_key: str, text: str, ref_text: str, most: int = 1000, ties: bool = False, block_bytes: int = 8_000_000) -> DataFrame:
+    """The reference at the smallest edit distance below `most` of every read: first by key, or all ties.
 
-    Distances are taken between distinct texts. The references are the stated query set: broadcast while there are at
-    most broadcast_rows of them, else dealt with in blocks of that many.
+    Distances are taken between distinct texts. The references are the stated query set: broadcast while their texts take
+    block_bytes at most, else dealt with in blocks of about that.
     """
-    few = refs.select(F.col(ref_key).alias("ref"), F.col(ref_text).alias("rt"))
-    n = few.count()
-    blocks = -(-n // broadcast_rows) if n else 1
+    few = refs.filter(F.col(ref_text).isNotNull()).select(F.col(ref_key).alias("ref"), F.col(ref_text).alias("rt"))
+    size = few.agg(F.sum(F.octet_length("rt") + 16)).first()[0] or 0
+    blocks = int(size // block_bytes) + 1
     texts = reads.select(F.col(text).alias("t")).filter("t is not null").distinct()
     if blocks <= 1:
-        pairs = texts.join(F.broadcast(few), F.levenshtein("t", "rt", most) >= 0)
+        pairs = texts.join(F.broadcast(few), F.levenshtein("t", "rt", most - 1) >= 0)
     else:
         spread = texts.withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        pairs = spread.join(few.withColumn("blk", F.pmod(F.xxhash64("ref"), F.lit(blocks)).cast("int")), "blk").filter(F.levenshtein("t", "rt", most) >= 0)
-    scored = pairs.select("t", "ref", F.levenshtein("t", "rt").alias("ed"))
+        pairs = spread.join(few.withColumn("blk", F.pmod(F.xxhash64("ref"), F.lit(blocks)).cast("int")), "blk").filter(F.levenshtein("t", "rt", most - 1) >= 0)
+    scored = pairs.select("t", "ref", F.levenshtein("t", "rt", most - 1).alias("ed"))
     least = scored.groupBy("t").agg(F.min(F.struct("ed", "ref")).alias("m"))
     chosen = least.select("t", F.col("m.ref").alias("ref"), F.col("m.ed").alias("ed"))
     if ties:

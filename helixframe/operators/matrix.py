@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterable
 from itertools import groupby
 
 from .alignment import edit_distance, path
@@ -87,12 +88,19 @@ def context_windows(consensus_row: str, half: int) -> list[tuple[int, int]]:
     return [(i - reach(consensus_row[:i][::-1], half), i + reach(consensus_row[i + 1 :], half) + 1) for i in range(n)]
 
 
-def frequent_contexts(rows: list[str], windows: list[tuple[int, int]], threshold: float) -> list[list[tuple[str, str, int]]]:
-    """For each column (variant, context, depth) of contexts more frequent than noise: deepest first, then by text."""
+def frequent_contexts(rows: Iterable[str], windows: list[tuple[int, int]], threshold: float) -> list[list[tuple[str, str, int]]]:
+    """For each column (variant, context, depth) of contexts more frequent than noise: deepest first, then by text.
+
+    rows may come counted.
+    """
     least, held, out = max(threshold / 10, 5), {}, []
+    times = rows if isinstance(rows, Counter) else Counter(rows)
     for i, (start, stop) in enumerate(windows):
         if (start, stop) not in held:
-            counts = Counter(r[start:stop] for r in rows)
+            counts: dict[str, int] = {}
+            for r, n in times.items():
+                context = r[start:stop]
+                counts[context] = counts.get(context, 0) + n
             held[start, stop] = sorted(((c, n) for c, n in counts.items() if n > least), key=lambda x: (-x[1], x[0]))
         out.append([(c[i - start], c, n) for c, n in held[start, stop]])
     return out
@@ -134,41 +142,37 @@ def alternatives(consensus_row: str, contexts: list[list[tuple[str, str, int]]],
 
 
 def corrected_rows(rows: dict[object, str], consensus_row: str, k: int, ratio: float) -> dict[object, str]:
-    """Each row's corrected text, without gaps."""
+    """Each row's corrected text, without gaps. Equal rows are corrected once, and only where they differ from the consensus."""
     threshold = max(3, len(rows) * ratio)
     windows = context_windows(consensus_row, k // 2)
-    every = [consensus_row, *rows.values()]
-    others = alternatives(consensus_row, frequent_contexts(every, windows, threshold), windows, threshold)
-    counts = frequencies(list(rows.values()))
+    times = Counter(rows.values())
+    others = alternatives(consensus_row, frequent_contexts(times + Counter([consensus_row]), windows, threshold), windows, threshold)
     known: dict[tuple[str, str], int] = {}
+    depth: dict[tuple[int, str], int] = {}
+    differ = {row: [i for i, (a, b) in enumerate(zip(row, consensus_row, strict=True)) if a != b] for row in times}
+    for row, places in differ.items():
+        for i in places:
+            depth[i, row[i]] = depth.get((i, row[i]), 0) + times[row]
 
     def distance(a: str, b: str) -> int:
         if (a, b) not in known:
             known[a, b] = edit_distance(_bare(a), _bare(b))
         return known[a, b]
 
-    out: dict[object, list[str]] = {key: [] for key in rows}
-    for i, (start, stop) in enumerate(windows):
-        ref, around = consensus_row[i], consensus_row[start:stop]
-        if not others[i] and ref == "-":
-            continue
-        for key, row in rows.items():
-            own, chosen = row[i], ref
-            if own == ref:
-                pass
-            elif others[i]:
-                context = row[start:stop]
-                same = next((v for v, c, _ in others[i] if c == context), None)
-                if same is not None:
-                    # An exact context decides, also over a closer one before it.
-                    chosen = same
-                else:
-                    least = distance(around, context)
-                    for variant, c, _ in others[i]:
-                        if distance(c, context) < least:
-                            least, chosen = distance(c, context), variant
-            elif own != "-" and counts[i][own] >= threshold and row[start:i] == consensus_row[start:i] and row[i + 1 : stop] == consensus_row[i + 1 : stop]:
-                chosen = own
-            if chosen != "-":
-                out[key].append(chosen)
-    return {key: "".join(parts) for key, parts in out.items()}
+    def choose(row: str, i: int) -> str:
+        start, stop = windows[i]
+        ref, own, context = consensus_row[i], row[i], row[start:stop]
+        if others[i]:
+            # An exact context decides, also over a closer one before it; else the nearest one, the consensus first.
+            exact = next((v for v, c, _ in others[i] if c == context), None)
+            return exact if exact is not None else min([(distance(consensus_row[start:stop], context), -1, ref), *((distance(c, context), n, v) for n, (v, c, _) in enumerate(others[i]))])[2]
+        sides = row[start:i] == consensus_row[start:i] and row[i + 1 : stop] == consensus_row[i + 1 : stop]
+        return own if "-" not in (ref, own) and depth[i, own] >= threshold and sides else ref
+
+    done = {}
+    for row, places in differ.items():
+        out = list(consensus_row)
+        for i in places:
+            out[i] = choose(row, i)
+        done[row] = _bare("".join(out))
+    return {key: done[row] for key, row in rows.items()}

@@ -7,12 +7,14 @@ need no shuffle; the anchor index is one aggregation by (cluster, batch, m1, m2)
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
+from itertools import accumulate
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.sequences import kmers, poly_a
 
@@ -22,44 +24,133 @@ MINIMIZERS = "array<struct<kmer:string,pos:int>>"
 def minimizers(seq: str, k: int, w: int, largest: bool = False) -> list[tuple[str, int]]:
     """Lexicographic minimizers (or maximizers) of a sequence, ties in a window to the last.
 
-    The final k-mer is not looked at, and a sequence shorter than a window yields clamped k-mers; both decide which
-    bases are corrected, so they are kept.
+    One stays until its place leaves the window, or a better one comes in. The final k-mer is not looked at, and a sequence
+    shorter than a window yields clamped k-mers; both decide which bases are corrected, so they are kept.
     """
-    span = w - k
-    better = (lambda a, b: a > b) if largest else (lambda a, b: a < b)
-    window: deque[tuple[str, int]] = deque((seq[i : i + k], i) for i in range(span + 1))
-
-    def best() -> tuple[str, int]:
-        chosen = window[0]
-        for item in window:
-            if not better(chosen[0], item[0]):
-                chosen = item
-        return chosen
-
-    current = best()
-    out = [current]
-    for i in range(span + 1, len(seq) - k):
-        gone = window.popleft()
-        window.append((seq[i : i + k], i))
-        if gone[0] == current[0] and current[1] < i - span:
-            current = best()
-            out.append(current)
-        elif better(window[-1][0], current[0]):
-            current = window[-1]
-            out.append(current)
-    return out
+    span, end = w - k, len(seq) - k
+    mers = [seq[i : i + k] for i in range(max(span + 1, end))]
+    pick, better = (max, str.__gt__) if largest else (min, str.__lt__)
+
+    def last(first: int) -> int:
+        window = mers[first : first + span + 1]
+        return first + span - window[::-1].index(pick(window))
+
+    at = last(0)
+    found = [at]
+    for i in range(span + 1, end):
+        if at < i - span:
+            at = last(i - span)
+        elif better(mers[i], mers[at]):
+            at = i
+        else:
+            continue
+        found.append(at)
+    return [(mers[i], i) for i in found]
 
 
 def with_minimizers(reads: DataFrame, k: int, w: int, column: str = "minimizers") -> DataFrame:
-    """reads with their exact minimizers."""
+    """reads with their exact minimizers; a null sequence has none."""
 
-    @F.pandas_udf(MINIMIZERS)
-    def run(seqs: pd.Series) -> pd.Series:
-        return seqs.map(lambda s: [{"kmer": m, "pos": p} for m, p in minimizers(s or "", k, w)])
+    @F.arrow_udf(MINIMIZERS)
+    def run(seqs: pa.Array) -> pa.Array:
+        found = [[] if s is None else minimizers(s, k, w) for s in seqs.to_pylist()]
+        offsets = pa.array(list(accumulate(map(len, found), initial=0)), pa.int32())
+        flat = [x for xs in found for x in xs]
+        made = pa.StructArray.from_arrays([pa.array([x[0] for x in flat], pa.string()), pa.array([x[1] for x in flat], pa.int32())], ["kmer", "pos"])
+        return pa.ListArray.from_arrays(offsets, made)
 
     return reads.withColumn(column, run("seq"))
 
 
+#: Bases in their order as text, by three bits each.
+_ORDER = "-ACGNTU"
+
+
+def _window_places(codes: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """(value, place) of the rightmost smallest k-mer of every full window, each place once."""
+    n = len(codes) - k + 1
+    value = np.zeros(n, np.int64)
+    for i in range(k):
+        value = value * 8 + codes[i : i + n]
+    both = (value << 32) | ((1 << 32) - 1 - np.arange(n))
+    span, size = w - k + 1, 1
+    while size < span:  # sliding minimum by doubling
+        step = min(size, span - size)
+        both = np.minimum(both[:-step], both[step:])
+        size += step
+    place = (1 << 32) - 1 - (both & ((1 << 32) - 1))
+    new = np.append(True, place[1:] != place[:-1])
+    return (both >> 32)[new], place[new]
+
+
+def anchor_text(key: Column, k: int) -> Column:
+    """The k-mer of a number of three bits a base."""
+    return F.translate(F.lpad(F.conv(key.cast("string"), 10, 8), k, "0"), "0123456", _ORDER)
+
+
+def anchor_counts(reads: DataFrame, k: int, w: int, low: int, high: int) -> DataFrame:
+    """cluster_id, m1, m2, occurrences, reads of the anchor pairs of window minimizers: a row for each anchor of a cluster."""
+    found = anchor_keys(reads, k, w, low, high, by_read=False)
+    sums = found.groupBy("cluster_id", "key").agg(F.sum("occurrences").alias("occurrences"), F.sum("reads").alias("reads"))
+    return sums.select("cluster_id", anchor_text(F.shiftright("key", 30), k).alias("m1"), anchor_text(F.col("key").bitwiseAND((1 << 30) - 1), k).alias("m2"), "occurrences", "reads")
+
+
+def anchor_keys(reads: DataFrame, k: int, w: int, low: int, high: int, by_read: bool = True) -> DataFrame:
+    """cluster_id, r_id, key, occurrences, reads (1) of every read's anchors; without by_read, added up for each Arrow batch, r_id null.
+
+    A key is both k-mers as numbers of three bits a base, 30 bits each, so k is at most 10. Other signs than bases count as
+    the lowest one.
+    """
+    if k > 10:
+        raise ValueError("k must be at most 10")
+    table = np.zeros(256, np.int64)
+    for i, ch in enumerate(_ORDER):
+        table[ord(ch)] = i
+    tail = int("1" * k, 8)
+    kind = reads.schema["cluster_id"].dataType
+
+    def run(batches):
+        for batch in batches:
+            clusters, ids = batch.column(0).dictionary_encode(), batch.column(1)
+            number = clusters.indices.to_numpy(zero_copy_only=False)
+            of, keys, counts, which = [], [], [], []
+            for i, seq in enumerate(batch.column(2)):
+                text = seq.as_py()
+                if text is None or len(text) < w:
+                    continue
+                value, place = _window_places(table[np.frombuffer(text.encode("ascii", "replace"), np.uint8)], k, w)
+                a, b = np.searchsorted(place, place + low, "right"), np.searchsorted(place, place + high, "right")
+                n = b - a
+                first = np.repeat(np.arange(len(place)), n)
+                second = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                m1, m2 = value[first], value[second]
+                key, count = np.unique(((m1 << 30) | m2)[(m1 != tail) | (m2 != tail)], return_counts=True)
+                of.append(np.full(len(key), -1 if np.isnan(number[i]) else number[i], np.int64))
+                keys.append(key)
+                counts.append(count)
+                which.append(np.full(len(key), i))
+            if not keys:
+                continue
+            if by_read:
+                row = pa.array(np.concatenate(which))
+                ones = pa.array(np.ones(len(row), np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), ids.take(row), pa.array(np.concatenate(keys)), pa.array(np.concatenate(counts)), ones], names)
+                continue
+            of, keys, counts = (np.concatenate(x) for x in (of, keys, counts))
+            order = np.lexsort((keys, of))
+            of, keys, counts = of[order], keys[order], counts[order]
+            first = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (keys[1:] != keys[:-1]))[: len(keys)])
+            if not len(first):
+                continue
+            group = clusters.dictionary.take(pa.array(of[first], mask=of[first] < 0))
+            sums = np.add.reduceat(counts, first)
+            yield pa.RecordBatch.from_arrays([group, pa.nulls(len(first), pa.int32()), pa.array(keys[first]), pa.array(sums), pa.array(np.diff(np.append(first, len(keys))))], names)
+
+    schema = T.StructType([T.StructField("cluster_id", kind), T.StructField("r_id", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in ("key", "occurrences", "reads")]])
+    names = schema.names
+    return reads.select("cluster_id", F.col("r_id").cast("int").alias("r_id"), "seq").mapInArrow(run, schema)
+
+
 def window_minimizer_array(seq: Column, k: int, w: int) -> Column:
     """Rightmost smallest k-mer of every full window, each position once: array of (kmer, neg), neg = -pos. No shuffle."""
     n = w - k + 1

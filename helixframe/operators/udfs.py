@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.params import Params
 from .alignment import cigar_of, consensus, infix_distance, path, semi_global
-from .correction import guarded, schedule
-from .seeds import iterate_pairs, minimizers
+from .correction import guarded, schedule, stitch
+from .matrix import context_windows, corrected_rows, multialignment, positioned
+from .seeds import iterate_pairs, minimizers, with_batches
 
 
 def _struct(**fields: T.DataType) -> T.StructType:
@@ -30,6 +32,12 @@ def affine_udf(query: pd.Series, target: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([semi_global(q, t) for q, t in zip(query, target, strict=True)], columns=["score", "query_aln", "target_aln"])
 
 
+@F.pandas_udf(_struct(score=T.IntegerType(), query_aln=T.StringType(), target_aln=T.StringType()))
+def gentle_udf(query: pd.Series, target: pd.Series) -> pd.DataFrame:
+    """Semi-global alignment of two columns with small gap costs."""
+    return pd.DataFrame([semi_global(q, t, 2, -2, 2, 1) for q, t in zip(query, target, strict=True)], columns=["score", "query_aln", "target_aln"])
+
+
 @F.pandas_udf(T.IntegerType())
 def infix_udf(pattern: pd.Series, text: pd.Series) -> pd.Series:
     """Fewest edits of the pattern against an infix of the text."""
@@ -42,9 +50,14 @@ def guard_udf(orig: pd.Series, corrected: pd.Series) -> pd.Series:
     return pd.Series([guarded(*semi_global(o, c)[1:]) for o, c in zip(orig, corrected, strict=True)])
 
 
-def poa_by(reads: DataFrame, key: str) -> DataFrame:
-    """Partial-order consensus of the reads of every group, in the order of r_id: key, reads, consensus."""
+def poa_by(reads: DataFrame, key: str, limit: int = Params.consensus_limit) -> DataFrame:
+    """Partial-order consensus of the reads of every group, in the order of r_id: key, reads, consensus.
+
+    The first limit + 1 reads of a group make its consensus, so what one task holds is bounded; `reads` is their number.
+    """
     kind = reads.schema[key].dataType.simpleString()
+    order = Window.partitionBy(key).orderBy("r_id", "seq")
+    reads = reads.select(key, "r_id", "seq").withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= limit + 1).drop("__rank")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("r_id")
@@ -85,20 +98,55 @@ def register(spark) -> None:
     spark.udtf.register("anchors", Anchors)
 
 
-def multialign_by(reads: DataFrame, key: str, k: int = 9, ratio: float = 0.1) -> DataFrame:
-    """The reads of every group in one alignment with their consensus: key, r_id (0: the consensus), row, corrected."""
-    from .matrix import corrected_rows, multialignment, positioned
+def multialign_by(reads: DataFrame, key: str, k: int = 9, ratio: float = 0.1, batch: int = Params.batch_size) -> DataFrame:
+    """The reads of every group in one alignment with their consensus: key, r_id (0: the consensus), row, corrected.
 
+    r_id counts from 1; a group is aligned in batches of `batch` reads, each with a consensus of its own.
+    """
     kind = reads.schema[key].dataType.simpleString()
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("r_id")
         texts = dict(zip(group["r_id"].tolist(), group["seq"].fillna("").tolist(), strict=True))
-        center = consensus(list(texts.values()))
+        center = consensus(list(texts.values())[: Params.consensus_limit + 1])
         rows: dict[object, list[str]] = {0: positioned(center, center)}
-        rows |= {r: positioned(*path(t, center)[1:]) for r, t in texts.items()}
+        known: dict[str, list[str]] = {}
+        for r, t in texts.items():
+            if t not in known:
+                known[t] = positioned(*path(t, center)[1:])
+            rows[r] = known[t]
         matrix = multialignment(rows)
         done = corrected_rows({r: x for r, x in matrix.items() if r != 0}, matrix[0], k, ratio)
         return pd.DataFrame({key: group[key].iloc[0], "r_id": list(matrix), "row": list(matrix.values()), "corrected": [center if r == 0 else done[r] for r in matrix]})
 
-    return reads.groupBy(key).applyInPandas(run, f"`{key}` {kind}, r_id int, row string, corrected string")
+    return with_batches(reads, batch).groupBy(key, "batch_id").applyInPandas(run, f"`{key}` {kind}, r_id int, row string, corrected string")
+
+
+@F.pandas_udf(T.ArrayType(_struct(start=T.IntegerType(), stop=T.IntegerType())))
+def windows_udf(row: pd.Series, half: pd.Series) -> pd.Series:
+    """[start, stop) of the context of every column of a gapped row."""
+    return pd.Series([[{"start": a, "stop": b} for a, b in context_windows(x, int(h))] for x, h in zip(row, half, strict=True)])
+
+
+@F.pandas_udf(T.StringType())
+def stitch_udf(seq: pd.Series, parts: pd.Series) -> pd.Series:
+    """A read with the parts (start, stop, text) put in, in order."""
+    return pd.Series([stitch(s, [(x["start"], x["stop"], x["text"]) for x in xs]) for s, xs in zip(seq, parts, strict=True)])
+
+
+@F.pandas_udf(T.StringType())
+def guard_rows_udf(orig: pd.Series, corrected: pd.Series) -> pd.Series:
+    """The structural guard on two gapped rows of one alignment."""
+    return pd.Series([guarded(o, c) for o, c in zip(orig, corrected, strict=True)])
+
+
+def columns_by(rows: DataFrame, key: str, consensus_row: str = "consensus", k: int = 9, ratio: float = 0.1) -> DataFrame:
+    """key, r_id, corrected: the column rules on rows (key, r_id, row) of one alignment, whose consensus row is a column."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("r_id")
+        done = corrected_rows(dict(zip(group["r_id"].tolist(), group["row"].tolist(), strict=True)), group[consensus_row].iloc[0], k, ratio)
+        return pd.DataFrame({key: group[key].iloc[0], "r_id": list(done), "corrected": list(done.values())})
+
+    return rows.groupBy(key).applyInPandas(run, f"`{key}` {kind}, r_id int, corrected string")

@@ -11,7 +11,8 @@ class Params:
 
     exact: reads don't reuse regions that were corrected with another read; forced for clusters of at most
     exact_limit reads. batch_size reads of a cluster are corrected together; consensus_limit bounds the segments of a
-    consensus (one more is admitted). dynamic_window sets w from the size of the batch.
+    consensus (one more is admitted). dynamic_window sets w from the size of the batch. aligner: unit aligns segments by edit
+    distance, affine globally with affine gaps.
     """
 
     k: int = 9
@@ -25,12 +26,15 @@ class Params:
     consensus_limit: int = 200
     dynamic_window: bool = False
     guard_run: int = 10
+    aligner: str = "unit"
 
     def __post_init__(self) -> None:
         if not 1 <= self.k <= self.w <= 100:
             raise ValueError("1 <= k <= w <= 100 is needed")
         if self.batch_size < 1 or self.consensus_limit < 0 or not 0 <= self.ratio <= 1:
             raise ValueError("batch_size, consensus_limit or ratio out of range")
+        if self.aligner not in ("unit", "affine"):
+            raise ValueError("aligner must be unit or affine")
 
     @property
     def low(self) -> int:

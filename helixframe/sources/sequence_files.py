@@ -6,10 +6,11 @@ FASTQ need a parser with state; it runs on whole files, which are the unit of a
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 READS = "path string, r_id int, acc string, seq string, qual string"
@@ -45,7 +46,10 @@ def _record(header: str, seq: list[str], qual: list[str] | None) -> tuple[str, s
 
 
 def read_sequences(spark: SparkSession, path: str, header: str = "full") -> DataFrame:
-    """path, r_id (from 1 within a file), acc, seq, qual. header: full, word (to the first space) or stem (to the first space or _)."""
+    """path, r_id (from 1 within a file), acc, seq, qual.
+
+    header: full, word (to the first space), stem (to the first space or _) or clean (to the first space, without brackets and commas).
+    """
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -56,7 +60,14 @@ def read_sequences(spark: SparkSession, path: str, header: str = "full") -> Data
     out = files.mapInPandas(run, READS)
     if header == "full":
         return out
-    return out.withColumn("acc", F.split_part("acc", F.lit("_"), F.lit(1)) if header == "stem" else F.regexp_extract("acc", "^([^_]*)", 1))
+    word = F.split_part("acc", F.lit("_"), F.lit(1))
+    return out.withColumn("acc", F.translate(word, "(),", "") if header == "clean" else word)
+
+
+def read_accessions(spark: SparkSession, path: str, pattern: str = r"transcript:([A-Za-z0-9]+)") -> DataFrame:
+    """The distinct accessions (acc) that a pattern with one group finds in the lines of a file, all of a line's."""
+    found = spark.read.text(path).select(F.explode(F.regexp_extract_all("value", F.lit(pattern), F.lit(1))).alias("acc"))
+    return found.filter("acc <> ''").distinct()
 
 
 def read_clusters(spark: SparkSession, folder: str) -> DataFrame:
@@ -104,9 +115,13 @@ def fastq_record(acc: Column, seq: Column, qual: Column) -> Column:
     return F.concat(F.lit("@"), acc, F.lit("\n"), seq, F.lit("\n+\n"), qual)
 
 
-def write_fastq(reads: DataFrame, path: str) -> None:
-    """Reads as FASTQ, a folder for each cluster, in the order of r_id within a file."""
-    rows = reads.repartition("cluster_id").sortWithinPartitions("cluster_id", "r_id")
+def write_fastq(reads: DataFrame, path: str, by_name: int = 0) -> None:
+    """Reads as FASTQ, a folder for each cluster, in the order of r_id within a file.
+
+    With by_name, the size of a batch, batches follow each other in the order of their number as text: 0, 1, 10, 2.
+    """
+    order = [F.floor((F.col("r_id") - 1) / by_name).cast("string")] if by_name else []
+    rows = reads.repartition("cluster_id").sortWithinPartitions("cluster_id", *order, "r_id")
     rows.select("cluster_id", fastq_record(F.col("acc"), F.col("seq"), F.col("qual")).alias("value")).write.partitionBy("cluster_id").text(path)
 
 
@@ -114,9 +129,40 @@ def write_fasta(seqs: DataFrame, path: str) -> None:
     seqs.select(F.concat(F.lit(">"), "acc", F.lit("\n"), "seq").alias("value")).write.text(path)
 
 
-def write_results(df: DataFrame, path: str) -> None:
-    """Result rows as CSV with a header."""
-    df.write.option("header", True).csv(path)
+#: Columns of the published result files, in order. Fixed values.
+RESULTS = {
+    "per_read_genome": "acc,read_type,ins,del,subs,matches,error_rate,read_length,aligned_length,cluster_size,is_unaligned_in_other_method,tot_splices,read_sm_junctions,read_nic_junctions,fsm,nic,ism,nnc,no_splices,donor_acceptors,donor_acceptors_choords,transcript_fsm_id,chr_id,reference_start,reference_end,sam_flag",
+    "per_read_transcriptome": "acc,read_type,ins,del,subs,matches,error_rate,read_length,aligned_length,chr_id",
+    "error_profile": "read,read_length,err,ins,del,subs,matches,err_rate,type,transcript_cov,gene_cov,gene_fam_cov",
+    "perturbation": "id,type,Depth,p,q_acc,r_acc,total_errors,error_rate,abundance,preserved,minor",
+    "location_stability": "nr_reads,nr_isoforms,is_overcorrected",
+    "aligned_coverage": "transcript,type,depth",
+}
+
+
+def write_results(df: DataFrame, path: str, kind: str | None = None) -> None:
+    """Result rows as CSV with a header; of a published kind with just its columns, which df must have."""
+    (df.select(*RESULTS[kind].split(",")) if kind else df).write.option("header", True).csv(path)
+
+
+def annotation(spark: SparkSession, path: str, make: Callable[[], DataFrame] | None = None) -> DataFrame:
+    """Introns (chrom, tx, start, stop) kept at a path: read from there, or made, written and read where there are none yet."""
+    schema = "chrom string, tx string, start int, stop int"
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        if make is None:
+            raise
+    made = make()
+    made.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in schema.split(", ")]).write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def observed(reads: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """reads, and an observation of them: rows, bases, and rows with signs that are no bases, counted while they pass."""
+    seen = Observation(name)
+    odd = F.col("seq").rlike("[^ACGTUN-]")
+    return reads.observe(seen, F.count(F.lit(1)).alias("reads"), F.sum(F.length("seq")).alias("bases"), F.count_if(odd).alias("odd")), seen
 
 
 def unfinished(reads: DataFrame, finished: DataFrame) -> DataFrame:
