@@ -63,9 +63,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def sieve(df: DataFrame, column: str) -> DataFrame:
-    """A bitmap of hashes of a column, of bounded size, as (bucket, bitmap): for sifted()."""
+    """A bitmap of hashes of a column, of bounded size, as (bucket, bitmap): for sifted().
+
+    Bits are dealt out by their bucket before they are put together, so a row of the shuffle is a number, not a bitmap.
+    """
     at = F.pmod(F.xxhash64(column), F.lit(1 << SIEVE_BITS))
-    return df.select(F.shiftright(at, 15).alias("bucket"), at.bitwiseAND(32767).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+    return df.select(F.shiftright(at, 15).alias("bucket"), at.bitwiseAND(32767).alias("bit")).repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
 
 
 def sifted(df: DataFrame, column: str, marks: DataFrame) -> DataFrame:
