@@ -9,33 +9,52 @@ from __future__ import annotations
 import numpy as np
 
 
-def edit_distance(a: str, b: str, most: int | None = None) -> int:
-    """Unit edit distance, -1 if above most. Myers' bit-parallel recurrence on one big integer for a."""
-    if a == b:
-        return 0
-    if not a or not b:
-        d = max(len(a), len(b))
+class Pattern:
+    """A text to take edit distances from: Myers' bit-parallel recurrence on one big integer, with its masks kept."""
+
+    def __init__(self, text: str):
+        self.text, self.where = text, {}
+        for i, ch in enumerate(text):
+            self.where[ch] = self.where.get(ch, 0) | 1 << i
+
+    def distance(self, other: str, most: int | None = None) -> int:
+        """Unit edit distance, -1 if above most. What both texts begin and end with costs nothing and is left out."""
+        a, b = self.text, other
+        if a == b:
+            return 0
+        shared, head, tail = min(len(a), len(b)), 0, 0
+        while head < shared and a[head] == b[head]:
+            head += 1
+        shared -= head
+        while tail < shared and a[-1 - tail] == b[-1 - tail]:
+            tail += 1
+        n, rest = len(a) - head - tail, b[head : len(b) - tail]
+        d = n
+        if not n or not rest:
+            d = max(n, len(rest))
+        else:
+            full, top = (1 << n) - 1, 1 << (n - 1)
+            masks = {ch: (self.where.get(ch, 0) >> head) & full for ch in set(rest)}
+            up, down = full, 0
+            for ch in rest:
+                eq = masks[ch]
+                x = eq | down
+                cross = (((eq & up) + up) ^ up) | eq
+                right = down | (full & ~(cross | up))
+                left = up & cross
+                if right & top:
+                    d += 1
+                elif left & top:
+                    d -= 1
+                right = right << 1 | 1
+                up = (left << 1 | ~(x | right)) & full
+                down = right & x
         return -1 if most is not None and d > most else d
-    where: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        where[ch] = where.get(ch, 0) | 1 << i
-    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    up, down, d = full, 0, len(a)
-    for ch in b:
-        eq = where.get(ch, 0)
-        x = eq | down
-        cross = (((eq & up) + up) ^ up) | eq
-        right_up = down | (full & ~(cross | up))
-        right_down = up & cross
-        if right_up & top:
-            d += 1
-        elif right_down & top:
-            d -= 1
-        right_up = (right_up << 1 | 1) & full
-        right_down = (right_down << 1) & full
-        up = right_down | (full & ~(x | right_up))
-        down = right_up & x
-    return -1 if most is not None and d > most else d
+
+
+def edit_distance(a: str, b: str, most: int | None = None) -> int:
+    """Unit edit distance, -1 if above most."""
+    return 0 if a == b else Pattern(a).distance(b, most)
 
 
 def infix_distance(pattern: str, text: str) -> int:
@@ -128,30 +147,35 @@ def semi_global(a: str, b: str, match: int = 4, mismatch: int = -8, opening: int
     if not n or not m:
         return edge(n + m), a + "-" * m, "-" * n + b
     y = np.frombuffer(b.encode(), np.uint8)
-    low = np.int64(-(10**9))
-    cols = np.arange(m + 1, dtype=np.int64)
+    gain = {ch: np.where(y == ord(ch), match, mismatch).astype(np.int64) for ch in set(a)}
+    low = -(10**9)
+    along = np.arange(m + 1, dtype=np.int64) * extension
+    opened_at = opening + along[:-1]
     score = np.array([edge(k) for k in range(m + 1)], np.int64)
-    gap_b = np.full(m + 1, low)  # best with a base of a alone at the end
+    gap_b = np.full(m + 1, low, np.int64)  # best with a base of a alone at the end
+    gap_a, diagonal, base, now, room = (np.full(m + 1, low, np.int64) for _ in range(5))
     source = np.zeros((n + 1, m + 1), np.uint8)
-    longer = np.zeros((n + 1, m + 1), np.uint8)  # bit 0: a's gap goes on, bit 1: b's
+    longer_a, longer_b = np.ones((n + 1, m + 1), bool), np.zeros((n + 1, m + 1), bool)
     last_column = np.zeros(n + 1, np.int64)
-    for i, ch in enumerate(a.encode(), 1):
-        opened, extended = score - opening, gap_b - extension
-        gap_b = np.maximum(opened, extended)
+    for i, ch in enumerate(a, 1):
+        np.subtract(score, opening, out=room)
+        gap_b -= extension
+        np.greater_equal(gap_b, room, out=longer_b[i])
+        np.maximum(gap_b, room, out=gap_b)
         gap_b[0] = low
-        longer[i] |= (extended >= opened).astype(np.uint8)
-        diagonal = np.append(np.int64(edge(i)), score[:-1] + np.where(y == ch, match, mismatch))
-        base = np.maximum(diagonal, gap_b)
+        diagonal[0] = edge(i)
+        np.add(score[:-1], gain[ch], out=diagonal[1:])
+        np.maximum(diagonal, gap_b, out=base)
         base[0] = edge(i)
         # Best gap in b's direction for every column: the best earlier cell, less what the gap costs from there.
-        reach = np.maximum.accumulate(base + cols * extension)
-        gap_a = np.append(low, reach[:-1] - opening - (cols[1:] - 1) * extension)
-        now = np.maximum(base, gap_a)
-        before = np.append(low, now[:-1] - opening)
-        longer[i] |= ((np.append(low, gap_a[:-1] - extension) >= before).astype(np.uint8)) << 1
-        source[i] = np.where(diagonal == now, 0, np.where(gap_b == now, 1, 2))
-        now[0] = edge(i)
-        score = now
+        np.add(base, along, out=room)
+        np.maximum.accumulate(room, out=room)
+        np.subtract(room[:-1], opened_at, out=gap_a[1:])
+        np.maximum(base, gap_a, out=now)
+        np.subtract(now, opening - extension, out=room)
+        np.greater_equal(gap_a[:-1], room[:-1], out=longer_a[i, 1:])
+        source[i] = (diagonal != now) * (2 - (gap_b == now))
+        score, now = now, score
         last_column[i] = score[-1]
     ends = [(int(score.max()), n, int(score.argmax())), (int(last_column.max()), int(last_column.argmax()), m)]
     best, i, j = (ends[0] if ends[0][0] >= ends[1][0] else ends[1]) if free else (int(score[-1]), n, m)
@@ -170,12 +194,12 @@ def semi_global(a: str, b: str, match: int = 4, mismatch: int = -8, opening: int
                 continue
             state = int(step)
         if state == 1:
-            state = 1 if longer[i, j] & 1 else 0
+            state = 1 if longer_b[i, j] else 0
             i -= 1
             q.append(a[i])
             t.append("-")
         else:
-            state = 2 if longer[i, j] & 2 else 0
+            state = 2 if longer_a[i, j] else 0
             j -= 1
             q.append("-")
             t.append(b[j])
