@@ -126,7 +126,8 @@ def links(docs: DataFrame, ident: str = "doc_id", text: str = "text", edits: int
     if per <= edits:
         raise ValueError("every segment needs a character")
     sized = lines(docs, ident, text).withColumn("len", F.length("line")).filter(F.col("len") >= per)
-    rows = sized.select("h", F.explode(keys("line", "len", edits, per)).alias("key")).select("h", "key.k", "key.own").filter(F.col("k").isNotNull())
+    # The outer form: for the plain one the optimizer infers a filter that makes all keys twice.
+    rows = sized.select("h", F.explode_outer(keys("line", "len", edits, per)).alias("key")).select("h", "key.k", "key.own").filter(F.col("k").isNotNull())
     shares = rows.groupBy("k").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("own").alias("any")).filter("lo <> hi and any").select("k")
     shares = shared.cut(shares, "met-keys")
     found = shared.sifted(rows, "k", shared.sieve(shares, "k")).groupBy("k", "h").agg(F.max("own").alias("own"))
