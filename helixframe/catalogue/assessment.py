@@ -549,11 +549,11 @@ def accuracy_paired(spark, sf_dir):
 
 @query("ambiguity_filter")
 def ambiguity_filter(spark, sf_dir):
-    """Reads whose distances to two references, as infixes either way, differ by two edits or more."""
+    """Reads whose distances to two references, as infixes either way, differ at all."""
     reads, refs = _perturbed(spark, sf_dir)
     one = refs.filter("ref < 1000000").select(F.col("ref").alias("item_id"), F.col("seq").alias("one"))
     two = refs.filter("ref >= 1000000").select((F.col("ref") - 1000000).alias("item_id"), F.col("seq").alias("two"))
-    return A.unambiguous(reads.join(one, "item_id").join(two, "item_id"), "seq", "one", "two", 2).select("acc", "ed_one", "ed_two")
+    return A.unambiguous(reads.join(one, "item_id").join(two, "item_id"), "seq", "one", "two", 1).select("acc", "ed_one", "ed_two")
 
 
 @query("tie_refinement")
