@@ -53,7 +53,7 @@ def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
 
 
 def keys(line: str, length: str, edits: int, per: int) -> Column:
-    """Keys of a line: struct(k, own), null where the other line would be too short. own keys are those of its own segments, which are probes as well."""
+    """Keys of a line, null where the other line would be too short; the lowest bit is set in those of its own segments, which are probes as well."""
     out = []
     for delta in range(edits + 1):
         short = F.col(length) - delta
@@ -61,7 +61,7 @@ def keys(line: str, length: str, edits: int, per: int) -> Column:
             start, size = _segment(short, i, edits)
             for shift in range(max(-i, delta - (edits - i)), min(i, delta + (edits - i)) + 1):
                 key = F.when(short >= per * max(1, delta), F.xxhash64(short.cast("int"), F.lit(i), F.substring(F.col(line), start + shift, size)))
-                out.append(F.struct(key.alias("k"), F.lit(delta == 0 and shift == 0).alias("own")))
+                out.append(key.bitwiseOR(F.lit(1).cast("long")) if delta == 0 and shift == 0 else key.bitwiseAND(F.lit(-2).cast("long")))
     return F.array(*out)
 
 
@@ -127,7 +127,10 @@ def links(docs: DataFrame, ident: str = "doc_id", text: str = "text", edits: int
         raise ValueError("every segment needs a character")
     sized = lines(docs, ident, text).withColumn("len", F.length("line")).filter(F.col("len") >= per)
     # The outer form: for the plain one the optimizer infers a filter that makes all keys twice.
-    rows = sized.select("h", F.explode_outer(keys("line", "len", edits, per)).alias("key")).select("h", "key.k", "key.own").filter(F.col("k").isNotNull())
+    rows = sized.select("h", F.explode_outer(keys("line", "len", edits, per)).alias("key")).filter(F.col("key").isNotNull())
+    # Making keys costs far more than reading them, and they are read twice.
+    rows = shared.cut(rows, "line-keys", "none")
+    rows = rows.select("h", F.col("key").bitwiseAND(F.lit(-2).cast("long")).alias("k"), (F.col("key").bitwiseAND(F.lit(1).cast("long")) == 1).alias("own"))
     shares = rows.groupBy("k").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("own").alias("any")).filter("lo <> hi and any").select("k")
     shares = shared.cut(shares, "met-keys")
     found = shared.sifted(rows, "k", shared.sieve(shares, "k")).groupBy("k", "h").agg(F.max("own").alias("own"))

@@ -63,25 +63,26 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def sieve(df: DataFrame, column: str) -> DataFrame:
-    """A bitmap of hashes of a column, of bounded size, as (bucket, bitmap: 512 numbers of 64 bits): for sifted().
+    """A bitmap of hashes of a column, of bounded size, as (bucket, bitmap: 64 numbers of 64 bits): for sifted().
 
-    What is shuffled are bits and numbers, not bitmaps; only 2048 rows are left at the end.
+    What is shuffled are numbers, not bitmaps; at most 16384 rows are left at the end.
     """
     at = F.pmod(F.xxhash64(column), F.lit(1 << SIEVE_BITS))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int"))
-    numbers = df.select(F.shiftright(at, 15).alias("bucket"), F.shiftright(at, 6).bitwiseAND(511).cast("int").alias("n"), bit.alias("bit")).groupBy("bucket", "n").agg(F.bit_or("bit").alias("bits"))
+    numbers = df.select(F.shiftright(at, 12).alias("bucket"), F.shiftright(at, 6).bitwiseAND(63).cast("int").alias("n"), bit.alias("bit")).groupBy("bucket", "n").agg(F.bit_or("bit").alias("bits"))
     held = F.map_from_entries(F.collect_list(F.struct("n", "bits")))
     whole = numbers.groupBy("bucket").agg(held.alias("held"))
-    return whole.select("bucket", F.transform(F.sequence(F.lit(0), F.lit(511)), lambda n: F.coalesce(F.try_element_at("held", n), F.lit(0).cast("long"))).alias("bitmap"))
+    return whole.select("bucket", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda n: F.coalesce(F.try_element_at("held", n), F.lit(0).cast("long"))).alias("bitmap"))
 
 
-def sifted(df: DataFrame, column: str, marks: DataFrame) -> DataFrame:
-    """Rows of df whose value may be in the sieve. All that are stay; what else stays costs only time."""
+def sifted(df: DataFrame, column: str, marks: DataFrame, inside: bool = True) -> DataFrame:
+    """Rows of df whose value may be in the sieve: all that are stay, what else stays costs only time. Or the others, which certainly aren't."""
     at = F.pmod(F.xxhash64(column), F.lit(1 << SIEVE_BITS))
     names = fresh(df.columns, "bucket", "bitmap")
-    number = F.get(F.col(names[1]), F.shiftright(at, 6).bitwiseAND(511).cast("int"))
-    there = F.call_function("shiftright", number, at.bitwiseAND(63).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
-    return df.join(F.broadcast(marks.toDF(*names)), F.shiftright(at, 15) == F.col(names[0])).filter(there).select(*columns(df))
+    number = F.get(F.col(names[1]), F.shiftright(at, 6).bitwiseAND(63).cast("int"))
+    there = F.coalesce(F.call_function("shiftright", number, at.bitwiseAND(63).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1, F.lit(False))
+    joined = df.join(F.broadcast(marks.toDF(*names)), F.shiftright(at, 12) == F.col(names[0]), "inner" if inside else "left")
+    return joined.filter(there if inside else ~there).select(*columns(df))
 
 
 def fresh(taken: list[str], *names: str) -> list[str]:
