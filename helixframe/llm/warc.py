@@ -11,7 +11,7 @@ the others revisit it; records with smaller payloads are all responses.
 Defined cases: null html is an empty payload; a null url is an empty target; line ends in a url become spaces;
 rows with equal ids and payloads are all responses if their id is the largest; rows without an id are
 responses if no row with an id shares the payload, else they revisit; an empty table gives an empty archive; other
-columns are ignored. Equal payloads are merged before they are shuffled. A record's header says in which of its payload's
+columns are ignored. Only payloads that several rows have are shuffled on writing, merged before that. A record's header says in which of its payload's
 parts it is put together, PART_RECORDS to a part, so a payload that a third of the pages share is joined in many tasks.
 """
 
@@ -64,8 +64,12 @@ def build(pages: DataFrame, ident: str = "page_id", url: str = "url", html: str
         F.lit("\r\n"),
     )
     headers = placed.select("address", F.pmod(F.xxhash64("id"), "parts").alias("part"), header.cast("binary").alias("header"))
-    payloads = rows.groupBy("address").agg(F.first("payload").alias("payload"), F.ceil(F.count("*") / PART_RECORDS).alias("parts"))
-    return headers, payloads
+    # Payloads that no other row has are written where they are; a bitmap of bounded size tells which those are.
+    again = shared.sieve(thin.groupBy("address").agg(F.count("*").alias("n")).filter("n > 1"), "address")
+    body = rows.select("address", "payload")
+    alone = shared.sifted(body, "address", again, inside=False).withColumn("parts", F.lit(1).cast("long"))
+    equal = shared.sifted(body, "address", again).groupBy("address").agg(F.first("payload").alias("payload"), F.ceil(F.count("*") / PART_RECORDS).alias("parts"))
+    return headers, alone.unionByName(equal)
 
 
 def write(pages: DataFrame, path: str, **settings) -> None:
