@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, licenses, linededup, mixing, ngram_join, tokenids, topk, toxicity, warc
+from . import decontaminate, divergence, langid, licenses, linededup, mixing, ngram_join, sharding, spelling, tokenids, topk, toxicity, warc
 
 QUERIES = {
     "op1_linededup": linededup.op1_linededup,
@@ -15,5 +15,16 @@ QUERIES = {
     "op8_licenses": licenses.op8_licenses,
     "op9_topk": topk.op9_topk,
     "op10_ngram_join": ngram_join.op10_ngram_join,
+    "op11_sharding": sharding.op11_sharding,
+    "op12_spelling": spelling.op12_spelling,
+    "op13_divergence": divergence.op13_divergence,
+}
+ORACLES = {
+    "op3_mixing": mixing.ORACLE,
+    "op4_warc": warc.ORACLE,
+    "op8_licenses": licenses.ORACLE,
+    "op9_topk": topk.ORACLE,
+    "op11_sharding": sharding.ORACLE,
+    "op12_spelling": spelling.ORACLE,
+    "op13_divergence": divergence.ORACLE,
 }
-ORACLES = {"op3_mixing": mixing.ORACLE, "op4_warc": warc.ORACLE, "op8_licenses": licenses.ORACLE, "op9_topk": topk.ORACLE}
