@@ -2,7 +2,7 @@
 
 The vocabulary are the words of at least MIN_CHARS code points that occur MIN_COUNT times. The index of a part of it
 holds the cyclic text $word$word...$word, its suffix ranks and those of the reversed text, and the counts of
-signs before every 32nd place, so a pattern is a pair of intervals of suffix ranks, one in each direction. A word is searched in two
+signs before marked places, so a pattern is a pair of intervals of suffix ranks, one in each direction. A word is searched in two
 ways, once for each half: the half is matched exactly from its inner end outwards to the delimiter, by narrowing the
 forward interval and keeping the other in step; from the other interval the pattern is then extended across the second half,
 allowing one inserted, deleted or replaced sign, to the closing delimiter. All words of a part take a step together.
@@ -17,14 +17,13 @@ A task returns, for each word, how many near words it found and the best; sums a
 pointer doubling: forms lead to words of larger counts, so there are no circles, and each round halves the way.
 
 Defined cases: a null or empty text holds no words; a null id counts as an empty one in the hash; repeated rows count
-each; an empty table gives no rows; very long runs are words like others (an index takes 20 bytes for each sign and the
-signs of a text's own alphabet / 32 numbers). Only the named columns are read.
+each; an empty table gives no rows; very long runs are words like others. Only the named columns are read.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +39,8 @@ EVERY = 199
 RUN = "[A-Za-zÀ-ÿ]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KEY = 3
-STEP = 32
+#: Counts of signs that an index keeps for each direction; a longer text has marks at every second place, or fourth, ...
+MARKS = 4_000_000
 #: Words whose steps are taken together.
 TOGETHER = 8192
 
@@ -64,23 +64,26 @@ class Half:
     """Suffix ranks of one direction: intervals of patterns that grow at the front."""
 
     def __init__(self, text: np.ndarray, signs: int):
+        n = len(text)
         self.order = suffix_ranks(text)
-        self.last = text[self.order - 1]
-        blocks = len(text) // STEP + 1
-        counts = np.zeros((blocks + 1, signs), np.int32)
-        np.add.at(counts, (np.arange(len(text)) // STEP + 1, self.last), 1)
+        last = text[self.order - 1]
+        self.step = 1  # places between marks
+        while n // self.step * signs > MARKS:
+            self.step *= 2
+        counts = np.zeros((n // self.step + 2, signs), np.int32)
+        np.add.at(counts, (np.arange(n) // self.step + 1, last), 1)
         self.marks = np.cumsum(counts, 0, dtype=np.int32)
-        self.padded = np.concatenate([self.last, np.zeros(STEP, self.last.dtype)])
+        self.padded = np.concatenate([last, np.zeros(self.step, last.dtype)])
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=signs))[:-1]])
 
     def before(self, place: np.ndarray) -> np.ndarray:
         """How often each sign stands before a place of the last column: a row for each place."""
-        out = self.marks[place // STEP].astype(np.int64)
-        base, rest = place // STEP * STEP, place % STEP
+        block, rest = place // self.step, place % self.step
+        out = self.marks[block].astype(np.int64)
         rows = np.arange(len(place))
         for i in range(int(rest.max(initial=0))):
             some = rows[rest > i]
-            out[some, self.padded[base[some] + i]] += 1
+            out[some, self.padded[block[some] * self.step + i]] += 1
         return out
 
     def extended(self, low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,14 +91,14 @@ class Half:
         a = self.before(low)
         return self.first + a, self.before(low + size) - a
 
-    def step(self, low: np.ndarray, size: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def with_sign(self, low: np.ndarray, size: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals with one given sign put in front of each."""
 
         def before(place):
-            base, rest = place // STEP * STEP, place % STEP
-            out = self.marks[place // STEP, sign].astype(np.int64)
-            for i in range(STEP - 1):
-                out += (self.padded[base + i] == sign) & (rest > i)
+            block, rest = place // self.step, place % self.step
+            out = self.marks[block, sign].astype(np.int64)
+            for i in range(int(rest.max(initial=0))):
+                out += (self.padded[block * self.step + i] == sign) & (rest > i)
             return out
 
         a = before(low)
@@ -114,15 +117,15 @@ class Index:
         # By place in the reversed text: the word that a delimiter closes is the one before it.
         self.owner = np.roll(np.repeat(np.arange(len(words)), lengths), 1)[::-1]
 
-    def exact(self, words: list[np.ndarray], ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Intervals in the backward direction of $ and the first `ends` signs of each word."""
-        n = len(words)
+    def exact(self, flat: np.ndarray, begin: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Intervals in the backward direction of $ and the first `ends` signs of each word; words begin at `begin` in flat."""
+        n = len(begin)
         low, other, size = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, len(self.forward.order), np.int64)
         for step in range(int(ends.max(initial=-1)) + 1):
             some = np.flatnonzero((ends >= step) & (size > 0))
             if not len(some):
                 break
-            sign = np.array([words[i][ends[i] - 1 - step] if step < ends[i] else 0 for i in some], np.int64)
+            sign = np.where(ends[some] > step, flat[np.maximum(begin[some] + ends[some] - 1 - step, 0)], 0)
             lows, sizes = self.forward.extended(low[some], size[some])
             rows = np.arange(len(some))
             smaller = np.cumsum(sizes, 1) - sizes
@@ -138,7 +141,7 @@ class Index:
         def sign(word, at):
             return np.where(at < lengths[word], flat[np.minimum(begin[word] + at, len(flat) - 1)], 0)
 
-        low, size = self.exact(words, ends)
+        low, size = self.exact(flat, begin, ends)
         word = np.flatnonzero(size > 0)
         low, size, at = low[word], size[word], ends[word].astype(np.int64)
         edited = []
@@ -160,7 +163,7 @@ class Index:
         word, low, size, at = (np.concatenate(x) for x in zip(*edited, strict=True))
         found = []
         while len(word):
-            low, size = self.backward.step(low, size, sign(word, at))
+            low, size = self.backward.with_sign(low, size, sign(word, at))
             done = (at >= lengths[word]) & (size > 0)
             found.append(np.stack([word[done], self.owner[self.backward.order[low[done]]]]))
             on = (at < lengths[word]) & (size > 0)
@@ -172,30 +175,28 @@ class Index:
 def near_in_part(turned: bool):
     """Rows (word, n, indexed) of a part to (word, n_near, best_n, best) of the words that have near ones in it."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        texts, counts = rows["word"].tolist(), rows["n"].to_numpy(np.int64)
+    def run(rows: pa.Table) -> pa.Table:
+        texts, counts = rows.column("word").to_pylist(), rows.column("n").to_pylist()
         alphabet = {c: i + 1 for i, c in enumerate(sorted(set("".join(texts))))}
         coded = [np.array([alphabet[c] for c in (t[::-1] if turned else t)], np.uint8) for t in texts]
         ends = np.array([len(t) - len(t) // 2 if turned else len(t) // 2 for t in texts])
-        held = np.flatnonzero(rows["indexed"].to_numpy())
-        out = {"word": [], "n_near": [], "best_n": [], "best": []}
+        held = np.flatnonzero(rows.column("indexed").to_numpy())
+        many: dict[int, int] = {}
+        best: dict[int, tuple] = {}
         if len(held):
             index = Index([coded[i] for i in held], len(alphabet) + 1)
             for a in range(0, len(texts), TOGETHER):
                 word, other = index.near(coded[a : a + TOGETHER], ends[a : a + TOGETHER])
-                best: dict[int, tuple] = {}
-                many: dict[int, int] = {}
                 for w, o in zip((word + a).tolist(), held[other].tolist(), strict=True):
                     one, two = texts[w], texts[o]
-                    if one == two or turned and two.startswith(one[: len(one) // 2]):
+                    if w == o or turned and two.startswith(one[: len(one) // 2]):
                         continue
                     many[w] = many.get(w, 0) + 1
-                    mine = (-int(counts[o]), two)
+                    mine = (-counts[o], two)
                     best[w] = min(best.get(w, mine), mine)
-                for w, (n, t) in best.items():
-                    for name, value in zip(out, (texts[w], many[w], -n, t), strict=True):
-                        out[name].append(value)
-        return pd.DataFrame(out).astype({"n_near": "int64", "best_n": "int64"})
+        columns = [texts[w] for w in many], list(many.values()), [-best[w][0] for w in many], [best[w][1] for w in many]
+        kinds = pa.string(), pa.int64(), pa.int64(), pa.string()
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["word", "n_near", "best_n", "best"])
 
     return shared.lean(run)
 
@@ -220,7 +221,7 @@ def _search(vocab: DataFrame, turned: bool, parts: int, part: int) -> DataFrame:
     placed = dealt.join(F.broadcast(sizes), "part").withColumn("own", F.pmod(F.xxhash64("word", F.lit(1)), F.col("pieces")).cast("int"))
     every = placed.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     rows = every.select("part", "piece", "word", "n", (F.col("piece") == F.col("own")).alias("indexed"))
-    return rows.groupBy("part", "piece").applyInPandas(near_in_part(turned), "word string, n_near long, best_n long, best string")
+    return rows.groupBy("part", "piece").applyInArrow(near_in_part(turned), "word string, n_near long, best_n long, best string")
 
 
 def near_words(vocab: DataFrame, part: int = PART) -> DataFrame:
