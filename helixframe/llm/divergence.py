@@ -22,6 +22,9 @@ source gives none; repeated rows are documents of their own; an empty table give
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -37,11 +40,17 @@ BLOCK = 50_000
 SHELF_BYTES = 64 << 20
 CELL = 128
 TILE = 64
+#: For SQL; here terms are runs of these bytes, which is the same, as bytes beyond ASCII never stand alone.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Words that a task counts before it sends the sums on.
+#: Words that a task counts before it sends the sums on, distinct terms it holds, and bytes of a text that it cuts at once.
 HELD = 4_000_000
+TERMS_HELD = 1_000_000
+PIECE = 1 << 20
 
+_FOLD = bytes(c | 32 if 65 <= c <= 90 else c for c in range(256))
+_TERMS = re.compile(rb"[a-z\x80-\xff]+")
+_GAP = re.compile(rb"[^a-z\x80-\xff]")
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 
@@ -119,11 +128,43 @@ class Transducer:
         return cls(np.frombuffer(keys, np.int64), np.frombuffer(target, np.int32), np.frombuffer(out, np.int64), np.frombuffer(final, bool), root)
 
 
+def terms_of(text: bytes, most: int = PIECE):
+    """Lists of the terms of a text, in pieces of about `most` bytes that end between terms."""
+    text, at = text.translate(_FOLD), 0
+    while at < len(text):
+        end = _GAP.search(text, at + most)
+        end = end.start() if end else len(text)
+        yield _TERMS.findall(text, at, end)
+        at = end
+
+
+def _document_counts(batches):
+    """Batches of (lang, text) to (lang, term, n): documents that hold a term, added up as far as memory allows."""
+    held: dict[str, Counter] = {}
+
+    def sums():
+        for lang, counts in held.items():
+            terms = list(counts)
+            for a in range(0, len(terms), 100_000):
+                part = terms[a : a + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array([t.decode() for t in part], pa.string()), pa.array([counts[t] for t in part], pa.int64())], ["lang", "term", "n"])
+        held.clear()
+
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            distinct: set[bytes] = set()
+            for terms in terms_of(text.as_buffer().to_pybytes()):
+                distinct.update(terms)
+            held.setdefault(lang, Counter()).update(distinct)
+            if sum(map(len, held.values())) >= TERMS_HELD:
+                yield from sums()
+    yield from sums()
+
+
 def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(lang, term): terms in at least min_docs documents of the language. docs: text and lang without nulls."""
-    terms = F.array_distinct(F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(TERM), F.lit(0)))
-    held = docs.select("lang", F.explode(terms).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("n"))
-    return held.filter(F.col("n") >= min_docs).select("lang", "term")
+    held = docs.select("lang", "text").mapInArrow(shared.tidy(_document_counts), "lang string, term string, n long")
+    return held.groupBy("lang", "term").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs).select("lang", "term")
 
 
 BLOCKS = "lang string, first binary, n long, bytes long, keys binary, target binary, out binary, final binary, root int, terms array<string>"
@@ -326,7 +367,7 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     surplus = counts.join(groups.select("lang", "source", "total"), ["lang", "source"]).join(q, ["lang", "ordinal"]).withColumn("value", share(F.col("n"), F.col("total")) - F.col("q")).filter("value > 0")
     ranked = surplus.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "ordinal"))).filter(F.col("rank") <= top)
     names = vocab.select("lang", "before", F.posexplode("terms").alias("at", "item")).select("lang", (F.col("before") + F.col("at")).alias("ordinal"), "item")
-    terms = ranked.join(names, ["lang", "ordinal"])
+    terms = ranked.join(names.hint("merge"), ["lang", "ordinal"])
     columns = lambda df, part: df.select("lang", "source", F.lit(part).alias("part"), "item", F.col("value").cast("long").alias("value"), F.col("rank").cast("int").alias("rank"))
     return columns(pairs, "pair").union(columns(terms, "term"))
 
