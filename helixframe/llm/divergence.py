@@ -44,8 +44,8 @@ TILE = 64
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words that a task counts before it sends the sums on, distinct terms it holds, and bytes of a text that it cuts at once.
-HELD = 4_000_000
-TERMS_HELD = 1_000_000
+HELD = 2_000_000
+TERMS_HELD = 400_000
 PIECE = 1 << 20
 
 _FOLD = bytes(c | 32 if 65 <= c <= 90 else c for c in range(256))
