@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import assessment, evaluation, reads
+from . import assessment, evaluation, published, reads, relations
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "assessment", "evaluation", "reads"]
+__all__ = ["ORACLES", "QUERIES", "assessment", "evaluation", "published", "reads", "relations"]

@@ -12,7 +12,7 @@ from ..operators.alignment import cigar_of, consensus, path, semi_global
 from ..operators.udfs import affine_udf, path_udf, poa_by
 from ..plans.params import Params
 from ..session import table
-from .registry import BENCH, FRAGMENTS, MATRIX, READS, TWINS, bench_reads, fragments, matrix_rows, query, read_table, spread_reads, twins
+from .registry import BENCH, FRAGMENTS, MATRIX, READS, TWINS, bench_reads, fragments, matrix_rows, query, read_table, spread_reads, twins, unranked_reads
 
 __all__ = ["cigar_of", "consensus", "path", "semi_global"]
 P = Params()
@@ -45,8 +45,8 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reads = spread_reads(spark, sf_dir)
-    sizes = reads.groupBy("cluster_id").agg(F.count("*").alias("n_reads"))
+    reads = unranked_reads(spark, sf_dir)
+    sizes = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("cluster_id")).agg(F.count("*").alias("n_reads"))
     return seeds.kept_anchors(seeds.anchor_counts(reads, P.k, P.w, P.low, P.xmax), sizes, P.k).drop("n_reads")
 
 

@@ -262,20 +262,20 @@ class Graph:
             np.maximum.accumulate(row, out=row)
         table -= floor
         i, j = divmod(int(table.argmax()), m + 1)
-        rows = table.tolist()
+        score = table.item  # only the cells of one way are looked at
         out: list[tuple[int | None, int | None]] = []
-        while i and j and rows[i][j] > 0:
-            v, here = order[i - 1], rows[i][j]
+        while i and j and (here := score(i, j)) > 0:
+            v = order[i - 1]
             befores = [rank[u] for u in self.into[v]] or [0]
             need = here - (self.match if self.base[v] == seq[j - 1] else self.mismatch)
             for before in befores:
-                if rows[before][j - 1] == need:
+                if score(before, j - 1) == need:
                     out.append((v, j - 1))
                     i, j = before, j - 1
                     break
             else:
                 for before in befores:
-                    if rows[before][j] + self.gap == here:
+                    if score(before, j) + self.gap == here:
                         out.append((v, None))
                         i = before
                         break

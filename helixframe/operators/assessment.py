@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.cigar import operations, reference_places, total
 from ..functions.sequences import reverse_complement
 from . import evaluation as E
+from .nearest import nearest_pairs, numbered
 
 PER_READ = [
     "acc", "read_type", "ins", "del", "subs", "matches", "error_rate", "read_length", "aligned_length", "cluster_size", "is_unaligned_in_other_method", "tot_splices", "read_sm_junctions",
@@ -142,10 +143,9 @@ def location_stability(results: DataFrame) -> DataFrame:
     counts = both.agg(
         F.count_if(F.col("found").isNotNull() & ~same).alias("changed"), F.count_if(F.col("found").isNull()).alias("unaligned"), F.count_if(F.col("c_error_rate") > F.col("o_error_rate")).alias("broken"), F.count("*").alias("originals"),
     )
-    order = Window.partitionBy("read_type").orderBy("error_rate")
-    ranked = results.select("read_type", "error_rate", (F.row_number().over(order) - 1).alias("at"), F.count("*").over(Window.partitionBy("read_type")).alias("n")).filter(F.col("at") == F.floor(F.col("n") / 2))
-    middle = lambda t: F.max(F.when(F.col("read_type") == t, F.col("error_rate")))
-    medians = ranked.agg(middle("original").alias("median_original"), middle("corrected").alias("median_corrected"), F.max(F.when(F.col("read_type") == "corrected", F.col("n"))).alias("corrected"))
+    middle = E.values_at(results, "error_rate", ["read_type"], {"middle": F.floor(F.col("n") / 2)})
+    of = lambda t, c: F.max(F.when(F.col("read_type") == t, F.col(c)))
+    medians = middle.agg(of("original", "middle").alias("median_original"), of("corrected", "middle").alias("median_corrected"), of("corrected", "n").alias("corrected"))
     return counts.join(medians)  # one row each
 
 
@@ -270,20 +270,19 @@ def mixed_sample(reads: DataFrame, key: str, kind: str, minor, major, depth: int
     return parts[0].unionByName(parts[1])
 
 
-def truth_errors(reads: DataFrame, refs: DataFrame, key: str, neutral: str, forms: list[str], ref_key: str, ref_seq: str, block_bytes: int = 8_000_000) -> DataFrame:
+def truth_errors(reads: DataFrame, refs: DataFrame, key: str, neutral: str, forms: list[str], ref_key: str, ref_seq: str) -> DataFrame:
     """key, truth, and for each form <form>_ed, <form>_len, <form>_rate: infix distances to the reference that the neutral form fits best.
 
-    Of equal references the one whose name comes first counts. The references are the stated query set: they are dealt in
-    blocks of bounded size, each meeting all reads, and the best of every block is kept.
+    Of equal references the one whose name comes first counts. Only pairs that share a segment are aligned (operators.nearest).
     """
     from .udfs import infix_udf
 
-    few = refs.select(F.col(ref_key).alias("__ref"), F.col(ref_seq).alias("__seq"))
-    size = few.agg(F.sum(F.octet_length("__seq") + 16)).first()[0] or 0
-    blocks = int(size // block_bytes) + 1
-    texts = reads.select(F.col(neutral).alias("__t")).filter("__t <> ''").distinct().withColumn("__blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    pairs = texts.join(few.withColumn("__blk", F.pmod(F.xxhash64("__ref"), F.lit(blocks)).cast("int")), "__blk")
-    best = pairs.select("__t", "__ref", infix_udf("__t", "__seq").alias("__ed")).groupBy("__t").agg(F.min(F.struct("__ed", "__ref")).alias("__b")).select("__t", F.col("__b.__ref").alias("__ref"))
+    few = refs.filter(F.col(ref_seq).isNotNull()).select(F.col(ref_key).alias("__ref"), F.col(ref_seq).alias("__seq"))
+    first = few.agg(F.min("__ref").alias("__first"))
+    texts = numbered(reads.filter(F.col(neutral) != ""), neutral, "t", "tid")
+    longest = texts.agg(F.max(F.length("t"))).first()[0] or 0
+    pairs = nearest_pairs(texts, few.toDF("rid", "rt"), longest + 1, lambda t, rt, e: infix_udf(t, rt), infix=True)
+    best = pairs.groupBy("tid").agg(F.min("rid").alias("rid")).join(texts, "tid").crossJoin(F.broadcast(first)).select(F.col("t").alias("__t"), F.coalesce("rid", "__first").alias("__ref"))
     rows = reads.join(best, reads[neutral] == best["__t"]).join(few, "__ref")
     out = [F.col(key), F.col("__ref").alias("truth")]
     for f in forms:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cigar import operations, reference_places, total
 from ..functions.sequences import reverse_complement
+from .nearest import nearest_pairs, numbered
 
 QUANTILES = (0.0, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 1.0)
 
@@ -89,18 +90,38 @@ def mask_known_gaps(deletions: DataFrame, annotated: DataFrame) -> DataFrame:
     return deletions.join(known, ["rname", "start", "stop"], "left_anti")
 
 
+def counted_order(values: DataFrame, by: list[str], group: list[str]) -> DataFrame:
+    """Distinct values of the columns `by` for each group, in their order: __from and __to, the places (from 0) that rows with them take, and __n rows in all.
+
+    Rows are counted before they are put in order, so what is sorted in one place are a group's distinct values.
+    """
+    columns = list(dict.fromkeys([*group, *by]))
+    counts = values.groupBy(*columns).agg(F.count("*").alias("__c"))
+    whole = Window.partitionBy(*group)
+    held = counts.withColumn("__to", F.sum("__c").over(whole.orderBy(*by))).withColumn("__n", F.sum("__c").over(whole))
+    return held.withColumn("__from", F.col("__to") - F.col("__c")).drop("__c")
+
+
+def values_at(values: DataFrame, by: str, group: list[str], places: dict[str, Column]) -> DataFrame:
+    """group, n and the values of a column at given places of each group's order; places are expressions of n."""
+    held = counted_order(values, [by], group).withColumnRenamed("__n", "n")
+    inside = lambda at: (at >= F.col("__from")) & (at < F.col("__to"))
+    return held.groupBy(*group, "n").agg(*[F.max(F.when(inside(at), F.col(by))).alias(name) for name, at in places.items()])
+
+
 def order_statistics(values: DataFrame, by: str, columns: list[str], group: list[str], quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
     """columns at positions int(q * n) (n - 1 for the last) of the order of `by`, for each group. Ties by the columns."""
-    order = Window.partitionBy(*group).orderBy(by, *columns)
-    ranked = values.withColumn("__at", F.row_number().over(order) - 1).withColumn("__n", F.count("*").over(Window.partitionBy(*group)))
+    held = counted_order(values, [by, *columns], group)
     spots = F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.least(F.floor(F.lit(q) * F.col("__n")), F.col("__n") - 1).alias("pos")) for q in quantiles]))
-    return ranked.select(*group, *columns, "__at", spots.alias("s")).filter(F.col("s.pos") == F.col("__at")).select(*group, F.col("s.q").alias("quantile"), *columns)
+    here = (F.col("s.pos") >= F.col("__from")) & (F.col("s.pos") < F.col("__to"))
+    return held.select(*group, *columns, "__from", "__to", spots.alias("s")).filter(here).select(*group, F.col("s.q").alias("quantile"), *columns)
 
 
 def best_fraction_sums(values: DataFrame, by: str, columns: list[str], group: list[str], q: float) -> DataFrame:
     """Sums over the share q of rows with the smallest `by`."""
-    ranked = values.withColumn("__rn", F.row_number().over(Window.partitionBy(*group).orderBy(by, *columns))).withColumn("__n", F.count("*").over(Window.partitionBy(*group)))
-    return ranked.filter(F.col("__rn") <= F.floor(F.col("__n") * q)).groupBy(*group).agg(*[F.sum(c).alias(c) for c in columns])
+    held = counted_order(values, [by, *columns], group)
+    taken = F.least(F.col("__to"), F.floor(F.col("__n") * q)) - F.col("__from")
+    return held.withColumn("__taken", taken).filter(F.col("__taken") > 0).groupBy(*group).agg(*[F.sum(F.col(c) * F.col("__taken")).alias(c) for c in columns])
 
 
 def paired_delta(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
@@ -175,24 +196,13 @@ def redundant(seqs: DataFrame, key: str, seq: str, k: int = 16, both_strands: bo
     return probe.join(held, ["size", "mer"]).filter(inside).select(F.col("a").alias(key)).distinct()
 
 
-def nearest(reads: DataFrame, refs: DataFrame, read_key: str, ref_key: str, text: str, ref_text: str, most: int = 1000, ties: bool = False, block_bytes: int = 8_000_000) -> DataFrame:
+def nearest(reads: DataFrame, refs: DataFrame, read_key: str, ref_key: str, text: str, ref_text: str, most: int = 1000, ties: bool = False) -> DataFrame:
     """The reference at the smallest edit distance below `most` of every read: first by key, or all ties.
 
-    Distances are taken between distinct texts. The references are the stated query set: broadcast while their texts take
-    block_bytes at most, else dealt with in blocks of about that.
+    Distances are taken between distinct texts, and only of pairs that share a segment (operators.nearest).
     """
-    few = refs.filter(F.col(ref_text).isNotNull()).select(F.col(ref_key).alias("ref"), F.col(ref_text).alias("rt"))
-    size = few.agg(F.sum(F.octet_length("rt") + 16)).first()[0] or 0
-    blocks = int(size // block_bytes) + 1
-    texts = reads.select(F.col(text).alias("t")).filter("t is not null").distinct()
-    if blocks <= 1:
-        pairs = texts.join(F.broadcast(few), F.levenshtein("t", "rt", most - 1) >= 0)
-    else:
-        spread = texts.withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        pairs = spread.join(few.withColumn("blk", F.pmod(F.xxhash64("ref"), F.lit(blocks)).cast("int")), "blk").filter(F.levenshtein("t", "rt", most - 1) >= 0)
-    scored = pairs.select("t", "ref", F.levenshtein("t", "rt", most - 1).alias("ed"))
-    least = scored.groupBy("t").agg(F.min(F.struct("ed", "ref")).alias("m"))
-    chosen = least.select("t", F.col("m.ref").alias("ref"), F.col("m.ed").alias("ed"))
-    if ties:
-        chosen = scored.join(least.select("t", F.col("m.ed").alias("ed")), ["t", "ed"]).select("t", "ref", "ed")
+    texts, few = numbered(reads, text, "t", "tid"), numbered(refs, ref_text, "rt", "rid")
+    scored = nearest_pairs(texts, few, most, lambda t, rt, e: F.levenshtein(t, rt, e))
+    named = scored.join(few, "rid").join(refs.select(F.col(ref_key).alias("ref"), F.col(ref_text).alias("rt")), "rt").join(texts, "tid")
+    chosen = named.select("t", "ref", "ed") if ties else named.groupBy("t").agg(F.min(F.struct("ed", "ref")).alias("m")).select("t", F.col("m.ref").alias("ref"), F.col("m.ed").alias("ed"))
     return reads.select(F.col(read_key), F.col(text).alias("t")).join(chosen, "t").select(read_key, F.col("ref").alias(ref_key), "ed")

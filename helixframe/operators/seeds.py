@@ -19,6 +19,10 @@ from pyspark.sql import types as T
 from ..functions.sequences import kmers, poly_a
 
 MINIMIZERS = "array<struct<kmer:string,pos:int>>"
+#: Bases in their order as text, by three bits each.
+_ORDER = "-ACGNTU"
+_CODES = np.full(256, -1, np.int64)
+_CODES[[ord(ch) for ch in _ORDER]] = np.arange(len(_ORDER))
 
 
 def minimizers(seq: str, k: int, w: int, largest: bool = False) -> list[tuple[str, int]]:
@@ -48,26 +52,64 @@ def minimizers(seq: str, k: int, w: int, largest: bool = False) -> list[tuple[st
     return [(mers[i], i) for i in found]
 
 
+def first_minimizers(seq: str, k: int, w: int, largest: bool = False) -> list[tuple[str, int]]:
+    """The older form of minimizers: ties in a window to the first, and a new choice whenever a k-mer that equals the chosen one leaves, wherever it stood."""
+    span, end = w - k, len(seq) - k
+    mers = [seq[i : i + k] for i in range(max(span + 1, end))]
+    pick = max if largest else min
+    best = pick(mers[: span + 1])
+    found = [mers.index(best)]
+    for i in range(span + 1, end):
+        window = mers[i - span : i + 1]
+        if mers[i - span - 1] == best or pick(mers[i], best) != best:
+            best = pick(window)
+            found.append(i - span + window.index(best))
+    return [(mers[i], i) for i in found]
+
+
+def minimizer_places(seq: str, k: int, w: int) -> list[int]:
+    """Places of minimizers(seq, k, w), from array operations on the whole sequence and a step for each minimizer.
+
+    The least value of each window and its last place come from a sliding minimum. A minimizer stays until that value falls, which only
+    a better k-mer at that place can cause, or until its place leaves the window, when the window's last least one follows.
+    """
+    span, end = w - k, len(seq) - k
+    codes = _CODES[np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)]
+    if k > 10 or end <= span + 1 or codes.min() < 0:  # clamped k-mers, other signs
+        return [p for _, p in minimizers(seq, k, w)]
+    value, place = _sliding(codes[:-1], k, w)
+    falls = np.flatnonzero(value[1:] < value[:-1]) + 1
+    out, window, at = [int(place[0])], 0, int(place[0])
+    places, falls = place.tolist(), [*falls.tolist(), len(value)]
+    fall, last = 0, len(value)
+    while True:
+        leaves = at + 1
+        while falls[fall] <= window:
+            fall += 1
+        window = min(falls[fall], leaves)
+        if window >= last:
+            return out
+        at = places[window]
+        out.append(at)
+
+
 def with_minimizers(reads: DataFrame, k: int, w: int, column: str = "minimizers") -> DataFrame:
     """reads with their exact minimizers; a null sequence has none."""
 
     @F.arrow_udf(MINIMIZERS)
     def run(seqs: pa.Array) -> pa.Array:
-        found = [[] if s is None else minimizers(s, k, w) for s in seqs.to_pylist()]
+        texts = seqs.to_pylist()
+        found = [[] if s is None else minimizer_places(s, k, w) for s in texts]
         offsets = pa.array(list(accumulate(map(len, found), initial=0)), pa.int32())
-        flat = [x for xs in found for x in xs]
-        made = pa.StructArray.from_arrays([pa.array([x[0] for x in flat], pa.string()), pa.array([x[1] for x in flat], pa.int32())], ["kmer", "pos"])
+        mers = [s[p : p + k] for s, ps in zip(texts, found, strict=True) for p in ps]
+        made = pa.StructArray.from_arrays([pa.array(mers, pa.string()), pa.array([p for ps in found for p in ps], pa.int32())], ["kmer", "pos"])
         return pa.ListArray.from_arrays(offsets, made)
 
     return reads.withColumn(column, run("seq"))
 
 
-#: Bases in their order as text, by three bits each.
-_ORDER = "-ACGNTU"
-
-
-def _window_places(codes: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
-    """(value, place) of the rightmost smallest k-mer of every full window, each place once."""
+def _sliding(codes: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """(value, place) of the rightmost smallest k-mer of every full window."""
     n = len(codes) - k + 1
     value = np.zeros(n, np.int64)
     for i in range(k):
@@ -78,9 +120,14 @@ def _window_places(codes: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.nd
         step = min(size, span - size)
         both = np.minimum(both[:-step], both[step:])
         size += step
-    place = (1 << 32) - 1 - (both & ((1 << 32) - 1))
+    return both >> 32, (1 << 32) - 1 - (both & ((1 << 32) - 1))
+
+
+def _window_places(codes: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """(value, place) of the rightmost smallest k-mer of every full window, each place once."""
+    value, place = _sliding(codes, k, w)
     new = np.append(True, place[1:] != place[:-1])
-    return (both >> 32)[new], place[new]
+    return value[new], place[new]
 
 
 def anchor_text(key: Column, k: int) -> Column:
@@ -103,9 +150,7 @@ def anchor_keys(reads: DataFrame, k: int, w: int, low: int, high: int, by_read:
     """
     if k > 10:
         raise ValueError("k must be at most 10")
-    table = np.zeros(256, np.int64)
-    for i, ch in enumerate(_ORDER):
-        table[ord(ch)] = i
+    table = np.maximum(_CODES, 0)
     tail = int("1" * k, 8)
     kind = reads.schema["cluster_id"].dataType
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.params import Params
-from .alignment import cigar_of, consensus, infix_distance, path, semi_global
+from .alignment import cigar_of, consensus, path
+from .batches import infix_distances, paths, semi_globals
 from .correction import guarded, schedule, stitch
 from .matrix import context_windows, corrected_rows, multialignment, positioned
 from .seeds import iterate_pairs, minimizers, with_batches
@@ -22,32 +23,32 @@ def _struct(**fields: T.DataType) -> T.StructType:
 @F.pandas_udf(_struct(ed=T.IntegerType(), cigar=T.StringType(), query_aln=T.StringType(), target_aln=T.StringType()))
 def path_udf(query: pd.Series, target: pd.Series) -> pd.DataFrame:
     """Global alignment path of two columns."""
-    rows = [path(q, t) for q, t in zip(query, target, strict=True)]
+    rows = paths(query.tolist(), target.tolist())
     return pd.DataFrame([(d, cigar_of(q, t), q, t) for d, q, t in rows], columns=["ed", "cigar", "query_aln", "target_aln"])
 
 
 @F.pandas_udf(_struct(score=T.IntegerType(), query_aln=T.StringType(), target_aln=T.StringType()))
 def affine_udf(query: pd.Series, target: pd.Series) -> pd.DataFrame:
     """Semi-global affine alignment of two columns."""
-    return pd.DataFrame([semi_global(q, t) for q, t in zip(query, target, strict=True)], columns=["score", "query_aln", "target_aln"])
+    return pd.DataFrame(semi_globals(query.tolist(), target.tolist()), columns=["score", "query_aln", "target_aln"])
 
 
 @F.pandas_udf(_struct(score=T.IntegerType(), query_aln=T.StringType(), target_aln=T.StringType()))
 def gentle_udf(query: pd.Series, target: pd.Series) -> pd.DataFrame:
     """Semi-global alignment of two columns with small gap costs."""
-    return pd.DataFrame([semi_global(q, t, 2, -2, 2, 1) for q, t in zip(query, target, strict=True)], columns=["score", "query_aln", "target_aln"])
+    return pd.DataFrame(semi_globals(query.tolist(), target.tolist(), 2, -2, 2, 1), columns=["score", "query_aln", "target_aln"])
 
 
 @F.pandas_udf(T.IntegerType())
 def infix_udf(pattern: pd.Series, text: pd.Series) -> pd.Series:
     """Fewest edits of the pattern against an infix of the text."""
-    return pd.Series([infix_distance(p, t) for p, t in zip(pattern, text, strict=True)], dtype="int32")
+    return pd.Series(infix_distances(pattern.tolist(), text.tolist()), dtype="int32")
 
 
 @F.pandas_udf(T.StringType())
 def guard_udf(orig: pd.Series, corrected: pd.Series) -> pd.Series:
     """The corrected read after the structural guard against the original."""
-    return pd.Series([guarded(*semi_global(o, c)[1:]) for o, c in zip(orig, corrected, strict=True)])
+    return pd.Series([guarded(o, c) for _, o, c in semi_globals(orig.tolist(), corrected.tolist())])
 
 
 def poa_by(reads: DataFrame, key: str, limit: int = Params.consensus_limit) -> DataFrame:

@@ -1,19 +1,18 @@
 """Readers and writers of FASTA, FASTQ, SAM and GFF/GTF files.
 
-Four-line FASTQ and the line formats are read with text scans and built-in expressions. Multi-line FASTA and
-FASTQ need a parser with state; it runs on whole files, which are the unit of a cluster folder.
+The line formats are read with text scans and built-in expressions. FASTA and FASTQ need a parser with state, which reads
+byte ranges (`ranges`); `parse` is the same for lines at hand.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-READS = "path string, r_id int, acc string, seq string, qual string"
+from .ranges import RANGE_BYTES, read_records, read_records4
 
 
 def parse(lines: Iterable[str]) -> Iterator[tuple[str, str, str | None]]:
@@ -45,19 +44,12 @@ def _record(header: str, seq: list[str], qual: list[str] | None) -> tuple[str, s
     return header.replace(" ", "_"), text, quality if quality is not None and len(quality) >= len(text) else None
 
 
-def read_sequences(spark: SparkSession, path: str, header: str = "full") -> DataFrame:
-    """path, r_id (from 1 within a file), acc, seq, qual.
+def read_sequences(spark: SparkSession, path: str, header: str = "full", range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """path, r_id (from 1 within a file), acc, seq, qual; files are read in byte ranges, whatever their size.
 
     header: full, word (to the first space), stem (to the first space or _) or clean (to the first space, without brackets and commas).
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(p, i, *record) for p, v in zip(frame["path"], frame["value"], strict=True) for i, record in enumerate(parse(v.split("\n")), 1)]
-            yield pd.DataFrame(rows, columns=["path", "r_id", "acc", "seq", "qual"])
-
-    out = files.mapInPandas(run, READS)
+    out = read_records(spark, path, range_bytes)
     if header == "full":
         return out
     word = F.split_part("acc", F.lit("_"), F.lit(1))
@@ -77,14 +69,9 @@ def read_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("cluster_id", F.split_part(name, F.lit("_"), F.lit(1)).cast("long")).withColumn("file_batch", F.nullif(F.regexp_extract(name, r"_(\d+)", 1), F.lit("")).cast("int"))
 
 
-def read_fastq4(spark: SparkSession, path: str) -> DataFrame:
-    """Strict four-line FASTQ by built-in expressions alone; an incomplete last record is left out."""
-    lines = F.split(F.col("value"), "\n")
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), lines.alias("l"))
-    n = F.floor(F.size("l") / 4).cast("int")
-    record = lambda i: F.struct((i + 1).alias("r_id"), F.replace(F.get("l", i * 4), F.lit(" "), F.lit("_")).alias("h"), F.get("l", i * 4 + 1).alias("seq"), F.get("l", i * 4 + 3).alias("qual"))
-    rows = files.filter(n > 0).select("path", F.explode(F.transform(F.sequence(F.lit(0), n - 1), record)).alias("r"))
-    return rows.select("path", "r.r_id", F.expr("substring(r.h, 2)").alias("acc"), "r.seq", "r.qual").filter("length(qual) = length(seq)")
+def read_fastq4(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Strict four-line FASTQ by line numbers alone; an incomplete last record is left out, as are those whose qualities don't fit."""
+    return read_records4(spark, path, range_bytes).filter("length(qual) = length(seq)")
 
 
 def read_sam(spark: SparkSession, path: str, primary_only: bool = False) -> DataFrame:

@@ -5,6 +5,7 @@ from itertools import combinations
 
 import pytest
 
+from helixframe.operators import alignment, batches, seeds
 from helixframe.operators import alignment as A
 from helixframe.operators import correction as C
 from helixframe.operators import matrix as M
@@ -155,3 +156,59 @@ def test_params():
     assert Params(xmin=3).low == 18
     assert Params(dynamic_window=True).for_batch(30).w == 11
     assert Params(dynamic_window=True).for_batch(400).w == 17
+
+
+def _pairs(r, count, longest, letters="ACGT"):
+    first, second = [], []
+    for _ in range(count):
+        a = "".join(r.choice(letters) for _ in range(r.choice([0, 1, r.randint(0, longest)])))
+        b = "".join(ch for x in a for ch in (x * r.choice([1, 1, 1, 1, 0, 2]) if r.random() < 0.9 else r.choice(letters))) if r.random() < 0.8 else "".join(r.choice(letters) for _ in range(r.randint(0, longest)))
+        first.append(a)
+        second.append(b)
+    return first, second
+
+
+@pytest.mark.parametrize("longest", [5, 70, 200])
+def test_batches_equal_single_pairs(longest):
+    r = random.Random(longest)
+    first, second = _pairs(r, 150, longest)
+    assert batches.paths(first, second) == [alignment.path(a, b) for a, b in zip(first, second)]
+    for settings in ((), (2, -2, 2, 1), (4, -8, 12, 1, False), (5, -4, 3, 3, False)):
+        assert batches.semi_globals(first, second, *settings) == [alignment.semi_global(a, b, *settings) for a, b in zip(first, second)]
+    assert batches.infix_distances(first, second) == [alignment.infix_distance(a, b) for a, b in zip(first, second)]
+
+
+def test_batches_are_cut_by_memory(monkeypatch):
+    first, second = _pairs(random.Random(1), 60, 90, "AC")
+    monkeypatch.setattr(batches, "BLOCK_BYTES", 3000)
+    assert batches.paths(first, second) == [alignment.path(a, b) for a, b in zip(first, second)]
+    assert batches.semi_globals(first, second) == [alignment.semi_global(a, b) for a, b in zip(first, second)]
+    assert batches.paths([], []) == [] and batches.infix_distances([], []) == []
+
+
+@pytest.mark.parametrize("letters", ["ACGT", "AC", "A", "ACGTUN-", "ACGx"])
+def test_minimizer_places_equal_the_state_machine(letters):
+    r = random.Random(letters)
+    for _ in range(300):
+        k = r.randint(1, 11)
+        w = k + r.randint(0, 14)
+        seq = "".join(r.choice(letters) for _ in range(r.choice([0, 1, k, w, w + 1, w + 2, 40, 300])))
+        assert seeds.minimizer_places(seq, k, w) == [p for _, p in seeds.minimizers(seq, k, w)]
+
+
+def test_first_minimizers_by_rescanning_each_window():
+    r = random.Random(2)
+    for largest in (False, True):
+        for _ in range(200):
+            k, seq = r.randint(1, 4), "".join(r.choice("AC") for _ in range(r.randint(0, 60)))
+            w = k + r.randint(0, 8)
+            got = seeds.first_minimizers(seq, k, w, largest)
+            expected, best = [], None
+            for start in range(max(1, len(seq) - k - (w - k))):
+                window = [seq[i : i + k] for i in range(start, start + w - k + 1)]
+                new = (max if largest else min)(window)
+                left = start and seq[start - 1 : start - 1 + k] == best
+                if best is None or left or new != best:
+                    expected.append((new, start + window.index(new)))
+                best = new
+            assert got == expected
