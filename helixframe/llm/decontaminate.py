@@ -2,8 +2,10 @@
 
 Texts are folded (case over all of Unicode, ASCII that is no letter or digit to a space, spaces in a row to one). Every
 benchmark item is cut into overlapping segments of SEGMENT bytes that begin every STRIDE bytes; a document is
-contaminated by an item if some region of it is within a segment's edit budget, RATE of its length. So every passage
-of SEGMENT + STRIDE - 1 folded bytes of an item is certain to be found. An item of fewer than SEGMENT bytes is one segment; below
+contaminated by an item if some region of it is within a segment's edit budget, RATE of its length. STRIDE is twice the
+budget, so every verbatim passage of SEGMENT folded bytes is certain to be found wherever it starts: a segment begins within
+the budget of it, and what it has beyond the passage counts as edits. Of SEGMENT + STRIDE - 1 bytes, a passage holds a
+whole segment, and may have as many edits as that allows. An item of fewer than SEGMENT bytes is one segment; below
 SHORT bytes it must stand in the text as whole words, without edits.
 
 With at most e edits, a region shares at least m - Q + 1 - Q * e of a segment's q-grams, and they lie on
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from . import shared
 
 Q = 10
-SEGMENT, STRIDE = 100, 25
+SEGMENT, STRIDE = 100, 16
 RATE = 0.08
 SHORT = 32
 BLOCK_BYTES = 500_000
