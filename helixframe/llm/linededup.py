@@ -20,14 +20,14 @@ key the lines outside its largest class so far against all others of other class
 a hot key is spread. Nothing is left out. Classes are connected components; the first line of a class by (doc_id, line
 number) stays.
 
-Defined cases: null and empty texts have no lines; rows with equal ids pool their lines; rows without an id are not
+Defined cases: null and empty texts have no lines; rows with equal ids pool their lines in the counts of the query; rows without an id are not
 compared (dedup() leaves them as they are); lines are told apart by a 64-bit hash; an empty table gives no rows; other
 columns are carried by dedup(), whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import shared
@@ -167,14 +167,25 @@ def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text", **settin
 
 
 def dedup(docs: DataFrame, ident: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """docs with only the first line of each class left in the texts; blank lines stay, all columns too."""
-    seen, _ = classes(docs, ident, text, **settings)
-    stay = seen.groupBy("class").agg(F.min("first").alias("f")).groupBy(F.col("f.id").alias("id")).agg(F.collect_set("f.line_no").alias("stay"))
-    rows = docs.select(F.struct(*shared.columns(docs)).alias("row"))
-    joined = rows.join(stay, F.col(f"row.`{ident}`") == stay["id"], "left")
-    left = F.filter(F.split(F.col(f"row.`{text}`"), "\n"), lambda x, i: (F.trim(x) == "") | F.coalesce(F.array_contains(stay["stay"], i), F.lit(False)))
-    rebuilt = F.when(F.col(f"row.`{ident}`").isNull(), F.col(f"row.`{text}`")).otherwise(F.array_join(left, "\n")).alias(text)
-    return joined.select(*[rebuilt if c == text else F.col(f"row.`{c}`") for c in docs.columns])
+    """docs with only the first line of each class left in the texts; blank lines stay, all columns too.
+
+    Rows with equal ids are told apart by their texts' order, so a repeated row loses what the one before it has.
+    """
+    names = shared.fresh(docs.columns, "row", "id")
+    order = Window.partitionBy(F.col(ident)).orderBy(F.xxhash64(text), F.col(text))
+    own = F.when(F.col(ident).isNotNull(), F.struct(F.col(ident).alias("id"), F.row_number().over(order).alias("nth")))
+    rows = docs.select(F.struct(*shared.columns(docs)).alias(names[0]), own.alias(names[1]), F.col(text).alias("text"))
+    seen, _ = classes(rows.select(F.col(names[1]).alias("id"), "text"), "id", "text", **settings)
+    stay = seen.groupBy("class").agg(F.min("first").alias("f")).groupBy(F.col("f.id").alias("keeper")).agg(F.collect_set("f.line_no").alias("stay"))
+    joined = rows.drop("text").join(stay, F.col(names[1]) == F.col("keeper"), "left")
+    left = F.filter(F.split(F.col(f"{names[0]}.`{text}`"), "\n"), lambda x, i: (F.trim(x) == "") | F.coalesce(F.array_contains("stay", i), F.lit(False)))
+    rebuilt = F.when(F.col(names[1]).isNull(), F.col(f"{names[0]}.`{text}`")).otherwise(F.array_join(left, "\n")).alias(text)
+    return joined.select(*[rebuilt if c == text else F.col(f"{names[0]}.`{c}`") for c in docs.columns])
+
+
+def dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with what dedup() leaves of its text: doc_id, text."""
+    return dedup(shared.read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op1_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ QUERIES = {
     "op11_sharding": sharding.op11_sharding,
     "op12_spelling": spelling.op12_spelling,
     "op13_divergence": divergence.op13_divergence,
+    "dedup_lines": linededup.dedup_lines,
 }
 ORACLES = {
     "op3_mixing": mixing.ORACLE,

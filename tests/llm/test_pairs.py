@@ -218,3 +218,29 @@ def test_topk_small_blocks_and_empty(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert topk.search(topk.build_index(df.limit(0)), df.limit(0)).count() == 0
     assert topk.search(topk.build_index(df.limit(1)), df.limit(1)).count() == 0
+
+
+def test_linededup_of_repeated_ids(spark):
+    df = spark.createDataFrame([(1, "hello world line", "x"), (1, "hello world line", "y"), (2, "aaaaaaaaaa\nbbbbbbbbbb", "z"), (2, "bbbbbbbbbb\ncccccccccc", "w"), (None, "hello world line", "v")], "doc_id long, text string, row string")
+    out = [tuple(r) for r in linededup.dedup(df).collect()]
+    assert sorted(len(t) for d, t, _ in out if d == 1) == [0, 16] and {r for *_, r in out} == set("xyzwv")
+    assert sorted(line for d, t, _ in out if d == 2 for line in t.split("\n")) == ["aaaaaaaaaa", "bbbbbbbbbb", "cccccccccc"]
+    assert [t for d, t, _ in out if d is None] == ["hello world line"]
+
+
+def test_linededup_texts_are_those_of_the_counts(put, docs, rows):
+    path = put(documents=docs)
+    counts = {r.doc_id: r.n_kept for r in linededup.op1_linededup(docs.sparkSession, path).collect()}
+    texts = {r.doc_id: r.text for r in linededup.dedup_lines(docs.sparkSession, path).collect()}
+    assert {d: sum(bool(x.strip(" ")) for x in (t or "").split("\n")) for d, t in texts.items()} == counts
+
+
+def test_verbatim_passages_are_found_wherever_they_start(spark):
+    """100 folded bytes of an item, in other words, from every start; what is found is known without segments."""
+    r = random.Random(12)
+    item = " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(60))
+    filler = lambda: " ".join("".join(r.choice("klmnopqrst") for _ in range(6)) for _ in range(12))
+    starts = range(len(item) - 100 + 1)
+    docs = [(s, f"{filler()} {item[s : s + 100]} {filler()}") for s in starts] + [(10_000 + s, f"{filler()} {item[s : s + 60]} {filler()}") for s in starts[:40]]
+    found = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert {x.doc_id for x in found.collect()} == set(starts)
