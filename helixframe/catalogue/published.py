@@ -14,10 +14,10 @@ from .registry import ALIGNMENTS, BENCH, alignments, bench_reads, query
 
 #: Reads named family|gene|transcript_n; the corrected form of a read is the next of its variants.
 NAMED = """named as (
-  select c.item_id, 'f' || (c.item_id % 5) || '|g' || (c.item_id % 20) || '|' || c.item_id || '_' || c.v as acc, c.seq as original, n.seq as corrected, t.seq as true
+  select c.item_id, 'f' || (c.item_id % 5) || '|g' || (c.item_id % 20) || '|' || c.item_id || '_' || c.v as acc, c.seq as original, n.seq as corrected, t.seq as truth
   from corrected c join corrected n on n.item_id = c.item_id and n.v = (c.v + 1) % 4 join corrected t on t.item_id = c.item_id and t.v = 0),
-forms as (select item_id, acc, 'corrected' as type, corrected as seq, true from named union all select item_id, acc, 'original', original, true from named),
-sized as (select *, levenshtein(seq, true)::int as err, length(seq) - length(true) as longer, length(seq) as n, length(true) as read_length from forms)"""
+forms as (select item_id, acc, 'corrected' as type, corrected as seq, truth from named union all select item_id, acc, 'original', original, truth from named),
+sized as (select *, levenshtein(seq, truth)::int as err, length(seq) - length(truth) as longer, length(seq) as n, length(truth) as read_length from forms)"""
 
 
 def _acc() -> Column:
@@ -93,7 +93,7 @@ scored as (
   select set, read, list_sum([x::int for x in regexp_extract_all(cigar, '(\d+)[XID]', 1)])::double as nm, list_sum([x::int for x in regexp_extract_all(cigar, '(\d+)[M=XI]', 1)])::double as aligned,
     list_sum([x::int for x in regexp_extract_all(cigar, '(\d+)[M=XISH]', 1)])::double as read_len from one),
 usable as (select *, 100 * nm / aligned as e, 100 * aligned / read_len as a from scored where read in (select read from scored group by 1 having count(*) = 2)),
-ranked as (select *, row_number() over (partition by set order by e) - 1 as at, count(*) over (partition by set) as n from usable)"""
+ranked as (select *, row_number() over (partition by set order by e) - 1 as nth, count(*) over (partition by set) as n from usable)"""
 
 
 def _set_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +104,7 @@ def _set_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "genome_accuracy",
-    """select set, count(*) as n, round(avg(e), 6) as err_mean, round(median(e), 6) as err_median, round(max(e) filter (at = least(n - 1, floor(n * 0.9))), 6) as err_p90,
+    """select set, count(*) as n, round(avg(e), 6) as err_mean, round(median(e), 6) as err_median, round(max(e) filter (nth = least(n - 1, floor(n * 0.9))), 6) as err_p90,
       round(avg(a), 6) as aln_mean, round(median(a), 6) as aln_median, round(100 * sum(nm) / sum(aligned), 6) as err_total from ranked group by 1""",
     (ALIGNMENTS, SIDES, SCORED),
 )
