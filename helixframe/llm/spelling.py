@@ -10,7 +10,7 @@ allowing one inserted, deleted or replaced sign, to the closing delimiter. All w
 A word that keeps its first half keeps its first three signs, and one that keeps its second half its last three (words
 have six at least). So the vocabulary is dealt out by its first three signs for one search and by its last three for the
 other, and each part is searched by its own words only. A part that grew over OVERFULL times PART words, such as one frequent
-ending, is cut by a hash of the words, and its words are searched in every piece. What the second search finds that keeps
+ending, is cut by the words' lengths and kept halves, and its words are searched in three pieces at most. What the second search finds that keeps
 the first half too is dropped, so each near word is found once.
 
 A task returns, for each word, how many near words it found and the best; sums and the best of all follow. Roots come by
@@ -214,12 +214,22 @@ def words_of(docs: DataFrame, text: str = "text", order: str = "doc_id", min_cha
 
 
 def _search(vocab: DataFrame, turned: bool, parts: int, part: int) -> DataFrame:
-    """Near words of one search: dealt by the first or last three signs, in pieces of bounded size."""
-    key: Column = F.substring("word", -KEY, KEY) if turned else F.substring("word", 1, KEY)
-    dealt = vocab.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)))
-    sizes = dealt.groupBy("part").agg(F.greatest(F.lit(1), F.when(F.count("*") > OVERFULL * part, F.ceil(F.count("*") / part)).otherwise(1)).cast("int").alias("pieces"))
-    placed = dealt.join(F.broadcast(sizes), "part").withColumn("own", F.pmod(F.xxhash64("word", F.lit(1)), F.col("pieces")).cast("int"))
-    every = placed.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    """Near words of one search: dealt by the first or last three signs, large parts in pieces by length and the half that stays.
+
+    A near word of length n is found by words of n - 1 to n + 1 signs, whose kept halves have (n - 1) // 2 signs at least
+    from the front and n // 2 from the end. So a word is indexed in one piece and searched in three at most.
+    """
+    text = F.reverse("word") if turned else F.col("word")
+    dealt = vocab.withColumn("part", F.pmod(F.xxhash64(F.substring(text, 1, KEY)), F.lit(parts)))
+    sizes = dealt.groupBy("part").agg(F.when(F.count("*") > OVERFULL * part, F.ceil(F.count("*") / part)).otherwise(1).cast("int").alias("pieces"))
+    placed = dealt.join(F.broadcast(sizes), "part")
+
+    def piece(n: Column) -> Column:
+        kept = F.floor((n if turned else n - 1) / 2).cast("int")
+        return F.pmod(F.xxhash64(n, F.substring(text, F.lit(1), kept)), F.col("pieces")).cast("int")
+
+    n = F.length("word")
+    every = placed.withColumn("own", piece(n)).withColumn("piece", F.explode(F.array_distinct(F.array(piece(n - 1), piece(n), piece(n + 1)))))
     rows = every.select("part", "piece", "word", "n", (F.col("piece") == F.col("own")).alias("indexed"))
     return rows.groupBy("part", "piece").applyInArrow(near_in_part(turned), "word string, n_near long, best_n long, best string")
 
