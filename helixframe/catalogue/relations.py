@@ -139,11 +139,8 @@ fold as (
       from (select f.*, x.variant, x.context, x.depth, replace(x.context, '-', '') as bare from fold f join ctx x on x.item_id = f.item_id and x.col = f.col and x.rank = f.step + 1)))),
 beside as (
   select item_id, col, alts from (
-    select item_id, col, list_filter(arg_max(filed, step), lambda f: f.form <> any_value(plain) and f.form <> any_value(short)) as alts from fold group by item_id, col) where len(alts) > 0)"""
-BESIDE = BESIDE.replace(
-    "select item_id, col, list_filter(arg_max(filed, step), lambda f: f.form <> any_value(plain) and f.form <> any_value(short)) as alts from fold group by item_id, col",
-    "select item_id, col, list_filter(filed, lambda f: f.form <> plain and f.form <> short) as alts from (select item_id, col, arg_max(filed, step) as filed, any_value(plain) as plain, any_value(short) as short from fold group by 1, 2)",
-)
+    select item_id, col, list_filter(filed, lambda f: f.form <> plain and f.form <> short) as alts from (
+      select item_id, col, arg_max(filed, step) as filed, any_value(plain) as plain, any_value(short) as short from fold group by 1, 2)) where len(alts) > 0)"""
 MIXED_TABLES = ("recursive " + BENCH, MIXED, MIXED_CENTERS, WINDOWS, BESIDE)
 
 
