@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from ..functions.sequences import kmers
 from ..session import cut
 
+#: Pairs of texts and references up to which the budget begins where all are within it: rounds would cost more than distances.
+SMALL = 1_000_000
 #: Lengths of the grams that segments are looked up by: the longest that fits.
 GRAMS = (32, 24, 16, 12, 8, 6, 4, 3, 2, 1)
 
@@ -73,6 +75,10 @@ def nearest_pairs(texts: DataFrame, refs: DataFrame, most: int, distance: Callab
     text that keeps nothing in any reference has one row with a null rid, as all are as far.
     """
     left, out, e = texts, None, 0
+    if not infix:
+        (n, longest), (m, long_ref) = (df.agg(F.count("*"), F.coalesce(F.max(F.length(c)), F.lit(0))).first() for df, c in ((texts, "t"), (refs, "rt")))
+        if n * m <= SMALL:
+            e = min(most - 1, max(longest, long_ref))
     while True:
         met = within(left, refs, e, infix).join(left, "tid").join(refs, "rid").withColumn("ed", distance(F.col("t"), F.col("rt"), e)).filter((F.col("ed") >= 0) & (F.col("ed") <= e))
         scored = cut(met.select("tid", "rid", "ed"), "within")

@@ -241,7 +241,7 @@ def noisy(r, text, rate):
     return "".join(out)
 
 
-def test_nearest_equals_all_pairs(spark):
+def test_nearest_equals_all_pairs(spark, monkeypatch):
     from helixframe.operators.alignment import edit_distance
 
     r = random.Random(3)
@@ -249,14 +249,15 @@ def test_nearest_equals_all_pairs(spark):
     refs = [(i, t) for i, t in enumerate(["", "A", "ACA", "CCCCCC", "ACA", "".join(r.choice("ACGT") for _ in range(80))])] + [(9, None)]
     reads = [(i, t) for i, t in enumerate([*short, noisy(r, refs[5][1], 0.2), "G" * 30])] + [(99, None)]
     a, b = spark.createDataFrame(reads, "k int, s string"), spark.createDataFrame(refs, "ref int, rs string")
-    for most in (4, 1000):
+    for most, small in ((4, 0), (1000, 0), (4, 10**6), (1000, 10**6)):
+        monkeypatch.setattr(nearest, "SMALL", small)
         far = {i: sorted((edit_distance(t, x), j) for j, x in refs if x is not None and edit_distance(t, x) < most) for i, t in reads if t is not None}
         tied = {(i, j, d) for i, xs in far.items() for d, j in xs if d == xs[0][0]}
         assert {tuple(x) for x in evaluation.nearest(a, b, "k", "ref", "s", "rs", most=most, ties=True).collect()} == tied
         assert {tuple(x) for x in evaluation.nearest(a, b, "k", "ref", "s", "rs", most=most).collect()} == {(i, xs[0][1], xs[0][0]) for i, xs in far.items() if xs}
 
 
-def test_few_pairs_are_compared(spark):
+def test_few_pairs_are_compared(spark, monkeypatch):
     """Reads of a tenth of errors meet few references, and no plan joins without keys."""
     r = random.Random(6)
     refs = [(i, "".join(r.choice("ACGT") for _ in range(r.randint(380, 420)))) for i in range(60)]
@@ -274,6 +275,7 @@ def test_few_pairs_are_compared(spark):
         if left.isEmpty():
             break
     assert left.isEmpty() and compared < 240 * 60 / 10
+    monkeypatch.setattr(nearest, "SMALL", 0)
     found = nearest.nearest_pairs(texts, few, 1000, lambda t, rt, e: F.levenshtein(t, rt, e)).collect()
     assert {(x.tid, x.rid) for x in found} == {(i, i % 60) for i in range(240)}
 
