@@ -19,6 +19,10 @@ from pyspark.sql import types as T
 from ..functions.sequences import kmers, poly_a
 
 MINIMIZERS = "array<struct<kmer:string,pos:int>>"
+#: Anchor pairs that a task makes, holds and hands on at once.
+PAIRS = 1 << 20
+#: Reads whose minimizers are Python objects at the same time.
+READS = 64
 #: Bases in their order as text, by three bits each.
 _ORDER = "-ACGNTU"
 _CODES = np.full(256, -1, np.int64)
@@ -123,6 +127,16 @@ def _sliding(codes: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]
     return both >> 32, (1 << 32) - 1 - (both & ((1 << 32) - 1))
 
 
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, with the sum of its counts."""
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.add.reduceat(counts[order], first)
+
+
 def _window_places(codes: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
     """(value, place) of the rightmost smallest k-mer of every full window, each place once."""
     value, place = _sliding(codes, k, w)
@@ -143,7 +157,9 @@ def anchor_counts(reads: DataFrame, k: int, w: int, low: int, high: int) -> Data
 
 
 def anchor_keys(reads: DataFrame, k: int, w: int, low: int, high: int, by_read: bool = True) -> DataFrame:
-    """cluster_id, r_id, key, occurrences, reads (1) of every read's anchors; without by_read, added up for each Arrow batch, r_id null.
+    """cluster_id, r_id, key, occurrences, reads (1) of every read's anchors; without by_read, added up for every PAIRS of them, r_id null.
+
+    A task holds PAIRS anchors at a time, or those of one longer read: a read of 3000 bases has some 4000.
 
     A key is both k-mers as numbers of three bits a base, 30 bits each, so k is at most 10. Other signs than bases count as
     the lowest one.
@@ -154,42 +170,55 @@ def anchor_keys(reads: DataFrame, k: int, w: int, low: int, high: int, by_read:
     tail = int("1" * k, 8)
     kind = reads.schema["cluster_id"].dataType
 
+    def of_text(text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(key, count) of a read's anchors, from PAIRS pairs at a time."""
+        value, place = _window_places(table[np.frombuffer(text.encode("ascii", "replace"), np.uint8)], k, w)
+        a, b = np.searchsorted(place, place + low, "right"), np.searchsorted(place, place + high, "right")
+        ends, found, at = np.cumsum(b - a), [], 0
+        while at < len(place):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+            n = (b - a)[at:stop]
+            first = np.repeat(np.arange(at, stop), n)
+            second = np.repeat(a[at:stop] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            m1, m2 = value[first], value[second]
+            found.append(np.unique(((m1 << 30) | m2)[(m1 != tail) | (m2 != tail)], return_counts=True))
+            at = stop
+        return found[0] if len(found) == 1 else _summed(*(np.concatenate(x) for x in zip(*found, strict=True)))
+
+    def packed(batch, clusters, number, which, keys, counts):
+        """One batch of what the reads `which` have: a row for each read's key, or added up by cluster."""
+        keys, counts, n = np.concatenate(keys), np.concatenate(counts), [len(x) for x in keys]
+        if by_read:
+            row = pa.array(np.repeat(which, n))
+            return pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(keys), pa.array(counts), pa.array(np.ones(len(row), np.int64))], names)
+        of = np.repeat(number[which], n)
+        order = np.lexsort((keys, of))
+        of, keys, counts = of[order], keys[order], counts[order]
+        first = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (keys[1:] != keys[:-1])))
+        group = clusters.dictionary.take(pa.array(of[first], mask=of[first] < 0))
+        return pa.RecordBatch.from_arrays([group, pa.nulls(len(first), pa.int32()), pa.array(keys[first]), pa.array(np.add.reduceat(counts, first)), pa.array(np.diff(np.append(first, len(keys))))], names)
+
     def run(batches):
         for batch in batches:
-            clusters, ids = batch.column(0).dictionary_encode(), batch.column(1)
-            number = clusters.indices.to_numpy(zero_copy_only=False)
-            of, keys, counts, which = [], [], [], []
+            clusters = batch.column(0).dictionary_encode()
+            number = np.array([-1 if x is None else x for x in clusters.indices.to_pylist()], np.int64)
+            which, keys, counts, held = [], [], [], 0
             for i, seq in enumerate(batch.column(2)):
                 text = seq.as_py()
                 if text is None or len(text) < w:
                     continue
-                value, place = _window_places(table[np.frombuffer(text.encode("ascii", "replace"), np.uint8)], k, w)
-                a, b = np.searchsorted(place, place + low, "right"), np.searchsorted(place, place + high, "right")
-                n = b - a
-                first = np.repeat(np.arange(len(place)), n)
-                second = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                m1, m2 = value[first], value[second]
-                key, count = np.unique(((m1 << 30) | m2)[(m1 != tail) | (m2 != tail)], return_counts=True)
-                of.append(np.full(len(key), -1 if np.isnan(number[i]) else number[i], np.int64))
+                key, count = of_text(text)
+                if not len(key):
+                    continue
+                if held and held + len(key) > PAIRS:
+                    yield packed(batch, clusters, number, which, keys, counts)
+                    which, keys, counts, held = [], [], [], 0
+                which.append(i)
                 keys.append(key)
                 counts.append(count)
-                which.append(np.full(len(key), i))
-            if not keys:
-                continue
-            if by_read:
-                row = pa.array(np.concatenate(which))
-                ones = pa.array(np.ones(len(row), np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), ids.take(row), pa.array(np.concatenate(keys)), pa.array(np.concatenate(counts)), ones], names)
-                continue
-            of, keys, counts = (np.concatenate(x) for x in (of, keys, counts))
-            order = np.lexsort((keys, of))
-            of, keys, counts = of[order], keys[order], counts[order]
-            first = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (keys[1:] != keys[:-1]))[: len(keys)])
-            if not len(first):
-                continue
-            group = clusters.dictionary.take(pa.array(of[first], mask=of[first] < 0))
-            sums = np.add.reduceat(counts, first)
-            yield pa.RecordBatch.from_arrays([group, pa.nulls(len(first), pa.int32()), pa.array(keys[first]), pa.array(sums), pa.array(np.diff(np.append(first, len(keys))))], names)
+                held += len(key)
+            if held:
+                yield packed(batch, clusters, number, which, keys, counts)
 
     schema = T.StructType([T.StructField("cluster_id", kind), T.StructField("r_id", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in ("key", "occurrences", "reads")]])
     names = schema.names
