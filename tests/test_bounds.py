@@ -66,3 +66,50 @@ def test_anchor_counts_do_not_depend_on_the_bound(spark, monkeypatch):
             reads[(c, a, b)] += 1
     got = seeds.anchor_counts(spark.createDataFrame(rows, "cluster_id string, r_id int, seq string"), 9, 20, 18, 80).collect()
     assert {(r.cluster_id, r.m1, r.m2): (r.occurrences, r.reads) for r in got} == {k: (n, reads[k]) for k, n in occurrences.items()}
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_support_join_shuffles_anchors_once(spark, sf_dir):
+    """One pass of the kernel, whose rows meet their sums in a window instead of a join."""
+    from helixframe.catalogue import QUERIES
+
+    assert plan(QUERIES["anchor_support_join"](spark, sf_dir)).count("MapInArrow") == 1
+
+
+def test_known_introns_reads_line_items_once(spark, sf_dir):
+    from helixframe.catalogue.assessment import known_introns
+
+    assert plan(known_introns(spark, sf_dir)).count("Relation") == 1
+
+
+def test_gaps_parse_a_cigar_once(spark):
+    from helixframe.operators import evaluation as E
+
+    rows = spark.createDataFrame([(1, 1, 2, 5, "3=2D4N1="), (2, 1, 2, 5, "3="), (3, 1, 2, 5, None)], "qname long, ord long, rname int, start int, cigar string")
+    assert [tuple(r) for r in E.gaps(rows, "N").collect()] == [(1, 1, 2, 10, 14)]
+    assert plan(E.gaps(rows, "N")).count("regexp_extract_all") == 1
+
+
+def test_same_isoform_derives_reads_once(spark):
+    from helixframe.operators import assessment as A
+
+    reads = spark.createDataFrame([(1, 0, 1, 2), (1, 0, 1, 2), (1, 0, 5, 6), (2, 0, 1, 2), (3, 1, 1, 2)], "qname long, rname int, start int, stop int")
+    known = spark.createDataFrame([(0, 7, 1, 2), (0, 7, 5, 6), (0, 7, 5, 6), (0, 8, 1, 2), (0, 9, 1, 2), (0, 9, 8, 9)], "chrom int, tx long, start int, stop int")
+    found = A.same_isoform(reads, known)
+    assert sorted(map(tuple, found.collect())) == [(1, 7), (2, 8)]
+    assert plan(found).count("LogicalRDD") == 2
+
+
+def test_places_are_those_of_the_per_read_table(spark, sf_dir):
+    """The narrow table that location_stability reads, without splice details or cluster sizes."""
+    from helixframe.catalogue import assessment as C
+    from helixframe.operators import assessment as A
+
+    columns = ["acc", "read_type", "chr_id", "reference_start", "reference_end", "error_rate"]
+    narrow = A.per_read_places(*C._sides(spark, sf_dir), C.known_introns(spark, sf_dir))
+    assert "collect_list" not in plan(narrow)
+    whole = C._results(spark, sf_dir).select(*columns)
+    assert sorted(map(tuple, narrow.select(*columns).collect())) == sorted(map(tuple, whole.collect()))
