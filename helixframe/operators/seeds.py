@@ -8,7 +8,6 @@ need no shuffle; the anchor index is one aggregation by (cluster, batch, m1, m2)
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -102,12 +101,18 @@ def with_minimizers(reads: DataFrame, k: int, w: int, column: str = "minimizers"
 
     @F.arrow_udf(MINIMIZERS)
     def run(seqs: pa.Array) -> pa.Array:
-        texts = seqs.to_pylist()
-        found = [[] if s is None else minimizer_places(s, k, w) for s in texts]
-        offsets = pa.array(list(accumulate(map(len, found), initial=0)), pa.int32())
-        mers = [s[p : p + k] for s, ps in zip(texts, found, strict=True) for p in ps]
-        made = pa.StructArray.from_arrays([pa.array(mers, pa.string()), pa.array([p for ps in found for p in ps], pa.int32())], ["kmer", "pos"])
-        return pa.ListArray.from_arrays(offsets, made)
+        sizes, places, mers = [0], [np.empty(0, np.int64)], [pa.array([], pa.string())]
+        for at in range(0, len(seqs), READS):  # few reads at a time as Python objects
+            for s in seqs.slice(at, READS).to_pylist():
+                found = np.array([] if s is None else minimizer_places(s, k, w), np.int64)
+                sizes.append(len(found))
+                if not len(found):
+                    continue
+                places.append(found.astype(np.int32))
+                # Of short reads the last k-mers are clamped.
+                mers.append(_mers(s, found, k) if found.max() + k <= len(s) else pa.array([s[p : p + k] for p in found.tolist()], pa.string()))
+        made = pa.StructArray.from_arrays([pa.concat_arrays(mers), pa.array(np.concatenate(places), pa.int32())], ["kmer", "pos"])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), made)
 
     return reads.withColumn(column, run("seq"))
 
@@ -239,10 +244,87 @@ def window_minimizer_array(seq: Column, k: int, w: int) -> Column:
 
 
 def window_minimizers(reads: DataFrame, k: int, w: int, keys: tuple[str, ...] = ("cluster_id", "r_id")) -> DataFrame:
-    """keys, pos, kmer of window_minimizer_array."""
-    # The outer forms of explode here: for the plain ones the optimizer infers a filter that evaluates the array twice.
-    rows = reads.select(*keys, F.explode_outer(window_minimizer_array(F.col("seq"), k, w)).alias("m")).filter("m is not null")
-    return rows.select(*keys, (-F.col("m.neg")).alias("pos"), "m.kmer")
+    """keys, pos, kmer of window_minimizer_array, whose elements a kernel finds in Arrow batches: PAIRS of them at once, or one read's."""
+    source = reads.select(*keys, F.col("seq").cast("string").alias("seq"))
+    schema = T.StructType([*source.schema.fields[:-1], T.StructField("pos", T.IntegerType()), T.StructField("kmer", T.StringType())])
+    names = schema.names
+
+    def packed(batch, which, places, mers):
+        row = pa.array(np.repeat(which, [len(p) for p in places]))
+        made = [pa.array(np.concatenate(places), pa.int32()), pa.concat_arrays(mers)]
+        return pa.RecordBatch.from_arrays([*[batch.column(i).take(row) for i in range(len(keys))], *made], names)
+
+    def run(batches):
+        for batch in batches:
+            which, places, mers, held = [], [], [], 0
+            for i, seq in enumerate(batch.column(len(keys))):
+                text = seq.as_py()
+                if text is None or len(text) < w:
+                    continue
+                place = window_places(text, k, w)
+                if held and held + len(place) > PAIRS:
+                    yield packed(batch, which, places, mers)
+                    which, places, mers, held = [], [], [], 0
+                which.append(i)
+                places.append(place)
+                mers.append(_mers(text, place, k))
+                held += len(place)
+            if held:
+                yield packed(batch, which, places, mers)
+
+    return source.mapInArrow(run, schema)
+
+
+def window_places(text: str, k: int, w: int) -> np.ndarray:
+    """Places of the rightmost smallest k-mer of every full window, each place once."""
+    if len(text) < w:
+        return np.empty(0, np.int64)
+    codes = _CODES[np.frombuffer(text.encode("latin-1", "replace"), np.uint8)]
+    if k <= 10 and codes.min() >= 0:
+        return _window_places(codes, k, w)[1]
+    mers = [text[i : i + k] for i in range(len(text) - k + 1)]
+    found = [min(range(i, i + w - k + 1), key=lambda p: (mers[p], -p)) for i in range(len(text) - w + 1)]
+    return np.array([p for i, p in enumerate(found) if not i or p != found[i - 1]])
+
+
+def _mers(text: str, place: np.ndarray, k: int) -> pa.Array:
+    """The k-mers of a text at these places, without an object for each where a sign is a byte."""
+    if not text.isascii():
+        return pa.array([text[p : p + k] for p in place.tolist()], pa.string())
+    letters = np.frombuffer(text.encode("ascii"), np.uint8)[np.asarray(place, np.int64)[:, None] + np.arange(k)]
+    return pa.Array.from_buffers(pa.string(), len(place), [None, pa.py_buffer(np.arange(0, k * len(place) + 1, k, np.int32)), pa.py_buffer(np.ascontiguousarray(letters))])
+
+
+def pair_spans(reads: DataFrame, k: int, w: int, low: int, high: int) -> DataFrame:
+    """cluster_id, r_id, pairs, nearest, farthest: how many anchor pairs of window minimizers a read has, and their least and largest span.
+
+    Pairs are counted by the range of partners of each place; only those of two poly-A k-mers, which don't count, are made. Reads without pairs are left out.
+    """
+    source = reads.select("cluster_id", "r_id", "seq")
+    schema = T.StructType([*source.schema.fields[:2], *[T.StructField(c, T.LongType()) for c in ("pairs", "nearest", "farthest")]])
+    names, tail = schema.names, "A" * k
+
+    def of_text(text: str) -> tuple[int, int, int] | None:
+        place = window_places(text, k, w)
+        poly = np.array([text.startswith(tail, p) for p in place.tolist()], bool)
+        n, least, most = 0, high + 1, 0
+        for these, partners in ((place[~poly], place), (place[poly], place[~poly])):
+            a, b = np.searchsorted(partners, these + low, "right"), np.searchsorted(partners, these + high, "right")
+            some = b > a
+            if some.any():
+                n += int((b - a).sum())
+                least = min(least, int((partners[a[some]] - these[some]).min()))
+                most = max(most, int((partners[b[some] - 1] - these[some]).max()))
+        return (n, least, most) if n else None
+
+    def run(batches):
+        for batch in batches:
+            found = [(i, *x) for i, t in enumerate(batch.column(2)) if t.as_py() is not None and (x := of_text(t.as_py()))]
+            if found:
+                row, *made = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), *[pa.array(c, pa.int64()) for c in made]], names)
+
+    return source.mapInArrow(run, schema)
 
 
 def anchor_pairs(mins: Column, low: int, high: int, k: int) -> Column:

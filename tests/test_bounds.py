@@ -113,3 +113,28 @@ def test_places_are_those_of_the_per_read_table(spark, sf_dir):
     assert "collect_list" not in plan(narrow)
     whole = C._results(spark, sf_dir).select(*columns)
     assert sorted(map(tuple, narrow.select(*columns).collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_window_minimizers_and_spans(spark, monkeypatch):
+    """The kernels against the array expressions, in one pass over Arrow batches; other signs, short, empty and null sequences, poly-A."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(seeds, "PAIRS", 50)
+    rows = texts(20) + [("z", 100, "ACG"), ("z", 101, ""), ("z", 102, "acgtNNé" * 12), ("z", 103, "A" * 50 + "C" + "A" * 60), ("z", 104, "ACGTU-N" * 9), ("z", 105, "T" * 20)]
+    reads = spark.createDataFrame(rows, "cluster_id string, r_id int, seq string")
+    array = reads.select("cluster_id", "r_id", seeds.window_minimizer_array(F.col("seq"), 9, 20).alias("m")).cache()
+    want = array.select("cluster_id", "r_id", F.explode("m").alias("m")).select("cluster_id", "r_id", (-F.col("m.neg")).alias("pos"), "m.kmer")
+    got = seeds.window_minimizers(reads, 9, 20)
+    assert "MapInArrow" in plan(got)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    mins = array.select("cluster_id", "r_id", F.transform("m", lambda x: F.struct(x["kmer"].alias("kmer"), (-x["neg"]).alias("pos"))).alias("minimizers"))
+    pairs = seeds.exploded_pairs(mins, 18, 80, 9).groupBy("cluster_id", "r_id").agg(F.count("*"), F.min(F.col("p2") - F.col("p1")), F.max(F.col("p2") - F.col("p1")))
+    spans = seeds.pair_spans(reads, 9, 20, 18, 80)
+    assert sorted((tuple(r) for r in spans.collect()), key=repr) == sorted((tuple(r) for r in pairs.collect()), key=repr)
+
+
+def test_exact_minimizers_hold_few_reads_as_objects(spark, monkeypatch):
+    monkeypatch.setattr(seeds, "READS", 3)
+    rows = texts(20) + [("z", 100, "ACG"), ("z", 101, ""), ("z", 102, "acgtNNé" * 12)]
+    got = seeds.with_minimizers(spark.createDataFrame(rows, "cluster_id string, r_id int, seq string").coalesce(1), 9, 20).collect()
+    assert {r.r_id: [tuple(m) for m in r.minimizers] for r in got} == {i: seeds.minimizers(t, 9, 20) if t is not None else [] for _, i, t in rows}
