@@ -44,8 +44,10 @@ def sequence_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     fasta = F.concat(F.lit(">"), "acc", F.lit("\r\n"), wrapped(F.col("seq")))
     fastq = F.concat(F.lit("@"), "acc", F.lit("\n"), wrapped(F.col("seq")), F.lit("\n+\n"), wrapped(F.col("qual")))
     reads = read_table(spark, sf_dir)
-    rows = reads.select("cluster_id", F.when((F.col("r_id") % 2 == 0) & (F.col("seq") != ""), fastq).otherwise(fasta).alias("value"))
-    rows.repartition("cluster_id").write.partitionBy("cluster_id").text(folder)
+    rows = reads.select("cluster_id", "acc", F.when((F.col("r_id") % 2 == 0) & (F.col("seq") != ""), fastq).otherwise(fasta).alias("value"))
+    # A cluster's records are written by many tasks, each to a file of its own, whose ranges prove one another by themselves.
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    rows.withColumn("piece", F.pmod(F.xxhash64("acc"), F.lit(n))).repartition(n, "cluster_id", "piece").drop("piece", "acc").write.partitionBy("cluster_id").text(folder)
     return ranges.read_records(spark, f"{folder}/*/*.txt", range_bytes=1 << 18).select("acc", "seq", "qual")
 
 

@@ -138,3 +138,16 @@ def test_exact_minimizers_hold_few_reads_as_objects(spark, monkeypatch):
     rows = texts(20) + [("z", 100, "ACG"), ("z", 101, ""), ("z", 102, "acgtNNé" * 12)]
     got = seeds.with_minimizers(spark.createDataFrame(rows, "cluster_id string, r_id int, seq string").coalesce(1), 9, 20).collect()
     assert {r.r_id: [tuple(m) for m in r.minimizers] for r in got} == {i: seeds.minimizers(t, 9, 20) if t is not None else [] for _, i, t in rows}
+
+
+def test_sequence_files_are_written_by_many_tasks(spark, sf_dir, monkeypatch):
+    """A cluster's records stand in more than one file, so neither writing nor proving ranges is left to a task for each cluster."""
+    from collections import Counter
+
+    from helixframe.catalogue import relations
+
+    seen = []
+    read = relations.ranges.read_records
+    monkeypatch.setattr(relations.ranges, "read_records", lambda spark, path, **more: seen.append(relations.ranges.list_files(spark, path)) or read(spark, path, **more))
+    relations.sequence_ranges(spark, sf_dir).collect()
+    assert min(Counter(p.rsplit("/", 2)[1] for p, _ in seen[0]).values()) > 1
