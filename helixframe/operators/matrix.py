@@ -6,6 +6,8 @@ from collections import Counter
 from collections.abc import Iterable
 from itertools import groupby
 
+import numpy as np
+
 from .alignment import edit_distance, path
 
 ALPHABET = "ACGTU-N"
@@ -84,8 +86,29 @@ def reach(vector: str, half: int) -> int:
 
 def context_windows(consensus_row: str, half: int) -> list[tuple[int, int]]:
     """[start, stop) around each column."""
-    n = len(consensus_row)
-    return [(i - reach(consensus_row[:i][::-1], half), i + reach(consensus_row[i + 1 :], half) + 1) for i in range(n)]
+    n, solid, out, before = len(consensus_row), [i for i, ch in enumerate(consensus_row) if ch != "-"], [], 0
+    for i, ch in enumerate(consensus_row):
+        after = before + (ch != "-")
+        start = solid[before - half - 1] + 1 if before > half else min(i, 1)
+        out.append((start, solid[after + half] if after + half < len(solid) else max(i + 1, n - 1)))
+        before = after
+    return out
+
+
+def _table(rows: list[str]) -> np.ndarray:
+    """Characters of rows of equal length as numbers."""
+    text = "".join(rows)
+    data = np.frombuffer(text.encode(), np.uint8) if text.isascii() else np.frombuffer(text.encode("utf-32-le"), "<u4")
+    return data.reshape(len(rows), -1)
+
+
+def _thin(times: Counter, least: float) -> list[int]:
+    """How many columns before each have no character that more than least rows hold: no context across one is more frequent either."""
+    table, n = _table(list(times)), np.fromiter(times.values(), np.int64, len(times))
+    most = np.zeros(table.shape[1], np.int64)
+    for ch in np.unique(table):
+        np.maximum(most, n @ (table == ch), out=most)
+    return [0, *np.cumsum(most <= least).tolist()]
 
 
 def frequent_contexts(rows: Iterable[str], windows: list[tuple[int, int]], threshold: float) -> list[list[tuple[str, str, int]]]:
@@ -95,7 +118,11 @@ def frequent_contexts(rows: Iterable[str], windows: list[tuple[int, int]], thres
     """
     least, held, out = max(threshold / 10, 5), {}, []
     times = rows if isinstance(rows, Counter) else Counter(rows)
+    thin = _thin(times, least) if windows and times and len(set(map(len, times))) == 1 else None
     for i, (start, stop) in enumerate(windows):
+        if thin and thin[stop] > thin[start]:
+            out.append([])
+            continue
         if (start, stop) not in held:
             counts: dict[str, int] = {}
             for r, n in times.items():
@@ -124,7 +151,7 @@ def alternatives(consensus_row: str, contexts: list[list[tuple[str, str, int]]],
     out = []
     for found, (start, stop) in zip(contexts, windows, strict=True):
         admitted: dict[str, tuple[str, str, int] | None] = {}
-        if len({v for v, _, _ in found}) > 1:
+        if len(found) > 1 and len({v for v, _, _ in found}) > 1:
             plain = _bare(consensus_row[start:stop])
             admitted = {_runs(plain): None, plain: None}
             for variant, context, depth in found:
@@ -148,11 +175,16 @@ def corrected_rows(rows: dict[object, str], consensus_row: str, k: int, ratio: f
     times = Counter(rows.values())
     others = alternatives(consensus_row, frequent_contexts(times + Counter([consensus_row]), windows, threshold), windows, threshold)
     known: dict[tuple[str, str], int] = {}
-    depth: dict[tuple[int, str], int] = {}
-    differ = {row: [i for i, (a, b) in enumerate(zip(row, consensus_row, strict=True)) if a != b] for row in times}
-    for row, places in differ.items():
-        for i in places:
-            depth[i, row[i]] = depth.get((i, row[i]), 0) + times[row]
+    if not consensus_row:
+        return dict.fromkeys(rows, "")
+    table, n = _table([consensus_row, *times]), np.array([0, *times.values()])
+    # What a row keeps of its own needs a context on file, or a character that is deep enough; elsewhere the consensus stands.
+    open_ = np.zeros(table.shape, bool)
+    open_[:, [i for i, found in enumerate(others) if found]] = True
+    for ch in np.unique(table):
+        open_ |= (table == ch) & (n @ (table == ch) >= threshold)
+    open_ &= table != table[0]
+    differ = {row: np.flatnonzero(places).tolist() for row, places in zip(times, open_[1:], strict=True)}
 
     def distance(a: str, b: str) -> int:
         if (a, b) not in known:
@@ -167,7 +199,7 @@ def corrected_rows(rows: dict[object, str], consensus_row: str, k: int, ratio: f
             exact = next((v for v, c, _ in others[i] if c == context), None)
             return exact if exact is not None else min([(distance(consensus_row[start:stop], context), -1, ref), *((distance(c, context), n, v) for n, (v, c, _) in enumerate(others[i]))])[2]
         sides = row[start:i] == consensus_row[start:i] and row[i + 1 : stop] == consensus_row[i + 1 : stop]
-        return own if "-" not in (ref, own) and depth[i, own] >= threshold and sides else ref
+        return own if "-" not in (ref, own) and sides else ref
 
     done = {}
     for row, places in differ.items():

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from helixframe.operators import seeds
 
@@ -151,3 +152,16 @@ def test_sequence_files_are_written_by_many_tasks(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(relations.ranges, "read_records", lambda spark, path, **more: seen.append(relations.ranges.list_files(spark, path)) or read(spark, path, **more))
     relations.sequence_ranges(spark, sf_dir).collect()
     assert min(Counter(p.rsplit("/", 2)[1] for p, _ in seen[0]).values()) > 1
+
+
+@pytest.mark.parametrize("made", ["poa", "multialignment", "correction"])
+def test_costly_groups_are_not_drawn_together(spark, made):
+    """Few bytes, but long work: one task would have all of them."""
+    from helixframe.operators import correction
+    from helixframe.operators.udfs import multialign_by, poa_by
+    from helixframe.plans.params import Params
+
+    rows = [(i, r, f"a{i}_{r}", "ACGTTGCAGGT" * 3, "+" * 33) for i in range(40) for r in (1, 2)]
+    reads = spark.createDataFrame(rows, "cluster_id long, r_id int, acc string, seq string, qual string")
+    out = {"poa": lambda: poa_by(reads, "cluster_id"), "multialignment": lambda: multialign_by(reads, "cluster_id"), "correction": lambda: correction.correct(reads, Params(exact=True))}[made]()
+    assert out.select(F.spark_partition_id().alias("p")).distinct().count() > 4

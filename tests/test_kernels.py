@@ -212,3 +212,19 @@ def test_first_minimizers_by_rescanning_each_window():
                     expected.append((new, start + window.index(new)))
                 best = new
             assert got == expected
+
+
+def test_column_rules_look_only_where_something_can_stay(monkeypatch):
+    """Contexts are counted where every column has a character of enough rows, so the work isn't columns times rows of text."""
+    r, seen = random.Random(9), []
+    rows = {i: dna(r, 400) for i in range(1, 9)}
+
+    class Counted(str):
+        def __getitem__(self, at):
+            seen.append(at)
+            return str.__getitem__(self, at)
+
+    M.frequent_contexts([Counted(x) for x in rows.values()], M.context_windows(dna(r, 400), 4), 3)
+    assert len(seen) < 400
+    center = dna(r, 400)
+    assert M.corrected_rows(rows, center, 9, 0.9) == dict.fromkeys(rows, center)
