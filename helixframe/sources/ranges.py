@@ -26,6 +26,10 @@ from ..session import scratch
 
 RANGE_BYTES = 64 << 20
 CHUNK = 1 << 20
+#: Bytes of the first piece read from a place; each is twice as long as the one before, up to CHUNK.
+FIRST_CHUNK = 1 << 16
+#: Most bytes of the neighbouring ranges that a task goes through, one after another.
+TASK_BYTES = 64 << 20
 #: Letters of a batch that a task hands to Spark at once, or one longer record.
 BATCH_BYTES = 4 << 20
 PLAN = "path string, no int, lo long, hi long, first long, base long"
@@ -57,8 +61,9 @@ def list_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
 def lines(file, start: int) -> Iterator[tuple[int, bytes]]:
     """(offset, line without its end) from a place at which a line begins."""
     file.seek(start)
-    at, open_line = start, []
-    while chunk := file.read(CHUNK):
+    at, open_line, size = start, [], min(FIRST_CHUNK, CHUNK)
+    while chunk := file.read(size):
+        size = min(2 * size, CHUNK)
         parts = chunk.split(b"\n")
         open_line.append(parts[0])
         for part in parts[1:]:
@@ -198,6 +203,27 @@ class Range(InputPartition):
     base: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """The ranges of one task."""
+
+    parts: list[Range]
+
+
+def packed(parts: list[Range], tasks: int, most: int) -> list[Ranges]:
+    """Neighbouring ranges for each task, of even sizes: `tasks` of them, or more where those would have over `most` bytes."""
+    share = min(most, -(-sum(p.hi - p.lo for p in parts) // tasks))
+    out: list[Ranges] = []
+    size = share
+    for part in parts:
+        if size + part.hi - part.lo > share:
+            out.append(Ranges([]))
+            size = 0
+        out[-1].parts.append(part)
+        size += part.hi - part.lo
+    return out
+
+
 def first_header(file) -> int | None:
     """Where a file's first record begins."""
     return next((at for at, line in lines(file, 0) if line[:1] in (b">", b"@") and line), None)
@@ -217,7 +243,7 @@ def answer(part: Range) -> tuple:
 
 
 class SequenceSource(DataSource):
-    """Format helix_sequences. Options: plan, a Parquet table of ranges, and emit: answers, records, lines (counts of them) or records4."""
+    """Format helix_sequences. Options: plan, a Parquet table of ranges, tasks, into how many they are packed at least, and emit: answers, records, lines (counts of them) or records4."""
 
     @classmethod
     def name(cls) -> str:
@@ -232,17 +258,21 @@ class SequenceSource(DataSource):
 
 class SequenceReader(DataSourceReader):
     def __init__(self, options):
-        self.plan, self.emit = options["plan"], options.get("emit", "records")
+        self.plan, self.emit, self.tasks = options["plan"], options.get("emit", "records"), int(options.get("tasks", "1"))
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
         import pyarrow.parquet as pq
         from pyarrow import fs
 
         uri = re.sub(r"^file:/+", "file:///", self.plan)
         system, inner = fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri)
-        return [Range(**row) for row in pq.read_table(inner, filesystem=system).to_pylist()]
+        return packed([Range(**row) for row in pq.read_table(inner, filesystem=system).to_pylist()], self.tasks, TASK_BYTES)
+
+    def read(self, several: Ranges):
+        for part in several.parts:
+            yield from self.of_range(part)
 
-    def read(self, part: Range):
+    def of_range(self, part: Range):
         if self.emit == "answers":
             yield answer(part)
             return
@@ -282,7 +312,8 @@ def _load(spark: SparkSession, plan: list[tuple], emit: str) -> DataFrame:
     spark.dataSource.register(SequenceSource)
     path = scratch(spark, "ranges")
     spark.createDataFrame(plan, PLAN).coalesce(1).write.parquet(path)
-    return spark.read.format("helix_sequences").option("plan", path).option("emit", emit).load()
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    return spark.read.format("helix_sequences").option("plan", path).option("emit", emit).option("tasks", tasks).load()
 
 
 def _settled(rows: list[dict]) -> tuple[list[dict], dict | None]:

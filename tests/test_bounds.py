@@ -165,3 +165,19 @@ def test_costly_groups_are_not_drawn_together(spark, made):
     reads = spark.createDataFrame(rows, "cluster_id long, r_id int, acc string, seq string, qual string")
     out = {"poa": lambda: poa_by(reads, "cluster_id"), "multialignment": lambda: multialign_by(reads, "cluster_id"), "correction": lambda: correction.correct(reads, Params(exact=True))}[made]()
     assert out.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+
+
+def test_neighbouring_ranges_share_a_task(spark, tmp_path, monkeypatch):
+    """Tasks grow with what is read, not with the number of ranges; none is left out, and none has much more than its share."""
+    from helixframe.sources import ranges
+
+    parts = [ranges.Range("a", i, 10 * i, 10 * i + 10, None, 0) for i in range(1000)]
+    for tasks, most, want in ((8, 10**6, 8), (8, 100, 100), (5000, 10**6, 1000)):
+        made = ranges.packed(parts, tasks, most)
+        assert [p for t in made for p in t.parts] == parts and len(made) == want
+    assert ranges.packed([], 8, 100) == []
+    (tmp_path / "a.fastq").write_text("".join(f"@r{i}\nACGT\n+\nIIII\n" for i in range(2000)))
+    for read in (ranges.read_records, ranges.read_records4):
+        got = read(spark, f"{tmp_path}/a.fastq", 64)
+        assert got.rdd.getNumPartitions() <= 8 * spark.sparkContext.defaultParallelism
+        assert [tuple(r) for r in got.orderBy("r_id").select("r_id", "acc").collect()] == [(i + 1, f"r{i}") for i in range(2000)]
