@@ -327,6 +327,53 @@ def pair_spans(reads: DataFrame, k: int, w: int, low: int, high: int) -> DataFra
     return source.mapInArrow(run, schema)
 
 
+#: Bases of k-mers as numbers of two bits.
+_BASES = np.full(256, 4, np.int64)
+_BASES[[ord(ch) for ch in "ACGT"]] = np.arange(4)
+
+
+def kmer_codes(text: bytes, k: int) -> np.ndarray:
+    """The k-mers of a text as numbers, two bits a base; those that hold another sign than A, C, G, T are left out."""
+    n = len(text) - k + 1
+    if n <= 0:
+        return np.empty(0, np.int64)
+    bases = _BASES[np.frombuffer(text, np.uint8)]
+    other = np.append(0, np.cumsum(bases > 3))
+    codes = np.zeros(n, np.int64)
+    for i in range(k):
+        codes <<= 2
+        codes |= bases[i : i + n]
+    return codes[other[k:] == other[:-k]]
+
+
+def kmer_counts(reads: DataFrame, target: DataFrame, k: int) -> DataFrame:
+    """(cluster_id, kmer, n): how often reads (cluster_id, seq) hold the k-mers of target (kmer), both of A, C, G, T; k is 31 at most.
+
+    k-mers are counted over some PAIRS of them at a time before they leave a task, as numbers.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: dict[object, list[str]] = {}
+            size = 0
+            clusters, seqs = batch.column(0).to_pylist(), batch.column(1)
+            for i, cluster in enumerate(clusters):
+                seq = seqs[i].as_py()
+                if seq:
+                    held.setdefault(cluster, []).append(seq)
+                    size += len(seq)
+                if held and (size >= PAIRS or i == len(clusters) - 1):
+                    for key, texts in held.items():
+                        codes, n = np.unique(kmer_codes("-".join(texts).encode("latin-1", "replace"), k), return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array([key] * len(codes), batch.schema.field(0).type), pa.array(codes), pa.array(n)], ["cluster_id", "code", "n"])
+                    held, size = {}, 0
+
+    counts = reads.select("cluster_id", "seq").mapInArrow(run, T.StructType([reads.schema["cluster_id"], T.StructField("code", T.LongType()), T.StructField("n", T.LongType())]))
+    wanted = target.select(F.conv(F.translate("kmer", "ACGT", "0123"), 4, 10).cast("long").alias("code")).distinct()
+    found = counts.join(wanted, "code", "left_semi").groupBy("cluster_id", "code").agg(F.sum("n").alias("n"))
+    return found.select("cluster_id", F.translate(F.lpad(F.conv(F.col("code").cast("string"), 10, 4), k, "0"), "0123", "ACGT").alias("kmer"), "n")
+
+
 def anchor_pairs(mins: Column, low: int, high: int, k: int) -> Column:
     """Ordered pairs with low < p2 - p1 <= high, the farthest partner first, no poly-A pairs: array of (m1, p1, m2, p2)."""
     # Positions grow, so partners are among the next `high` minimizers.

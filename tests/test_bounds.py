@@ -181,3 +181,19 @@ def test_neighbouring_ranges_share_a_task(spark, tmp_path, monkeypatch):
         got = read(spark, f"{tmp_path}/a.fastq", 64)
         assert got.rdd.getNumPartitions() <= 8 * spark.sparkContext.defaultParallelism
         assert [tuple(r) for r in got.orderBy("r_id").select("r_id", "acc").collect()] == [(i + 1, f"r{i}") for i in range(2000)]
+
+
+def test_kmers_are_counted_before_they_leave_a_task(spark, monkeypatch):
+    monkeypatch.setattr(seeds, "PAIRS", 700)
+    r = np.random.default_rng(3)
+    rows = [("xyz"[i % 3] if i % 5 else None, "".join("ACGT"[j] for j in r.integers(0, 2, r.integers(0, 300)))) for i in range(60)] + [("x", None), ("x", "A" * 2000), ("y", "ACGTNACGTA")]
+    reads = spark.createDataFrame(rows, "cluster_id string, seq string")
+    for k in (5, 15, 31):
+        every = Counter((c, s[i : i + k]) for c, s in rows if s for i in range(len(s) - k + 1))
+        target = {m for _, m in every if set(m) <= set("ACGT") and m < "AC"} | {"T" * k}
+        out = seeds.kmer_counts(reads, spark.createDataFrame([(m,) for m in sorted(target)], "kmer string"), k)
+        assert {(c, m): n for c, m, n in out.collect()} == {x: n for x, n in every.items() if x[1] in target}
+    from helixframe.catalogue.reads import kmer_count_target
+
+    plan = kmer_count_target(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "Window" not in plan and plan.count("mapInArrow") + plan.count("MapInArrow") > 0
