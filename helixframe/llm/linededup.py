@@ -10,8 +10,8 @@ key (length, number, segment) for each segment, and probes the keys of lines as
 EDITS shorter with the substrings at just those places. Keys are counted first; only lines of keys that several lines
 have are looked at again, found by a bitmap of bounded size.
 
-Lines that meet at a key are discarded when the parities of their characters differ in more places than edits can
-explain, and else verified by a banded bit-parallel computation of the distance (a band of 2 * EDITS + 1 diagonals as
+Lines that meet at a key are discarded when the parities of their characters, or of their neighbouring characters, differ in
+more places than edits can explain, and else verified by a banded bit-parallel computation of the distance (a band of 2 * EDITS + 1 diagonals as
 bits of one number, a step for each character).
 
 A key's lines are first held against two representatives, the owners with the smallest and the largest hash, so a group
@@ -70,6 +70,13 @@ def parities(line: str) -> Column:
     return F.aggregate(F.split(line, ""), F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c) % 64)))
 
 
+def pair_parities(line: str) -> Column:
+    """The same of neighbouring characters in 64 groups by hash, the last one with none. An edit changes four bits at most."""
+    return F.get(F.transform(F.array(F.split(line, "")), lambda c: F.aggregate(
+        F.zip_with(c, F.slice(c, 2, F.size(c)), lambda x, y: F.pmod(F.hash(x, F.coalesce(y, F.lit(""))), F.lit(64))), F.lit(0).cast("long"),
+        lambda acc, at: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), at)))), F.lit(0))
+
+
 def bit_distance(a: Column, b: Column, edits: int) -> Column:
     """Edit distance of two strings if it is at most edits, else a larger number.
 
@@ -136,15 +143,16 @@ def links(docs: DataFrame, ident: str = "doc_id", text: str = "text", edits: int
     found = shared.sifted(rows, "k", shared.sieve(shares, "k")).groupBy("k", "h").agg(F.max("own").alias("own"))
     found = shared.cut(found.join(shares, "k", "left_semi"), "met-rows")
     texts = shared.sifted(sized.select("h", "line"), "h", shared.sieve(found, "h")).dropDuplicates(["h"])
-    texts = shared.cut(texts.select("h", "line", F.length("line").alias("len"), parities("line").alias("sig")), "met-lines")
-    met = shared.cut(found.join(texts.select("h", "len", "sig"), "h"), "met")
+    texts = shared.cut(texts.select("h", "line", F.length("line").alias("len"), parities("line").alias("sig"), pair_parities("line").alias("sig2")), "met-lines")
+    met = shared.cut(found.join(texts.select("h", "len", "sig", "sig2"), "h"), "met")
 
     def may(a: str, b: str) -> Column:
-        return (F.bit_count(F.col(f"{a}.sig").bitwiseXOR(F.col(f"{b}.sig"))) <= 2 * edits) & (F.abs(F.col(f"{a}.len") - F.col(f"{b}.len")) <= edits)
+        differ = lambda c: F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")))
+        return (differ("sig") <= 2 * edits) & (differ("sig2") <= 4 * edits) & (F.abs(F.col(f"{a}.len") - F.col(f"{b}.len")) <= edits)
 
-    owner = F.struct("h", "len", "sig")
+    owner = F.struct("h", "len", "sig", "sig2")
     heads = met.filter("own").groupBy("k").agg(F.array_distinct(F.array(F.min(owner), F.max(owner))).alias("r")).select("k", F.explode("r").alias("r"))
-    with_heads = met.select("k", F.struct("h", "len", "sig").alias("m")).join(heads, "k").filter((F.col("m.h") != F.col("r.h")) & may("m", "r"))
+    with_heads = met.select("k", F.struct("h", "len", "sig", "sig2").alias("m")).join(heads, "k").filter((F.col("m.h") != F.col("r.h")) & may("m", "r"))
     first = shared.cut(_verified(with_heads.select(F.col("m.h").alias("a"), F.col("r.h").alias("b")), texts, edits, per), "line-links-1")
     labels = components(first, "lines-1").select(F.col("id").alias("h"), F.col("root").alias("label"))
     placed = met.join(labels, "h", "left").withColumn("label", F.coalesce("label", "h"))
@@ -152,8 +160,8 @@ def links(docs: DataFrame, ident: str = "doc_id", text: str = "text", edits: int
     main = counted.groupBy("k").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.sum("m").alias("n"), F.max("m").alias("most")).filter("n > most")
     slots = F.least(F.col("n") - F.col("most"), F.ceil((F.col("n") - F.col("most")) * F.col("n") / pairs))
     open_ = shared.cut(placed.join(main.select("k", "main", slots.alias("slots")), "k"), "line-rest")
-    rest = open_.filter("label <> main").select("k", F.pmod(F.xxhash64("h"), "slots").alias("slot"), F.struct("h", "len", "sig", "label", "own").alias("a"))
-    every = open_.select("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("slot"), F.struct("h", "len", "sig", "label", "own").alias("b"))
+    rest = open_.filter("label <> main").select("k", F.pmod(F.xxhash64("h"), "slots").alias("slot"), F.struct("h", "len", "sig", "sig2", "label", "own").alias("a"))
+    every = open_.select("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("slot"), F.struct("h", "len", "sig", "sig2", "label", "own").alias("b"))
     left = rest.join(every, ["k", "slot"]).filter((F.col("a.label") != F.col("b.label")) & (F.col("a.own") | F.col("b.own")) & may("a", "b"))
     return first.unionByName(_verified(left.select(F.col("a.h").alias("a"), F.col("b.h").alias("b")), texts, edits, per))
 

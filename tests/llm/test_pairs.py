@@ -244,3 +244,30 @@ def test_verbatim_passages_are_found_wherever_they_start(spark):
     docs = [(s, f"{filler()} {item[s : s + 100]} {filler()}") for s in starts] + [(10_000 + s, f"{filler()} {item[s : s + 60]} {filler()}") for s in starts[:40]]
     found = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string"))
     assert {x.doc_id for x in found.collect()} == set(starts)
+
+
+def test_lines_that_share_a_segment_are_told_apart_before_pairs_are_made(spark, monkeypatch):
+    """Characters in another order have their parities in common, but not those of neighbours; edits change few of either."""
+    from pyspark.sql import functions as F
+
+    from helixframe.llm import linededup
+
+    r = random.Random(11)
+    head = "all of these lines begin with the same words and go on in another order of them "
+    tail = "stone river lantern winter candle orchard meadow thunder garden copper"
+    base = [head + "".join(r.sample(tail, len(tail))).replace(" ", "_") for _ in range(60)]
+    texts = [*base]
+    for line in base[:30]:
+        for _ in range(2):
+            i = r.randrange(len(line))
+            line = r.choice([line[:i] + line[i + 1 :], line[:i] + "é" + line[i:], line[:i] + "q" + line[i + 1 :]])
+        texts.append(line)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    both = docs.select(linededup.pair_parities("text").alias("s")).collect()
+    assert all(((both[i].s ^ both[60 + i].s) & (1 << 64) - 1).bit_count() <= 8 for i in range(30))
+    seen, verified = [], linededup._verified
+    monkeypatch.setattr(linededup, "_verified", lambda pairs, *more: seen.append(pairs.distinct().count()) or verified(pairs, *more))
+    found = {tuple(x) for x in linededup.links(docs).select("a", "b").collect()}
+    hashes = [x.h for x in docs.orderBy("doc_id").select(F.xxhash64(F.trim("text")).alias("h")).collect()]
+    assert {frozenset(x) for x in found} == {frozenset((hashes[i], hashes[60 + i])) for i in range(30)}
+    assert sum(seen) < 200
