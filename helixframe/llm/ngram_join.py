@@ -5,7 +5,8 @@ the incidence matrix with its transpose holds all intersections; it is computed
 rule out is discarded before it is multiplied:
 
 1. Columns. Texts become sets of 64-bit n-gram hashes in numpy, a chunk of documents at a time. Each chunk sends
-   its entries to column ranges, packed, with the place of the document in the chunk; an n-gram that several
+   its entries to column ranges, in order and packed as differences of as few bytes as hold them (8 bytes an entry instead of
+   12), with the place of the document in the chunk; an n-gram that several
    documents of a chunk hold is sent once with its count, so a very frequent n-gram costs an entry a chunk. A column
    held by one document adds to no intersection and is dropped; the others come back with the bit length of
    their document frequency.
@@ -99,6 +100,48 @@ def shingles(texts: list[bytes], n: int = N) -> tuple[np.ndarray, np.ndarray]:
     return value[new], doc[new]
 
 
+#: Marks a count in an array of places.
+MARK = np.uint32(0x80000000)
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys: bytes of a difference (one byte), the first key, the differences to the next ones."""
+    if not len(keys):
+        return b""
+    steps = np.diff(keys)
+    width = max(1, -(-int(steps.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + keys[:1].astype("<u8").tobytes() + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpacked_keys(data) -> np.ndarray:
+    if not len(data):
+        return np.empty(0, np.uint64)
+    steps = np.frombuffer(data, np.uint8, offset=9).reshape(-1, data[0])
+    wide = np.zeros((len(steps) + 1, 8), np.uint8)
+    wide[1:, : data[0]] = steps
+    wide[0] = np.frombuffer(data, np.uint8, 8, 1)
+    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
+
+
+def packed_places(who: np.ndarray) -> bytes:
+    """Places and marked counts in two bytes each where all fit, else in four; the first byte says which."""
+    bare = who & ~MARK
+    if bare.max(initial=0) < 1 << 15:
+        return b"\2" + (bare | (who & MARK) >> np.uint32(16)).astype("<u2").tobytes()
+    return b"\4" + who.astype("<u4").tobytes()
+
+
+def unpacked_places(data) -> np.ndarray:
+    if not len(data) or data[0] == 4:
+        return np.frombuffer(data, "<u4", offset=min(1, len(data))).astype(np.uint32)
+    who = np.frombuffer(data, "<u2", offset=1).astype(np.uint32)
+    return (who & np.uint32(0x7FFF)) | (who & np.uint32(0x8000)) << np.uint32(16)
+
+
+def _unpacked(column, read) -> list[np.ndarray]:
+    return [read(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in column]
+
+
 ENTRIES = "slot bigint, chunk bigint, ids binary, sizes binary, who binary, keys binary"
 _TYPES = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
 
@@ -121,22 +164,18 @@ def entries(docs: DataFrame, ranges: int, n: int = N) -> DataFrame:
                 seq += 1
                 key, doc = shingles(texts, n)
                 sizes = np.bincount(doc, minlength=len(texts))
-                slot = (key >> np.uint64(20)) % np.uint64(ranges)
-                order = np.lexsort((key, slot))
-                slot, key, who = slot[order], key[order], doc[order].astype("<u4")
-                first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (slot[1:] != slot[:-1]))[: len(key)])
+                order = np.argsort(key, kind="stable")
+                key, who = key[order], doc[order].astype(np.uint32)
+                first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
                 count = np.diff(np.append(first, len(key)))
                 # A column of several rows here goes out once, marked, with its count; its rows stay with the chunk.
-                sent = np.where(count > 1, count | 0x80000000, who[first]).astype("<u4")
-                s, k = slot[first], key[first]
-                by = np.lexsort((sent, s))
-                s, k, sent = s[by], k[by], sent[by]
-                edge = np.searchsorted(s, np.arange(ranges + 1).astype(np.uint64))
+                sent, k = np.where(count > 1, count.astype(np.uint32) | MARK, who[first]), key[first]
+                edge = np.searchsorted((k >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1).astype(np.uint64))
                 for r in np.flatnonzero(np.diff(edge)):
                     x = slice(edge[r], edge[r + 1])
-                    yield _row(int(r), chunk, None, None, sent[x].tobytes(), k[x].astype("<u8").tobytes())
+                    yield _row(int(r), chunk, None, None, packed_places(sent[x]), packed_keys(k[x]))
                 local = np.repeat(count > 1, count)
-                yield _row(-1 - chunk % ranges, chunk, ids.tobytes(), sizes.astype("<u4").tobytes(), who[local].tobytes(), key[local].astype("<u8").tobytes())
+                yield _row(-1 - chunk % ranges, chunk, ids.tobytes(), sizes.astype("<u4").tobytes(), packed_places(who[local]), packed_keys(key[local]))
 
     return docs.mapInArrow(shared.tidy(run), ENTRIES)
 
@@ -147,25 +186,25 @@ def columns(table: pa.Table) -> pa.Table:
     if slot < 0:
         return table.append_column("bits", pa.array([None] * n, pa.binary()))
     chunks = table.column("chunk").to_pylist()
-    who = shared.arrays(table.column("who"), "<u4")
+    who = _unpacked(table.column("who"), unpacked_places)
     of = np.repeat(np.arange(n, dtype=np.int32), [len(w) for w in who])
-    who, keys = np.concatenate(who), np.concatenate(shared.arrays(table.column("keys"), "<u8"))
+    who, keys = np.concatenate(who), np.concatenate(_unpacked(table.column("keys"), unpacked_keys))
     order = np.argsort(keys, kind="stable")
     keys, who, of = keys[order], who[order], of[order]
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    weight = np.where(who & 0x80000000, who & 0x7FFFFFFF, 1).astype(np.int64)
+    weight = np.where(who & MARK, who & ~MARK, 1).astype(np.int64)
     total = np.add.reduceat(weight, first)
     bits = np.floor(np.log2(total)).astype(np.uint8) + 1
     span = np.diff(np.append(first, len(keys)))
     keep = np.repeat(total > 1, span)
     keys, who, of, bits = keys[keep], who[keep], of[keep], np.repeat(bits, span)[keep]
-    order = np.lexsort((who, of))
+    order = np.argsort(of, kind="stable")  # within a chunk by key, as they are packed
     keys, who, of, bits = keys[order], who[order], of[order], bits[order]
     edge = np.searchsorted(of, np.arange(n + 1))
     out = {k: [] for k in ("chunk", "who", "keys", "bits")}
     for i in np.flatnonzero(np.diff(edge)):
         x = slice(edge[i], edge[i + 1])
-        for name, v in zip(out, (chunks[i], who[x].tobytes(), keys[x].tobytes(), bits[x].tobytes()), strict=True):
+        for name, v in zip(out, (chunks[i], packed_places(who[x]), packed_keys(keys[x]), bits[x].tobytes()), strict=True):
             out[name].append(v)
     made = len(out["chunk"])
     return pa.table(
@@ -181,13 +220,13 @@ def rows_of(table: pa.Table) -> pa.Table:
     """One chunk: a row for each document, with its columns (rare first) where enough are left, else none."""
     ids = sizes = None
     who, keys, bits, marked, marked_bits = [], [], [], [], []
-    views = zip(shared.arrays(table.column("who"), "<u4"), shared.arrays(table.column("keys"), "<u8"), shared.arrays(table.column("bits"), np.uint8), table.column("ids"), table.column("sizes"), strict=True)
+    views = zip(_unpacked(table.column("who"), unpacked_places), _unpacked(table.column("keys"), unpacked_keys), shared.arrays(table.column("bits"), np.uint8), table.column("ids"), table.column("sizes"), strict=True)
     for w, k, b, own, n in views:
         if own.is_valid:
             ids, sizes = np.frombuffer(own.as_buffer(), np.int64), np.frombuffer(n.as_buffer(), "<u4").astype(np.int64)
             local = (w, k)
             continue
-        mark = w >= 0x80000000
+        mark = w >= MARK
         who.append(w[~mark])
         keys.append(k[~mark])
         bits.append(b[~mark])
@@ -200,7 +239,7 @@ def rows_of(table: pa.Table) -> pa.Table:
         who.append(local[0])
         keys.append(local[1])
         bits.append(np.concatenate(marked_bits)[at])
-    who, keys, bits = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((who, "<u4"), (keys, "<u8"), (bits, np.uint8)))
+    who, keys, bits = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((who, np.uint32), (keys, np.uint64), (bits, np.uint8)))
     order = np.lexsort((keys, bits, who))
     who, keys, bits = who[order], keys[order], bits[order]
     edge = np.searchsorted(who, np.arange(len(ids) + 1))
@@ -268,11 +307,22 @@ def tile_links(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
 
 
-def _tiles(rows: DataFrame, groups: DataFrame, tile: int) -> DataFrame:
-    """rows with grp and the number of tiles of their group."""
-    sized = rows.join(groups, "id")
-    total = sized.groupBy("grp").agg((F.floor(F.sum("shared") / tile) + 1).cast("int").alias("tiles"))
-    return sized.join(total, "grp")
+def _without(kept: DataFrame, gone: DataFrame, same: list[str]) -> DataFrame:
+    """kept without the rows of gone (id and same); columns are wide, so only rows that a sieve takes for gone ones by mistake are shuffled."""
+    tag = F.xxhash64("id", *same).alias("tag")
+    marks = shared.cut(shared.sieve(gone.select(tag), "tag"), "gone")
+    whole = kept.filter("set1 is not null").withColumn("tag", tag)
+    maybe = shared.sifted(whole, "tag", marks)
+    wrong = shared.cut(maybe.select("tag", "id", *same).join(gone, ["id", *same], "left_anti").distinct(), "not-gone")
+    again = shared.sifted(maybe, "tag", shared.sieve(wrong, "tag")).join(wrong.drop("tag"), ["id", *same], "left_semi")
+    parts = [kept.filter("set1 is null"), shared.sifted(whole, "tag", marks, False), again]
+    return parts[0].unionByName(parts[1].select(*kept.columns)).unionByName(parts[2].select(*kept.columns))
+
+
+def _places(rows: DataFrame, groups: DataFrame, tile: int) -> DataFrame:
+    """(id, grp, tiles): groups with the number of tiles of each, from the (id, shared) of rows."""
+    total = rows.join(groups, "id").groupBy("grp").agg((F.floor(F.sum("shared") / tile) + 1).cast("int").alias("tiles"), F.sum("shared").alias("shared"))
+    return groups.join(total, "grp")
 
 
 def join(docs: DataFrame, ident: str = "doc_id", text: str = "text", n: int = N, tile: int = TILE_COLUMNS) -> DataFrame:
@@ -289,21 +339,23 @@ def join(docs: DataFrame, ident: str = "doc_id", text: str = "text", n: int = N,
     copies = shared.cut(kept.select("id", *same).join(equal, same).filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), *same), "copies")
     # A text goes if it is a copy, not its id: rows with equal ids may have other texts.
     gone = copies.select(F.col("b").alias("id"), *same).distinct()
-    alone = kept.join(gone, ["id", *same], "left_anti")
+    alone = _without(kept, gone, same)
     # The first columns of each row that must hold one in common with every row it links to.
     firsts = shared.cut(alone.select("id", "n", "columns").mapInPandas(shared.tidy(_firsts), "id bigint, column bigint"), "firsts")
     least = firsts.groupBy("column").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a <> z").drop("z")
     hang = firsts.join(least, "column").filter("a <> id").select("a", F.col("id").alias("b")).distinct()
     groups = components(hang, "groups").select("id", F.col("root").alias("grp"))
-    rows_in = shared.cut(_tiles(alone.select("id", "n", "shared", "columns"), groups, tile), "tiles")
-    packs = max(1, int((rows_in.filter("tiles = 1").agg(F.sum("shared")).first()[0] or 0) // tile) + 1)
+    places = shared.cut(_places(alone.select("id", "shared"), groups, tile), "places")
+    totals = places.select("grp", "tiles", "shared").distinct()
+    packs = max(1, int((totals.filter("tiles = 1").agg(F.sum("shared")).first()[0] or 0) // tile) + 1)
+    rows_in = shared.sifted(alone.select("id", "n", "shared", "columns"), "id", shared.sieve(places, "id")).join(places.drop("shared"), "id")
     block = F.when(F.col("tiles") == 1, F.struct(F.lit(-1).cast("long").alias("g"), F.pmod(F.xxhash64("grp"), F.lit(packs)).alias("t"))).otherwise(
         F.struct(F.col("grp").alias("g"), F.pmod(F.xxhash64("id"), F.col("tiles").cast("long")).alias("t"))
     )
     one = rows_in.withColumn("block", block).withColumn("label", F.col("id")).withColumn("active", F.lit(True))
     links = shared.cut(one.select("block", "grp", "id", "n", "columns", "label", "active").groupBy("block").applyInPandas(shared.lean(tile_links), "a bigint, b bigint"), "links")
     big = rows_in.filter("tiles > 1")
-    if big.limit(1).count():
+    if places.filter("tiles > 1").limit(1).count():
         links = links.unionByName(shared.cut(_across(big, links, tile), "links-across"))
     roots = components(links.unionByName(copies.select("a", "b")), "roots")
     # Rows with equal ids are one document: the smallest class that any of them reaches is that of the id.

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.llm import decontaminate, graph, linededup, ngram_join, topk
+from helixframe.llm import decontaminate, graph, linededup, ngram_join, shared, topk
 
 
 def tuples(df):
@@ -82,6 +82,32 @@ def test_ngram_join_of_a_large_group(spark, tile):
     assert tuples(ngram_join.join(df, tile=tile)) == sorted(ngram_join.brute(rows), key=repr)
 
 
+def test_ngram_join_entries_are_small(spark):
+    """The shuffle's bulk are entries: 12 bytes each make more disk than the budget."""
+    import numpy as np
+
+    rows = [(i, " ".join(str(i * 1000 + k) for k in range(500))) for i in range(200)]
+    found = ngram_join.entries(spark.createDataFrame(rows, "id long, text string").coalesce(1), 8).filter("slot >= 0").collect()
+    assert sum(len(r["keys"]) + len(r["who"]) for r in found) < 10 * 200 * 496
+    r = np.random.default_rng(3)
+    for keys in ([], [7], [0, 2**64 - 1], [5, 5, 6], sorted(r.integers(0, 2**64, 999, np.uint64).tolist())):
+        keys = np.array(keys, np.uint64)
+        assert ngram_join.unpacked_keys(ngram_join.packed_keys(keys)).tolist() == keys.tolist()
+    for who in ([], [0, 1 << 14, 5 | 1 << 31], [1 << 15, 3 | 1 << 31]):
+        assert ngram_join.unpacked_places(ngram_join.packed_places(np.array(who, np.uint32))).tolist() == who
+
+
+@pytest.mark.parametrize("bits", [12, 26])
+def test_ngram_join_leaves_out_just_copies(spark, monkeypatch, bits):
+    """A small sieve takes rows for copies by mistake; they stay, as do rows of other texts of a copy's id, and rows without sums."""
+    monkeypatch.setattr(shared, "SIEVE_BITS", bits)
+    rows = [(i, 5, i * 7 if i % 3 else None, i * 11 if i % 3 else None, b"x") for i in range(3000)] + [(1, 5, 99, 99, b"y")]
+    kept = spark.createDataFrame(rows, "id long, n long, set1 long, set2 long, columns binary")
+    gone = kept.filter("set1 is not null and id % 2 = 1 and set1 <> 99").select("id", "n", "set1", "set2")
+    left = ngram_join._without(kept, gone, ["n", "set1", "set2"])
+    assert sorted(map(repr, map(tuple, left.select("id", "n", "set1", "set2").collect()))) == sorted(repr(r[:4]) for r in rows if not (r[2] is not None and r[0] % 2 == 1 and r[2] != 99))
+
+
 def test_ngram_join_edges(spark, empty):
     assert ngram_join.join(empty).count() == 0
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "q r s t u v w"), (2, "Q r s t u v w"), (None, "a b c d e f")], "doc_id long, text string")
