@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
-from ..operators import evaluation as E
 from ..operators import published
 from ..session import table
-from .assessment import PERTURBED, SIDES, _perturbed, _sides
+from .assessment import PERTURBED, SIDES, _perturbed
 from .registry import ALIGNMENTS, BENCH, alignments, bench_reads, query
 
 #: Reads named family|gene|transcript_n; the corrected form of a read is the next of its variants.
@@ -97,9 +96,11 @@ ranked as (select *, row_number() over (partition by set order by e) - 1 as nth,
 
 
 def _set_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    original, corrected, *_ = _sides(spark, sf_dir)
-    rows = original.withColumn("set", F.lit("original")).unionByName(corrected.withColumn("set", F.lit("corrected")))
-    return E.with_error_counts(rows).select("set", F.col("qname").alias("read"), "ord", "flag", "cigar", (F.col("ins") + F.col("del") + F.col("subs")).alias("nm"))
+    """Both sides of the evaluation in one pass: line items are dealt by read once, and all that follows keeps to that."""
+    flag = F.when(F.col("ord") % 4 == 0, 16).otherwise(0)
+    sides = F.array(F.when(F.expr("rname < 6"), F.lit("original")), F.when(F.expr("ord % 10 < 7 and qname % 11 <> 5"), F.lit("corrected")))
+    rows = alignments(spark, sf_dir, together=True).select(F.explode_outer(sides).alias("set"), F.col("qname").alias("read"), "ord", flag.alias("flag"), "cigar")
+    return rows.filter("set is not null")
 
 
 @query(

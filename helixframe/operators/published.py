@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cigar import operations, total
+from ..session import cut
 from . import assessment as A
 from . import evaluation as E
 
@@ -74,38 +75,42 @@ def aligned_coverage(alignments: DataFrame, least: int = 10) -> DataFrame:
 
 
 def _spread(rows: DataFrame, value: str, prefix: str) -> DataFrame:
-    """set, n, <prefix>_mean, <prefix>_median, <prefix>_p90 of percentages."""
+    """set, n, <prefix>_median, <prefix>_p90 of percentages."""
     n = F.col("n")
-    found = E.values_at(rows, value, ["set"], {"__low": F.floor((n - 1) / 2), "__high": F.floor(n / 2), "__p90": F.least(n - 1, F.floor(n * 0.9))})
-    mean = rows.groupBy("set").agg(F.avg(value).alias("__mean"))
-    return found.join(mean, "set").select("set", "n", F.round("__mean", 6).alias(f"{prefix}_mean"), F.round((F.col("__low") + F.col("__high")) / 2, 6).alias(f"{prefix}_median"), F.round("__p90", 6).alias(f"{prefix}_p90"))
+    found = E.values_at(rows.select("set", value), value, ["set"], {"__low": F.floor((n - 1) / 2), "__high": F.floor(n / 2), "__p90": F.least(n - 1, F.floor(n * 0.9))})
+    return found.select("set", "n", F.round((F.col("__low") + F.col("__high")) / 2, 6).alias(f"{prefix}_median"), F.round("__p90", 6).alias(f"{prefix}_p90"))
 
 
 def scored(alignments: DataFrame) -> DataFrame:
     """set, read, nm, aligned, read_len of the first primary alignment of every read; those that align nothing are left out.
 
-    alignments: set, read, ord, flag, cigar (=, X, I, D, S, H, M, N), nm.
+    alignments: set, read, ord, flag, cigar (=, X, I, D, S, H, M, N) and nm; without nm it is what X, I and D hold. Only first
+    alignments have their CIGAR parsed, once.
     """
-    ops = operations(F.col("cigar"))
-    first = alignments.filter(F.col("flag").bitwiseAND(0x904) == 0).groupBy("set", "read").agg(F.min_by(F.struct("cigar", "nm"), "ord").alias("a")).select("set", "read", "a.*")
-    sized = first.withColumn("__ops", ops).select("set", "read", "nm", total(F.col("__ops"), "M=XI").alias("aligned"), total(F.col("__ops"), "M=XISH").alias("read_len"))
-    return sized.filter("aligned > 0")
+    names = [c for c in ("cigar", "nm") if c in alignments.columns]
+    first = alignments.filter(F.col("flag").bitwiseAND(0x904) == 0).groupBy("set", "read").agg(F.min_by(F.struct(*names), "ord").alias("a")).select("set", "read", "a.*")
+    # An array of one, so that the operations are bound to a variable: a filter on a column would have them parsed again.
+    lengths = F.get(F.transform(F.array(operations(F.col("cigar"))), lambda o: F.struct(total(o, "M=XI").alias("aligned"), total(o, "M=XISH").alias("read_len"), (F.col("nm") if "nm" in names else total(o, "XID")).alias("nm"))), F.lit(0))
+    return first.select("set", "read", F.explode_outer(F.array(lengths)).alias("x")).select("set", "read", "x.nm", "x.aligned", "x.read_len").filter("aligned > 0")
 
 
 def _everywhere(rows: DataFrame, sets: int) -> DataFrame:
-    """Rows of reads that every set has."""
-    return rows.join(rows.groupBy("read").agg(F.count("*").alias("__sets")).filter(F.col("__sets") == sets).select("read"), "read")
+    """Rows of reads that every set has; made once, written narrow, as several aggregates read them."""
+    counted = rows.filter("read is not null").withColumn("__sets", F.count("*").over(Window.partitionBy("read")))
+    return cut(counted.filter(F.col("__sets") == sets).drop("__sets"), "scored")
 
 
 def genome_accuracy(alignments: DataFrame, sets: int) -> DataFrame:
     """For each set of reads, over reads that all `sets` of them align: set, n, error and aligned percentages (mean, median, 90th percentile by place), and the pooled error."""
     rows = _everywhere(scored(alignments), sets).withColumns({"__e": 100.0 * F.col("nm") / F.col("aligned"), "__a": 100.0 * F.col("aligned") / F.col("read_len")})
-    pooled = rows.groupBy("set").agg(F.round(100.0 * F.sum("nm") / F.sum("aligned"), 6).alias("err_total"))
-    return _spread(rows, "__e", "err").join(_spread(rows, "__a", "aln").drop("n", "aln_p90"), "set").join(pooled, "set")
+    means = rows.groupBy("set").agg(F.round(F.avg("__e"), 6).alias("err_mean"), F.round(F.avg("__a"), 6).alias("aln_mean"), F.round(100.0 * F.sum("nm") / F.sum("aligned"), 6).alias("err_total"))
+    found = _spread(rows, "__e", "err").join(_spread(rows, "__a", "aln").drop("n", "aln_p90"), "set").join(means, "set")
+    return found.select("set", "n", "err_mean", "err_median", "err_p90", "aln_mean", "aln_median", "err_total")
 
 
 def paired_accuracy(alignments: DataFrame, base: str, sets: int) -> DataFrame:
     """set, mean_delta (percentage points), better, worse, equal of every other set against a base, read by read, over reads that all sets align."""
     rows = _everywhere(scored(alignments), sets).select("set", "read", (100.0 * F.col("nm") / F.col("aligned")).alias("e"))
-    other = rows.filter(F.col("set") != base).join(rows.filter(F.col("set") == base).select("read", F.col("e").alias("b")), "read")
+    own = F.max(F.when(F.col("set") == base, F.col("e"))).over(Window.partitionBy("read"))
+    other = rows.withColumn("b", own).filter((F.col("set") != base) & F.col("b").isNotNull())
     return other.groupBy("set").agg(F.round(F.avg(F.col("e") - F.col("b")), 6).alias("mean_delta"), F.count_if(F.col("e") < F.col("b")).alias("better"), F.count_if(F.col("e") > F.col("b")).alias("worse"), F.count_if(F.col("e") == F.col("b")).alias("equal"))
