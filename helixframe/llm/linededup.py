@@ -44,25 +44,27 @@ def lines(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFra
     return rows.withColumn("line", F.trim("line")).filter("line <> ''").withColumn("h", F.xxhash64("line"))
 
 
-def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
+def _segment(length: Column, i: Column, edits: int) -> tuple[Column, Column]:
     """(start from 1, length) of segment i of 0 to edits; the last ones take what doesn't divide."""
     parts = edits + 1
-    base, extra = F.floor(length / parts), length % parts
-    longer = F.greatest(F.lit(0), F.lit(i) - (F.lit(parts) - extra))
-    return (base * i + longer + 1).cast("int"), (base + (F.lit(i) >= parts - extra).cast("int")).cast("int")
+    base, extra = F.floor(length / parts).cast("int"), (length % parts).cast("int")
+    longer = F.greatest(F.lit(0), i - (F.lit(parts) - extra))
+    return base * i + longer + 1, base + (i >= F.lit(parts) - extra).cast("int")
 
 
-def keys(line: str, length: str, edits: int, per: int) -> Column:
-    """Keys of a line, null where the other line would be too short; the lowest bit is set in those of its own segments, which are probes as well."""
-    out = []
-    for delta in range(edits + 1):
-        short = F.col(length) - delta
-        for i in range(edits + 1):
-            start, size = _segment(short, i, edits)
-            for shift in range(max(-i, delta - (edits - i)), min(i, delta + (edits - i)) + 1):
-                key = F.when(short >= per * max(1, delta), F.xxhash64(short.cast("int"), F.lit(i), F.substring(F.col(line), start + shift, size)))
-                out.append(key.bitwiseOR(F.lit(1).cast("long")) if delta == 0 and shift == 0 else key.bitwiseAND(F.lit(-2).cast("long")))
-    return F.array(*out)
+def keyed(rows: DataFrame, edits: int, per: int) -> DataFrame:
+    """(h, key): keys of lines (h, line, len), none where the other line would be too short; the lowest bit is set in those of a line's own segments, which are probes as well.
+
+    Places are exploded first and a key is made for each row: an expression of all keys of a line is too long for the JVM to compile.
+    """
+    places = [(delta, i, shift) for delta in range(edits + 1) for i in range(edits + 1) for shift in range(max(-i, delta - (edits - i)), min(i, delta + (edits - i)) + 1)]
+    each = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("delta", "i", "shift"), place, strict=True)]) for place in places]))
+    short = F.col("len") - F.col("p.delta")
+    wide = rows.select("h", "line", "len", each.alias("p")).filter(short >= F.lit(per) * F.greatest(F.lit(1), F.col("p.delta")))
+    start, size = _segment(short, F.col("p.i"), edits)
+    key = F.xxhash64(short.cast("int"), F.col("p.i"), F.substring(F.col("line"), start + F.col("p.shift"), size))
+    own = ((F.col("p.delta") == 0) & (F.col("p.shift") == 0)).cast("long")
+    return wide.select("h", key.bitwiseAND(F.lit(-2).cast("long")).bitwiseOR(own).alias("key"))
 
 
 def parities(line: str) -> Column:
@@ -133,10 +135,8 @@ def links(docs: DataFrame, ident: str = "doc_id", text: str = "text", edits: int
     if per <= edits:
         raise ValueError("every segment needs a character")
     sized = lines(docs, ident, text).withColumn("len", F.length("line")).filter(F.col("len") >= per)
-    # The outer form: for the plain one the optimizer infers a filter that makes all keys twice.
-    rows = sized.select("h", F.explode_outer(keys("line", "len", edits, per)).alias("key")).filter(F.col("key").isNotNull())
     # Making keys costs far more than reading them, and they are read twice.
-    rows = shared.cut(rows, "line-keys", "none")
+    rows = shared.cut(keyed(sized, edits, per), "line-keys", "none")
     rows = rows.select("h", F.col("key").bitwiseAND(F.lit(-2).cast("long")).alias("k"), (F.col("key").bitwiseAND(F.lit(1).cast("long")) == 1).alias("own"))
     shares = rows.groupBy("k").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("own").alias("any")).filter("lo <> hi and any").select("k")
     shares = shared.cut(shares, "met-keys")

@@ -82,6 +82,15 @@ def test_ngram_join_of_a_large_group(spark, tile):
     assert tuples(ngram_join.join(df, tile=tile)) == sorted(ngram_join.brute(rows), key=repr)
 
 
+def test_line_keys_are_compiled(spark):
+    """The JVM interprets methods of more than 8000 bytes, which made keys several times as slow."""
+    sized = linededup.lines(spark.range(1).selectExpr("id as doc_id", "repeat('x', 99) as text")).withColumn("len", F.length("line"))
+    keys = linededup.keyed(sized, linededup.EDITS, linededup.PER)
+    found = keys._jdf.queryExecution().debug().codegenToSeq()
+    assert max(found.apply(i)._3().maxMethodCodeSize() for i in range(found.size())) < 8000
+    assert keys.count() == 12 and keys.filter("key % 2 <> 0").count() == 3
+
+
 def test_ngram_join_entries_are_small(spark):
     """The shuffle's bulk are entries: 12 bytes each make more disk than the budget."""
     import numpy as np
