@@ -10,11 +10,13 @@ Files: `codebook` (one row: lengths) and `blocks` (part, start within the part,
 bits), both written by Spark's committer, so any store works. Where a part starts follows from the totals
 of the parts before it.
 
-Encoding is the tokenizers library's own. Where the tokenizer's file asks for byte-level pieces and nothing else, texts
-are cut into the pieces that its pre-tokenizer makes, and what the library gives for a piece is kept in a look-up table
-of bounded size. Texts with characters from U+0250 on, whose classes depend on the version of Unicode, texts that may
-hold an added token, and all texts of other tokenizers go to the library whole. A worker holds one slice of a batch
-(SLICE_BYTES of text, or one longer text), one block and the table at a time.
+Encoding is the tokenizers library's own. Where the tokenizer's file asks for byte-level pieces and nothing else, the
+texts of a slice are cut together into the pieces that its pre-tokenizer makes, equal pieces become one, and what the
+library's model gives for a piece is kept in arrays of bounded size. New pieces go to the model many at a time, kept apart
+by a sign that it merges with nothing. Characters from U+0250 on, whose classes depend on the version of Unicode, go to the
+whole library with what stands around them up to the next spaces; so do, whole, texts of which they are more than half,
+texts that may hold an added token, and all texts of other tokenizers. A worker holds one slice of a batch (SLICE_BYTES of text, or one longer text), one block and
+the arrays at a time.
 
 Defined cases: null and empty texts are just the end id; rows with equal or null ids are kept, null first, equal ones
 in the order of a hash of their text, which also spreads an id that many rows share; an empty table gives empty files. A
@@ -23,13 +25,16 @@ document is never split over blocks. Other columns are ignored.
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 import unicodedata
 import zlib
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,20 +46,77 @@ STRIDE = 64
 END = 0
 TABLE_BYTES = 24_000_000
 SLICE_BYTES = 4_000_000
+#: Bytes of pieces in one call of the library's model (or one longer piece), and of the largest entry that is kept.
+TOGETHER = 4096
+LONG = 256
 BLOCKS = "part int, start bigint, tokens bigint, doc_ids binary, nulls binary, counts binary, offsets binary, bits binary"
 
+_ID = attrgetter("id")
 #: Characters below this have the same class in every version of Unicode.
 LIMIT = 0x250
 
 
-def _class(*kinds: str) -> str:
-    """Characters below LIMIT of Unicode categories, or white space, for a pattern's brackets."""
-    return "".join(f"\\u{i:04x}" for i in range(LIMIT) if unicodedata.category(chr(i))[0] in kinds or ("space" in kinds and chr(i).isspace() and not 0x1C <= i <= 0x1F))
+#: Kinds of a text's bytes: letters, digits, other signs, white space, characters from LIMIT on. A character's bytes have one kind.
+_LETTER, _DIGIT, _SIGN, _SPACE, _ODD = range(5)
 
 
-_L, _N, _S = _class("L"), _class("N"), _class("space")
-#: The pre-tokenizer's pattern: contractions, letters, digits, other signs, white space. Fixed value.
-PIECE = re.compile(f" ?[{_L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+def _kind(code: int) -> int:
+    sign = chr(code)
+    if sign.isspace() and not 0x1C <= code <= 0x1F:
+        return _SPACE
+    return {"L": _LETTER, "N": _DIGIT}.get(unicodedata.category(sign)[0], _SIGN)
+
+
+#: By code point, up to the largest of two bytes that a byte below 0xCA begins.
+_KINDS = np.array([_kind(i) if i < LIMIT else _ODD for i in range(0x280)], np.uint8)
+_ASCII = np.concatenate([_KINDS[:0x80], np.full(0x80, _ODD, np.uint8)])
+#: Where a long text may be cut: what follows a space after another sign is encoded by itself.
+_GAP = re.compile(rb"[!-~] ")
+
+
+def piece_starts(data: np.ndarray, edges: np.ndarray, whole: list[tuple[int, int]]) -> np.ndarray:
+    """Where the pre-tokenizer's pieces of UTF-8 texts begin; edges: where texts begin, and the end of the last.
+
+    The pattern is the usual one: contractions, then letters, digits and other signs with a space before them, then white
+    space, whose last sign stands alone before something else. Characters from LIMIT on stay with all that reaches from the
+    last space after a character of another kind to the next one; texts where they are more than half, and the given
+    ranges of whole texts, stay whole.
+    """
+    n = len(data)
+    kinds = _ASCII[data]
+    high = np.flatnonzero(data > 0x7F)
+    lead = high[(data[high] >= 0xC2) & (data[high] < 0xCA)]
+    kinds[lead] = kinds[lead + 1] = _KINDS[(data[lead] & 0x1F).astype(np.int64) << 6 | data[lead + 1] & 0x3F]
+    begins = np.zeros(n + 1, bool)
+    begins[edges] = True
+    cut = begins[:n].copy()
+    cut[1:] |= kinds[1:] != kinds[:-1]
+    space = kinds == _SPACE
+    after = np.flatnonzero(space[:-1] & ~space[1:] & ~begins[1:n]) + 1
+    cut[after - 1 - (data[after - 1] > 0x7F)] = True
+    cut[after] = data[after - 1] != 0x20
+    quotes = np.flatnonzero(data == 0x27)
+    quotes = quotes[cut[quotes] & ~begins[quotes + 1]]
+    first, second = data[quotes + 1], data[np.minimum(quotes + 2, n - 1)]
+    one = np.isin(first, np.frombuffer(b"stmd", np.uint8))
+    two = (np.isin(first, np.frombuffer(b"rv", np.uint8)) & (second == ord("e"))) | ((first == ord("l")) & (second == ord("l")))
+    two &= ~begins[np.minimum(quotes + 2, n)]
+    cut[quotes[one | two] + 1] = False
+    ends = np.concatenate([quotes[one] + 2, quotes[two] + 3])
+    cut[ends[ends < n]] = True
+    odd = high[kinds[high] == _ODD]
+    text = np.searchsorted(edges, odd, "right") - 1
+    many = np.flatnonzero(2 * np.bincount(text, minlength=len(edges) - 1) > np.diff(edges))
+    odd = odd[~np.isin(text, many)]
+    if len(odd):
+        safe = begins.copy()
+        safe[1:n] |= (data[1:] == 0x20) & (kinds[:-1] < _SPACE)
+        safe = np.flatnonzero(safe)
+        k = np.unique(np.searchsorted(safe, odd, "right"))
+        whole = [*zip(safe[k - 1].tolist(), safe[k].tolist(), strict=True), *whole]
+    for a, b in [*zip(edges[many].tolist(), edges[many + 1].tolist(), strict=True), *whole]:
+        cut[a + 1 : b] = False
+    return np.flatnonzero(cut)
 
 
 class _Table(dict):
@@ -76,6 +138,41 @@ class _Table(dict):
         return value
 
 
+class _Pieces:
+    """Encoded pieces in arrays. Beyond TABLE_BYTES half of that stays: what most slices of text held, the younger of equals."""
+
+    def __init__(self, make):
+        self.make = make
+        self.keys, self.sizes, self.ids, self.seen = pa.array([], pa.large_binary()), np.empty(0, np.int64), np.empty(0, "<u4"), np.empty(0, np.int32)
+
+    def find(self, keys: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of distinct keys: where their ids begin, how many they are, and the ids of all pieces."""
+        rows = pc.index_in(keys, value_set=self.keys).fill_null(-1).to_numpy().astype(np.int64)
+        lost = np.flatnonzero(rows < 0)
+        if len(lost):
+            ids, sizes = self.make(keys.take(pa.array(lost)).to_numpy(zero_copy_only=False).tolist())
+            rows[lost] = len(self.sizes) + np.arange(len(lost))
+            self.keys = pa.concat_arrays([self.keys, keys.take(pa.array(lost))])
+            self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids])
+            self.seen = np.concatenate([self.seen, np.zeros(len(lost), np.int32)])
+        self.seen[rows] += 1
+        out = (np.cumsum(self.sizes) - self.sizes)[rows], self.sizes[rows], self.ids
+        self.shrink()
+        return out
+
+    def shrink(self) -> None:
+        costs = pc.binary_length(self.keys).to_numpy() + 4 * self.sizes + 20
+        if costs.sum() <= TABLE_BYTES:
+            return
+        order = np.argsort(self.seen, kind="stable")[::-1]
+        order = order[costs[order] <= LONG]
+        stay = np.sort(order[np.cumsum(costs[order]) <= TABLE_BYTES // 2])
+        kept = np.zeros(len(self.sizes), bool)
+        kept[stay] = True
+        self.ids = self.ids[np.repeat(kept, self.sizes)]
+        self.keys, self.sizes, self.seen = self.keys.take(pa.array(stay)), self.sizes[stay], self.seen[stay] // 2
+
+
 class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes."""
 
@@ -84,31 +181,91 @@ class Encoder:
         from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tool = Tokenizer.from_file(path)
-        self.model = self.tool.model
+        model = self.model = self.tool.model
         cut = self.tool.pre_tokenizer
-        self.simple = isinstance(cut, pre_tokenizers.ByteLevel) and cut.use_regex and not cut.add_prefix_space and self.tool.normalizer is None and isinstance(self.model, models.BPE)
-        added = [re.escape(t.content) for t in self.tool.get_added_tokens_decoder().values()]
-        self.apart = re.compile("|".join([f"[^\\x00-\\u{LIMIT - 1:04x}]", *added]))
+        self.simple = isinstance(cut, pre_tokenizers.ByteLevel) and cut.use_regex and not cut.add_prefix_space and self.tool.normalizer is None and isinstance(model, models.BPE)
+        self.added = [t.content.encode() for t in self.tool.get_added_tokens_decoder().values()]
+        self.apart = re.compile(b"|".join([rb"[\xca-\xff]|\xc9[\x90-\xbf]", *map(re.escape, self.added)]))  # signs from LIMIT on, added tokens
         # The byte-level alphabet: printable Latin-1 signs stand for themselves, the others for U+0100 and on, in order.
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         others = [b for b in range(0x100) if b not in plain]
-        self.signs = {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(others)}
-        self.pieces = _Table(self.piece)
-
-    def piece(self, text: str) -> bytes:
-        """One piece of the pre-tokenizer, by the library's model alone."""
-        found = self.model.tokenize(text.encode().decode("latin-1").translate(self.signs))
-        return np.array([t.id for t in found], "<u4").tobytes()
+        signs = {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(others)}
+        self.signs = "".join(signs[b] for b in range(0x100))
+        # No text holds the byte 0xFF. Where nothing is merged with its sign, it keeps pieces apart within one call of the model.
+        self.between = None
+        if self.simple and not (model.dropout or model.continuing_subword_prefix or model.end_of_word_suffix or model.ignore_merges or model.fuse_unk):
+            held = self.tool.get_vocab(with_added_tokens=False)
+            if sum(self.signs[0xFF] in x for x in held) == 1:
+                self.between = held.get(self.signs[0xFF])
+        self.pieces, self.others = _Pieces(self.make), _Table(self.whole)
+
+    def tokens(self, pieces: bytes) -> np.ndarray:
+        """Ids of pieces, by the library's model alone."""
+        found = self.model.tokenize(codecs.charmap_decode(pieces, "strict", self.signs)[0])
+        return np.fromiter(map(_ID, found), "<u4", len(found))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tool.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def make(self, keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces and how many each has: many in a call of the model, or by the whole library where a piece needs it."""
+        ids, sizes, at = [], [], 0
+        most = TOGETHER if self.between is not None else 1
+        odd = [i for i, x in enumerate(keys) if self.apart.search(x)]
+        for stop in [*odd, len(keys)]:
+            for a, b in shared.pieces(keys[at:stop], most):
+                found = self.tokens(b"\xff".join(keys[at + a : at + b]))
+                ends = np.flatnonzero(found == self.between)
+                ids.append(np.delete(found, ends))
+                sizes.append(np.diff(ends, prepend=-1, append=len(found)) - 1)
+            if stop < len(keys):
+                text = keys[stop].decode()
+                ids.append(np.frombuffer(self.others[text] if len(text) <= LONG else self.whole(text), "<u4"))
+                sizes.append(np.array([len(ids[-1])]))
+            at = stop + 1
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def added_in(self, data: np.ndarray) -> bool:
+        """Whether a text may hold an added token."""
+        held = data.tobytes()
+        return any(x in held for x in self.added)
+
+    def stretch(self, data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of neighbouring texts, and how many stand before each edge. Equal pieces are looked up once."""
+        whole = []
+        if self.added_in(data):
+            whole = [(a, b) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) if self.added_in(data[a:b])]
+        starts = piece_starts(data, edges, whole)
+        cut = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data)]).dictionary_encode()
+        places, sizes, held = self.pieces.find(cut.dictionary)
+        which = cut.indices.to_numpy()
+        n = sizes[which]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        return held[np.repeat(places[which] - ends[:-1], n) + np.arange(ends[-1])], ends[np.searchsorted(starts, edges)]
+
+    def texts(self, column: pa.Array) -> list[bytes]:
+        """Of a column of at most SLICE_BYTES, or of one text, which is cut where it is longer."""
+        if not self.simple:
+            return [self.whole(x) if x else b"" for x in column.to_pylist()]
+        column = column.cast(pa.large_string()).fill_null("")
+        column.validate(full=True)
+        edges = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        if edges[0] == edges[-1]:
+            return [b""] * len(column)
+        data = np.frombuffer(column.buffers()[2], np.uint8)[edges[0] : edges[-1]]
+        edges = edges - edges[0]
+        if len(column) == 1 and len(data) > SLICE_BYTES and not self.added_in(data):
+            stops = [0]
+            while found := _GAP.search(data, stops[-1] + SLICE_BYTES):
+                stops.append(found.end() - 1)
+            stops.append(len(data))
+            return [b"".join(self.stretch(data[a:b], np.array([0, b - a]))[0].tobytes() for a, b in zip(stops, stops[1:], strict=False))]
+        ids, ends = self.stretch(data, edges)
+        held = ids.tobytes()
+        return [held[4 * a : 4 * b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
     def text(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not self.simple or self.apart.search(text):
-            return self.whole(text)
-        return b"".join(map(self.pieces.__getitem__, PIECE.findall(text)))
+        return self.texts(pa.array([text], pa.string()))[0]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -174,18 +331,23 @@ class Code:
         """Bits (first bit highest, padded) and the bit offset of every STRIDE-th id."""
         if not len(ids):
             return b"", np.empty(0, np.uint32)
-        n = self.lengths[ids]
+        n, codes, most = self.lengths[ids], self.codes[ids], self.top
+        marks = (np.cumsum(n) - n)[::STRIDE].astype("<u4")
+        while 2 * most <= 64:  # neighbours become one code while they fit in 64 bits
+            if len(n) % 2:
+                n, codes = np.append(n, 0), np.append(codes, np.uint64(0))
+            codes = codes[::2] << n[1::2].astype(np.uint64) | codes[1::2]
+            n, most = n[::2] + n[1::2], 2 * most
         ends = np.cumsum(n)
         at = ends - n
         word, room = at >> 6, 64 - (at & 63) - n
-        codes = self.codes[ids]
         out = np.zeros(int(ends[-1] >> 6) + 2, np.uint64)
         head = np.where(room >= 0, codes << np.maximum(room, 0).astype(np.uint64), codes >> np.maximum(-room, 0).astype(np.uint64))
         first = np.flatnonzero(np.diff(word, prepend=-1))
         out[word[first]] |= np.bitwise_or.reduceat(head, first)
         over = np.flatnonzero(room < 0)
         out[word[over] + 1] |= codes[over] << (64 + room[over]).astype(np.uint64)
-        return out.astype(">u8").tobytes()[: (int(ends[-1]) + 7) // 8], at[::STRIDE].astype("<u4")
+        return out.astype(">u8").tobytes()[: (int(ends[-1]) + 7) // 8], marks
 
     def unpack(self, bits: bytes, offsets: np.ndarray, total: int) -> np.ndarray:
         """The ids again: all checkpoints move on together, one id a step."""
@@ -237,9 +399,9 @@ def encode(rows: DataFrame, path: str, end: int = END) -> DataFrame:
 
         for batch in batches:
             for part_ in shared.slices(batch, 1, SLICE_BYTES):
-                for ident_, t in zip(part_.column(0).to_pylist(), part_.column(1).to_pylist(), strict=True):
+                for ident_, ids_ in zip(part_.column(0).to_pylist(), tool.texts(part_.column(1)), strict=True):
                     idents.append(ident_)
-                    encoded.append(tool.text(t) + stop)
+                    encoded.append(ids_ + stop)
                     size += len(encoded[-1]) // 4
                     if size >= BLOCK_TOKENS:
                         yield block()

@@ -5,6 +5,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 import zstandard
@@ -182,6 +183,47 @@ def test_table_of_pieces_is_bounded(monkeypatch):
         assert table[str(i)] == str(i).encode() and table["often"] == b"often" and len(table) + len(table.old) < 40
 
 
+class _Counted:
+    """A library object that notes what it is asked to encode."""
+
+    def __init__(self, held):
+        self.held, self.asked = held, []
+
+    def tokenize(self, text):
+        self.asked.append(text)
+        return self.held.tokenize(text)
+
+    def encode(self, text, **more):
+        self.asked.append(text)
+        return self.held.encode(text, **more)
+
+
+def test_token_pieces_share_calls_of_the_library():
+    e = tokenids.Encoder(tokenids.tokenizer_path())
+    words = " ".join(f"w{i:x}é don't" for i in range(4000))
+    want = e.whole(words)
+    e.model = _Counted(e.model)
+    assert e.text(words) == want and len(e.model.asked) < 100
+    foreign = "stone " * 2000 + "日本語 – x\u3000 y" + " stone's" * 2000
+    want = e.whole(foreign)
+    e.tool = _Counted(e.tool)
+    assert e.text(foreign) == want and sum(map(len, e.tool.asked)) < 100
+
+
+def test_token_texts_of_a_column_and_arrays_are_bounded(monkeypatch):
+    monkeypatch.setattr(tokenids, "TABLE_BYTES", 3000)
+    monkeypatch.setattr(tokenids, "SLICE_BYTES", 60)
+    e, r = tokenids.Encoder(tokenids.tokenizer_path()), random.Random(5)
+    signs = [*"  \n\t'stremdlv 12,.\x85\xa0éɏɐ’日", "'s", "'re", " often", "<|endoftext|>"]
+    for _ in range(300):
+        texts = [r.choice([None, "", "".join(r.choice(signs) for _ in range(r.choice([1, 9, 200])))]) for _ in range(r.randint(1, 9))]
+        assert e.texts(pa.array(texts, pa.string())[1:]) == [e.whole(t or "") for t in texts[1:]]
+        assert sum(map(len, e.pieces.keys.to_pylist())) + 4 * len(e.pieces.ids) <= 3000
+    assert e.pieces.find(pa.array([b" often"], pa.large_binary()))[1].tolist() == [1]
+    with pytest.raises(pa.ArrowInvalid):
+        e.texts(pa.array([b"a \xc3"]).view(pa.string()))
+
+
 def test_decontamination_of_short_null_and_long_items(spark, monkeypatch):
     r = random.Random(4)
     long = " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9))) for _ in range(500))
