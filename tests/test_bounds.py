@@ -197,3 +197,18 @@ def test_kmers_are_counted_before_they_leave_a_task(spark, monkeypatch):
 
     plan = kmer_count_target(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Window" not in plan and plan.count("mapInArrow") + plan.count("MapInArrow") > 0
+
+
+def test_consensus_takes_every_read_of_a_group(spark):
+    """Of 201 reads and then 500 of another kind the later ones are the consensus; copies are sent once and count each."""
+    from helixframe.operators.alignment import consensus
+    from helixframe.operators.udfs import poa_by
+
+    r = np.random.default_rng(1)
+    one, two = ("".join("ACGT"[j] for j in r.integers(0, 4, 40)) for _ in range(2))
+    noisy = [two[:i] + "ACGT"[j] + two[i + 1 :] for i in range(5, 35) for j in range(4)]
+    seqs = {7: [one] * 201 + noisy + [two] * 380, None: [None, "", two], 8: [None]}
+    rows = [(k, i, t) for k, texts_ in seqs.items() for i, t in enumerate(texts_)]
+    got = {k: (n, c) for k, n, c in poa_by(spark.createDataFrame(rows, "k long, r_id int, seq string"), "k").collect()}
+    assert got == {k: (len(t), consensus([x or "" for x in t])) for k, t in seqs.items()}
+    assert two in got[7][1] and got[None] == (3, two) and got[8] == (1, "")
