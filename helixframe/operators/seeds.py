@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.sequences import kmers, poly_a
+from ..session import dealt
+from .packing import pack, sorting, unpack
 
 MINIMIZERS = "array<struct<kmer:string,pos:int>>"
 #: Anchor pairs that a task makes, holds and hands on at once.
@@ -26,6 +28,9 @@ READS = 64
 _ORDER = "-ACGNTU"
 _CODES = np.full(256, -1, np.int64)
 _CODES[[ord(ch) for ch in _ORDER]] = np.arange(len(_ORDER))
+#: Bases of k-mers as numbers of two bits.
+_BASES = np.full(256, 4, np.int64)
+_BASES[[ord(ch) for ch in "ACGT"]] = np.arange(4)
 
 
 def minimizers(seq: str, k: int, w: int, largest: bool = False) -> list[tuple[str, int]]:
@@ -117,12 +122,12 @@ def with_minimizers(reads: DataFrame, k: int, w: int, column: str = "minimizers"
     return reads.withColumn(column, run("seq"))
 
 
-def _sliding(codes: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+def _sliding(codes: np.ndarray, k: int, w: int, bits: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """(value, place) of the rightmost smallest k-mer of every full window."""
     n = len(codes) - k + 1
     value = np.zeros(n, np.int64)
     for i in range(k):
-        value = value * 8 + codes[i : i + n]
+        value = (value << bits) + codes[i : i + n]
     both = (value << 32) | ((1 << 32) - 1 - np.arange(n))
     span, size = w - k + 1, 1
     while size < span:  # sliding minimum by doubling
@@ -142,9 +147,9 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts[order], first)
 
 
-def _window_places(codes: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+def _window_places(codes: np.ndarray, k: int, w: int, bits: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """(value, place) of the rightmost smallest k-mer of every full window, each place once."""
-    value, place = _sliding(codes, k, w)
+    value, place = _sliding(codes, k, w, bits)
     new = np.append(True, place[1:] != place[:-1])
     return value[new], place[new]
 
@@ -154,11 +159,171 @@ def anchor_text(key: Column, k: int) -> Column:
     return F.translate(F.lpad(F.conv(key.cast("string"), 10, 8), k, "0"), "0123456", _ORDER)
 
 
-def anchor_counts(reads: DataFrame, k: int, w: int, low: int, high: int) -> DataFrame:
-    """cluster_id, m1, m2, occurrences, reads of the anchor pairs of window minimizers: a row for each anchor of a cluster."""
-    found = anchor_keys(reads, k, w, low, high, by_read=False)
-    sums = found.groupBy("cluster_id", "key").agg(F.sum("occurrences").alias("occurrences"), F.sum("reads").alias("reads"))
-    return sums.select("cluster_id", anchor_text(F.shiftright("key", 30), k).alias("m1"), anchor_text(F.col("key").bitwiseAND((1 << 30) - 1), k).alias("m2"), "occurrences", "reads")
+def _pair_keys(codes: np.ndarray, bits: int, half: int, tail: int, k: int, w: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, count) of a read's anchors, from PAIRS pairs at a time: both k-mers as numbers of `bits` a base, the first one shifted by half."""
+    value, place = _window_places(codes, k, w, bits)
+    a, b = np.searchsorted(place, place + low, "right"), np.searchsorted(place, place + high, "right")
+    ends, found, at = np.cumsum(b - a), [], 0
+    while at < len(place):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+        n = (b - a)[at:stop]
+        first = np.repeat(np.arange(at, stop), n)
+        second = np.repeat(a[at:stop] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        m1, m2 = value[first], value[second]
+        found.append(np.unique(((m1 << half) | m2)[(m1 != tail) | (m2 != tail)], return_counts=True))
+        at = stop
+    return found[0] if len(found) == 1 else _summed(*(np.concatenate(x) for x in zip(*found, strict=True)))
+
+
+#: Anchors that a task packs at once, each read's counted once.
+PACKED = 1 << 23
+#: Packed anchors that are held as numbers while they are added up.
+MERGED = 1 << 22
+#: An odd number, which spreads keys over buckets by their upper bits; it has an inverse for any power of two.
+_SPREAD = 0x9E3779B97F4A7C15
+#: The two bits of a base that has three; 4 for what has none.
+_NARROW = np.full(8, 4, np.int64)
+_NARROW[[_ORDER.index(ch) for ch in "ACGT"]] = np.arange(4)
+
+
+def _spread(keys: np.ndarray, size: int, factor: int = _SPREAD) -> np.ndarray:
+    """keys times an odd number, modulo 2 ** size."""
+    return ((keys.astype(np.uint64) * np.uint64(factor % (1 << size))) & np.uint64((1 << size) - 1)).astype(np.int64)
+
+
+def _read_keys(text: str, k: int, w: int, low: int, high: int) -> list[tuple[bool, np.ndarray, np.ndarray]]:
+    """(whether other signs than A, C, G, T are in them, key, count) of a read's anchors; keys have two bits a base, else three."""
+    signs = np.frombuffer(text.encode("ascii", "replace"), np.uint8)
+    codes = _BASES[signs]
+    if codes.max() < 4:
+        return [(False, *_pair_keys(codes, 2, 2 * k, 0, k, w, low, high))]
+    keys, counts = _pair_keys(np.maximum(_CODES, 0)[signs], 3, 3 * k, int("1" * k, 8), k, w, low, high)
+    narrow, plain = np.zeros(len(keys), np.int64), np.ones(len(keys), bool)
+    for i in range(2 * k - 1, -1, -1):
+        base = _NARROW[(keys >> (3 * i)) & 7]
+        plain &= base < 4
+        narrow = (narrow << 2) | base
+    return [(False, narrow[plain], counts[plain]), (True, keys[~plain], counts[~plain])]
+
+
+def _packed_anchors(reads: DataFrame, k: int, w: int, low: int, high: int, by_read: bool) -> DataFrame:
+    """cluster_id, bucket, n, data: the anchors of PACKED pairs of reads and anchors at a time, as sorted differences.
+
+    data: keys, occurrences, and the numbers of the reads (by_read) or how many they are. A key is spread by an odd factor; its upper bits
+    are its bucket, and keys with other signs than bases have buckets of their own.
+    """
+    if k > 10:
+        raise ValueError("k must be at most 10")
+    spark = reads.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    top = min((4 * tasks).bit_length() - 1, 10, 4 * k)
+    kind = reads.schema["cluster_id"].dataType
+    schema = T.StructType([T.StructField("cluster_id", kind), T.StructField("bucket", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("data", T.BinaryType())])
+
+    def rows(held: dict) -> Iterator[tuple]:
+        for (cluster, other), parts in held.items():
+            size = (6 if other else 4) * k
+            ids = np.repeat(np.array([x[0] for x in parts], np.int64), [len(x[1]) for x in parts])
+            keys, counts = np.concatenate([x[1] for x in parts]), np.concatenate([x[2] for x in parts])
+            parts.clear()
+            keys = _spread(keys, size)
+            order = sorting(keys, size)
+            keys, counts, ids = keys[order], counts[order], ids[order]
+            if not by_read:
+                first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+                ids, keys, counts = np.diff(np.append(first, len(keys))), keys[first], np.add.reduceat(counts, first)
+            edges = np.searchsorted(keys, np.arange((1 << top) + 1) << (size - top))
+            least = 0 if not by_read else int(ids.min())
+            for bucket in np.flatnonzero(np.diff(edges)).tolist():
+                at = slice(edges[bucket], edges[bucket + 1])
+                few = [np.array([least + (1 << 62)])] if by_read else []  # numbers of reads can be negative, so they are stored from the least one on
+                yield cluster, ~bucket if other else bucket, int(edges[bucket + 1] - edges[bucket]), pack(keys[at], counts[at], ids[at] - least, *few)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def given(held: dict, of: pa.Schema) -> Iterator[pa.RecordBatch]:
+            made = list(rows(held))
+            for at in range(0, len(made), 256):
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*made[at : at + 256], strict=True), (of.field(0).type, pa.int32(), pa.int64(), pa.binary()), strict=True)], schema.names)
+
+        held, n, of = {}, 0, None
+        for batch in batches:
+            of = batch.schema
+            for cluster, ident, seq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                text = seq.as_py()
+                if text is None or len(text) < w:
+                    continue
+                for other, keys, counts in _read_keys(text, k, w, low, high):
+                    if not len(keys):
+                        continue
+                    if n and n + len(keys) > PACKED:
+                        yield from given(held, of)
+                        held, n = {}, 0
+                    held.setdefault((cluster, other), []).append((ident or 0, keys, counts))
+                    n += len(keys)
+        if n:
+            yield from given(held, of)
+
+    return dealt(reads.select("cluster_id", F.col("r_id").cast("long").alias("r_id"), "seq").mapInArrow(run, schema), "cluster_id", "bucket")
+
+
+def _merged(n: pa.Array, data: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
+    """(keys, occurrences, ids) of the rows of a bucket, sorted by key: some MERGED at a time, never a key in two of them."""
+    sizes, columns = n.to_numpy(), data.to_pylist()
+    parts = -(-int(sizes.sum()) // MERGED)
+    if parts == 1:
+        met = [unpack(x) for x in columns]
+        edges = None
+    else:  # keys of a bucket are spread evenly between its ends
+        ends = [(x[0][0], x[0][-1]) for x in map(unpack, columns)]
+        edges = np.linspace(min(a for a, _ in ends), max(b for _, b in ends) + 1, parts + 1).astype(np.int64)
+        edges[-1] = max(b for _, b in ends) + 1
+    for part in range(parts):
+        if edges is not None:
+            met = []
+            for x in map(unpack, columns):
+                a, b = np.searchsorted(x[0], edges[part : part + 2])
+                met.append([x[0][a:b], x[1][a:b], x[2][a:b], *x[3:]])
+        keys, counts = np.concatenate([x[0] for x in met]), np.concatenate([x[1] for x in met])
+        ids = np.concatenate([x[2] + (x[3][0] - (1 << 62) if len(x) > 3 else 0) for x in met])
+        if len(keys):
+            order = sorting(keys, int(keys.max()).bit_length())
+            yield keys[order], counts[order], ids[order]
+
+
+def _letters(keys: np.ndarray, other: bool, k: int) -> tuple[pa.Array, pa.Array]:
+    """Both k-mers of keys (as they were before they were spread)."""
+    bits, signs = (3, _ORDER) if other else (2, "ACGT")
+    table = np.frombuffer(signs.encode().ljust(8, b"-"), np.uint8)
+    every = np.empty((len(keys), 2 * k), np.uint8)
+    for i in range(2 * k):
+        every[:, i] = table[(keys >> (bits * (2 * k - 1 - i))) & ((1 << bits) - 1)]
+    text = lambda part: pa.Array.from_buffers(pa.string(), len(keys), [None, pa.py_buffer(np.arange(0, k * len(keys) + 1, k, np.int32)), pa.py_buffer(np.ascontiguousarray(part))])
+    return text(every[:, :k]), text(every[:, k:])
+
+
+def anchor_counts(reads: DataFrame, k: int, w: int, low: int, high: int, least: int = 1) -> DataFrame:
+    """cluster_id, m1, m2, occurrences, reads of the anchor pairs of window minimizers that occur `least` times: a row for each anchor of a cluster.
+
+    Anchors are counted over PACKED of them before they leave a task, and travel as differences of their order: some two bytes each.
+    """
+    packed = _packed_anchors(reads, k, w, low, high, by_read=False)
+    kind = reads.schema["cluster_id"]
+    schema = T.StructType([kind, T.StructField("m1", T.StringType()), T.StructField("m2", T.StringType()), T.StructField("occurrences", T.LongType()), T.StructField("reads", T.LongType())])
+
+    def run(rows: pa.Table) -> pa.Table:
+        cluster, other = rows["cluster_id"][:1].combine_chunks(), rows["bucket"][0].as_py() < 0
+        size = (6 if other else 4) * k
+        back, out = pow(_SPREAD, -1, 1 << size), []
+        for keys, counts, ids in _merged(rows["n"], rows["data"]):
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            counts, ids, keys = np.add.reduceat(counts, first), np.add.reduceat(ids, first), keys[first]
+            kept = counts >= least
+            m1, m2 = _letters(_spread(keys[kept], size, back), other, k)
+            row = pa.array(np.zeros(len(m1), np.int64))
+            out.append(pa.RecordBatch.from_arrays([cluster.take(row), m1, m2, pa.array(counts[kept]), pa.array(ids[kept])], schema.names))
+        return pa.Table.from_batches(out)
+
+    return packed.groupBy("cluster_id", "bucket").applyInArrow(run, schema)
 
 
 def anchor_keys(reads: DataFrame, k: int, w: int, low: int, high: int, by_read: bool = True) -> DataFrame:
@@ -176,19 +341,7 @@ def anchor_keys(reads: DataFrame, k: int, w: int, low: int, high: int, by_read:
     kind = reads.schema["cluster_id"].dataType
 
     def of_text(text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(key, count) of a read's anchors, from PAIRS pairs at a time."""
-        value, place = _window_places(table[np.frombuffer(text.encode("ascii", "replace"), np.uint8)], k, w)
-        a, b = np.searchsorted(place, place + low, "right"), np.searchsorted(place, place + high, "right")
-        ends, found, at = np.cumsum(b - a), [], 0
-        while at < len(place):
-            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
-            n = (b - a)[at:stop]
-            first = np.repeat(np.arange(at, stop), n)
-            second = np.repeat(a[at:stop] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            m1, m2 = value[first], value[second]
-            found.append(np.unique(((m1 << 30) | m2)[(m1 != tail) | (m2 != tail)], return_counts=True))
-            at = stop
-        return found[0] if len(found) == 1 else _summed(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        return _pair_keys(table[np.frombuffer(text.encode("ascii", "replace"), np.uint8)], 3, 30, tail, k, w, low, high)
 
     def packed(batch, clusters, number, which, keys, counts):
         """One batch of what the reads `which` have: a row for each read's key, or added up by cluster."""
@@ -327,11 +480,6 @@ def pair_spans(reads: DataFrame, k: int, w: int, low: int, high: int) -> DataFra
     return source.mapInArrow(run, schema)
 
 
-#: Bases of k-mers as numbers of two bits.
-_BASES = np.full(256, 4, np.int64)
-_BASES[[ord(ch) for ch in "ACGT"]] = np.arange(4)
-
-
 def kmer_codes(text: bytes, k: int) -> np.ndarray:
     """The k-mers of a text as numbers, two bits a base; those that hold another sign than A, C, G, T are left out."""
     n = len(text) - k + 1

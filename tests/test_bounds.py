@@ -212,3 +212,23 @@ def test_consensus_takes_every_read_of_a_group(spark):
     got = {k: (n, c) for k, n, c in poa_by(spark.createDataFrame(rows, "k long, r_id int, seq string"), "k").collect()}
     assert got == {k: (len(t), consensus([x or "" for x in t])) for k, t in seqs.items()}
     assert two in got[7][1] and got[None] == (3, two) and got[8] == (1, "")
+
+
+def test_anchors_travel_as_differences_of_their_order(spark, monkeypatch):
+    """A task hands on a value for a bucket, of few bytes for each anchor; sums don't depend on how many are packed or merged at once."""
+    r = np.random.default_rng(2)
+    made = ["".join("ACGT"[j] for j in r.integers(0, 4, 900)) for _ in range(40)]
+    rows = [("x" if i % 4 else None, i, t) for i, t in enumerate(made * 2)] + [("x", 500 + i, t[:450] + "-" + t[450:]) for i, t in enumerate(made * 2)]
+    frame = spark.createDataFrame(rows, "cluster_id string, r_id int, seq string").repartition(2)
+    sent = seeds._packed_anchors(frame, 9, 20, 18, 80, False).agg(F.sum("n"), F.sum(F.length("data"))).first()
+    assert sent[1] < 6 * sent[0]  # a row of a cluster, a key and two sums takes 40
+    monkeypatch.setattr(seeds, "PACKED", 6000)
+    monkeypatch.setattr(seeds, "MERGED", 50)
+    occurrences, reads = Counter(), Counter()
+    for c, _, t in rows:
+        for (a, b), n in anchors(t).items():
+            occurrences[(c, a, b)] += n
+            reads[(c, a, b)] += 1
+    got = seeds.anchor_counts(frame, 9, 20, 18, 80, least=2).collect()
+    assert {(x.cluster_id, x.m1, x.m2): (x.occurrences, x.reads) for x in got} == {k: (n, reads[k]) for k, n in occurrences.items() if n > 1}
+    assert any("-" in x.m1 for x in got)
