@@ -179,6 +179,8 @@ def _pair_keys(codes: np.ndarray, bits: int, half: int, tail: int, k: int, w: in
 PACKED = 1 << 23
 #: Packed anchors that are held as numbers while they are added up.
 MERGED = 1 << 22
+#: Reads, by their numbers, whose sums are added up together.
+BLOCK = 1 << 14
 #: An odd number, which spreads keys over buckets by their upper bits; it has an inverse for any power of two.
 _SPREAD = 0x9E3779B97F4A7C15
 #: The two bits of a base that has three; 4 for what has none.
@@ -326,6 +328,62 @@ def anchor_counts(reads: DataFrame, k: int, w: int, low: int, high: int, least:
     return packed.groupBy("cluster_id", "bucket").applyInArrow(run, schema)
 
 
+def _summed_reads(ids: np.ndarray, anchors: np.ndarray, most: np.ndarray, supporting: np.ndarray) -> list[np.ndarray]:
+    """Each read once: the sum of its anchors, the most reads that share one, the sum of those that do."""
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    return [ids[first], np.add.reduceat(anchors[order], first), np.maximum.reduceat(most[order], first), np.add.reduceat(supporting[order], first)]
+
+
+def anchor_support(reads: DataFrame, sizes: DataFrame, k: int, w: int, low: int, high: int, least: int = 3) -> DataFrame:
+    """cluster_id, r_id, anchors, most, supporting: the anchors of a read that occur `least` times in its cluster and that kept_anchors keeps,
+    the most reads that share one of them, and the sum of those that do. Reads without such anchors, and those of no cluster, are left out.
+
+    sizes: cluster_id, n_reads. A read's anchors are shuffled once, packed; what a bucket adds to the reads of a block travels as one value.
+    r_id is a number, the only one of its kind in a cluster.
+    """
+    kind = reads.schema["cluster_id"]
+    packed = _packed_anchors(reads.filter(F.col("cluster_id").isNotNull()), k, w, low, high, by_read=True).join(F.broadcast(sizes.select("cluster_id", "n_reads")), "cluster_id")
+    part = T.StructType([kind, T.StructField("block", T.LongType()), T.StructField("data", T.BinaryType())])
+    schema = T.StructType([kind, *[T.StructField(c, T.LongType()) for c in ("r_id", "anchors", "most", "supporting")]])
+
+    def share(rows: pa.Table) -> pa.Table:
+        cluster, other, n_reads = rows["cluster_id"][:1].combine_chunks(), rows["bucket"][0].as_py() < 0, rows["n_reads"][0].as_py()
+        size = (6 if other else 4) * k
+        tail, back = int("1" * k, 8) if other else 0, pow(_SPREAD, -1, 1 << size)
+        held: list[np.ndarray] | None = None
+        for keys, counts, ids in _merged(rows["n"], rows["data"]):
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            occurrences, shared = np.add.reduceat(counts, first), np.diff(np.append(first, len(keys)))
+            poly = (_spread(keys[first], size, back) & ((1 << (size // 2)) - 1)) == tail
+            kept = (occurrences >= max(least, 2)) & ~((occurrences > n_reads) & (poly | (occurrences > 10 * n_reads)))
+            mine, most = np.repeat(kept, shared), np.repeat(shared[kept], shared[kept])
+            if len(most):
+                more = _summed_reads(ids[mine], counts[mine], most, counts[mine] * most)
+                held = more if held is None else _summed_reads(*(np.concatenate(x) for x in zip(held, more, strict=True)))
+        if held is None:
+            return pa.Table.from_batches([], pa.schema([(c.name, t) for c, t in zip(part, (cluster.type, pa.int64(), pa.binary()), strict=True)]))
+        blocks = held[0] // BLOCK
+        edges = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1])).tolist()
+        data = [pack(held[0][a:b] - blocks[a] * BLOCK, *(x[a:b] for x in held[1:])) for a, b in zip(edges, [*edges[1:], len(blocks)], strict=True)]
+        return pa.Table.from_arrays([cluster.take(pa.array([0] * len(data))), pa.array(blocks[edges]), pa.array(data, pa.binary())], names=part.names)
+
+    def whole(rows: pa.Table) -> pa.Table:
+        sums = np.zeros((3, BLOCK), np.int64)
+        for data in rows["data"]:
+            ids, anchors, most, supporting = unpack(data.as_py())
+            sums[0][ids] += anchors
+            sums[1][ids] = np.maximum(sums[1][ids], most)
+            sums[2][ids] += supporting
+        found = np.flatnonzero(sums[0])
+        cluster = rows["cluster_id"][:1].combine_chunks().take(pa.array([0] * len(found)))
+        return pa.Table.from_arrays([cluster, pa.array(found + rows["block"][0].as_py() * BLOCK), *(pa.array(x[found]) for x in sums)], names=schema.names)
+
+    parts = packed.groupBy("cluster_id", "bucket").applyInArrow(share, part)
+    return dealt(parts, "cluster_id", "block").groupBy("cluster_id", "block").applyInArrow(whole, schema)
+
+
 def anchor_keys(reads: DataFrame, k: int, w: int, low: int, high: int, by_read: bool = True) -> DataFrame:
     """cluster_id, r_id, key, occurrences, reads (1) of every read's anchors; without by_read, added up for every PAIRS of them, r_id null.
 

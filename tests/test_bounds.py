@@ -232,3 +232,29 @@ def test_anchors_travel_as_differences_of_their_order(spark, monkeypatch):
     got = seeds.anchor_counts(frame, 9, 20, 18, 80, least=2).collect()
     assert {(x.cluster_id, x.m1, x.m2): (x.occurrences, x.reads) for x in got} == {k: (n, reads[k]) for k, n in occurrences.items() if n > 1}
     assert any("-" in x.m1 for x in got)
+
+
+def test_anchor_support_equals_plain_counts(spark, monkeypatch):
+    """Packed anchors with their reads, in small packs, parts and blocks; numbers of reads may be negative."""
+    monkeypatch.setattr(seeds, "PACKED", 3000)
+    monkeypatch.setattr(seeds, "MERGED", 60)
+    monkeypatch.setattr(seeds, "BLOCK", 16)
+    r = np.random.default_rng(4)
+    made = ["".join("ACGT"[j] for j in r.integers(0, 4, 500)) for _ in range(6)]
+    rows = [("xy"[i % 2] if i % 9 else None, 3 * i - 20, made[i % 6][i:] + ("-" if i % 5 == 0 else "") + made[i % 3][: 9 * i]) for i in range(40)]
+    rows += [("p", 7, made[0] * 25), ("p", 8, "A" * 60), ("z", 1, None), ("z", 2, "AC")]
+    found, sizes = {}, Counter(c for c, _, _ in rows)
+    occurrences, reads = Counter(), Counter()
+    for c, _, t in rows:
+        for (a, b), n in anchors(t).items() if t and len(t) >= 20 else ():
+            occurrences[(c, a, b)] += n
+            reads[(c, a, b)] += 1
+    kept = {x for x, n in occurrences.items() if n >= 3 and not (n > sizes[x[0]] and (x[2] == "A" * 9 or n > 10 * sizes[x[0]]))}
+    assert len(kept) < sum(n >= 3 for n in occurrences.values())
+    for c, i, t in rows:
+        mine = [(n, reads[(c, *x)]) for x, n in anchors(t).items() if (c, *x) in kept] if c and t and len(t) >= 20 else []
+        if mine:
+            found[(c, i)] = (sum(n for n, _ in mine), max(s for _, s in mine), sum(n * s for n, s in mine))
+    frame = spark.createDataFrame(rows, "cluster_id string, r_id int, seq string").repartition(3)
+    counts = frame.groupBy("cluster_id").agg(F.count("*").alias("n_reads"))
+    assert {(x[0], x[1]): tuple(x[2:]) for x in seeds.anchor_support(frame, counts, 9, 20, 18, 80).collect()} == found
