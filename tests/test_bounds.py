@@ -258,3 +258,27 @@ def test_anchor_support_equals_plain_counts(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "cluster_id string, r_id int, seq string").repartition(3)
     counts = frame.groupBy("cluster_id").agg(F.count("*").alias("n_reads"))
     assert {(x[0], x[1]): tuple(x[2:]) for x in seeds.anchor_support(frame, counts, 9, 20, 18, 80).collect()} == found
+
+
+def test_cigars_are_parsed_in_one_pass_of_a_kernel(spark, sf_dir):
+    """The kernel against the array expressions, with signs that aren't operations, nulls and slices; no per-read step parses texts in expressions."""
+    from helixframe.catalogue import QUERIES
+    from helixframe.functions import cigar as C
+
+    r = np.random.default_rng(6)
+    texts_ = ["".join(f"{r.integers(0, 300)}{'=XIDMNSHP'[r.integers(0, 9)]}" for _ in range(r.integers(0, 9))) for _ in range(60)] + [None, "", "*", "D", "12", "7=3", "5Q3=4D", "=3D", "3DD4N", "007N1D"]
+    rows = [(i, t, None if i % 13 == 5 else 7 * i) for i, t in enumerate(texts_)]
+    frame = spark.createDataFrame(rows, "i int, cigar string, start int").repartition(3)
+    ops = C.operations(F.col("cigar"))
+    total = lambda kinds, below=None: C.total(ops, kinds, below)
+    span = F.col("start") + total("=XMDN")
+    placed = F.transform(F.filter(C.reference_places(ops, F.col("start")), lambda o: o["op"].isin("N", "D")), lambda o: F.struct((o["op"] == "N").alias("intron"), o["pos"].alias("start"), (o["pos"] + o["n"]).alias("stop")))
+    want = frame.select("i", total("I"), total("D"), total("D", 15), total("X"), total("="), span, F.coalesce(placed, F.array()))
+    got = frame.withColumn("p", C.parts(F.col("cigar"), F.col("start"), 15)).select("i", "p.ins", "p.del", "p.short", "p.subs", "p.matches", "p.stop", "p.gaps")
+    assert {tuple(map(repr, map(plain, x))) for x in got.collect()} == {tuple(map(repr, map(plain, x))) for x in want.collect()}
+    for name in ("per_read_genome", "location_stability", "known_deletions"):
+        assert "regexp_extract_all" not in plan(QUERIES[name](spark, sf_dir))
+
+
+def plain(value):
+    return [tuple(x) for x in value] if isinstance(value, list) else value
